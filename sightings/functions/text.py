@@ -59,6 +59,31 @@ def departure_text(tag: Column, cam: Column, age: Column, seconds: Column) -> Co
     )
 
 
+def fixed(x: Column, places: int) -> Column:
+    """`x` (not negative) with a fixed number of places, from its exact binary value.
+
+    Ties go to the even digit. The built-in formatting rounds the shortest decimal text
+    instead and sends ties up, which differs for values such as 0.625. The fraction is taken
+    in units of 2^-60, as two halves of 30 bits, so all steps are exact in whole numbers.
+    """
+    low = (1 << 30) - 1
+    scale = 10**places
+    whole = F.floor(x)
+    bits = ((x - whole) * float(1 << 60)).cast("long")
+    b = bits.bitwiseAND(F.lit(low)) * scale
+    a = F.shiftright(bits, 30) * scale + F.shiftright(b, 30)
+    digits = F.shiftright(a, 30)
+    rest = F.shiftleft(a.bitwiseAND(F.lit(low)), 30) + b.bitwiseAND(F.lit(low))
+    half = F.lit(1 << 59)
+    up = (rest > half) | ((rest == half) & (digits % 2 == 1))
+    all_digits = whole * scale + digits + F.when(up, F.lit(1)).otherwise(F.lit(0))
+    return F.concat(
+        F.floor(all_digits / scale).cast("string"),
+        F.lit("."),
+        F.lpad((all_digits % scale).cast("string"), places, "0"),
+    )
+
+
 def _part(name: str, value: Column) -> Column:
     return F.concat(F.lit(name), value)
 
@@ -76,8 +101,8 @@ def detection_label(
     return F.concat_ws(
         ":",
         tag,
-        F.format_string("%.2f", prob),
-        F.when(iou.isNotNull(), _part("iou=", F.format_string("%.2f", iou))),
+        fixed(prob, 2),
+        F.when(iou.isNotNull(), _part("iou=", fixed(iou, 2))),
         _part("ignore=", ignore),
         _part("p=", priority.cast("string")),
         _part("pt=", priority_type),
@@ -86,7 +111,8 @@ def detection_label(
 
 
 def percent_label(tag: Column | str, prob: Column | str) -> Column:
-    return F.format_string("%s %.1f%%", as_column(tag), as_column(prob) * 100)
+    share = fixed(as_column(prob) * 100, 1)
+    return F.concat(as_column(tag), F.lit(" "), share, F.lit("%"))
 
 
 def underscored(name: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightings.functions.timing import epoch_us
-from sightings.operators.ordered import as_of, highest, lag, last, running, total
+from sightings.operators.ordered import as_of, highest, lag, last, rows_since, running, total
 from sightings.schema import FRAME_ORDER
 from sightings.session import cut
 
@@ -91,16 +91,14 @@ def capture_health(attempts: DataFrame, reboot_over: int = 3) -> DataFrame:
 
     attempts: cam, ts, ok.
     """
-    d = running(attempts, ["cam"], ["ts"], {"_n": total(F.lit(1))})
-    d = running(d, ["cam"], ["ts"], {"_ok_at": highest(F.when(F.col("ok"), F.col("_n")))})
-    k = F.col("_n") - F.coalesce(F.col("_ok_at"), F.lit(0)) - 1
-    fails = F.when(~F.col("ok"), k)
-    skip = F.pow(F.lit(2.0), fails)
+    d = rows_since(attempts, ["cam"], ["ts"], F.col("ok"), "_fails")
+    fails = F.when(F.col("ok"), F.lit(0)).otherwise(F.col("_fails")).cast("int")
+    skip = F.when(F.col("ok"), F.lit(0.0)).otherwise(F.pow(F.lit(2.0), F.col("_fails") - 1))
     return d.select(
         *attempts.columns,
-        (F.when(F.col("ok"), F.lit(0)).otherwise(fails + 1)).alias("fails"),
-        F.when(F.col("ok"), F.lit(0.0)).otherwise(skip).alias("skip"),
-        F.coalesce(~F.col("ok") & (skip > reboot_over), F.lit(False)).alias("reboot"),
+        fails.alias("fails"),
+        skip.alias("skip"),
+        (skip > reboot_over).alias("reboot"),
     )
 
 
@@ -121,7 +119,7 @@ def throttle(
     times = d.groupBy(*keys, us).agg(F.min(tie).alias("_tie") if tie else F.lit(0).alias("_tie"))
     stamp = F.timestamp_micros(us)
     times = times.withColumn("_ts", stamp)
-    times = running(times, keys, ["_ts"], {"_prior": lag(us)})
+    times = cut(running(times, keys, ["_ts"], {"_prior": lag(us)}))
     fresh = F.col("_prior").isNull() | (F.col(us) - F.col("_prior") > period)
     times = running(
         times.withColumn("_fresh", fresh),

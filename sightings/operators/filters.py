@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from sightings.functions.geometry import box_center, polyline_y
-from sightings.operators.ordered import highest, lag, running
+from sightings.operators.ordered import held, lag, running
 from sightings.schema import FRAME_ORDER
 
 # The confidence a tag needs while it was present one frame earlier.
@@ -131,6 +131,18 @@ def sample_frames(df: DataFrame, every: int = 15, min_prob: float = 0.6) -> Data
     return df.filter((F.pmod(F.col("frame_no"), F.lit(every)) == 0) & (F.col("prob") > min_prob))
 
 
+def link_frames(frames: DataFrame) -> DataFrame:
+    """Frames with the id and time of the camera's frame before; kept if already there."""
+    if "prev_frame_id" in frames.columns:
+        return frames
+    return running(
+        frames,
+        ["cam"],
+        FRAME_ORDER,
+        {"prev_frame_id": lag("frame_id"), "prev_frame_ts": lag("frame_ts")},
+    )
+
+
 def tag_presence(
     df: DataFrame,
     frames: DataFrame,
@@ -147,9 +159,7 @@ def tag_presence(
 
     Returns cam, tag, frame_id, frame_ts, frame_no, present.
     """
-    linked = running(frames, ["cam"], FRAME_ORDER, {"prev_frame_id": lag("frame_id")}).select(
-        "frame_id", "prev_frame_id"
-    )
+    linked = link_frames(frames).select("frame_id", "prev_frame_id")
     d = df.filter(F.col("ignore").isNull() & (F.col("tag") == F.col("raw_tag")))
     d = _with_threshold(d, thresholds, default)
     strong = F.col("prob") > F.col("_thr")
@@ -159,20 +169,9 @@ def tag_presence(
         .agg(F.max(strong).alias("_strong"))
         .join(linked, "frame_id")
     )
-    place = F.struct(*FRAME_ORDER)
-    seen = running(seen, ["cam", "tag"], FRAME_ORDER, {"_seen_before": lag("frame_id")})
-    broken = F.col("_seen_before").isNull() | (F.col("_seen_before") != F.col("prev_frame_id"))
-    runs = running(
-        seen.withColumn("_place", place),
-        ["cam", "tag"],
-        FRAME_ORDER,
-        {
-            "_run_start": highest(F.when(F.coalesce(broken, F.lit(True)), F.col("_place"))),
-            "_last_strong": highest(F.when(F.col("_strong"), F.col("_place"))),
-        },
-    )
-    present = F.coalesce(F.col("_last_strong") >= F.col("_run_start"), F.lit(False))
-    return runs.select("cam", "tag", "frame_id", *FRAME_ORDER, present.alias("present"))
+    return held(
+        seen, ["cam", "tag"], FRAME_ORDER, F.col("_strong"), "frame_id", "prev_frame_id", "present"
+    ).select("cam", "tag", "frame_id", *FRAME_ORDER, "present")
 
 
 def _with_threshold(df: DataFrame, thresholds: DataFrame, default: float) -> DataFrame:
@@ -197,10 +196,9 @@ def hysteresis_filter(
     Runs after road, region and exclusion steps (they do not depend on it); the tag the
     model gave is compared with the final tags of the camera's previous frame.
     """
-    linked = running(frames, ["cam"], FRAME_ORDER, {"prev_frame_id": lag("frame_id")}).select(
-        "frame_id", "prev_frame_id"
-    )
-    held = (
+    linked = link_frames(frames).select("frame_id", "prev_frame_id")
+    frames = link_frames(frames)
+    present = (
         tag_presence(df, frames, thresholds, default, low)
         .filter("present")
         .select(F.col("frame_id").alias("_held_frame"), F.col("tag").alias("_held_tag"))
@@ -211,7 +209,7 @@ def hysteresis_filter(
     return (
         d.filter(strong | (F.col("prob") > low))
         .join(
-            held,
+            present,
             (F.col("prev_frame_id") == F.col("_held_frame"))
             & (F.col("raw_tag") == F.col("_held_tag")),
             "left",

@@ -123,6 +123,96 @@ def running(
     )
 
 
+def rows_since(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    reset: Column,
+    out: str,
+    slice_s: int = HOUR,
+) -> DataFrame:
+    """Number of rows after the last one with `reset` (from the start where there is none)."""
+    keys, order = list(keys), list(order)
+    part = [*keys, "_slice"]
+    d = df.withColumn("_slice", time_bucket(order[0], slice_s)).withColumn("_reset", reset)
+    inside = Window.partitionBy(*part).orderBy(*order)
+    d = d.withColumn("_pos", F.row_number().over(inside))
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_at", F.max(F.when(F.col("_reset"), F.col("_pos"))).over(upto))
+    across = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    sums = d.groupBy(*part).agg(F.max("_pos").alias("_n"), F.max("_at").alias("_end_at"))
+    sums = sums.withColumn("_rows", F.coalesce(F.sum("_n").over(across), F.lit(0)))
+    place = F.max(F.col("_rows") + F.col("_end_at")).over(across)
+    sums = sums.withColumn("_carried", F.col("_rows") - F.coalesce(place, F.lit(0)))
+    since = F.col("_pos") - F.coalesce("_at", -F.col("_carried"))
+    return (
+        d.join(sums.select(*part, "_carried"), part, "left")
+        .withColumn(out, since)
+        .drop("_slice", "_reset", "_pos", "_at", "_carried")
+    )
+
+
+def held(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    flag: Column,
+    row_id: str,
+    prev_id: str,
+    out: str,
+    slice_s: int = HOUR,
+) -> DataFrame:
+    """Whether `flag` was set in the unbroken run of rows that ends here.
+
+    A row continues the run of the row before it if that row's `row_id` is its `prev_id`.
+    """
+    keys, order = list(keys), list(order)
+    part = [*keys, "_slice"]
+    d = df.withColumn("_slice", time_bucket(order[0], slice_s)).withColumn("_flag", flag)
+    inside = Window.partitionBy(*part).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_pos", F.row_number().over(inside)).withColumn(
+        "_before", F.lag(row_id).over(inside)
+    )
+    joined = F.col("_before").eqNullSafe(F.col(prev_id))
+    # First row of the current run, 0 where the run may reach back into an earlier slice.
+    d = d.withColumn(
+        "_from",
+        F.max(
+            F.when(F.col("_pos") == 1, F.lit(0)).when(~joined, F.col("_pos")).otherwise(0)
+        ).over(upto),
+    )
+    d = d.withColumn("_set", F.max(F.when(F.col("_flag"), F.col("_pos"))).over(upto))
+    d = d.withColumn("_here", F.coalesce(F.col("_set") >= F.greatest("_from", F.lit(1)), F.lit(False)))
+    place = F.struct(*order)
+    sums = d.groupBy(*part).agg(
+        F.min_by(prev_id, place).alias("_first_prev"),
+        F.max_by(row_id, place).alias("_last_id"),
+        F.max("_from").alias("_end_from"),
+        F.max_by("_here", place).alias("_end_here"),
+    )
+    steps = Window.partitionBy(*keys).orderBy("_slice")
+    past = steps.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    linked = F.coalesce(F.lag("_last_id").over(steps) == F.col("_first_prev"), F.lit(False))
+    sums = sums.withColumn("_linked", linked)
+    through = F.col("_linked") & (F.col("_end_from") == 0)
+    sums = sums.withColumn("_lost", F.max(F.when(~through, F.col("_slice"))).over(past))
+    sums = sums.withColumn("_won", F.max(F.when(F.col("_end_here"), F.col("_slice"))).over(past))
+    end = F.coalesce(F.col("_won") >= F.col("_lost"), F.lit(False)) | (
+        F.col("_won").isNotNull() & F.col("_lost").isNull()
+    )
+    sums = sums.withColumn("_end", end)
+    entering = F.col("_linked") & F.coalesce(F.lag("_end").over(steps), F.lit(False))
+    sums = sums.select(*part, entering.alias("_enter"))
+    return (
+        d.join(sums, part, "left")
+        .withColumn(out, F.col("_here") | ((F.col("_from") == 0) & F.col("_enter")))
+        .drop("_slice", "_flag", "_pos", "_before", "_from", "_set", "_here", "_enter")
+    )
+
+
 def as_of(
     left: DataFrame,
     right: DataFrame,

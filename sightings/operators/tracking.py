@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from sightings.functions.text import departure_text
 from sightings.functions.timing import HOUR, epoch_us, time_bucket
-from sightings.operators.ordered import as_of, lag, running
-from sightings.schema import BOX, FRAME_ORDER
+from sightings.operators.filters import link_frames
+from sightings.operators.ordered import as_of
+from sightings.schema import BOX
 from sightings.session import cut
 
 # Overlap that links, lifetime (s) at age 0 and at most, and the rule for
@@ -260,9 +261,7 @@ def _run_fold(dets: DataFrame, states: DataFrame | None) -> DataFrame:
 
 
 def _prepare(df: DataFrame, frames: DataFrame, cameras: DataFrame, slice_s: int) -> DataFrame:
-    linked = running(frames, ["cam"], FRAME_ORDER, {"prev_ts": lag("frame_ts")}).select(
-        "frame_id", epoch_us("prev_ts").alias("prev_us")
-    )
+    linked = link_frames(frames).select("frame_id", epoch_us("prev_frame_ts").alias("prev_us"))
     box = F.col("box")
     return (
         df.join(linked, "frame_id", "left")

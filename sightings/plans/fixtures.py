@@ -14,7 +14,7 @@ from sightings.operators.filters import apply_region_rules, begin, classify_road
 from sightings.operators.state import asof_state, with_mode
 from sightings.operators.zones import apply_exclusions, frame_pairs
 from sightings.plans.dims import CAMS, TAGS, columns, values
-from sightings.session import prepare
+from sightings.session import cut, prepare
 
 # Start of the archive (2024-01-01 22:30:00 UTC) and seconds between frames.
 START_S, STEP_S = 1704148200, 30
@@ -160,7 +160,10 @@ def prepared(spark: SparkSession, sf_dir: str, outage: bool = False) -> DataFram
 
 
 def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid detections with a stateless link to the frame before: iou, age, is_new."""
+    """Valid detections with a stateless link to the frame before: iou, age, is_new.
+
+    Many steps read this table, so it is written once.
+    """
     v = valid(prepared(spark, sf_dir))
     hits = (
         frame_pairs(v)
@@ -168,14 +171,14 @@ def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.max("iou").alias("iou"), F.count(F.lit(1)).cast("int").alias("_n"))
     )
     d = v.join(hits, ["frame_id", "det_no"], "left")
-    return d.select(
+    return cut(d.select(
         *v.columns,
         "iou",
         F.coalesce("_n", F.lit(0)).alias("age"),
         F.col("iou").isNull().alias("is_new"),
         F.lit(False).alias("departed"),
         F.lit(None).cast("int").alias("prior_priority"),
-    )
+    ))
 
 
 def frame_states(spark: SparkSession, sf_dir: str) -> DataFrame:
