@@ -7,6 +7,7 @@ value by value with the SQL of `oracle.py`.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from sightings.operators import (
 from sightings.operators.ordered import lag, running
 from sightings.plans import fixtures as X
 from sightings.schema import FRAME_ORDER
+from sightings.session import cut
 from sightings.sources import sidecars, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -322,29 +324,77 @@ def a7_vehicle_crop(spark, sf):
     return _crop(geometry.vehicle_crop(X.linked(spark, sf), (1920, 1080)))
 
 
-def _context(spark, sf):
-    return alerts.frame_context(X.linked(spark, sf))
+class Alerting:
+    """The tables the alert rules share; each is written once per query."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.sf = spark, sf
+
+    @cached_property
+    def linked(self):
+        return X.linked(self.spark, self.sf)
+
+    @cached_property
+    def frames(self):
+        return X.frames(self.spark, self.sf)
+
+    @cached_property
+    def states(self):
+        return cut(X.frame_states(self.spark, self.sf))
+
+    @cached_property
+    def context(self):
+        return alerts.frame_context(self.linked)
+
+    @cached_property
+    def scored(self):
+        rules = X.dim(self.spark, "priorities_t")
+        return cut(alerts.score_detections(self.linked, self.context, self.states, rules))
+
+    @cached_property
+    def priority(self):
+        return alerts.frame_priority(self.scored, self.context, self.states)
+
+    @cached_property
+    def alerts(self):
+        sounds = X.dim(self.spark, "sounds_t")
+        return alerts.frame_alerts(self.scored, self.context, self.states, sounds)
+
+    @cached_property
+    def carried(self):
+        """Every frame with its tag sets and the priority it ends up with."""
+        sets = reports.object_sets(self.linked, self.frames)
+        score = self.priority.withColumnRenamed("priority", "scored")
+        warm = changes.warmed_up(self.frames).select("frame_id", "warm")
+        per_frame = (
+            sets.join(score, "frame_id", "left")
+            .join(warm, "frame_id")
+            .select(
+                "cam", "frame_id", *FRAME_ORDER, "tags", "new_tags",
+                (F.size("new_tags") > 0).alias("has_new"),
+                (F.size("tags") > 0).alias("has_valid"),
+                F.when(F.col("warm"), F.col("scored")).alias("scored"),
+            )
+        )
+        return cut(changes.carry_priority(cut(per_frame)))
+
+    @cached_property
+    def saved(self):
+        return alerts.saved_sightings(
+            self.carried.select("frame_id", "priority", "tags"),
+            reports.min_age(self.linked, self.frames),
+            self.frames,
+        )
 
 
 @query
 def a8_frame_context(spark, sf):
-    return _context(spark, sf)
-
-
-def _scored(spark, sf):
-    return alerts.score_detections(
-        X.linked(spark, sf),
-        _context(spark, sf),
-        X.frame_states(spark, sf),
-        X.dim(spark, "priorities_t"),
-    )
+    return Alerting(spark, sf).context
 
 
 @query
 def a9_frame_priority(spark, sf):
-    return alerts.frame_priority(
-        _scored(spark, sf), _context(spark, sf), X.frame_states(spark, sf)
-    )
+    return Alerting(spark, sf).priority
 
 
 @query
@@ -377,38 +427,15 @@ def w1_tag_presence(spark, sf):
     return d.select("cam", "tag", "frame_id", "present")
 
 
-def _sets(spark, sf):
-    """Tag sets with a frame priority, all frames."""
-    sets = reports.object_sets(X.linked(spark, sf), X.frames(spark, sf))
-    score = alerts.frame_priority(
-        _scored(spark, sf), _context(spark, sf), X.frame_states(spark, sf)
-    ).withColumnRenamed("priority", "scored")
-    warm = changes.warmed_up(X.frames(spark, sf)).select("frame_id", "warm")
-    return (
-        sets.join(score, "frame_id", "left")
-        .join(warm, "frame_id")
-        .select(
-            "cam", "frame_id", *FRAME_ORDER, "tags", "new_tags",
-            (F.size("new_tags") > 0).alias("has_new"),
-            (F.size("tags") > 0).alias("has_valid"),
-            F.when(F.col("warm"), F.col("scored")).alias("scored"),
-        )
-    )
-
-
-def _priorities(spark, sf):
-    return changes.carry_priority(_sets(spark, sf))
-
-
 @query
 def w2_departed_tags(spark, sf):
-    d = changes.departed_tags(_priorities(spark, sf))
+    d = changes.departed_tags(Alerting(spark, sf).carried)
     return d.select("cam", "frame_id", joined("departed"))
 
 
 @query
 def w3_carry_priority(spark, sf):
-    return _priorities(spark, sf).select("cam", "frame_id", "scored", "priority")
+    return Alerting(spark, sf).carried.select("cam", "frame_id", "scored", "priority")
 
 
 @query
@@ -429,23 +456,14 @@ def w5_warmed_up(spark, sf):
     return changes.warmed_up(X.frames(spark, sf)).select("frame_id", "cam", "cam_age", "warm")
 
 
-def _saved(spark, sf):
-    return alerts.saved_sightings(
-        _priorities(spark, sf).select("frame_id", "priority", "tags"),
-        reports.min_age(X.linked(spark, sf), X.frames(spark, sf)),
-        X.frames(spark, sf),
-    )
-
-
 @query
 def w6_frame_before(spark, sf):
-    kept = _saved(spark, sf).select("frame_id", F.lit(True).alias("_kept"))
-    per_frame = (
-        X.frames(spark, sf)
-        .join(kept, "frame_id", "left")
-        .withColumn("saved", F.coalesce("_kept", F.lit(False)))
+    a = Alerting(spark, sf)
+    kept = a.saved.select("frame_id", F.lit(True).alias("_kept"))
+    per_frame = a.frames.join(kept, "frame_id", "left").withColumn(
+        "saved", F.coalesce("_kept", F.lit(False))
     )
-    d = changes.frame_before(per_frame)
+    d = changes.frame_before(cut(per_frame))
     return d.select("cam", "frame_id", "prior_frame_id", "prior_frame_ts")
 
 
@@ -578,8 +596,7 @@ def x13_departure_text(spark, sf):
 
 @query
 def x14_labels(spark, sf):
-    d = _scored(spark, sf)
-    return reports.frame_labels(d).select("frame_id", "message")
+    return reports.frame_labels(Alerting(spark, sf).scored).select("frame_id", "message")
 
 
 @query
@@ -684,13 +701,13 @@ def t3_departure_alerts(spark, sf):
 
 @query
 def p0_known_detections(spark, sf):
-    d = _scored(spark, sf).filter(~F.col("scored"))
+    d = Alerting(spark, sf).scored.filter(~F.col("scored"))
     return d.select("frame_id", "det_no", "tag", "priority")
 
 
 @query
 def p1_scores(spark, sf):
-    d = _scored(spark, sf)
+    d = Alerting(spark, sf).scored
     return d.select("frame_id", "det_no", "tag", "priority", "priority_type", "scored")
 
 
@@ -707,42 +724,37 @@ def p1b_scores_all_new(spark, sf):
     return s.select("frame_id", "det_no", "tag", "priority", "priority_type", "scored")
 
 
-def _alerts(spark, sf):
-    return alerts.frame_alerts(
-        _scored(spark, sf), _context(spark, sf), X.frame_states(spark, sf), X.dim(spark, "sounds_t")
-    )
-
-
 @query
 def p2_frame_alerts(spark, sf):
-    return _alerts(spark, sf).select(
+    return Alerting(spark, sf).alerts.select(
         "cam", "frame_id", "mode", "message", "priority", "sound", "push"
     )
 
 
 @query
 def p3_frame_sound(spark, sf):
-    return alerts.frame_sound(_scored(spark, sf), X.dim(spark, "sounds_t"))
+    return alerts.frame_sound(Alerting(spark, sf).scored, X.dim(spark, "sounds_t"))
 
 
 @query
 def p4_pushes(spark, sf):
-    return alerts.pushes(_alerts(spark, sf)).select("cam", "frame_id", "priority", "sound")
+    return alerts.pushes(Alerting(spark, sf).alerts).select("cam", "frame_id", "priority", "sound")
 
 
 @query
 def p5_plate_gate(spark, sf):
-    return _context(spark, sf).filter("visible_vehicles > 0").select("frame_id", "visible_vehicles")
+    return Alerting(spark, sf).context.filter("visible_vehicles > 0").select("frame_id", "visible_vehicles")
 
 
 @query
 def p6_announcements(spark, sf):
-    ctx = _context(spark, sf).join(X.frames(spark, sf).select("frame_id", "cam"), "frame_id")
+    a = Alerting(spark, sf)
+    ctx = a.context.join(a.frames.select("frame_id", "cam"), "frame_id")
     alpr = plates.alpr_summary(X.alpr_responses(spark, sf)).withColumnRenamed(
         "response_id", "frame_id"
     )
     return plates.plate_announcements(
-        ctx, alpr, X.known_plates(spark, sf), X.frame_states(spark, sf)
+        ctx, alpr, X.known_plates(spark, sf), a.states
     )
 
 
@@ -762,7 +774,7 @@ def p7_owner_arrivals(spark, sf):
 
 @query
 def p8_saved(spark, sf):
-    return _saved(spark, sf).select("frame_id", "cam", "priority", joined("tags"), "min_age", "name")
+    return Alerting(spark, sf).saved.select("frame_id", "cam", "priority", joined("tags"), "min_age", "name")
 
 
 @query
