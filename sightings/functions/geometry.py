@@ -74,23 +74,37 @@ def parse_road_line(text: Column | str) -> Column:
     return F.when(parse_road_mode(text) == "line", points)
 
 
-def polyline_y(x: Column | str, points: Column | str) -> Column:
-    """Height of a line of points at `x`: flat beyond the ends, linear in between."""
-    x, points = as_column(x), as_column(points)
-    head, tail = first_of(points), F.try_element_at(points, F.lit(-1))
-    legs = F.zip_with(
-        F.slice(points, F.lit(1), F.greatest(F.size(points) - 1, F.lit(0))),
-        F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))),
+def polyline_legs(points: Column | str) -> Column:
+    """Legs of a line of points: start and end of each. Worth keeping with the line."""
+    points = as_column(points)
+    n = F.greatest(F.size(points) - 1, F.lit(0))
+    return F.zip_with(
+        F.slice(points, F.lit(1), n),
+        F.slice(points, F.lit(2), n),
         lambda p, q: F.struct(p.alias("p"), q.alias("q")),
     )
-    leg = first_of(F.filter(legs, lambda s: (s["p"]["x"] <= x) & (x <= s["q"]["x"])))
-    p, q = leg["p"], leg["q"]
-    run = q["x"] - p["x"]
-    share = F.when(run != 0, (x - p["x"]) / run).otherwise(F.lit(0.0))
+
+
+def polyline_y(x: Column | str, points: Column | str, legs: Column | str | None = None) -> Column:
+    """Height of a line of points at `x`: flat beyond the ends, linear in between.
+
+    `legs` is what `polyline_legs` gives for the points, where it is at hand.
+    """
+    x, points = as_column(x), as_column(points)
+    legs = polyline_legs(points) if legs is None else as_column(legs)
+    head, tail = first_of(points), F.try_element_at(points, F.lit(-1))
+
+    def height(s: Column) -> Column:
+        p, q = s["p"], s["q"]
+        run = q["x"] - p["x"]
+        share = F.when(run != 0, (x - p["x"]) / run).otherwise(F.lit(0.0))
+        return p["y"] + share * (q["y"] - p["y"])
+
+    over = F.filter(legs, lambda s: (s["p"]["x"] <= x) & (x <= s["q"]["x"]))
     return (
         F.when(x <= head["x"], head["y"])
         .when(x >= tail["x"], tail["y"])
-        .otherwise(F.coalesce(p["y"] + share * (q["y"] - p["y"]), tail["y"]))
+        .otherwise(F.coalesce(first_of(F.transform(over, height)), tail["y"]))
     )
 
 

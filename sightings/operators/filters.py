@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from sightings.functions.geometry import box_center, polyline_y
+from sightings.functions.geometry import box_center, polyline_legs, polyline_y
 from sightings.operators.ordered import held, lag, running
 from sightings.schema import FRAME_ORDER
 
@@ -55,11 +55,13 @@ def classify_road(df: DataFrame, cameras: DataFrame) -> DataFrame:
 
     Above a line a vehicle is also ignored; in `all` mode nothing is.
     """
-    road = cameras.select("cam", "road_mode", "road_line")
+    road = cameras.select(
+        "cam", "road_mode", "road_line", polyline_legs("road_line").alias("_legs")
+    )
     d = df.join(road, "cam", "left")
     line = F.col("road_mode") == "line"
     d = d.withColumn(
-        "road_y", F.when(line, polyline_y(F.col("center")["x"], F.col("road_line")))
+        "road_y", F.when(line, polyline_y(F.col("center")["x"], "road_line", "_legs"))
     )
     above = line & (F.col("center")["y"] < F.col("road_y"))
     on_road = F.coalesce((F.col("road_mode") == "all") | above, F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightings.functions.columns import first_of
@@ -16,31 +16,29 @@ def apply_exclusions(df: DataFrame, excludes: DataFrame, min_iou: float = 0.5) -
     in list order counts. Rows already ignored stay as they are. A camera's zones travel as
     one array on its row, so the detections are not shuffled.
     """
+    zone = F.struct("ord", "tag", "box", "comment")
     per_cam = excludes.groupBy("cam").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "tag", "box", "comment"))).alias("_zones")
+        F.array_sort(F.collect_list(F.when(F.col("tag") == "*", zone))).alias("_any"),
+        F.array_sort(F.collect_list(F.when(F.col("tag") != "*", zone))).alias("_own"),
     )
     d = df.join(per_cam, "cam", "left")
-    hits = F.transform(
-        F.filter(
-            F.col("_zones"), lambda z: (z["tag"] == "*") | (z["tag"] == F.col("tag"))
-        ),
-        lambda z: F.struct(
-            z["tag"].alias("tag"),
-            z["comment"].alias("comment"),
-            box_iou(z["box"], F.col("box")).alias("iou"),
+    box = F.col("box")
+
+    def overlaps(z: Column) -> Column:
+        return box_iou(z["box"], box) > min_iou
+
+    by_tag = F.transform(
+        F.filter("_own", lambda z: (z["tag"] == F.col("tag")) & overlaps(z)),
+        lambda z: F.coalesce(
+            z["comment"],
+            F.concat(F.lit("static iou "), box_iou(z["box"], box).cast("string")),
         ),
     )
-    d = d.withColumn("_hits", F.filter(hits, lambda h: h["iou"] > min_iou))
-    by_any = first_of(F.filter(F.col("_hits"), lambda h: h["tag"] == "*"))
-    by_tag = first_of(F.filter(F.col("_hits"), lambda h: h["tag"] != "*"))
-    reason = F.coalesce(
-        F.col("ignore"),
-        F.coalesce(
-            by_tag["comment"], F.concat(F.lit("static iou "), by_tag["iou"].cast("string"))
-        ),
-        F.when(by_any.isNotNull(), F.coalesce(by_any["comment"], F.lit("static"))),
+    by_any = F.transform(
+        F.filter("_any", overlaps), lambda z: F.coalesce(z["comment"], F.lit("static"))
     )
-    return d.withColumn("ignore", reason).drop("_zones", "_hits")
+    reason = F.coalesce("ignore", first_of(by_tag), first_of(by_any))
+    return d.withColumn("ignore", reason).drop("_any", "_own")
 
 
 def frame_pairs(df: DataFrame, min_iou: float = 0.5) -> DataFrame:

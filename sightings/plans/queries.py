@@ -130,11 +130,23 @@ def f2_center(spark, sf):
     )
 
 
+def _linked_frames(spark, sf, outage=False):
+    """Frames with the camera's frame before; several steps read them, so they are written."""
+    return cut(filters.link_frames(X.frames(spark, sf, outage)))
+
+
+def _kept(spark, sf):
+    return filters.hysteresis_filter(
+        cut(X.prepared(spark, sf)),
+        _linked_frames(spark, sf),
+        X.dim(spark, "thresholds_t"),
+        THRESHOLD,
+    )
+
+
 @query
 def f3_hysteresis(spark, sf):
-    d = filters.hysteresis_filter(
-        X.prepared(spark, sf), X.frames(spark, sf), X.dim(spark, "thresholds_t"), THRESHOLD
-    )
+    d = _kept(spark, sf)
     return d.select("frame_id", "cam", "det_no", "raw_tag", "tag", "prob", "ignore")
 
 
@@ -422,7 +434,10 @@ def a11_alpr_summary(spark, sf):
 @query
 def w1_tag_presence(spark, sf):
     d = filters.tag_presence(
-        X.prepared(spark, sf), X.frames(spark, sf), X.dim(spark, "thresholds_t"), THRESHOLD
+        X.prepared(spark, sf),
+        _linked_frames(spark, sf),
+        X.dim(spark, "thresholds_t"),
+        THRESHOLD,
     )
     return d.select("cam", "tag", "frame_id", "present")
 
@@ -674,7 +689,7 @@ def l3_vehicle_phrases(spark, sf):
 def _tracking_inputs(spark, sf):
     return (
         filters.valid(X.prepared(spark, sf, outage=True)),
-        X.frames(spark, sf, outage=True),
+        _linked_frames(spark, sf, outage=True),
         X.cameras(spark),
     )
 
@@ -806,10 +821,7 @@ query(e1_count_changes)
 @query
 def e2_hysteresis_counts(spark, sf):
     """The same behind the hysteresis threshold."""
-    kept = filters.hysteresis_filter(
-        X.prepared(spark, sf), X.frames(spark, sf), X.dim(spark, "thresholds_t"), THRESHOLD
-    )
     counts = reports.tag_counts(
-        filters.valid(kept), X.frames(spark, sf), X.cameras(spark), use_age=False
+        filters.valid(_kept(spark, sf)), X.frames(spark, sf), X.cameras(spark), use_age=False
     )
     return changes.count_changes(counts).select("cam", "tag", "frame_id", "frame_ts", "count")
