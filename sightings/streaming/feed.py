@@ -16,8 +16,8 @@ class _Changed(StatefulProcessor):
     Rows no newer than the last one of the key are dropped: they came late.
     """
 
-    def __init__(self, value: str, value_type: str, order: list[str]):
-        self.value, self.value_type, self.order = value, value_type, order
+    def __init__(self, value: str, value_type: str):
+        self.value, self.value_type = value, value_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState(
@@ -27,15 +27,14 @@ class _Changed(StatefulProcessor):
     def handleInputRows(
         self, key, rows: Iterator[pd.DataFrame], timerValues
     ) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order)
+        batch = pd.concat(list(rows)).sort_values(["frame_ts", "frame_no"])
         value, at = None, (-(2**62), -1)
         if self.last.exists():
             value, us, no = self.last.get()
             at = (us, no)
         keep = []
-        for v, us, no in zip(
-            batch[self.value].tolist(), batch["_us"].tolist(), batch[self.order[1]].tolist()
-        ):
+        times = batch["frame_ts"].astype("datetime64[us]").astype("int64").tolist()
+        for v, us, no in zip(batch[self.value].tolist(), times, batch["frame_no"].tolist()):
             fresh = (us, no) > at
             keep.append(fresh and v != value)
             if fresh:
@@ -48,16 +47,11 @@ class _Changed(StatefulProcessor):
 
 
 def _only_changes(df: DataFrame, keys: list[str], value: str, value_type: str) -> DataFrame:
-    d = df.withColumn("_us", F.unix_micros(F.col("frame_ts").cast("timestamp")))
-    return (
-        d.groupBy(*keys)
-        .transformWithStateInPandas(
-            statefulProcessor=_Changed(value, value_type, ["_us", "frame_no"]),
-            outputStructType=d.schema,
-            outputMode="Append",
-            timeMode="None",
-        )
-        .drop("_us")
+    return df.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_Changed(value, value_type),
+        outputStructType=df.schema,
+        outputMode="Append",
+        timeMode="None",
     )
 
 

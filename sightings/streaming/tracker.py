@@ -37,6 +37,10 @@ OUTPUT = (
     "left double, top double, width double, height double, count int"
 )
 _COLUMNS = [c.split(" ")[0] for c in OUTPUT.split(", ")]
+_PANDAS_TYPES = {
+    "track_id": object, "tag": object, "is_new": "boolean",
+    "det_no": "Int32", "age": "Int32", "count": "Int32", "start_us": "Int64", "last_us": "Int64",
+}
 _TRACKS = (
     "tag string, track_id string, left double, top double, width double, height double, "
     "start_us long, last_us long, age int"
@@ -139,10 +143,9 @@ class CameraProcessor(StatefulProcessor):
             ages = self._track(base, tracks, valid, int(head.interval_s), out)
             show = self._publish(base, head.publish, ages, counts, show, out)
         self._store(tracks, present, counts, last, show)
-        yield pd.DataFrame(out, columns=_COLUMNS).astype(
-            {"det_no": "Int32", "age": "Int32", "count": "Int32", "start_us": "Int64",
-             "last_us": "Int64", "is_new": "boolean"}
-        )
+        d = pd.DataFrame(out, columns=_COLUMNS).astype(_PANDAS_TYPES)
+        # A text column without any text would be taken for numbers.
+        yield d.assign(track_id=d["track_id"].where(d["track_id"].notna(), None))
 
     def _load_tracks(self) -> list[Track]:
         tracks = []
