@@ -65,12 +65,11 @@ def count_changes_stream(counts: DataFrame) -> DataFrame:
     return _only_changes(counts, ["cam", "tag"], "count", "long")
 
 
-def drop_late(frames: DataFrame, delay: str = "5 minutes") -> DataFrame:
-    """Set the watermark and drop what was already older than it when it arrived.
+def drop_old(frames: DataFrame, max_age: str = "5 minutes", arrival: str | None = None) -> DataFrame:
+    """Drop frames that were already too old when they arrived.
 
-    The watermark itself only bounds state; files older than the limit at arrival are
-    filtered by the reader.
+    `arrival` names the column with the time of arrival; without it the time of the
+    micro-batch counts.
     """
-    return frames.withColumn("frame_ts", F.col("frame_ts").cast("timestamp")).withWatermark(
-        "frame_ts", delay
-    )
+    now = F.col(arrival) if arrival else F.current_timestamp()
+    return frames.filter(F.col("frame_ts") >= now - F.expr(f"interval {max_age}"))
