@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,15 @@ def first_of(array: Column) -> Column:
     return F.get(array, F.lit(0))
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """`fn(value)` with `value` computed once per row, however often `fn` uses it.
+
+    Array functions are not compiled together with their surroundings, and the optimizer may
+    copy a column's expression to every place that reads it.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def with_lookup(
     df: DataFrame, dim: DataFrame, key: str, value: str, default=None, out: str | None = None
 ) -> DataFrame:

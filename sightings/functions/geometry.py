@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightings.functions.columns import as_column, first_of
+from sightings.functions.columns import as_column, first_of, let
 
 # Anchor sizes (width, height) of the grid model, in grid cells.
 ANCHORS = [(0.573, 0.677), (1.87, 2.06), (3.34, 5.47), (7.88, 3.53), (9.77, 9.17)]
@@ -235,13 +235,21 @@ def decode_grid(
             "_cy": (sigmoid(F.get(v, F.lit(1))) + F.col("row")) / rows,
             "_w": F.exp(F.get(v, F.lit(2))) * F.get(size, F.lit(0)) / cols,
             "_h": F.exp(F.get(v, F.lit(3))) * F.get(size, F.lit(1)) / rows,
-            "_obj": sigmoid(F.get(v, F.lit(4))),
-            "_logits": F.slice(v, F.lit(6), F.greatest(F.size(v) - 5, F.lit(0))),
         }
     )
-    d = d.withColumn("_peak", F.array_max("_logits"))
-    d = d.withColumn("_exp", F.transform("_logits", lambda x: F.exp(x - F.col("_peak"))))
-    d = d.withColumn("_sum", F.aggregate("_exp", F.lit(0.0), lambda acc, x: acc + x))
+    logits = F.slice(v, F.lit(6), F.greatest(F.size(v) - 5, F.lit(0)))
+    powers = let(
+        F.struct(logits.alias("x"), F.array_max(logits).alias("peak")),
+        lambda s: F.transform(s["x"], lambda x: F.exp(x - s["peak"])),
+    )
+    share = sigmoid(F.get(v, F.lit(4)))
+    probs = let(
+        powers,
+        lambda e: let(
+            share / F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x),
+            lambda k: F.transform(e, lambda x: x * k),
+        ),
+    )
     return d.select(
         "frame_id",
         "row",
@@ -250,5 +258,5 @@ def decode_grid(
         make_box(
             F.col("_cx") - F.col("_w") / 2, F.col("_cy") - F.col("_h") / 2, F.col("_w"), F.col("_h")
         ).alias("box"),
-        F.transform("_exp", lambda x: x / F.col("_sum") * F.col("_obj")).alias("probs"),
+        probs.alias("probs"),
     )
