@@ -450,6 +450,117 @@ _BOXES = """frame_id, model, det_no, box_no, tag_id, round(conf, 6) as prob,
     round(round(x1, 8), 6) as left, round(round(y1, 8), 6) as top,
     round(round(x2 - x1, 8), 6) as width, round(round(y2 - y1, 8), 6) as height"""
 
+_TRACK_TYPE = (
+    "struct(f bigint, d int, st bigint, l double, t double, w double, h double, last bigint,"
+    " age int, fa int, fl double, ft double, fw double, fh double)[]"
+)
+_OUT_TYPE = "struct(f bigint, d int, tf bigint, td int, st bigint, iou double, age int)[]"
+
+
+def _tracker() -> str:
+    """The tracker as a fold over the detections of each camera and tag."""
+    iou = _iou("k.l", "k.t", "k.w", "k.h", "x.l", "x.t", "x.w", "x.h")
+    last = iou.replace("k.", "hit[-1].")
+    gone = "x.prev > k.last + least(60 + k.age * x.iv, 3600) * 1000000"
+    same = lambda new, old: f"case when k.f = x.f then {new} else {old} end"
+    moved = (
+        "{'f': k.f, 'd': k.d, 'st': k.st, 'l': x.l, 't': x.t, 'w': x.w, 'h': x.h,"
+        " 'last': x.now, 'age': cast(k.age + 1 as int),"
+        f" 'fa': cast({same('k.age + 1', 'k.fa')} as int), 'fl': {same('x.l', 'k.fl')},"
+        f" 'ft': {same('x.t', 'k.ft')}, 'fw': {same('x.w', 'k.fw')},"
+        f" 'fh': {same('x.h', 'k.fh')}}}"
+    )
+    born = (
+        "{'f': x.f, 'd': x.d, 'st': x.now, 'l': x.l, 't': x.t, 'w': x.w, 'h': x.h,"
+        " 'last': x.now, 'age': 0::int, 'fa': 0::int, 'fl': x.l, 'ft': x.t, 'fw': x.w,"
+        " 'fh': x.h}"
+    )
+    return f"""
+        select cam, tag, list_reduce(dets, lambda s, x:
+          list_transform([list_filter(s.tr, lambda k: not ({gone}))], lambda live:
+            list_transform([list_filter(live, lambda k: {iou} > 0.5)], lambda hit: {{
+              'tr': case when len(hit) = 0 then list_append(live, {born})
+                    else list_transform(live, lambda k:
+                      case when {iou} > 0.5 then {moved} else k end) end,
+              'gone': list_concat(s.gone, list_filter(s.tr, lambda k: {gone})),
+              'out': case when len(hit) = 0 then s.out else list_append(s.out,
+                 {{'f': x.f, 'd': x.d, 'tf': hit[-1].f, 'td': hit[-1].d, 'st': hit[-1].st,
+                   'iou': {last}, 'age': cast(hit[-1].age + 1 as int)}}) end
+            }})[1])[1],
+          {{'tr': cast([] as {_TRACK_TYPE}), 'gone': cast([] as {_TRACK_TYPE}),
+            'out': cast([] as {_OUT_TYPE})}}) as s
+        from (select v.cam, v.tag, list({{'f': v.frame_id, 'd': v.det_no,
+                'now': epoch_us(v.out_ts), 'prev': coalesce(epoch_us(p.prev_ts), -1),
+                'l': v.l, 't': v.t, 'w': v.w, 'h': v.h, 'iv': c.interval_s}}
+                order by v.out_ts, v.frame_no, v.det_no) as dets
+              from valid v join cams c on c.cam = v.cam
+              join (select frame_id, lag(out_ts) over (partition by cam
+                      order by out_ts, frame_no) as prev_ts from frm) p
+                on p.frame_id = v.frame_id
+              group by v.cam, v.tag)"""
+
+
+def _suppress() -> str:
+    """Suppression that zeroes one class at a time, as 20 rounds over a frame's candidates."""
+    iou = _iou("a[1]", "a[2]", "a[3]", "a[4]", "c[1]", "c[2]", "c[3]", "c[4]")
+    tops = "list_transform(s.p, lambda q: list_max(q))"
+    return f"""
+        select frame_id, unnest(list_reduce(range(20), lambda s, r:
+          list_transform([list_max({tops})], lambda top:
+            case when top < 0.1 or len(s.out) >= len(s.p) then s else
+              list_transform([list_position({tops}, top)], lambda i:
+                list_transform([list_position(s.p[i], top)], lambda kind: {{
+                  'p': list_transform(s.p, lambda q, j: list_transform([s.b[i]], lambda a:
+                         list_transform([s.b[j]], lambda c:
+                           case when j = i or {iou} > 0.45
+                             then list_transform(q, lambda v, n: case when n = kind then 0.0::double
+                                                                 else v end)
+                             else q end)[1])[1]),
+                  'b': s.b,
+                  'out': list_append(s.out, {{'i': i::bigint, 'kind': kind::bigint, 'v': top,
+                                              'n': len(s.out)::bigint}}) }})[1])[1] end)[1],
+          {{'p': p, 'b': b,
+            'out': cast([] as struct(i bigint, kind bigint, v double, n bigint)[])}}).out) as o,
+          nos, b
+        from (select frame_id, list(no order by top desc, no) as nos,
+                     list(p order by top desc, no) as p, list(b order by top desc, no) as b
+              from (select frame_id, row * 100 + col * 10 + anchor as no,
+                      [bx - bw / 2, bym - bh / 2, bw, bh] as b,
+                      [e0 / ez * ob, e1 / ez * ob, e2 / ez * ob, e3 / ez * ob] as p,
+                      greatest(e0, e1, e2, e3) / ez * ob as top
+                    from (select *, e0 + e1 + e2 + e3 as ez from gdec2))
+              where top > 0.1 group by frame_id)"""
+
+
+def _decode(grid: str) -> str:
+    return f"""
+        select g.*, (sx + g.col) / 13 as bx, (sy + g.row) / 13 as bym, ew * aw / 13 as bw,
+               eh * ah / 13 as bh, exp(v5 - m) as e0, exp(v6 - m) as e1, exp(v7 - m) as e2,
+               exp(v8 - m) as e3
+        from (select *, 1 / (1 + exp(-v0)) as sx, 1 / (1 + exp(-v1)) as sy,
+                1 / (1 + exp(-v4)) as ob, exp(v2) as ew, exp(v3) as eh,
+                greatest(v5, v6, v7, v8) as m from {grid}) g
+        join anch a on a.anchor = g.anchor"""
+
+
+CTES["gdec"] = _decode("grid")
+CTES["grid2"] = """
+        select * exclude (row, col), cast(frame_id % 2 as int) as row, det_no % 2 as col
+        from grid"""
+CTES["gdec2"] = _decode("grid2")
+CTES["supp"] = _suppress()
+CTES["tfold"] = _tracker()
+CTES["trk"] = """
+        select cam, tag, unnest(list_concat(s.tr, s.gone), recursive := true) from tfold"""
+CTES["tout"] = "select cam, tag, unnest(s.out, recursive := true) from tfold"
+CTES["tdep"] = """
+        select t.*, f.out_ts as departed_ts
+        from (select k.cam, k.tag, k.f, k.d, make_timestamp(k.st) as start_ts,
+                make_timestamp(k.last) as last_ts, k.age,
+                make_timestamp(k.last + least(60 + k.age * c.interval_s, 3600)::bigint * 1000000)
+                  as deadline
+              from trk k join cams c on c.cam = k.cam) t
+        asof left join frm f on t.cam = f.cam and t.deadline < f.out_ts"""
 CTES["nms"] = _nms(False)
 CTES["nms_min"] = _nms(True)
 
@@ -553,6 +664,11 @@ ORACLE: dict[str, str] = {
         left join sounds_t s on s.tag = d.tag""",
     "a1_nms": f"select {_BOXES} from nms",
     "a1_nms_min_mode": f"select {_BOXES} from nms_min",
+    "a2_nms_suppress": """
+        select frame_id, cast(o.n as int) as det_no, cast(nos[o.i] as int) as box_no,
+               cast(o.kind - 1 as int) as tag_id, round(o.v, 8) as prob,
+               round(b[o.i][1], 8) as left, round(b[o.i][2], 8) as top,
+               round(b[o.i][3], 8) as width, round(b[o.i][4], 8) as height from supp""",
     "a3_tag_counts": "select cam, frame_id, frame_ts, tag, count from counts",
     "a4_show_flag": 'select cam, frame_id, show_count, "show" from shows',
     "a5_object_sets": """
@@ -668,18 +784,12 @@ ORACLE: dict[str, str] = {
         left join (select cam, count(*) as k, sum(x + y) as s from road_pts group by cam) p
           on p.cam = c.cam""",
     "x7_decode_grid": """
-        with g as (select *, 1 / (1 + exp(-v0)) as sx, 1 / (1 + exp(-v1)) as sy,
-                     1 / (1 + exp(-v4)) as ob, exp(v2) as ew, exp(v3) as eh,
-                     greatest(v5, v6, v7, v8) as m from grid),
-        k as (select g.*, (sx + g.col) / 13 as bx, (sy + g.row) / 13 as bym, ew * aw / 13 as bw,
-                eh * ah / 13 as bh, exp(v5 - m) as e0, exp(v6 - m) as e1, exp(v7 - m) as e2,
-                exp(v8 - m) as e3 from g join anch a on a.anchor = g.anchor)
         select frame_id, row, col, anchor, round(bx - bw / 2, 6) as left,
                round(bym - bh / 2, 6) as top, round(bw, 6) as width, round(bh, 6) as height,
                round(e0 / (e0 + e1 + e2 + e3) * ob, 6) as p0,
                round(e1 / (e0 + e1 + e2 + e3) * ob, 6) as p1,
                round(e2 / (e0 + e1 + e2 + e3) * ob, 6) as p2,
-               round(e3 / (e0 + e1 + e2 + e3) * ob, 6) as p3 from k""",
+               round(e3 / (e0 + e1 + e2 + e3) * ob, 6) as p3 from gdec""",
     "x8_corner_box": """
         select frame_id, model, box_no, round(round(x1, 8), 6) as left,
                round(round(y1, 8), 6) as top, round(round(x2 - x1, 8), 6) as width,
@@ -735,6 +845,31 @@ ORACLE: dict[str, str] = {
           strftime(frame_ts, '%H%M%S') || '-' || replace(cam, ' ', '_') || '-'
             || array_to_string(tags, '_') || '-prior' as prior_name from sets""",
     "l3_vehicle_phrases": "select response_id, pos, plate, phrase from phr",
+    "t1_track": """
+        select k.f as frame_id, k.cam, k.d as det_no, k.tag, k.fl as left, k.ft as top,
+               k.fw as width, k.fh as height, k.cam || '|' || k.tag || '|' || k.f || '|' || k.d
+                 as track_id,
+               null::double as iou, k.fa as age, true as is_new, make_timestamp(k.st) as start_ts
+        from trk k
+        union all
+        select o.f, o.cam, o.d, o.tag, v.l, v.t, v.w, v.h,
+               o.cam || '|' || o.tag || '|' || o.tf || '|' || o.td, round(o.iou, 6), o.age, false,
+               make_timestamp(o.st)
+        from tout o join valid v on v.frame_id = o.f and v.det_no = o.d""",
+    "t2_departures": """
+        select cam, tag, cam || '|' || tag || '|' || f || '|' || d as track_id, start_ts, last_ts,
+               age, departed_ts from tdep""",
+    "t3_departure_alerts": """
+        with x as (select *, (epoch_us(departed_ts) - epoch_us(start_ts)) // 1000000 as s
+                   from tdep)
+        select cam || '|' || tag || '|' || f || '|' || d as track_id, departed_ts,
+          tag || ' departed from ' || cam || ' after being seen ' || age
+          || ' times over the past ' || case
+            when s < 3600 then case when s // 60 = 1 then 'minute' else s // 60 || ' minutes' end
+            when s < 86400 then case when s // 3600 = 1 then 'an hour'
+                                     else s // 3600 || ' hours' end
+            else case when s // 86400 = 1 then 'a day' else s // 86400 || ' days' end end as msg
+        from x where s > 120 and age > 4""",
     "p0_known_detections": "select frame_id, det_no, tag, priority from sc where not scored",
     "p1_scores": "select frame_id, det_no, tag, priority, priority_type, scored from sc",
     "p1b_scores_all_new": "select frame_id, det_no, tag, priority, priority_type, scored from scn",

@@ -292,7 +292,11 @@ def a2_nms_suppress(spark, sf):
     )
     grid = geometry.decode_grid(cells, grid=(13, 13))
     raw = grid.withColumn("box_no", (F.col("row") * 100 + F.col("col") * 10 + F.col("anchor")))
-    return _boxes(postprocess.nms_suppress(raw))
+    b = F.col("box")
+    return postprocess.nms_suppress(raw).select(
+        "frame_id", "det_no", "box_no", "tag_id", "prob",
+        *[b[c].alias(c) for c in ("left", "top", "width", "height")],
+    )
 
 
 def _counts(spark, sf):
