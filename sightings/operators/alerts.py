@@ -210,21 +210,15 @@ def frame_priority(scored: DataFrame, context: DataFrame, states: DataFrame) ->
 
 
 def frame_sound(scored: DataFrame, sounds: DataFrame) -> DataFrame:
-    """Sound of a frame: that of the last scored detection that has one."""
-    tagged = sounds.filter("tag <> 'departed'").select(
-        F.col("tag").alias("_stag"), F.col("sound").alias("_sound")
-    )
-    leaving = sounds.filter("tag = 'departed'").select(F.col("sound").alias("_leaving"))
-    d = scored.join(tagged, F.col("tag") == F.col("_stag"), "left")
-    d = d.withColumn("_key", F.lit("departed")).join(
-        leaving.withColumn("_key", F.lit("departed")), "_key", "left"
-    )
-    sound = F.when(
-        F.col("scored"),
-        F.when(F.coalesce(F.col("departed"), F.lit(False)), F.col("_leaving")).otherwise(
-            F.col("_sound")
-        ),
-    )
+    """Sound of a frame: that of the last scored detection that has one.
+
+    sounds: tag and sound; the entry `departed` stands for any tag that is leaving.
+    """
+    named = sounds.select(F.col("tag").alias("_stag"), F.col("sound").alias("_sound"))
+    leaving = F.coalesce(F.col("departed"), F.lit(False))
+    key = F.when(leaving, F.lit("departed")).otherwise(F.col("tag"))
+    d = scored.join(named, key == F.col("_stag"), "left")
+    sound = F.when(F.col("scored"), F.col("_sound"))
     last = F.max_by(sound, F.when(sound.isNotNull(), F.col("det_no")))
     return d.groupBy("frame_id").agg(
         F.coalesce(last, F.lit(DEFAULT_SOUND)).alias("sound")

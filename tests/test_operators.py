@@ -273,3 +273,36 @@ def test_alpr_bodies(spark):
         0: (["A", "B"], "Vehicle with plate A, B", 4), 1: ([], "", 1), 2: ([], "", 1),
         3: ([], "", 0), 4: ([], "", 0), 5: ([], "", 0),
     }
+
+
+def test_sounds_and_priorities_of_departures(spark):
+    from sightings.operators import alerts
+
+    det = spark.createDataFrame(
+        [
+            (1, "deck", 0, "dog", 0.9, False, None),
+            (1, "deck", 1, "cat", 0.9, False, None),
+            (2, "deck", 0, "dog", 0.9, True, None),
+            (3, "deck", 0, "dog", 0.9, True, 1),
+            (3, "deck", 1, "cat", 0.9, True, -2),
+            (4, "deck", 0, "fox", 0.9, False, None),
+        ],
+        "frame_id long, cam string, det_no int, tag string, prob double, departed boolean,"
+        " prior_priority int",
+    ).selectExpr(
+        "*", "timestamp'2024-01-01 12:00:00' as frame_ts", "cast(null as double) as iou",
+        "cast(null as string) as ignore", "5 as age",
+    )
+    states = spark.range(1, 5).selectExpr(
+        "id as frame_id", "'home' as mode", "'on' as vehicle_detector",
+        "'on' as person_detector", "'outside' as dog_status",
+    )
+    priorities = spark.sql("select * from values ('home','cat',-2), (null,'dog',-1) as t(mode,tag,priority)")
+    sounds = spark.sql("select * from values ('dog','bark'), ('departed','falling') as t(tag,sound)")
+    context = alerts.frame_context(det)
+    s = alerts.score_detections(det, context, states, priorities)
+    p = {r.frame_id: r.priority for r in alerts.frame_priority(s, context, states).collect()}
+    n = {r.frame_id: r.sound for r in alerts.frame_sound(s, sounds).collect()}
+    # Known priorities are kept; with nothing scored, the last detection decides.
+    assert p == {1: -1, 2: -1, 3: -2, 4: 1}
+    assert n == {1: "bark", 2: "falling", 3: "pushover", 4: "pushover"}

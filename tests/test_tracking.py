@@ -26,10 +26,9 @@ def tables(spark, frames, dets, interval):
 @pytest.mark.parametrize(
     "seed, slice_s, kw",
     [
-        (1, 21_600, {}),
-        (2, 600, {}),
-        (3, 1800, {"outage": 0.03, "gap": (20, 400)}),
-        (4, 300, {"n": 700, "outage": 0.0, "empty": 0.05}),
+        (1, 21_600, {"n": 250}),
+        (2, 3600, {"n": 200, "cams": 2}),
+        (3, 3600, {"n": 150, "cams": 3, "outage": 0.03, "gap": (20, 400)}),
     ],
 )
 def test_batch_equals_model(spark, seed, slice_s, kw):
