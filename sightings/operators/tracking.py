@@ -24,11 +24,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightings.functions.geometry import make_box
 from sightings.functions.text import departure_text
 from sightings.functions.timing import HOUR, epoch_us, time_bucket
 from sightings.operators.filters import link_frames
 from sightings.operators.ordered import as_of
-from sightings.schema import BOX
 from sightings.session import cut
 
 # Overlap that links, lifetime (s) at age 0 and at most, and the rule for
@@ -54,12 +54,13 @@ _NEVER = -(2**62)
 _FOLD = (
     "cam string, tag string, piece long, kind string, frame_id long, det_no int, "
     "birth_frame long, birth_det int, birth_us long, slot int, to_slot int, is_rep boolean, "
-    f"age int, iou double, is_new boolean, last_us long, box {BOX}, "
+    "age int, iou double, is_new boolean, last_us long, "
+    "left double, top double, width double, height double, "
     f"start_state {_STATE}, end_state {_STATE}"
 )
 _FOLD_COLS = (
     "cam tag piece kind frame_id det_no birth_frame birth_det birth_us slot to_slot is_rep "
-    "age iou is_new last_us box start_state end_state"
+    "age iou is_new last_us left top width height start_state end_state"
 ).split()
 
 
@@ -109,6 +110,9 @@ def match(tracks: list[Track], box: tuple, now: int) -> tuple[Track | None, floa
     return last, iou
 
 
+_NO_BIRTH, _NO_BOX = (None,) * 3, (None,) * 4
+
+
 class _Piece:
     """Fold of one piece; rows are appended to `out` in the order of `_FOLD_COLS`."""
 
@@ -120,11 +124,15 @@ class _Piece:
         self.newborn: list[tuple] = []
         self.frame = None
 
-    def row(self, kind, **v):
-        base = dict.fromkeys(_FOLD_COLS)
-        base.update(zip(PIECE, self.key))
-        base.update(kind=kind, **v)
-        self.out.append(base)
+    def row(
+        self, kind, frame_id=None, det_no=None, birth=_NO_BIRTH, slot=None, to_slot=None,
+        is_rep=None, age=None, iou=None, is_new=None, last_us=None, box=_NO_BOX,
+        start_state=None, end_state=None,
+    ):
+        self.out.append((
+            *self.key, kind, frame_id, det_no, *birth, slot, to_slot, is_rep, age, iou, is_new,
+            last_us, *box, start_state, end_state,
+        ))
 
     def begin(self, state):
         self.start = state
@@ -136,19 +144,13 @@ class _Piece:
         if t.slot is not None:
             self.row("cross", slot=t.slot, age=t.seen, last_us=t.last)
         else:
-            f, d, us = t.birth
-            self.row(
-                "done", birth_frame=f, birth_det=d, birth_us=us, age=t.age, last_us=t.last
-            )
+            self.row("done", birth=t.birth, age=t.age, last_us=t.last)
 
     def flush_newborn(self):
         """A newborn is reported as it stands at the end of its frame."""
         for t in self.newborn:
-            f, d, us = t.birth
-            self.row(
-                "det", frame_id=f, det_no=d, birth_frame=f, birth_det=d, birth_us=us,
-                age=t.age, is_new=True, box=_as_box(t.box),
-            )
+            f, d, _ = t.birth
+            self.row("det", f, d, t.birth, age=t.age, is_new=True, box=t.box)
         self.newborn = []
 
     def see(self, frame_id, det_no, now, prev, interval, box):
@@ -169,14 +171,11 @@ class _Piece:
             self.newborn.append(t)
         elif t.slot is not None:
             self.row(
-                "det", frame_id=frame_id, det_no=det_no, slot=t.slot, age=t.seen, iou=iou,
-                is_new=False, box=_as_box(box),
+                "det", frame_id, det_no, slot=t.slot, age=t.seen, iou=iou, is_new=False, box=box
             )
         else:
-            f, d, us = t.birth
             self.row(
-                "det", frame_id=frame_id, det_no=det_no, birth_frame=f, birth_det=d,
-                birth_us=us, age=t.age, iou=iou, is_new=False, box=_as_box(box),
+                "det", frame_id, det_no, t.birth, age=t.age, iou=iou, is_new=False, box=box
             )
 
     def finish(self):
@@ -192,8 +191,7 @@ class _Piece:
             if t.slot is not None:
                 self.row("cross", slot=t.slot, age=t.seen, **v)
             else:
-                f, d, us = t.birth
-                self.row("cross", birth_frame=f, birth_det=d, birth_us=us, age=t.age, **v)
+                self.row("cross", birth=t.birth, age=t.age, **v)
         self.row(
             "end",
             start_state=self.start,
@@ -201,10 +199,6 @@ class _Piece:
         )
 
 
-def _as_box(b):
-    return {"left": b[0], "top": b[1], "width": b[2], "height": b[3]}
-
-
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Fold a stream of pieces, each a header row and then its detections in order."""
     piece, out = None, []
@@ -475,8 +469,9 @@ def track_all(
         F.col("age").alias("_age"),
     )
     det = rows.filter("kind = 'det'")
+    box = make_box(*[F.col(c) for c in ("left", "top", "width", "height")])
     local = det.filter("slot is null").select(
-        "frame_id", "det_no", "iou", "age", "is_new", "box",
+        "frame_id", "det_no", "iou", "age", "is_new", box.alias("box"),
         track_id(F.col("birth_frame"), F.col("birth_det")).alias("track_id"),
         F.col("birth_us").alias("start_us"),
     )
@@ -486,7 +481,7 @@ def track_all(
         .join(slots, [*PIECE, "slot"])
         .select(
             "frame_id", "det_no", "iou", (F.col("age") + F.col("_age")).alias("age"), "is_new",
-            "box", track_id(F.col("_f"), F.col("_d")).alias("track_id"),
+            box.alias("box"), track_id(F.col("_f"), F.col("_d")).alias("track_id"),
             F.col("_us").alias("start_us"),
         )
     )

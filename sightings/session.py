@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,8 +51,17 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder, so that a lost executor does not replay it."""
+    """Write `df` to the checkpoint folder and read it back.
+
+    A lost executor then replays no more than the step at hand, later steps read only the
+    columns they need, and the planner knows the real size of the table.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
-    return df.checkpoint(eager=True)
+    root = spark.sparkContext.getCheckpointDir()
+    if root is None:
+        root = checkpoint_root(spark)
+        spark.sparkContext.setCheckpointDir(root)
+        root = spark.sparkContext.getCheckpointDir() or root
+    path = f"{root}/sightings/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
