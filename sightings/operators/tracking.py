@@ -29,7 +29,7 @@ from sightings.functions.text import departure_text
 from sightings.functions.timing import HOUR, epoch_us, time_bucket
 from sightings.operators.filters import link_frames
 from sightings.operators.ordered import as_of
-from sightings.session import cut
+from sightings.session import cut, settle
 
 # Overlap that links, lifetime (s) at age 0 and at most, and the rule for
 # telling of a departure (seen for longer than, seen more often than).
@@ -305,9 +305,11 @@ def fold_archive(
 ) -> tuple[DataFrame, DataFrame]:
     """Exact fold of all pieces. Returns (fold rows, piece summary)."""
     dets = cut(_prepare(df, frames, cameras, slice_s))
-    heads = dets.groupBy(*PIECE).agg(
-        F.min_by("prev_us", F.struct("rank_us", "frame_no", "det_no")).alias("first_prev_us"),
-        F.first("interval_s").alias("interval_s"),
+    heads = settle(
+        dets.groupBy(*PIECE).agg(
+            F.min_by("prev_us", F.struct("rank_us", "frame_no", "det_no")).alias("first_prev_us"),
+            F.first("interval_s").alias("interval_s"),
+        )
     )
     versions = [cut(_run_fold(dets, None))]
     redone: list[DataFrame] = []
@@ -318,7 +320,7 @@ def fold_archive(
         .join(heads, PIECE)
     )
     while True:
-        entering = cut(_start_states(ends))
+        entering = settle(_start_states(ends))
         stale = entering.filter(F.col("state") != F.col("start_state")).select(*PIECE, "state")
         if stale.isEmpty():
             break
