@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightings.functions.geometry import corner_box, make_box
+from sightings.session import ship
 
 # Fixed values of the two models: confidence, overlap and detections per frame.
 CONFIDENCE, OVERLAP = 0.4, 0.6
@@ -114,6 +115,7 @@ def nms_suppress(
     raw: frame_id, box_no, box, probs. Boxes are gathered per frame (one frame's candidates),
     and a batch of frames goes to Python at a time.
     """
+    ship(raw.sparkSession)
     box = F.col("box")
     item = F.struct(
         (-F.array_max("probs")).alias("rank"),

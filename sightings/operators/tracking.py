@@ -29,7 +29,7 @@ from sightings.functions.text import departure_text
 from sightings.functions.timing import HOUR, epoch_us, time_bucket
 from sightings.operators.filters import link_frames
 from sightings.operators.ordered import as_of
-from sightings.session import cut, settle
+from sightings.session import cut, settle, ship
 
 # Overlap that links, lifetime (s) at age 0 and at most, and the rule for
 # telling of a departure (seen for longer than, seen more often than).
@@ -304,6 +304,7 @@ def fold_archive(
     df: DataFrame, frames: DataFrame, cameras: DataFrame, slice_s: int = 6 * HOUR
 ) -> tuple[DataFrame, DataFrame]:
     """Exact fold of all pieces. Returns (fold rows, piece summary)."""
+    ship(df.sparkSession)
     dets = cut(_prepare(df, frames, cameras, slice_s))
     heads = settle(
         dets.groupBy(*PIECE).agg(

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from sightings.session import ship
+
 
 class _Changed(StatefulProcessor):
     """Passes a row on when its value differs from the key's last one, in order of time.
@@ -47,6 +49,7 @@ class _Changed(StatefulProcessor):
 
 
 def _only_changes(df: DataFrame, keys: list[str], value: str, value_type: str) -> DataFrame:
+    ship(df.sparkSession)
     return df.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=_Changed(value, value_type),
         outputStructType=df.schema,

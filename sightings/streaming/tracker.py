@@ -26,6 +26,7 @@ from sightings.operators.filters import (
 from sightings.operators.tracking import Track, lifetime, match
 from sightings.operators.zones import apply_exclusions
 from sightings.schema import BOX
+from sightings.session import ship
 
 FRAME_STREAM = (
     "frame_id long, cam string, frame_no long, frame_ts timestamp, "
@@ -217,6 +218,7 @@ class CameraProcessor(StatefulProcessor):
 
 def track_stream(prepared: DataFrame, hysteresis: bool = True) -> DataFrame:
     """Tracked detections, departures, count changes and late rows of a prepared stream."""
+    ship(prepared.sparkSession)
     return prepared.groupBy("cam").transformWithStateInPandas(
         statefulProcessor=CameraProcessor(hysteresis),
         outputStructType=OUTPUT,
