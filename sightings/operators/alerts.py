@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightings.functions.text import location_message, sighting_name
+from sightings.functions.text import location_message, review_link, sighting_name
 from sightings.functions.timing import is_small_hours
 from sightings.operators.changes import NO_PRIORITY, SILENT_PRIORITY, throttle
 from sightings.operators.reports import NO_AGE
@@ -225,11 +225,85 @@ def frame_sound(scored: DataFrame, sounds: DataFrame) -> DataFrame:
     )
 
 
+def alert_gate(tracked: DataFrame, warm: DataFrame) -> DataFrame:
+    """frame_id of the frames that alert: with a new object, and past the camera's warm-up.
+
+    warm: frame_id and warm (`warmed_up`, which lets all pass with `once`).
+    """
+    new = tracked.filter("is_new").select("frame_id").distinct()
+    return new.join(warm.filter("warm").select("frame_id"), "frame_id", "left_semi")
+
+
+def departing(
+    departures: DataFrame, tracked: DataFrame, scored: DataFrame, gate: DataFrame
+) -> DataFrame:
+    """Departures worth telling, as detections of the frame in which they are noticed.
+
+    A track's priority is what its first sighting was scored, if that frame alerted; a track
+    first seen during warm-up has none and is scored now. Of one frame, tracks come in the order
+    in which their tag was first seen by the camera, then by birth.
+    """
+    first = scored.filter("is_new").join(
+        gate.select("frame_id", F.lit(True).alias("_told")), "frame_id", "left"
+    )
+    first = first.select(
+        "track_id", "prob", "frame_no", F.col("det_no").alias("_birth"),
+        F.when(F.col("_told"), F.col("priority")).alias("prior_priority"),
+    )
+    place = F.struct("frame_ts", "frame_no", "det_no")
+    tags = tracked.groupBy("cam", "tag").agg(F.min(place).alias("_tag_from"))
+    d = departures.filter(F.col("notify") & F.col("departed_frame").isNotNull())
+    d = d.join(first, "track_id").join(tags, ["cam", "tag"])
+    line = Window.partitionBy("departed_frame").orderBy("_tag_from", "start_ts", "frame_no", "_birth")
+    return d.select(
+        F.col("departed_frame").alias("frame_id"),
+        "cam",
+        F.col("departed_ts").alias("frame_ts"),
+        (F.row_number().over(line) - 1).cast("int").alias("det_no"),
+        "tag",
+        "prob",
+        "age",
+        "track_id",
+        "msg",
+        F.lit(None).cast("double").alias("iou"),
+        F.lit(None).cast("string").alias("ignore"),
+        F.lit(True).alias("departed"),
+        "prior_priority",
+    )
+
+
+def departure_alerts(
+    leaving: DataFrame, states: DataFrame, priorities: DataFrame, sounds: DataFrame
+) -> DataFrame:
+    """One row per frame that tells of departures (`departing`): texts, priority, sound, push.
+
+    Not subject to warm-up. With nothing to score, the priority is that of the last track.
+    """
+    context = frame_context(leaving)
+    scored = score_detections(leaving, context, states, priorities)
+    told = F.array_sort(F.collect_list(F.struct("det_no", "msg", "tag")))
+    rows = leaving.groupBy("frame_id", "cam", "frame_ts").agg(told.alias("_told"))
+    quiet = F.coalesce(F.col("vacation_mode") == "off", F.lit(False))
+    return (
+        rows.join(frame_priority(scored, context, states), "frame_id")
+        .join(frame_sound(scored, sounds), "frame_id")
+        .join(states.select("frame_id", "vacation_mode"), "frame_id", "left")
+        .select(
+            "cam", "frame_id", "frame_ts",
+            F.array_join(F.transform("_told", lambda x: x["msg"]), ", ").alias("message"),
+            F.array_sort(F.array_distinct(F.transform("_told", lambda x: x["tag"]))).alias("tags"),
+            "priority", "sound",
+            ((F.col("priority") >= SILENT_PRIORITY) & quiet).alias("push"),
+        )
+    )
+
+
 def frame_alerts(
-    scored: DataFrame, context: DataFrame, states: DataFrame, sounds: DataFrame
+    scored: DataFrame, context: DataFrame, states: DataFrame, sounds: DataFrame, gate: DataFrame
 ) -> DataFrame:
-    """One row per frame that alerts: its message, priority, sound, and whether it is pushed."""
-    tags = scored.groupBy("frame_id", "cam", "frame_no", "frame_ts").agg(
+    """One row per frame that alerts (`alert_gate`): message, tags, priority, sound, push."""
+    told = scored.join(gate.select("frame_id"), "frame_id", "left_semi")
+    tags = told.groupBy("frame_id", "cam", "frame_no", "frame_ts").agg(
         F.collect_set("tag").alias("_tags")
     )
     quiet = F.coalesce(F.col("vacation_mode") == "off", F.lit(False))
@@ -244,6 +318,7 @@ def frame_alerts(
             "frame_ts",
             "mode",
             location_message("_tags", "cam").alias("message"),
+            F.array_sort("_tags").alias("tags"),
             "priority",
             "sound",
             ((F.col("priority") >= SILENT_PRIORITY) & quiet).alias("push"),
@@ -251,8 +326,27 @@ def frame_alerts(
     )
 
 
-def pushes(alerts: DataFrame) -> DataFrame:
-    return alerts.filter("push")
+def with_plates(alerts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Alerts with a line per plate of the frame, in order, after the message.
+
+    phrases: frame_id, pos, plate, phrase (`plates.told_plates`), spoken or not.
+    """
+    item = F.struct("pos", "phrase", "plate")
+    lines = phrases.groupBy("frame_id").agg(F.array_sort(F.collect_list(item)).alias("_lines"))
+    text = F.array_join(
+        F.transform("_lines", lambda x: F.concat(F.lit("\n"), x["phrase"], F.lit(" "), x["plate"])), ""
+    )
+    d = alerts.join(lines, "frame_id", "left")
+    return d.withColumn("message", F.concat("message", F.coalesce(text, F.lit("")))).drop("_lines")
+
+
+def pushes(alerts: DataFrame, webhook: str | None = None, model: str = "color") -> DataFrame:
+    """Alerts that are pushed, each with its link for a review where a webhook is set."""
+    d = alerts.filter("push")
+    if webhook is None:
+        return d
+    file = F.concat(F.col("frame_id").cast("string"), F.lit(".jpg"))
+    return d.withColumn("url", review_link(F.lit(webhook), file, F.lit(model), F.col("cam"), F.col("tags")))
 
 
 def species_events(tracked: DataFrame, tags: list[str]) -> DataFrame:

@@ -160,6 +160,10 @@ def throttle(
 
 
 def drop_repeat_frames(frames: DataFrame) -> DataFrame:
-    """Drop a frame whose hash equals that of the camera's previous frame (A, B, A all stay)."""
+    """Drop a frame whose hash equals that of the camera's previous frame (A, B, A all stay).
+
+    A frame without a hash is no repeat, and none follows it.
+    """
     d = running(frames, ["cam"], FRAME_ORDER, {"_prior": lag("hash")})
-    return d.filter(~F.col("hash").eqNullSafe(F.col("_prior"))).drop("_prior")
+    repeats = F.coalesce(F.col("hash") == F.col("_prior"), F.lit(False))
+    return d.filter(~repeats).drop("_prior")

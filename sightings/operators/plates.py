@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightings.functions.columns import as_column
+from sightings.operators.alerts import NO_VEHICLE_CAMERAS
 
 # Characters of a plate; camera worded apart and the wording of both cases.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
@@ -119,11 +120,16 @@ def match_plates(
         F.col("plate").alias("known_plate"), "ord", normal_plate("plate").alias("_known")
     )
     block = lambda c: F.explode(deletion_keys(F.col(c), max_distance)).alias("_key")
-    near = (
+    met = (
         texts.select("_text", block("_text"))
-        .join(plates.select("known_plate", "ord", "_known", block("_known")), "_key")
-        .withColumn("distance", F.levenshtein("_text", "_known", max_distance))
+        .join(plates.select("_known", block("_known")).distinct(), "_key")
+        .select("_text", "_known")
+        .distinct()
+    )
+    near = (
+        met.withColumn("distance", F.levenshtein("_text", "_known", max_distance))
         .filter(F.col("distance") >= 0)
+        .join(plates, "_known")
     )
     best = near.groupBy("_text").agg(
         F.min(F.struct("distance", "ord", "known_plate")).alias("_best")
@@ -191,47 +197,49 @@ def vehicle_phrases(matches: DataFrame) -> DataFrame:
     return grouped.select("response_id", F.inline(done))
 
 
-def plate_announcements(
-    alerts: DataFrame, alpr: DataFrame, known: DataFrame, states: DataFrame
-) -> DataFrame:
-    """Spoken rows: one per announced plate of a frame with a visible vehicle.
+def told_plates(alerts: DataFrame, alpr: DataFrame, known: DataFrame) -> DataFrame:
+    """Phrase per plate not muted, of alerts with a visible vehicle: frame_id, cam, pos, plate, phrase.
 
-    alerts: frame_id, cam, visible_vehicles; alpr: frame_id, plates, count (`alpr_summary`);
-    states: frame_id, vehicle_detector, presence.
+    alerts: frame_id, cam, visible_vehicles; alpr: frame_id, plates, count (`alpr_summary`).
     """
     gate = (
         alerts.filter(F.col("visible_vehicles") > 0)
         .select("frame_id", "cam")
-        .join(states.select("frame_id", "vehicle_detector", "presence"), "frame_id")
-        .join(alpr.select("frame_id", "plates", "count"), "frame_id")
-        .filter(
-            (F.col("vehicle_detector") == "on")
-            & (F.col("presence") == "home")
-            & (F.col("count") >= 1)
-        )
+        .join(alpr.filter(F.col("count") >= 1).select("frame_id", "plates"), "frame_id")
     )
     reads = gate.select(
-        F.col("frame_id").alias("response_id"),
-        "cam",
-        F.posexplode("plates").alias("pos", "plate"),
+        F.col("frame_id").alias("response_id"), F.posexplode("plates").alias("pos", "plate")
     )
     told = known.select(
         F.col("plate").alias("known_plate"), "owner", "color", "make", "model", "announce"
     )
     matched = match_plates(reads, known).join(told, "known_plate", "left")
+    phrases = vehicle_phrases(matched).withColumnRenamed("response_id", "frame_id")
+    return phrases.join(gate.select("frame_id", "cam"), "frame_id").select(
+        "frame_id", "cam", "pos", "plate", "phrase"
+    )
+
+
+def plate_announcements(
+    told: DataFrame, states: DataFrame, silent_cameras: list[str] = NO_VEHICLE_CAMERAS
+) -> DataFrame:
+    """Spoken rows of told plates: while vehicle alerts are on there and somebody is home.
+
+    told: `told_plates`; states: frame_id, vehicle_detector, presence. Cameras that never alert
+    for vehicles are silent too.
+    """
     place = F.when(F.col("cam") == NEAR_GARAGE_CAMERA, F.lit(NEAR_GARAGE)).otherwise(
         F.lit(IN_DRIVEWAY)
     )
     return (
-        vehicle_phrases(matched)
-        .withColumnRenamed("response_id", "frame_id")
-        .join(gate.select("frame_id", "cam"), "frame_id")
+        told.join(states.select("frame_id", "vehicle_detector", "presence"), "frame_id")
+        .filter(
+            (F.col("vehicle_detector") == "on")
+            & (F.col("presence") == "home")
+            & ~F.col("cam").isin(*silent_cameras)
+        )
         .select(
-            "frame_id",
-            "cam",
-            "pos",
-            "plate",
-            "phrase",
+            "frame_id", "cam", "pos", "plate", "phrase",
             F.concat_ws(" ", F.col("phrase"), place).alias("spoken"),
         )
     )

@@ -164,5 +164,6 @@ def nms_suppress(
 
 
 def with_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """Name of each class; boxes of an unknown class are an error upstream and are dropped."""
-    return df.join(labels.select("tag_id", "tag"), "tag_id")
+    """Name of each class; a box of an unknown class stays, with tag null and `unknown` set."""
+    d = df.join(labels.select("tag_id", "tag"), "tag_id", "left")
+    return d.withColumn("unknown", F.col("tag").isNull())

@@ -14,14 +14,14 @@ ICON_PREFIX = "mdi:"
 
 
 def tag_counts(
-    tracked: DataFrame, frames: DataFrame, cameras: DataFrame, use_age: bool = True
+    tracked: DataFrame, frames: DataFrame, cameras: DataFrame
 ) -> DataFrame:
     """Detections per frame and published tag of its camera, zeros included.
 
-    A package counts once its age is over 0 (unless `use_age` is off). Detections are first
+    A package counts once its age is over 0. Detections are first
     reduced to one row per frame and tag; blank tags are dropped.
     """
-    counted = (F.col("tag") != "package") | (F.col("age") > 0) if use_age else F.lit(True)
+    counted = (F.col("tag") != "package") | (F.col("age") > 0)
     seen = (
         tracked.filter(F.col("ignore").isNull() & counted)
         .groupBy("frame_id", "tag")
@@ -39,12 +39,12 @@ def tag_counts(
     )
 
 
-def show_flag(counts: DataFrame) -> DataFrame:
-    return (
-        counts.groupBy("cam", "frame_id", "frame_no", "frame_ts")
-        .agg(F.sum("count").alias("show_count"))
-        .withColumn("show", F.col("show_count") > 0)
-    )
+def show_flag(counts: DataFrame, frames: DataFrame) -> DataFrame:
+    """Sum of counts and show flag of every frame, also of cameras that publish no tag."""
+    sums = counts.groupBy("frame_id").agg(F.sum("count").alias("show_count"))
+    d = frames.select("cam", "frame_id", "frame_no", "frame_ts").join(sums, "frame_id", "left")
+    d = d.withColumn("show_count", F.coalesce("show_count", F.lit(0).cast("long")))
+    return d.withColumn("show", F.col("show_count") > 0)
 
 
 def object_sets(df: DataFrame, frames: DataFrame | None = None) -> DataFrame:

@@ -12,23 +12,33 @@ from sightings.operators.ordered import last, running
 
 
 def asof_state(
-    frames: DataFrame, states: DataFrame, entities: Sequence[str], slice_s: int = 600
+    frames: DataFrame,
+    states: DataFrame,
+    entities: Sequence[str],
+    slice_s: int = 600,
+    buckets: int = 32,
+    tie: str = "state",
 ) -> DataFrame:
     """Last known state of each entity at each frame, all entities in one pass.
 
     states: entity, ts, state. Adds one column per entity, and `missing_state` where some
-    entity was never seen. The history is cut by time alone: all cameras share the switches.
+    entity was never seen. Of states of one entity and time the last by `tie` holds. All cameras
+    share the switches, so frames are dealt into buckets and each bucket gets the states, which
+    are few against frames.
     """
     cols = frames.columns
     f = frames.select(
-        F.col("frame_ts").alias("_time"), F.lit(1).alias("_side"), F.struct(*cols).alias("_frame")
-    )
+        F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in cols]), F.lit(buckets)).alias("_bucket"),
+        F.col("frame_ts").alias("_time"), F.lit(1).alias("_side"), F.struct(*cols).alias("_frame"),
+    )
     s = states.filter(F.col("entity").isin(*entities)).select(
-        F.col("ts").alias("_time"), F.lit(0).alias("_side"), "entity", "state"
-    )
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("_bucket"),
+        F.col("ts").alias("_time"), F.lit(0).alias("_side"), "entity", "state",
+        F.col(tie).alias("_tie"),
+    )
     both = f.unionByName(s, allowMissingColumns=True)
     values = {e: last(F.when(F.col("entity") == e, F.col("state"))) for e in entities}
-    d = running(both, [], ["_time", "_side"], values, slice_s).filter("_side = 1")
+    d = running(both, ["_bucket"], ["_time", "_side", "_tie"], values, slice_s).filter("_side = 1")
     missing = F.lit(False)
     for e in entities:
         missing = missing | F.col(e).isNull()

@@ -524,8 +524,12 @@ def _departures(tracks: DataFrame, frames: DataFrame, cameras: DataFrame) -> Dat
         "age",
         "deadline",
     )
-    ends = frames.select("cam", "frame_ts", F.col("frame_ts").alias("departed_ts"))
-    t = as_of(t, ends, ["cam"], "deadline", ["departed_ts"], "frame_ts", forward=True)
+    ends = frames.select(
+        "cam", "frame_ts", "frame_no", F.col("frame_ts").alias("departed_ts"),
+        F.col("frame_id").alias("departed_frame"),
+    )
+    found = ["departed_ts", "departed_frame"]
+    t = as_of(t, ends, ["cam"], "deadline", found, "frame_ts", forward=True, tie=["frame_no"])
     seen = (epoch_us("departed_ts") - epoch_us("start_ts")) / 1e6
     notify = (seen > NOTIFY_SEEN_S) & (F.col("age") > NOTIFY_AGE)
     return t.select(
@@ -536,6 +540,7 @@ def _departures(tracks: DataFrame, frames: DataFrame, cameras: DataFrame) -> Dat
         "last_ts",
         "age",
         "departed_ts",
+        "departed_frame",
         F.coalesce(notify, F.lit(False)).alias("notify"),
         F.when(
             F.col("departed_ts").isNotNull(),

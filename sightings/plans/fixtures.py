@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightings.functions.geometry import parse_road_line, parse_road_mode
-from sightings.operators.filters import apply_region_rules, begin, classify_road, valid
+from sightings.operators.filters import apply_region_rules, begin, classify_road
 from sightings.operators.state import asof_state, with_mode
-from sightings.operators.zones import apply_exclusions, frame_pairs
+from sightings.operators.zones import apply_exclusions
 from sightings.plans.dims import CAMS, TAGS, columns, values
-from sightings.session import cut, prepare
+from sightings.session import prepare
 
 # Start of the archive (2024-01-01 22:30:00 UTC) and seconds between frames.
 START_S, STEP_S = 1704148200, 30
-# Every 40 frames an outage of 90 minutes, for the tracker.
+# Every 40 frames an outage of 90 minutes, so that tracks expire.
 OUTAGE_EVERY, OUTAGE_S = 40, 5400
 ENTITIES = [
     "night_mode", "presence", "vehicle_detector", "person_detector", "vacation_mode", "dog_status",
@@ -73,9 +73,9 @@ def _names(items: list[str]):
     return F.array(*[F.lit(i) for i in items])
 
 
-def _clock(outage: bool) -> str:
-    extra = f" + (frame_no div {OUTAGE_EVERY}) * {OUTAGE_S}" if outage else ""
-    return f"cast(timestamp_seconds({START_S} + frame_no * {STEP_S}{extra}) as timestamp_ntz)"
+def _clock() -> str:
+    seconds = f"{START_S} + frame_no * {STEP_S} + (frame_no div {OUTAGE_EVERY}) * {OUTAGE_S}"
+    return f"cast(timestamp_seconds({seconds}) as timestamp_ntz)"
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def detections(spark: SparkSession, sf_dir: str, outage: bool = False) -> DataFrame:
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         _numbered(spark, sf_dir)
         .selectExpr(
@@ -97,7 +97,7 @@ def detections(spark: SparkSession, sf_dir: str, outage: bool = False) -> DataFr
             "if(det_no = 2 and grp % 3 = 0, 0, det_no) as bd",
             "if((b * 7 + cam_no + det_no) % 11 = 0, 1, 0) as jump",
             "cast((cam_no * 5 + (det_no % 2) * 3 + grp) % 10 as int) as tag_id",
-            f"{_clock(outage)} as frame_ts",
+            f"{_clock()} as frame_ts",
         )
         .withColumn("tag", F.get(_names(TAGS), F.col("tag_id")))
         .selectExpr(
@@ -113,7 +113,7 @@ def detections(spark: SparkSession, sf_dir: str, outage: bool = False) -> DataFr
     )
 
 
-def frames(spark: SparkSession, sf_dir: str, outage: bool = False) -> DataFrame:
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of the detections, and an empty one after every twelfth."""
     extra = "explode(if(b % 12 = 11, array(0, 1), array(0)))"
     return (
@@ -124,7 +124,7 @@ def frames(spark: SparkSession, sf_dir: str, outage: bool = False) -> DataFrame:
         .selectExpr("cam", "cam_no", "f0 + extra as frame_no")
         .selectExpr(
             "frame_no * 15 + cam_no as frame_id", "cam", "frame_no",
-            f"{_clock(outage)} as frame_ts",
+            f"{_clock()} as frame_ts",
             "frame_no % 5 = 0 as is_grey",
             "cam = 'cam14' as is_file",
             "concat('/drop/', cam, '/', frame_no, '.jpg') as source",
@@ -148,10 +148,10 @@ def entity_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def prepared(spark: SparkSession, sf_dir: str, outage: bool = False) -> DataFrame:
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections with road, region and exclusion marks."""
     return (
-        detections(spark, sf_dir, outage)
+        detections(spark, sf_dir)
         .transform(begin)
         .transform(classify_road, cameras(spark))
         .transform(apply_region_rules, rules(spark))
@@ -159,28 +159,6 @@ def prepared(spark: SparkSession, sf_dir: str, outage: bool = False) -> DataFram
     )
 
 
-def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid detections with a stateless link to the frame before: iou, age, is_new.
-
-    Many steps read this table, so it is written once.
-    """
-    v = valid(prepared(spark, sf_dir))
-    hits = (
-        frame_pairs(v)
-        .groupBy("frame_id", "det_no")
-        .agg(F.max("iou").alias("iou"), F.count(F.lit(1)).cast("int").alias("_n"))
-    )
-    d = v.join(hits, ["frame_id", "det_no"], "left")
-    return cut(d.select(
-        *v.columns,
-        "iou",
-        F.coalesce("_n", F.lit(0)).alias("age"),
-        F.col("iou").isNull().alias("is_new"),
-        F.lit(False).alias("departed"),
-        F.lit(None).cast("int").alias("prior_priority"),
-    ))
-
-
 def frame_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir).select("frame_id", "cam", "frame_no", "frame_ts")
     return with_mode(asof_state(f, entity_states(spark, sf_dir), ENTITIES))

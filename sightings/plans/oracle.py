@@ -1,8 +1,6 @@
 """The same results as ANSI-style SQL over the given tables, for DuckDB.
 
 `CTES` are building blocks in dependency order; `ORACLE` has one statement per query.
-Queries without an entry have no whole-table SQL worth running and are tested against
-plain-Python models instead.
 """
 
 from __future__ import annotations
@@ -31,12 +29,11 @@ def _box_iou(a: str, b: str) -> str:
     return _iou(*[f"{x}.{c}" for x in (a, b) for c in "ltwh"])
 
 
-def _clock(extra: str = "") -> str:
-    return f"make_timestamp(({START_S} + frame_no * {STEP_S}{extra}) * 1000000)"
+def _clock() -> str:
+    seconds = f"{START_S} + frame_no * {STEP_S} + (frame_no // {OUTAGE_EVERY}) * {OUTAGE_S}"
+    return f"make_timestamp(({seconds}) * 1000000)"
 
 
-_OUT = f" + (frame_no // {OUTAGE_EVERY}) * {OUTAGE_S}"
-
 CTES: dict[str, str] = {}
 for _name in DIMS:
     CTES[_name] = f"select * from (values {values(_name)}) as v({', '.join(columns(_name))})"
@@ -50,7 +47,6 @@ CTES |= {
         from (select *, seq // 3 as b, seq % 3 as det_no from ev)""",
     "det_of": f"""
         select frame_no * 15 + cam_no as frame_id, cam, frame_no, {_clock()} as frame_ts,
-               {_clock(_OUT)} as out_ts,
                cast(det_no as int) as det_no, cast(tag_no as int) as tag_id,
                {_list(TAGS)}[tag_no + 1] as tag,
                ((event_id * 73 + user_id * 19) % 128) / 128.0::double as prob,
@@ -66,8 +62,7 @@ CTES |= {
               from num)""",
     "det": "select *, l + w / 2 as cx, t + h / 2 as cy from det_of",
     "frm": f"""
-        select frame_no * 15 + cam_no as frame_id, cam, frame_no, {_clock()} as frame_ts,
-               {_clock(_OUT)} as out_ts, frame_no % 5 = 0 as is_grey, cam = 'cam14' as is_file,
+        select frame_no * 15 + cam_no as frame_id, cam, frame_no, {_clock()} as frame_ts, frame_no % 5 = 0 as is_grey, cam = 'cam14' as is_file,
                '/drop/' || cam || '/' || frame_no || '.jpg' as source,
                md5(cam || '-' || ((frame_no % 4) // 2)) as hash
         from (select distinct cam, cam_no, frame_no from num
@@ -131,17 +126,6 @@ CTES |= {
                coalesce(d.ignore, z.tag_hit, z.any_hit) as ignore
         from regioned d left join zoned z on z.frame_id = d.frame_id and z.det_no = d.det_no""",
     "valid": "select * from prep where ignore is null",
-    "pairs": f"""
-        select a.cam, a.tag, a.frame_no, a.frame_id, a.det_no, b.frame_id as prev_frame_id,
-               b.det_no as prev_det_no, {_box_iou('b', 'a')} as iou
-        from valid a join valid b
-          on a.cam = b.cam and a.tag = b.tag and a.frame_no = b.frame_no + 1
-        where {_box_iou('b', 'a')} > 0.5""",
-    "lnk": """
-        select v.*, p.iou, cast(coalesce(p.n, 0) as int) as age, p.iou is null as is_new
-        from valid v left join (select frame_id, det_no, max(iou) as iou, count(*) as n
-                                from pairs group by all) p
-          on p.frame_id = v.frame_id and p.det_no = v.det_no""",
     "st": f"""
         select {_list(ENTITIES)}[event_id % 6 + 1] as entity,
                make_timestamp(({START_S}000 + event_id * 667) * 1000) as ts,
@@ -157,6 +141,8 @@ for _i, _e in enumerate(ENTITIES):
         f" asof left join (select * from st where entity = '{_e}') s{_i}"
         f" on f.frame_ts >= s{_i}.ts"
     )
+# Filled below: what passes hysteresis, its tracks, and the detections linked to them.
+CTES |= dict.fromkeys(["vkept", "kfold", "ktrk", "ktout", "lnk"], "")
 CTES |= {
     "fst": f"""
         select *, case when night_mode = 'on' then 'night' when presence = 'home' then 'home'
@@ -184,9 +170,11 @@ CTES |= {
           and (d.tag <> 'package' or d.age > 0)
         group by all""",
     "shows": """
-        select cam, frame_id, frame_no, frame_ts, cast(sum(count) as bigint) as show_count,
-               sum(count) > 0 as "show"
-        from counts group by all""",
+        select f.cam, f.frame_id, f.frame_no, f.frame_ts,
+               cast(coalesce(sum(count), 0) as bigint) as show_count,
+               coalesce(sum(count), 0) > 0 as "show"
+        from frm f left join counts c on c.frame_id = f.frame_id
+        group by f.cam, f.frame_id, f.frame_no, f.frame_ts""",
 }
 
 
@@ -285,6 +273,9 @@ CTES |= {
         select frame_id, cam,
                count(*) over (partition by cam order by frame_ts, frame_no) as cam_age
         from frm""",
+    "gate": """
+        select w.frame_id from warm w
+        where cam_age > 2 and w.frame_id in (select frame_id from lnk where is_new)""",
     "pri_in": """
         select s.*, case when w.cam_age > 2 then p.priority end as scored
         from sets s left join fpri p on p.frame_id = s.frame_id
@@ -457,7 +448,7 @@ _TRACK_TYPE = (
 _OUT_TYPE = "struct(f bigint, d int, tf bigint, td int, st bigint, iou double, age int)[]"
 
 
-def _tracker() -> str:
+def _tracker(source: str) -> str:
     """The tracker as a fold over the detections of each camera and tag."""
     iou = _iou("k.l", "k.t", "k.w", "k.h", "x.l", "x.t", "x.w", "x.h")
     last = iou.replace("k.", "hit[-1].")
@@ -490,12 +481,12 @@ def _tracker() -> str:
           {{'tr': cast([] as {_TRACK_TYPE}), 'gone': cast([] as {_TRACK_TYPE}),
             'out': cast([] as {_OUT_TYPE})}}) as s
         from (select v.cam, v.tag, list({{'f': v.frame_id, 'd': v.det_no,
-                'now': epoch_us(v.out_ts), 'prev': coalesce(epoch_us(p.prev_ts), -1),
+                'now': epoch_us(v.frame_ts), 'prev': coalesce(epoch_us(p.prev_ts), -1),
                 'l': v.l, 't': v.t, 'w': v.w, 'h': v.h, 'iv': c.interval_s}}
-                order by v.out_ts, v.frame_no, v.det_no) as dets
-              from valid v join cams c on c.cam = v.cam
-              join (select frame_id, lag(out_ts) over (partition by cam
-                      order by out_ts, frame_no) as prev_ts from frm) p
+                order by v.frame_ts, v.frame_no, v.det_no) as dets
+              from {source} v join cams c on c.cam = v.cam
+              join (select frame_id, lag(frame_ts) over (partition by cam
+                      order by frame_ts, frame_no) as prev_ts from frm) p
                 on p.frame_id = v.frame_id
               group by v.cam, v.tag)"""
 
@@ -549,18 +540,110 @@ CTES["grid2"] = """
         from grid"""
 CTES["gdec2"] = _decode("grid2")
 CTES["supp"] = _suppress()
-CTES["tfold"] = _tracker()
-CTES["trk"] = """
-        select cam, tag, unnest(list_concat(s.tr, s.gone), recursive := true) from tfold"""
-CTES["tout"] = "select cam, tag, unnest(s.out, recursive := true) from tfold"
-CTES["tdep"] = """
-        select t.*, f.out_ts as departed_ts
+def _tracks(fold: str) -> str:
+    return f"select cam, tag, unnest(list_concat(s.tr, s.gone), recursive := true) from {fold}"
+
+
+def _followed(fold: str) -> str:
+    return f"select cam, tag, unnest(s.out, recursive := true) from {fold}"
+
+
+def _departed(tracks: str) -> str:
+    return f"""
+        select t.*, f.frame_ts as departed_ts, f.frame_id as dfid
         from (select k.cam, k.tag, k.f, k.d, make_timestamp(k.st) as start_ts,
                 make_timestamp(k.last) as last_ts, k.age,
                 make_timestamp(k.last + least(60 + k.age * c.interval_s, 3600)::bigint * 1000000)
                   as deadline
-              from trk k join cams c on c.cam = k.cam) t
-        asof left join frm f on t.cam = f.cam and t.deadline < f.out_ts"""
+              from {tracks} k join cams c on c.cam = k.cam) t
+        asof left join frm f on t.cam = f.cam and t.deadline < f.frame_ts"""
+
+
+def _told(departures: str) -> str:
+    """Departures worth telling, with their text."""
+    return f"""
+        select *, tag || ' departed from ' || cam || ' after being seen ' || age
+          || ' times over the past ' || case
+            when s < 3600 then case when s // 60 = 1 then 'minute' else s // 60 || ' minutes' end
+            when s < 86400 then case when s // 3600 = 1 then 'an hour'
+                                     else s // 3600 || ' hours' end
+            else case when s // 86400 = 1 then 'a day' else s // 86400 || ' days' end end as msg
+        from (select *, (epoch_us(departed_ts) - epoch_us(start_ts)) // 1000000 as s
+              from {departures})
+        where epoch_us(departed_ts) - epoch_us(start_ts) > 120000000 and age > 4"""
+
+
+CTES["tfold"] = _tracker("valid")
+CTES["trk"] = _tracks("tfold")
+CTES["tout"] = _followed("tfold")
+CTES["tdep"] = _departed("trk")
+CTES["kfold"] = _tracker("vkept")
+CTES["ktrk"] = _tracks("kfold")
+CTES["ktout"] = _followed("kfold")
+CTES["kdep"] = _departed("ktrk")
+CTES["lnk"] = """
+        select v.* exclude (l, t, w, h), k.fl as l, k.ft as t, k.fw as w, k.fh as h,
+               null::double as iou, k.fa as age, true as is_new
+        from ktrk k join vkept v on v.frame_id = k.f and v.det_no = k.d
+        union all by name
+        select v.*, o.iou, o.age, false as is_new
+        from ktout o join vkept v on v.frame_id = o.f and v.det_no = o.d"""
+# What leaves a frame; `iou` stands for a priority that the track already has.
+CTES["dep"] = f"""
+        select x.dfid as frame_id, x.cam, x.departed_ts as frame_ts, x.tag, x.age, x.msg, v.prob,
+          null::varchar as ignore, case when g.frame_id is not null then 0.0::double end as iou,
+          case when g.frame_id is not null then p.priority end as prior,
+          cast(row_number() over (partition by x.dfid
+            order by n.fts, n.fno, n.fdet, x.start_ts, v.frame_no, v.det_no) - 1 as int) as det_no
+        from ({_told("kdep")}) x
+        join vkept v on v.frame_id = x.f and v.det_no = x.d
+        join sc p on p.frame_id = x.f and p.det_no = x.d
+        left join gate g on g.frame_id = x.f
+        join (select cam, tag, arg_min(frame_ts, k) as fts, arg_min(frame_no, k) as fno,
+                arg_min(det_no, k) as fdet
+              from (select *, {{'a': frame_ts, 'b': frame_no, 'c': det_no}} as k from lnk)
+              group by cam, tag) n
+          on n.cam = x.cam and n.tag = x.tag
+        where x.dfid is not null"""
+CTES["dctx"] = """
+        select frame_id, bool_or(tag = 'person') as has_person, bool_or(tag = 'dog') as has_dog,
+          bool_or(tag = 'person_road') as has_person_road,
+          bool_or(tag = 'vehicle') as has_vehicle
+        from dep group by frame_id"""
+CTES["dsc_in"] = _scored_in("dep", "dctx")
+CTES["dsc"] = _scored("dsc", "dep", "dctx")
+CTES["dal"] = """
+        select d.cam, d.frame_id, d.frame_ts, string_agg(d.msg, ', ' order by d.det_no) as message,
+          list_sort(list(distinct d.tag)) as tags,
+          cast(coalesce(max(s.priority) filter (where s.scored),
+                        arg_max(coalesce(d.prior, s.priority), d.det_no), 0) as int) as priority,
+          case when bool_or(s.scored) then coalesce(
+            (select max(sound) from sounds_t where tag = 'departed'), 'pushover')
+            else 'pushover' end as sound
+        from dep d join dsc s on s.frame_id = d.frame_id and s.det_no = d.det_no
+        group by d.cam, d.frame_id, d.frame_ts"""
+CTES["dalp"] = """
+        select d.*, d.priority >= -3 and coalesce(f.vacation_mode = 'off', false) as push
+        from dal d left join fst f on f.frame_id = d.frame_id"""
+CTES["told2"] = """
+        select x.response_id as frame_id, f.cam, x.pos, x.plate, x.phrase
+        from phr x join frm f on f.frame_id = x.response_id
+        join ctx c on c.frame_id = x.response_id join alpr a on a.response_id = x.response_id
+        join gate g on g.frame_id = x.response_id
+        where c.visible_vehicles > 0 and a.count >= 1"""
+CTES["al"] = """
+        select s.cam, s.frame_id, s.frame_ts, s.tags, f.mode,
+          array_to_string(s.tags, ',') || ' ' || case s.cam
+            when 'driveway' then 'in driveway' when 'garage' then 'in garage'
+            when 'shed' then 'in front of garage' when 'garage-r' then 'in front of left garage'
+            when 'garage-l' then 'in front of right garage' else 'near ' || s.cam end
+            || coalesce((select string_agg(chr(10) || t.phrase || ' ' || t.plate, '' order by t.pos)
+                         from told2 t where t.frame_id = s.frame_id), '') as message,
+          p.priority, n.sound,
+          p.priority >= -3 and coalesce(f.vacation_mode = 'off', false) as push
+        from sets s join gate g on g.frame_id = s.frame_id
+        join fpri p on p.frame_id = s.frame_id join snd n on n.frame_id = s.frame_id
+        left join fst f on f.frame_id = s.frame_id"""
 CTES["nms"] = _nms(False)
 CTES["nms_min"] = _nms(True)
 
@@ -579,7 +662,9 @@ ORACLE: dict[str, str] = {
                      count(distinct cam) as cams from frm group by dt)""",
     "s7_latest_by_tag": """
         select tag, arg_max(frame_id, {'a': frame_ts, 'b': frame_id}) as frame_id,
-               max(frame_ts) as frame_ts from valid group by tag""",
+               max(frame_ts) as frame_ts
+        from (select frame_id, frame_ts, unnest(tags) as tag from al
+              union all select frame_id, frame_ts, unnest(tags) from dal) group by tag""",
     "s8_file_camera": """
         select cam, count(*) as savable from frm where not is_file group by cam""",
     "f1_route_models": """
@@ -777,7 +862,9 @@ ORACLE: dict[str, str] = {
         select frame_id, det_no,
                round(case when a + b - i = 0 then 0.0 else i / (a + b - i)::double end, 6) as iou
         from q""",
-    "x3_polyline_y": "select frame_id, det_no, round(road_y, 6) as road_y from road_hit",
+    "x3_polyline_y": """
+        select d.frame_id, d.det_no, round(r.road_y, 6) as road_y
+        from det d left join road_hit r on r.frame_id = d.frame_id and r.det_no = d.det_no""",
     "x4_parse_road": """
         select c.cam, c.road_mode, n.n, cast(p.k as int) as points, round(p.s, 6) as sum_xy
         from cams c join (select cam, count(*) as n from det group by cam) n on n.cam = c.cam
@@ -796,7 +883,7 @@ ORACLE: dict[str, str] = {
                round(round(y2 - y1, 8), 6) as height from raw""",
     "x9_small_hours": """
         select event_id, extract(hour from ts) < 6 as small_hours from events""",
-    "x10_mode": "select mode, count(*) as frames from fst group by mode",
+    "x10_mode": "select frame_id, mode from fst",
     "x11_edit_variants": """
         with abc as (select unnest(string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', '')) as c),
         v as (select plate, ord, unnest([
@@ -859,44 +946,29 @@ ORACLE: dict[str, str] = {
     "t2_departures": """
         select cam, tag, cam || '|' || tag || '|' || f || '|' || d as track_id, start_ts, last_ts,
                age, departed_ts from tdep""",
-    "t3_departure_alerts": """
-        with x as (select *, (epoch_us(departed_ts) - epoch_us(start_ts)) // 1000000 as s
-                   from tdep)
-        select cam || '|' || tag || '|' || f || '|' || d as track_id, departed_ts,
-          tag || ' departed from ' || cam || ' after being seen ' || age
-          || ' times over the past ' || case
-            when s < 3600 then case when s // 60 = 1 then 'minute' else s // 60 || ' minutes' end
-            when s < 86400 then case when s // 3600 = 1 then 'an hour'
-                                     else s // 3600 || ' hours' end
-            else case when s // 86400 = 1 then 'a day' else s // 86400 || ' days' end end as msg
-        from x where s > 120 and age > 4""",
+    "t3_departure_alerts": f"""
+        select cam || '|' || tag || '|' || f || '|' || d as track_id, departed_ts, msg
+        from ({_told("tdep")})""",
     "p0_known_detections": "select frame_id, det_no, tag, priority from sc where not scored",
     "p1_scores": "select frame_id, det_no, tag, priority, priority_type, scored from sc",
     "p1b_scores_all_new": "select frame_id, det_no, tag, priority, priority_type, scored from scn",
-    "p2_frame_alerts": """
-        select s.cam, s.frame_id, f.mode, array_to_string(s.tags, ',') || ' ' || case s.cam
-            when 'driveway' then 'in driveway' when 'garage' then 'in garage'
-            when 'shed' then 'in front of garage' when 'garage-r' then 'in front of left garage'
-            when 'garage-l' then 'in front of right garage' else 'near ' || s.cam end as message,
-          p.priority, n.sound,
-          p.priority >= -3 and coalesce(f.vacation_mode = 'off', false) as push
-        from sets s join fpri p on p.frame_id = s.frame_id join snd n on n.frame_id = s.frame_id
-        left join fst f on f.frame_id = s.frame_id""",
+    "p2_frame_alerts": "select cam, frame_id, mode, message, priority, sound, push from al",
+    "p2_departure_alerts": """
+        select cam, frame_id, frame_ts, message, priority, sound, push from dalp""",
     "p3_frame_sound": "select frame_id, sound from snd",
     "p4_pushes": """
-        select f.cam, p.frame_id, p.priority, n.sound
-        from fpri p join snd n on n.frame_id = p.frame_id join fst f on f.frame_id = p.frame_id
-        where p.priority >= -3 and f.vacation_mode = 'off'""",
+        select cam, frame_id, priority, sound, 'http://review/flag?file=' || frame_id
+          || '.jpg&model=color&cam=' || replace(cam, ' ', '_') || '&tags='
+          || array_to_string(tags, ',') as url
+        from al where push""",
     "p5_plate_gate": """
-        select frame_id, visible_vehicles from ctx where visible_vehicles > 0""",
+        select frame_id, visible_vehicles from ctx
+        where visible_vehicles > 0 and frame_id in (select frame_id from gate)""",
     "p6_announcements": """
-        select x.response_id as frame_id, f.cam, x.pos, x.plate, x.phrase,
-               x.phrase || ' ' || case when f.cam = 'shed' then 'in front of garage'
-                                       else 'in driveway' end as spoken
-        from phr x join fst f on f.frame_id = x.response_id
-        join ctx c on c.frame_id = x.response_id join alpr a on a.response_id = x.response_id
-        where c.visible_vehicles > 0 and f.vehicle_detector = 'on' and f.presence = 'home'
-          and a.count >= 1""",
+        select x.*, x.phrase || ' ' || case when x.cam = 'shed' then 'in front of garage'
+                                            else 'in driveway' end as spoken
+        from told2 x join fst f on f.frame_id = x.frame_id
+        where f.vehicle_detector = 'on' and f.presence = 'home' and x.cam <> 'mailbox'""",
     "p7_species": """
         select distinct cam, frame_id, frame_ts, tag from lnk where is_new and tag = 'deer'""",
     "p7_owner_arrivals": """
@@ -928,15 +1000,17 @@ ORACLE: dict[str, str] = {
     "c2_review_queue": """
         select file, status, project_id, replace(file, '.jpg', '') as name,
                replace(cam, ' ', '_') || ',' || model as upload_tags from rt""",
-    "e1_count_changes": """
-        with c as (select p.*, count(d.frame_id) as count
-                   from pub p left join valid d on d.frame_id = p.frame_id and d.tag = p.tag
-                   group by all)
-        select cam, tag, frame_id, frame_ts, count from c
-        qualify count is distinct from
-          lag(count) over (partition by cam, tag order by frame_ts, frame_no)""",
+    "e2_all_pushes": """
+        select cam, frame_id, frame_ts, 'new' as kind, message, priority, sound from al where push
+        union all
+        select cam, frame_id, frame_ts, 'departed', message, priority, sound from dalp
+        where push""",
 }
+ORACLE["e1_count_changes"] = ORACLE["w4_count_changes"]
 _KEPT = ORACLE["f3_hysteresis"]
+CTES["vkept"] = f"""
+        select v.* from valid v join ({_KEPT}) k
+          on k.frame_id = v.frame_id and k.det_no = v.det_no"""
 ORACLE["e2_hysteresis_counts"] = f"""
     with kept as ({_KEPT}),
     c as (select p.*, count(d.frame_id) as count

@@ -103,7 +103,10 @@ def s4_sightings_today(spark, sf):
 
 @query
 def s7_latest_by_tag(spark, sf):
-    return alerts.latest_by_tag(filters.valid(X.prepared(spark, sf)))
+    """Of the alerts of new objects and of departures."""
+    p = Pipeline(spark, sf)
+    told = [d.select("frame_id", "frame_ts", F.explode("tags").alias("tag")) for d in (p.alerts, p.departure_alerts)]
+    return alerts.latest_by_tag(told[0].unionByName(told[1]))
 
 
 @query
@@ -130,9 +133,9 @@ def f2_center(spark, sf):
     )
 
 
-def _linked_frames(spark, sf, outage=False):
+def _linked_frames(spark, sf):
     """Frames with the camera's frame before; several steps read them, so they are written."""
-    return cut(filters.link_frames(X.frames(spark, sf, outage)))
+    return cut(filters.link_frames(X.frames(spark, sf)))
 
 
 def _kept(spark, sf):
@@ -299,73 +302,72 @@ def a2_nms_suppress(spark, sf):
     )
 
 
-def _counts(spark, sf):
-    return reports.tag_counts(X.linked(spark, sf), X.frames(spark, sf), X.cameras(spark))
+class Pipeline:
+    """From raw detections to alerts, counts and what is saved.
 
+    Detections pass the hysteresis threshold, are tracked, scored, and inherit by track; the
+    tables that several steps read are written once per query.
+    """
 
-@query
-def a3_tag_counts(spark, sf):
-    return _counts(spark, sf).select("cam", "frame_id", "frame_ts", "tag", "count")
-
-
-@query
-def a4_show_flag(spark, sf):
-    return reports.show_flag(_counts(spark, sf)).select("cam", "frame_id", "show_count", "show")
-
-
-@query
-def a5_object_sets(spark, sf):
-    d = reports.object_sets(X.linked(spark, sf), X.frames(spark, sf))
-    return d.select("frame_id", "cam", joined("tags"), joined("new_tags"))
-
-
-@query
-def a6_min_age(spark, sf):
-    return reports.min_age(X.linked(spark, sf), X.frames(spark, sf))
-
-
-def _crop(d):
-    return d.select(
-        "frame_id", *[r6(f"crop_{c}") for c in ("left", "top", "right", "bottom")]
-    )
-
+    def __init__(self, spark, sf):
+        self.spark, self.sf = spark, sf
 
-@query
-def a7_alert_crop(spark, sf):
-    return _crop(geometry.alert_crop(X.linked(spark, sf), (1920, 1080)))
+    @cached_property
+    def frames(self):
+        return _linked_frames(self.spark, self.sf)
 
+    @cached_property
+    def cameras(self):
+        return X.cameras(self.spark)
 
-@query
-def a7_vehicle_crop(spark, sf):
-    return _crop(geometry.vehicle_crop(X.linked(spark, sf), (1920, 1080)))
+    @cached_property
+    def _tracks(self):
+        return tracking.track_all(filters.valid(_kept(self.spark, self.sf)), self.frames, self.cameras)
 
+    @cached_property
+    def tracked(self):
+        """Valid detections with their tracks. All are there; what departs has rows of its own."""
+        d = self._tracks[0]
+        return cut(
+            d.select("*", F.lit(False).alias("departed"), F.lit(None).cast("int").alias("prior_priority"))
+        )
 
-class Alerting:
-    """The tables the alert rules share; each is written once per query."""
+    @cached_property
+    def departures(self):
+        return cut(self._tracks[1])
 
-    def __init__(self, spark, sf):
-        self.spark, self.sf = spark, sf
+    @cached_property
+    def counts(self):
+        return reports.tag_counts(self.tracked, self.frames, self.cameras)
 
     @cached_property
-    def linked(self):
-        return X.linked(self.spark, self.sf)
+    def shows(self):
+        return reports.show_flag(self.counts, self.frames)
 
     @cached_property
-    def frames(self):
-        return X.frames(self.spark, self.sf)
+    def sets(self):
+        return reports.object_sets(self.tracked, self.frames)
 
     @cached_property
     def states(self):
         return cut(X.frame_states(self.spark, self.sf))
 
+    @cached_property
+    def warm(self):
+        return cut(changes.warmed_up(self.frames).select("frame_id", "cam", "cam_age", "warm"))
+
+    @cached_property
+    def gate(self):
+        return cut(alerts.alert_gate(self.tracked, self.warm))
+
     @cached_property
     def context(self):
-        return alerts.frame_context(self.linked)
+        return alerts.frame_context(self.tracked)
 
     @cached_property
     def scored(self):
         rules = X.dim(self.spark, "priorities_t")
-        return cut(alerts.score_detections(self.linked, self.context, self.states, rules))
+        return cut(alerts.score_detections(self.tracked, self.context, self.states, rules))
 
     @cached_property
     def priority(self):
@@ -374,17 +376,37 @@ class Alerting:
     @cached_property
     def alerts(self):
         sounds = X.dim(self.spark, "sounds_t")
-        return alerts.frame_alerts(self.scored, self.context, self.states, sounds)
+        return alerts.frame_alerts(self.scored, self.context, self.states, sounds, self.gate)
+
+    @cached_property
+    def visible(self):
+        """Alerting frames with how many vehicles are in sight."""
+        c = self.context.join(self.gate, "frame_id", "left_semi")
+        return c.join(self.frames.select("frame_id", "cam"), "frame_id")
+
+    @cached_property
+    def told_plates(self):
+        alpr = plates.alpr_summary(X.alpr_responses(self.spark, self.sf))
+        return plates.told_plates(
+            self.visible, alpr.withColumnRenamed("response_id", "frame_id"), X.known_plates(self.spark, self.sf)
+        )
+
+    @cached_property
+    def departing(self):
+        return cut(alerts.departing(self.departures, self.tracked, self.scored, self.gate))
+
+    @cached_property
+    def departure_alerts(self):
+        dims = [X.dim(self.spark, n) for n in ("priorities_t", "sounds_t")]
+        return alerts.departure_alerts(self.departing, self.states, *dims)
 
     @cached_property
     def carried(self):
         """Every frame with its tag sets and the priority it ends up with."""
-        sets = reports.object_sets(self.linked, self.frames)
         score = self.priority.withColumnRenamed("priority", "scored")
-        warm = changes.warmed_up(self.frames).select("frame_id", "warm")
         per_frame = (
-            sets.join(score, "frame_id", "left")
-            .join(warm, "frame_id")
+            self.sets.join(score, "frame_id", "left")
+            .join(self.warm.select("frame_id", "warm"), "frame_id")
             .select(
                 "cam", "frame_id", *FRAME_ORDER, "tags", "new_tags",
                 (F.size("new_tags") > 0).alias("has_new"),
@@ -398,25 +420,63 @@ class Alerting:
     def saved(self):
         return alerts.saved_sightings(
             self.carried.select("frame_id", "priority", "tags"),
-            reports.min_age(self.linked, self.frames),
+            reports.min_age(self.tracked, self.frames),
             self.frames,
         )
 
 
+@query
+def a3_tag_counts(spark, sf):
+    return Pipeline(spark, sf).counts.select("cam", "frame_id", "frame_ts", "tag", "count")
+
+
+@query
+def a4_show_flag(spark, sf):
+    return Pipeline(spark, sf).shows.select("cam", "frame_id", "show_count", "show")
+
+
+@query
+def a5_object_sets(spark, sf):
+    d = Pipeline(spark, sf).sets
+    return d.select("frame_id", "cam", joined("tags"), joined("new_tags"))
+
+
+@query
+def a6_min_age(spark, sf):
+    p = Pipeline(spark, sf)
+    return reports.min_age(p.tracked, p.frames)
+
+
+def _crop(d):
+    return d.select(
+        "frame_id", *[r6(f"crop_{c}") for c in ("left", "top", "right", "bottom")]
+    )
+
+
+@query
+def a7_alert_crop(spark, sf):
+    return _crop(geometry.alert_crop(Pipeline(spark, sf).tracked, (1920, 1080)))
+
+
+@query
+def a7_vehicle_crop(spark, sf):
+    return _crop(geometry.vehicle_crop(Pipeline(spark, sf).tracked, (1920, 1080)))
+
+
 @query
 def a8_frame_context(spark, sf):
-    return Alerting(spark, sf).context
+    return Pipeline(spark, sf).context
 
 
 @query
 def a9_frame_priority(spark, sf):
-    return Alerting(spark, sf).priority
+    return Pipeline(spark, sf).priority
 
 
 @query
 def a10_cycle_report(spark, sf):
     labels = reports.frame_labels(
-        X.linked(spark, sf).selectExpr(
+        Pipeline(spark, sf).tracked.selectExpr(
             "*", "cast(null as int) as priority", "cast(null as string) as priority_type"
         )
     )
@@ -448,25 +508,25 @@ def w1_tag_presence(spark, sf):
 
 @query
 def w2_departed_tags(spark, sf):
-    d = changes.departed_tags(Alerting(spark, sf).carried)
+    d = changes.departed_tags(Pipeline(spark, sf).carried)
     return d.select("cam", "frame_id", joined("departed"))
 
 
 @query
 def w3_carry_priority(spark, sf):
-    return Alerting(spark, sf).carried.select("cam", "frame_id", "scored", "priority")
+    return Pipeline(spark, sf).carried.select("cam", "frame_id", "scored", "priority")
 
 
 @query
 def w4_count_changes(spark, sf):
-    return changes.count_changes(_counts(spark, sf)).select(
+    return changes.count_changes(Pipeline(spark, sf).counts).select(
         "cam", "tag", "frame_id", "frame_ts", "count"
     )
 
 
 @query
 def w4_show_changes(spark, sf):
-    d = changes.show_changes(reports.show_flag(_counts(spark, sf)))
+    d = changes.show_changes(Pipeline(spark, sf).shows)
     return d.select("cam", "frame_id", "show_count", "show")
 
 
@@ -477,9 +537,9 @@ def w5_warmed_up(spark, sf):
 
 @query
 def w6_frame_before(spark, sf):
-    a = Alerting(spark, sf)
-    kept = a.saved.select("frame_id", F.lit(True).alias("_kept"))
-    per_frame = a.frames.join(kept, "frame_id", "left").withColumn(
+    p = Pipeline(spark, sf)
+    kept = p.saved.select("frame_id", F.lit(True).alias("_kept"))
+    per_frame = p.frames.join(kept, "frame_id", "left").withColumn(
         "saved", F.coalesce("_kept", F.lit(False))
     )
     d = changes.frame_before(cut(per_frame))
@@ -532,7 +592,7 @@ def x2_box_iou_px(spark, sf):
 @query
 def x3_polyline_y(spark, sf):
     d = X.detections(spark, sf).join(X.cameras(spark).select("cam", "road_line"), "cam")
-    d = filters.with_center(d).filter("road_line is not null")
+    d = filters.with_center(d)
     return d.select(
         "frame_id", "det_no", r6(geometry.polyline_y("center.x", "road_line"), "road_y")
     )
@@ -583,7 +643,7 @@ def x9_small_hours(spark, sf):
 
 @query
 def x10_mode(spark, sf):
-    return X.frame_states(spark, sf).groupBy("mode").agg(F.count(F.lit(1)).alias("frames"))
+    return X.frame_states(spark, sf).select("frame_id", "mode")
 
 
 @query
@@ -597,7 +657,7 @@ def x11_edit_variants(spark, sf):
 
 @query
 def x12_location(spark, sf):
-    d = reports.object_sets(X.linked(spark, sf), X.frames(spark, sf)).filter("size(tags) > 0")
+    d = Pipeline(spark, sf).sets.filter("size(tags) > 0")
     return d.select("frame_id", text.location_message("tags", "cam").alias("message"))
 
 
@@ -615,7 +675,7 @@ def x13_departure_text(spark, sf):
 
 @query
 def x14_labels(spark, sf):
-    return reports.frame_labels(Alerting(spark, sf).scored).select("frame_id", "message")
+    return reports.frame_labels(Pipeline(spark, sf).scored).select("frame_id", "message")
 
 
 @query
@@ -650,7 +710,7 @@ def x17_short_name(spark, sf):
 
 @query
 def x18_review_link(spark, sf):
-    d = reports.object_sets(X.linked(spark, sf), X.frames(spark, sf))
+    d = Pipeline(spark, sf).sets
     link = text.review_link(
         F.lit("http://review/flag"),
         F.concat(F.col("frame_id").cast("string"), F.lit(".jpg")),
@@ -663,7 +723,7 @@ def x18_review_link(spark, sf):
 
 @query
 def x19_sighting_name(spark, sf):
-    d = reports.object_sets(X.linked(spark, sf), X.frames(spark, sf))
+    d = Pipeline(spark, sf).sets
     ts, cam, tags = F.col("frame_ts"), F.col("cam"), F.col("tags")
     return d.select(
         "frame_id",
@@ -691,11 +751,7 @@ def l3_vehicle_phrases(spark, sf):
 # -- tracking -----------------------------------------------------------------------------
 
 def _tracking_inputs(spark, sf):
-    return (
-        filters.valid(X.prepared(spark, sf, outage=True)),
-        _linked_frames(spark, sf, outage=True),
-        X.cameras(spark),
-    )
+    return filters.valid(X.prepared(spark, sf)), _linked_frames(spark, sf), X.cameras(spark)
 
 
 @query
@@ -720,13 +776,13 @@ def t3_departure_alerts(spark, sf):
 
 @query
 def p0_known_detections(spark, sf):
-    d = Alerting(spark, sf).scored.filter(~F.col("scored"))
+    d = Pipeline(spark, sf).scored.filter(~F.col("scored"))
     return d.select("frame_id", "det_no", "tag", "priority")
 
 
 @query
 def p1_scores(spark, sf):
-    d = Alerting(spark, sf).scored
+    d = Pipeline(spark, sf).scored
     return d.select("frame_id", "det_no", "tag", "priority", "priority_type", "scored")
 
 
@@ -745,41 +801,44 @@ def p1b_scores_all_new(spark, sf):
 
 @query
 def p2_frame_alerts(spark, sf):
-    return Alerting(spark, sf).alerts.select(
+    p = Pipeline(spark, sf)
+    return alerts.with_plates(p.alerts, p.told_plates).select(
         "cam", "frame_id", "mode", "message", "priority", "sound", "push"
     )
 
 
+@query
+def p2_departure_alerts(spark, sf):
+    return Pipeline(spark, sf).departure_alerts.select(
+        "cam", "frame_id", "frame_ts", "message", "priority", "sound", "push"
+    )
+
+
 @query
 def p3_frame_sound(spark, sf):
-    return alerts.frame_sound(Alerting(spark, sf).scored, X.dim(spark, "sounds_t"))
+    return alerts.frame_sound(Pipeline(spark, sf).scored, X.dim(spark, "sounds_t"))
 
 
 @query
 def p4_pushes(spark, sf):
-    return alerts.pushes(Alerting(spark, sf).alerts).select("cam", "frame_id", "priority", "sound")
+    d = alerts.pushes(Pipeline(spark, sf).alerts, "http://review/flag")
+    return d.select("cam", "frame_id", "priority", "sound", "url")
 
 
 @query
 def p5_plate_gate(spark, sf):
-    return Alerting(spark, sf).context.filter("visible_vehicles > 0").select("frame_id", "visible_vehicles")
+    return Pipeline(spark, sf).visible.filter("visible_vehicles > 0").select("frame_id", "visible_vehicles")
 
 
 @query
 def p6_announcements(spark, sf):
-    a = Alerting(spark, sf)
-    ctx = a.context.join(a.frames.select("frame_id", "cam"), "frame_id")
-    alpr = plates.alpr_summary(X.alpr_responses(spark, sf)).withColumnRenamed(
-        "response_id", "frame_id"
-    )
-    return plates.plate_announcements(
-        ctx, alpr, X.known_plates(spark, sf), a.states
-    )
+    p = Pipeline(spark, sf)
+    return plates.plate_announcements(p.told_plates, p.states)
 
 
 @query
 def p7_species(spark, sf):
-    return alerts.species_events(X.linked(spark, sf), ["deer"])
+    return alerts.species_events(Pipeline(spark, sf).tracked, ["deer"])
 
 
 @query
@@ -793,7 +852,7 @@ def p7_owner_arrivals(spark, sf):
 
 @query
 def p8_saved(spark, sf):
-    return Alerting(spark, sf).saved.select("frame_id", "cam", "priority", joined("tags"), "min_age", "name")
+    return Pipeline(spark, sf).saved.select("frame_id", "cam", "priority", joined("tags"), "min_age", "name")
 
 
 @query
@@ -813,19 +872,30 @@ def c2_review_queue(spark, sf):
 # -- whole pipelines ----------------------------------------------------------------------
 
 def e1_count_changes(spark, sf):
-    """Detections to published count changes; the age of packages left aside."""
-    v = filters.valid(X.prepared(spark, sf))
-    counts = reports.tag_counts(v, X.frames(spark, sf), X.cameras(spark), use_age=False)
-    return changes.count_changes(counts).select("cam", "tag", "frame_id", "frame_ts", "count")
+    """Detections to published count changes: marks, hysteresis, tracks, counts, changes."""
+    return changes.count_changes(Pipeline(spark, sf).counts).select(
+        "cam", "tag", "frame_id", "frame_ts", "count"
+    )
 
 
 query(e1_count_changes)
 
 
+@query
+def e2_all_pushes(spark, sf):
+    """Detections to all that is pushed: new objects with their plates, and departures."""
+    p = Pipeline(spark, sf)
+    new = alerts.with_plates(p.alerts, p.told_plates)
+    both = [
+        alerts.pushes(d).select("cam", "frame_id", "frame_ts", F.lit(kind).alias("kind"), "message", "priority", "sound")
+        for d, kind in ((new, "new"), (p.departure_alerts, "departed"))
+    ]
+    return both[0].unionByName(both[1])
+
+
 @query
 def e2_hysteresis_counts(spark, sf):
-    """The same behind the hysteresis threshold."""
-    counts = reports.tag_counts(
-        filters.valid(_kept(spark, sf)), X.frames(spark, sf), X.cameras(spark), use_age=False
-    )
+    """Count changes without the age of packages: each package counts at once."""
+    v = filters.valid(_kept(spark, sf)).withColumn("age", F.lit(1))
+    counts = reports.tag_counts(v, X.frames(spark, sf), X.cameras(spark))
     return changes.count_changes(counts).select("cam", "tag", "frame_id", "frame_ts", "count")

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,12 +43,18 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    A temporary folder of the driver's machine serves only where executors are on it too; on a
+    cluster the missing setting is an error.
+    """
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    root = root or sc.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sightings-")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="sightings-")
     return root
 
 
@@ -57,6 +65,26 @@ def _folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_written: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write inside are deleted at the end, so use up the results before.
+
+    Without a scope they stay until the folder of the application is removed. Checkpoints go
+    with spark.cleaner.referenceTracking.cleanCheckpoints.
+    """
+    _written.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for p in _written.pop():
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The same for a summary that a loop rewrites: a reliable checkpoint, which starts faster."""
     _folder(df.sparkSession)
@@ -71,5 +99,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/sightings/{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

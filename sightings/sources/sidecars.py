@@ -9,9 +9,14 @@ from sightings.schema import PREDICTION, SIDECAR
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(
+    """One row per prediction; a document without any keeps one row, whose `status` says why."""
+    listed = F.when(F.size("predictions") > 0, F.lit("ok")).when(
+        F.col("predictions").isNotNull(), F.lit("empty")
+    )
+    return docs.withColumn("status", listed.otherwise("unreadable")).select(
         *[c for c in docs.columns if c != "predictions"],
-        F.posexplode("predictions").alias("pos", "prediction"),
+        "status",
+        F.posexplode_outer("predictions").alias("pos", "prediction"),
     )
 
 

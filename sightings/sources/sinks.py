@@ -10,17 +10,12 @@ def with_day(df: DataFrame, ts: str = "frame_ts") -> DataFrame:
     return df.withColumn("dt", F.date_format(ts, "yyyyMMdd"))
 
 
-def write_sightings(df: DataFrame, path: str, mode: str = "append", files_per_day: int = 1) -> None:
+def write_sightings(df: DataFrame, path: str, mode: str = "append") -> None:
     """Write sightings to one folder per day.
 
-    Rows are spread over `files_per_day` tasks per day, so that a busy day is not one task.
+    Rows are rebalanced by day: small days share a task, and a busy day is split over several.
     """
-    d = with_day(df)
-    if files_per_day > 1:
-        d = d.repartition("dt", F.pmod(F.xxhash64("frame_id"), F.lit(files_per_day)))
-    else:
-        d = d.repartition("dt")
-    d.write.mode(mode).partitionBy("dt").parquet(path)
+    with_day(df).hint("rebalance", "dt").write.mode(mode).partitionBy("dt").parquet(path)
 
 
 def today(spark: SparkSession, path: str, as_of: str) -> DataFrame:

@@ -227,14 +227,14 @@ def test_plate_match_equals_all_pairs(spark):
 
 
 def test_edit_variants(spark):
-    letters = plates.ALPHABET
-    df = spark.createDataFrame([("A1",), ("",)], "w string")
+    """All words at a distance of one; the word itself comes from replacing a letter by itself."""
+    df = spark.createDataFrame([("A1",), ("",), ("BB",)], "w string")
+    short = [""]
+    for _ in range(3):
+        short += [w + c for w in short for c in plates.ALPHABET if len(w) < 3]
+    short = set(short)
     for r in df.select("w", plates.edit_variants("w").alias("v")).collect():
-        w = r.w
-        cuts = [(w[:i], w[i:]) for i in range(len(w) + 1)]
-        want = {a + b[1:] for a, b in cuts if b}
-        want |= {a + c + b[1:] for a, b in cuts if b for c in letters}
-        want |= {a + c + b for a, b in cuts for c in letters}
+        want = {x for x in short if distance(r.w, x) == 1} | ({r.w} if r.w else set())
         assert set(r.v) == want and len(r.v) == len(want)
 
 
@@ -306,3 +306,106 @@ def test_sounds_and_priorities_of_departures(spark):
     # Known priorities are kept; with nothing scored, the last detection decides.
     assert p == {1: -1, 2: -1, 3: -2, 4: 1}
     assert n == {1: "bark", 2: "falling", 3: "pushover", 4: "pushover"}
+
+
+def test_unknown_classes_stay(spark):
+    from sightings.operators import postprocess
+
+    boxes = spark.createDataFrame([(1, 0), (2, 7)], "box_no int, tag_id int")
+    labels = spark.createDataFrame([(0, "dog")], "tag_id int, tag string")
+    got = {tuple(r) for r in postprocess.with_labels(boxes, labels).select("box_no", "tag", "unknown").collect()}
+    assert got == {(1, "dog", False), (2, None, True)}
+
+
+def test_a_missing_hash_is_no_repeat(spark):
+    from sightings.operators import changes
+
+    hashes = ["a", "a", None, None, "a", "b", "a"]
+    rows = [("deck", i, None, h) for i, h in enumerate(hashes)]
+    df = spark.createDataFrame(rows, "cam string, frame_no int, x string, hash string").selectExpr(
+        "*", "timestamp'2024-01-01 10:00:00' + make_interval(0,0,0,0,0,0,frame_no) as frame_ts"
+    )
+    kept = sorted(r.frame_no for r in changes.drop_repeat_frames(df).collect())
+    assert kept == [0, 2, 3, 4, 5, 6]
+
+
+def test_states_of_equal_time_have_an_order(spark):
+    from sightings.operators.state import asof_state
+
+    f = spark.sql("select 1 as frame_id, timestamp'2024-01-01 10:00:00' as frame_ts")
+    for rows in (("on", "off"), ("off", "on")):
+        s = spark.createDataFrame([("x", r) for r in rows], "entity string, state string").selectExpr(
+            "*", "timestamp'2024-01-01 09:00:00' as ts"
+        )
+        assert asof_state(f, s, ["x"]).first()["x"] == "on"
+
+
+def test_alerts_need_a_new_object_past_warm_up(spark):
+    from sightings.operators import alerts, changes
+
+    frames = spark.range(1, 6).selectExpr(
+        "'deck' as cam", "id as frame_id", "cast(id as int) as frame_no",
+        "timestamp'2024-01-01 10:00:00' + make_interval(0,0,0,0,0,0,id) as frame_ts",
+    )
+    seen = spark.createDataFrame([(2, True), (3, True), (4, False), (5, False), (5, True)], "frame_id long, is_new boolean")
+    gate = lambda once: sorted(
+        r[0] for r in alerts.alert_gate(seen, changes.warmed_up(frames, once=once)).collect()
+    )
+    assert gate(False) == [3, 5]
+    assert gate(True) == [2, 3, 5]
+
+
+def test_mailbox_is_silent(spark):
+    alerting = spark.createDataFrame([(1, "mailbox", 1), (2, "deck", 1), (3, "deck", 0)], "frame_id long, cam string, visible_vehicles long")
+    alpr = spark.createDataFrame([(i, ["K1"], 1) for i in (1, 2, 3)], "frame_id long, plates array<string>, count int")
+    known = spark.createDataFrame(
+        [("K1", 0, "Ann", "red", "Ford", "T", True)],
+        "plate string, ord int, owner string, color string, make string, model string, announce boolean",
+    )
+    states = spark.createDataFrame([(i, "on", "home") for i in (1, 2, 3)], "frame_id long, vehicle_detector string, presence string")
+    told = plates.told_plates(alerting, alpr, known)
+    assert {(r.frame_id, r.phrase) for r in told.collect()} == {(1, "Ann's red Ford T"), (2, "Ann's red Ford T")}
+    spoken = [(r.frame_id, r.spoken) for r in plates.plate_announcements(told, states).collect()]
+    assert spoken == [(2, "Ann's red Ford T in driveway")]
+
+
+def test_plate_lines_and_links(spark):
+    from sightings.operators import alerts
+
+    a = spark.createDataFrame(
+        [(1, "peach tree", "cat near it", ["cat", "dog"], True), (2, "deck", "m", ["cat"], False)],
+        "frame_id long, cam string, message string, tags array<string>, push boolean",
+    )
+    p = spark.createDataFrame([(1, 1, "B", "x"), (1, 0, "A", "Vehicle")], "frame_id long, pos int, plate string, phrase string")
+    d = alerts.with_plates(a, p)
+    assert {r.frame_id: r.message for r in d.collect()} == {1: "cat near it\nVehicle A\nx B", 2: "m"}
+    (row,) = alerts.pushes(d, "http://w").collect()
+    assert row.url == "http://w?file=1.jpg&model=color&cam=peach_tree&tags=cat,dog"
+
+
+def test_departures_tell_in_order_with_their_first_priority(spark):
+    from sightings.operators import alerts
+
+    at = lambda s: f"timestamp'2024-01-01 10:00:{s:02d}'"
+    first = "select * from values (1, 1, 0, 'cat', 't1', 2), (2, 2, 0, 'dog', 't2', -1), (2, 2, 1, 'cat', 't3', 1) as t(frame_id, frame_no, det_no, tag, track_id, priority)"
+    scored = spark.sql(first).selectExpr(
+        "*", "'deck' as cam", "true as is_new", "0.5D as prob", f"{at(0)} + make_interval(0,0,0,0,0,0,frame_no) as frame_ts"
+    )
+    gone = spark.sql("select * from values ('t1', 'cat', 9, true), ('t2', 'dog', 9, true), ('t3', 'cat', 9, true), ('t1', 'cat', null, true), ('t2', 'dog', 9, false) as t(track_id, tag, departed_frame, notify)")
+    gone = gone.selectExpr(
+        "*", "'deck' as cam", "7 as age", f"{at(50)} as departed_ts", "concat('bye ', track_id) as msg",
+        f"{at(0)} + make_interval(0,0,0,0,0,0,cast(substr(track_id, 2) as int)) as start_ts",
+    )
+    gate = spark.createDataFrame([(2,)], "frame_id long")
+    d = alerts.departing(gone, scored, scored, gate)
+    assert [(r.det_no, r.track_id, r.prior_priority) for r in d.orderBy("det_no").collect()] == [
+        (0, "t1", None), (1, "t3", 1), (2, "t2", -1),
+    ]
+    states = spark.sql("select 9L as frame_id, 'home' as mode, 'on' as vehicle_detector, 'on' as person_detector, 'outside' as dog_status, 'off' as vacation_mode")
+    none = spark.sql("select * from values (null, 'cat', -2), ('home', 'x', 0) as t(mode, tag, priority)")
+    sounds = spark.sql("select * from values ('departed', 'falling') as t(tag, sound)")
+    (a,) = alerts.departure_alerts(d, states, none, sounds).collect()
+    assert (a.message, a.priority, a.sound, a.push) == ("bye t1, bye t3, bye t2", -2, "falling", True)
+    told = d.filter("prior_priority is not null")
+    (a,) = alerts.departure_alerts(told, states, none, sounds).collect()
+    assert (a.priority, a.sound, a.tags) == (-1, "pushover", ["cat", "dog"])

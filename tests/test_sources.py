@@ -8,17 +8,17 @@ from sightings.sources import dims, frames, sidecars, sinks
 
 
 def test_frame_folder(spark, tmp_path):
-    cam = tmp_path / "deck" / "2024"
-    cam.mkdir(parents=True)
     cam = tmp_path / "deck"
+    (cam / "2024" / "01").mkdir(parents=True)
     now = time.time()
-    for name, age in [("a.jpg", 30), ("b.jpg", 60), ("old.jpg", 900), ("c.txt", 5)]:
+    for name, age in [("a.jpg", 30), ("2024/01/b.jpg", 60), ("old.jpg", 900), ("c.txt", 5)]:
         (cam / name).write_bytes(name.encode())
         os.utime(cam / name, (now - age, now - age))
     d = frames.read_frames_dir(spark, str(tmp_path))
     assert sorted(r.source.split("/")[-1] for r in d.collect()) == ["a.jpg", "b.jpg"]
     first = frames.next_files(d).collect()
     assert [(r.cam, r.source.split("/")[-1]) for r in first] == [("deck", "b.jpg")]
+    assert {r.cam for r in frames.read_frames_dir(spark, str(cam)).collect()} == {"2024", None}
     q = (
         frames.read_frames_dir(spark, str(tmp_path), stream=True)
         .writeStream.format("memory").queryName("dropped").trigger(availableNow=True).start()
@@ -47,13 +47,23 @@ def test_sidecar_files(spark, tmp_path):
     assert str(rows[0].time) == "2024-01-01 10:00:00.250000"
 
 
+def test_documents_without_predictions_stay(spark):
+    docs = spark.createDataFrame(
+        [(1, '{"source": "a", "predictions": [{"tagName": "dog"}]}'), (2, '{"source": "b", "predictions": []}'),
+         (3, "broken"), (4, None)],
+        "id int, body string",
+    )
+    got = [(r.id, r.status, r.pos) for r in sidecars.parse_sidecars(docs).orderBy("id").collect()]
+    assert got == [(1, "ok", 0), (2, "empty", None), (3, "unreadable", None), (4, "unreadable", None)]
+
+
 def test_sightings_by_day(spark, tmp_path):
     df = spark.sql(
         "select id as frame_id, timestamp'2024-01-01 20:00:00' + make_interval(0,0,0,0,cast(id as int))"
         " as frame_ts from range(10)"
     )
     path = str(tmp_path / "out")
-    sinks.write_sightings(df, path, files_per_day=2)
+    sinks.write_sightings(df, path)
     assert sorted(p for p in os.listdir(path) if p.startswith("dt=")) == [
         "dt=20240101", "dt=20240102",
     ]
