@@ -127,7 +127,7 @@ def repetitions(
         )
         .select("d.*", "part_size", "before", "source_size", "target", "whole", "extra")
     )
-    below = F.col("before") + F.col("part_size") <= F.col("extra")
+    below = (F.col("extra") > 0) & (F.col("before") + F.col("part_size") <= F.col("extra"))
     edge = ~below & (F.col("before") < F.col("extra"))
     inner = Window.partitionBy("source", "part").orderBy("draw", "doc_id", "text_key")
     upto = F.sum("size").over(inner.rangeBetween(Window.unboundedPreceding, 0)) + F.col("before")
