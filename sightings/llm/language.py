@@ -116,9 +116,11 @@ class ContextModel:
 def build(counts: pd.DataFrame, table_bytes: int = TABLE_BYTES) -> ContextModel:
     """Tables from lang, gram, n."""
     langs = sorted(counts["lang"].unique())
+    if not langs:
+        return ContextModel([], np.zeros(256, np.int32), 1, np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
     gram = counts["gram"].to_numpy()
     n = counts["n"].to_numpy().astype(np.float64)
-    lang = np.searchsorted(langs, counts["lang"].to_numpy().astype(str)) if langs else np.zeros(0, int)
+    lang = np.searchsorted(langs, counts["lang"].to_numpy().astype(str))
     seen = np.unique(np.concatenate([[0], *[gram >> s & 255 for s in (24, 16, 8, 0)]])).astype(int)
     letters = np.full(256, len(seen), np.int32)
     letters[seen] = np.arange(len(seen))
@@ -157,9 +159,7 @@ def build(counts: pd.DataFrame, table_bytes: int = TABLE_BYTES) -> ContextModel:
 
     # The table has a row per known context of any order; a context takes its longest known end.
     table = np.full((1, a, L), 8.0, np.float32)
-    rows = np.zeros(a**ORDER, np.int32)
-    filled, base = 0, np.zeros(a**ORDER, np.int32)
-    parts, below = [], table
+    base, below = np.zeros(1, np.int32), table
     for order in range(ORDER + 1):
         names, seen_here = level(order)
         suffix = names % a ** max(order - 1, 0)
@@ -172,8 +172,7 @@ def build(counts: pd.DataFrame, table_bytes: int = TABLE_BYTES) -> ContextModel:
         below = np.concatenate([below, here]) if order else here
         whole[names] = np.arange(len(below) - len(names), len(below))
         base = whole
-    rows[:] = base
-    return ContextModel(langs, letters, a, rows, below.reshape(-1, L))
+    return ContextModel(langs, letters, a, base, below.reshape(-1, L))
 
 
 def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, table_bytes: int = TABLE_BYTES) -> ContextModel:
