@@ -4,68 +4,119 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from sightings.functions.timing import epoch_us
 from sightings.session import ship
 
 
+#: Seconds of a key's own clock that its rows wait for earlier ones.
+WAIT_S = 300
+NEVER = (-(2**62), -1)
+
+
+def due(pending: pd.DataFrame, us: str, newest: int, wait_s: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(rows whose turn it is, rows that wait): those `wait_s` older than the newest are due."""
+    ready = pending[us] <= newest - wait_s * 1_000_000
+    return pending[ready], pending[~ready]
+
+
+def not_after(us: pd.Series, no: pd.Series, at: tuple) -> np.ndarray:
+    """Rows that aren't after a place in time."""
+    return ((us < at[0]) | ((us == at[0]) & (no <= at[1]))).to_numpy(bool)
+
+
+def joined(rows: Iterator[pd.DataFrame], pending, columns: list[str]) -> pd.DataFrame:
+    """The rows of a key that waited and the new ones."""
+    new = [d[columns] for d in rows]
+    held = [pd.DataFrame(list(pending.get()), columns=columns)] if pending.exists() else []
+    return pd.concat([*held, *new], ignore_index=True)
+
+
+def keep_waiting(pending, rows: pd.DataFrame) -> None:
+    if len(rows):
+        plain = rows.astype(object).where(rows.notna(), None)
+        pending.put(list(plain.itertuples(index=False, name=None)))
+    else:
+        pending.clear()
+
+
 class _Changed(StatefulProcessor):
     """Passes a row on when its value differs from the key's last one, in order of time.
 
-    Rows no newer than the last one of the key are dropped: they came late.
+    Rows wait until the key has one that is `wait_s` newer, and are then taken in order. A row
+    that comes later still, with newer ones already through, leaves at once, marked `late`.
     """
 
-    def __init__(self, value: str, value_type: str):
+    def __init__(self, value: str, value_type: str, columns: list[str], schema: str, wait_s: int):
         self.value, self.value_type = value, value_type
+        self.columns, self.schema, self.wait_s = columns, schema, wait_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState(
-            "last", f"value {self.value_type}, us long, no long"
+            "last", f"value {self.value_type}, us long, no long, newest long"
         )
+        self.pending = handle.getListState("pending", self.schema)
 
     def handleInputRows(
         self, key, rows: Iterator[pd.DataFrame], timerValues
     ) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["frame_ts", "frame_no"])
-        value, at = None, (-(2**62), -1)
+        batch = joined(rows, self.pending, self.columns)
+        value, at, newest = None, NEVER, NEVER[0]
         if self.last.exists():
-            value, us, no = self.last.get()
+            value, us, no, newest = self.last.get()
             at = (us, no)
+        newest = max(newest, int(batch["frame_ts"].max()))
+        late = not_after(batch["frame_ts"], batch["frame_no"], at)
+        yield batch[late].assign(late=True)
+        ready, wait = due(batch[~late], "frame_ts", newest, self.wait_s)
+        ready = ready.sort_values(["frame_ts", "frame_no"])
         keep = []
-        times = batch["frame_ts"].astype("datetime64[us]").astype("int64").tolist()
-        for v, us, no in zip(batch[self.value].tolist(), times, batch["frame_no"].tolist()):
+        for v, us, no in zip(ready[self.value], ready["frame_ts"].tolist(), ready["frame_no"].tolist()):
+            v = None if pd.isna(v) else v
             fresh = (us, no) > at
-            keep.append(fresh and v != value)
+            keep.append(fresh and (v is None or v != value))
             if fresh:
                 value, at = v, (us, no)
-        self.last.update((value, *at))
-        yield batch[keep]
+        self.last.update((value, *at, newest))
+        keep_waiting(self.pending, wait)
+        yield ready[np.array(keep, bool)].assign(late=False)
 
     def close(self) -> None:
         pass
 
 
-def _only_changes(df: DataFrame, keys: list[str], value: str, value_type: str) -> DataFrame:
+def _only_changes(df: DataFrame, keys: list[str], value: str, value_type: str, wait_s: int) -> DataFrame:
     ship(df.sparkSession)
-    return df.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Changed(value, value_type),
-        outputStructType=df.schema,
+    # Times are numbers inside the state.
+    times = [f.name for f in df.schema if f.dataType.typeName().startswith("timestamp")]
+    kinds = {f.name: f.dataType for f in df.schema}
+    d = df.withColumns({c: epoch_us(c) for c in times})
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
+    out = d.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_Changed(value, value_type, df.columns, schema, wait_s),
+        outputStructType=schema + ", late boolean",
         outputMode="Append",
         timeMode="None",
     )
+    return out.withColumns({c: F.timestamp_micros(c).cast(kinds[c]) for c in times})
+
 
+def drop_repeat_frames_stream(frames: DataFrame, wait_s: int = WAIT_S) -> DataFrame:
+    """Frames whose hash differs from that of the camera's frame before; late ones are marked.
 
-def drop_repeat_frames_stream(frames: DataFrame) -> DataFrame:
-    """Frames whose hash differs from that of the camera's frame before."""
-    return _only_changes(frames, ["cam"], "hash", "string")
+    A frame without a hash is no repeat.
+    """
+    return _only_changes(frames, ["cam"], "hash", "string", wait_s)
 
 
-def count_changes_stream(counts: DataFrame) -> DataFrame:
-    """Counts that differ from the last one sent for the camera and tag."""
-    return _only_changes(counts, ["cam", "tag"], "count", "long")
+def count_changes_stream(counts: DataFrame, wait_s: int = WAIT_S) -> DataFrame:
+    """Counts that differ from the last one sent for the camera and tag; late ones are marked."""
+    return _only_changes(counts, ["cam", "tag"], "count", "long", wait_s)
 
 
 def drop_old(frames: DataFrame, max_age: str = "5 minutes", arrival: str | None = None) -> DataFrame:

@@ -4,7 +4,8 @@ A stream of frames with their detections is taken through the narrow steps first
 road, regions, zones, threshold lookup: the same functions as in batch, on exploded rows).
 One processor then carries what needs order: tag presence, tracks and their expiry, and the
 published counts. All rows of a frame come from one input row, hence from one micro-batch.
-Frames no newer than the camera's last one never touch the state; they leave as `late` rows.
+Frames wait until their camera has one that is some minutes newer, and are then taken in order of
+time. Frames that come later still never touch the state; they leave as `late` rows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from sightings.functions.text import departure_text
 from sightings.functions.timing import epoch_us
 from sightings.operators.filters import (
     STICKY_CONFIDENCE,
@@ -23,11 +25,14 @@ from sightings.operators.filters import (
     begin,
     classify_road,
 )
-from sightings.operators.tracking import Track, lifetime, match
+from sightings.operators.tracking import NOTIFY_AGE, NOTIFY_SEEN_S, Track, lifetime, match
 from sightings.operators.zones import apply_exclusions
 from sightings.schema import BOX
 from sightings.session import ship
+from sightings.streaming.feed import NEVER, WAIT_S, due, joined, keep_waiting, not_after
 
+# Fixed value: frames of a camera before it may alert.
+WARM_FRAMES = 2
 FRAME_STREAM = (
     "frame_id long, cam string, frame_no long, frame_ts timestamp, "
     f"detections array<struct<det_no:int,tag_id:int,tag:string,prob:double,box:{BOX}>>"
@@ -35,12 +40,12 @@ FRAME_STREAM = (
 OUTPUT = (
     "cam string, kind string, frame_id long, frame_us long, det_no int, tag string, "
     "track_id string, iou double, age int, is_new boolean, start_us long, last_us long, "
-    "left double, top double, width double, height double, count int"
+    "left double, top double, width double, height double, count int, cam_age int"
 )
 _COLUMNS = [c.split(" ")[0] for c in OUTPUT.split(", ")]
 _PANDAS_TYPES = {
     "track_id": object, "tag": object, "is_new": "boolean",
-    "det_no": "Int32", "age": "Int32", "count": "Int32", "start_us": "Int64", "last_us": "Int64",
+    "det_no": "Int32", "age": "Int32", "count": "Int32", "cam_age": "Int32", "start_us": "Int64", "last_us": "Int64",
 }
 _TRACKS = (
     "tag string, track_id string, left double, top double, width double, height double, "
@@ -97,29 +102,37 @@ def prepare_stream(
 
 
 class CameraProcessor(StatefulProcessor):
-    """State of one camera: tracks in order, tags present, counts sent, last frame seen."""
+    """State of one camera: tracks, tags present, counts sent, frames seen, frames that wait."""
 
-    def __init__(self, hysteresis: bool = True, low: float = STICKY_CONFIDENCE):
+    def __init__(self, columns: list[str], schema: str, wait_s: int, hysteresis: bool = True, low: float = STICKY_CONFIDENCE):
+        self.columns, self.schema, self.wait_s = columns, schema, wait_s
         self.hysteresis, self.low = hysteresis, low
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tracks = handle.getListState("tracks", _TRACKS)
         self.present = handle.getListState("present", "tag string")
         self.counts = handle.getMapState("counts", "tag string", "count int")
-        self.seen = handle.getValueState("seen", "last_us long, frame_no long, show int")
+        self.seen = handle.getValueState(
+            "seen", "last_us long, frame_no long, show int, cam_age int, newest long"
+        )
+        self.pending = handle.getListState("pending", self.schema)
 
     def handleInputRows(
         self, key, rows: Iterator[pd.DataFrame], timerValues
     ) -> Iterator[pd.DataFrame]:
         cam = key[0]
-        batch = pd.concat(list(rows)).sort_values(["now_us", "frame_no", "det_no"])
+        batch = joined(rows, self.pending, self.columns)
         tracks = self._load_tracks()
         present = {r[0] for r in self.present.get()} if self.present.exists() else set()
         counts = {k[0]: v[0] for k, v in self.counts.iterator()}
-        last, show = (-(2**62), -1), -1
+        last, show, cam_age, newest = NEVER, -1, 0, NEVER[0]
         if self.seen.exists():
-            us, no, show = self.seen.get()
+            us, no, show, cam_age, newest = self.seen.get()
             last = (us, no)
+        newest = max(newest, int(batch["now_us"].max()))
+        late = not_after(batch["now_us"], batch["frame_no"], last)
+        ready, wait = due(batch[~late], "now_us", newest, self.wait_s)
+        batch = pd.concat([batch[late], ready]).sort_values(["now_us", "frame_no", "det_no"])
         out: list[dict] = []
         for (now, no), frame in batch.groupby(["now_us", "frame_no"], sort=False):
             head = frame.iloc[0]
@@ -128,7 +141,8 @@ class CameraProcessor(StatefulProcessor):
                 for r in frame.itertuples():
                     out.append({**base, "kind": "late", "det_no": int(r.det_no), "tag": r.tag})
                 continue
-            last = (int(now), int(no))
+            last, cam_age = (int(now), int(no)), cam_age + 1
+            base["cam_age"] = cam_age
             kept = [
                 r
                 for r in frame.itertuples()
@@ -143,7 +157,8 @@ class CameraProcessor(StatefulProcessor):
             present = {r.tag for r in valid}
             ages = self._track(base, tracks, valid, int(head.interval_s), out)
             show = self._publish(base, head.publish, ages, counts, show, out)
-        self._store(tracks, present, counts, last, show)
+        self._store(tracks, present, counts, (*last, show, cam_age, newest))
+        keep_waiting(self.pending, wait)
         d = pd.DataFrame(out, columns=_COLUMNS).astype(_PANDAS_TYPES)
         # A text column without any text would be taken for numbers.
         yield d.assign(track_id=d["track_id"].where(d["track_id"].notna(), None))
@@ -194,12 +209,12 @@ class CameraProcessor(StatefulProcessor):
             if counts.get(tag) != n:
                 counts[tag] = n
                 out.append({**base, "kind": "count", "tag": tag, "count": n})
-        if [p for p in publish.split(",") if p] and total != show:
+        if total != show:
             out.append({**base, "kind": "show", "count": total})
             show = total
         return show
 
-    def _store(self, tracks, present, counts, last, show):
+    def _store(self, tracks, present, counts, seen):
         def save(state, rows):
             state.put(rows) if rows else state.clear()
 
@@ -210,18 +225,31 @@ class CameraProcessor(StatefulProcessor):
         save(self.present, [(t,) for t in sorted(present)])
         for tag, n in counts.items():
             self.counts.updateValue((tag,), (n,))
-        self.seen.update((*last, show))
+        self.seen.update(seen)
 
     def close(self) -> None:
         pass
 
 
-def track_stream(prepared: DataFrame, hysteresis: bool = True) -> DataFrame:
-    """Tracked detections, departures, count changes and late rows of a prepared stream."""
+def track_stream(prepared: DataFrame, hysteresis: bool = True, wait_s: int = WAIT_S) -> DataFrame:
+    """Tracked detections, departures, count changes and late rows of a prepared stream.
+
+    `cam_age` is the camera's number of frames so far, `warm` whether it may alert by it; a
+    departure has its text as `msg`, and `notify` says whether it is told.
+    """
     ship(prepared.sparkSession)
-    return prepared.groupBy("cam").transformWithStateInPandas(
-        statefulProcessor=CameraProcessor(hysteresis),
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prepared.schema)
+    out = prepared.groupBy("cam").transformWithStateInPandas(
+        statefulProcessor=CameraProcessor(prepared.columns, schema, wait_s, hysteresis),
         outputStructType=OUTPUT,
         outputMode="Append",
         timeMode="None",
     )
+    seen = (F.col("frame_us") - F.col("start_us")) / 1e6
+    gone = F.col("kind") == "departed"
+    return out.select(
+        "*",
+        (F.col("cam_age") > WARM_FRAMES).alias("warm"),
+        F.when(gone, departure_text(F.col("tag"), F.col("cam"), F.col("age"), seen)).alias("msg"),
+        (gone & (seen > NOTIFY_SEEN_S) & (F.col("age") > NOTIFY_AGE)).alias("notify"),
+    )

@@ -1,4 +1,7 @@
 import json
+import os
+import random
+import time
 import uuid
 from datetime import timedelta
 
@@ -38,7 +41,10 @@ def write_frames(folder, frames, dets, parts, offset=0):
                 "frame_id": i, "cam": cam, "frame_no": i,
                 "frame_ts": ts.strftime("%Y-%m-%dT%H:%M:%SZ"), "detections": found,
             }))
-        (folder / f"{offset + p:04d}.json").write_text("\n".join(lines))
+        file = folder / f"{offset + p:04d}.json"
+        file.write_text("\n".join(lines))
+        # Streams take files in the order of their times.
+        os.utime(file, (1_700_000_000 + offset + p,) * 2)
 
 
 def prepared(spark, folder, interval, per_trigger):
@@ -92,7 +98,7 @@ def test_stream_equals_model(spark, tmp_path, per_trigger):
     src = tmp_path / "in"
     src.mkdir()
     write_frames(src, frames, dets, 5)
-    run(track_stream(prepared(spark, src, interval, per_trigger)), tmp_path / "out", tmp_path / "cp")
+    run(track_stream(prepared(spark, src, interval, per_trigger), wait_s=0), tmp_path / "out", tmp_path / "cp")
     got = check(spark, tmp_path / "out", rows, gone)
     assert not [r for r in got if r.kind == "late"]
     # Count changes: replayed from the model's rows.
@@ -112,9 +118,9 @@ def test_restart_goes_on(spark, tmp_path):
     src.mkdir()
     half = len(frames) // 2
     write_frames(src, frames[:half], dets, 2)
-    run(track_stream(prepared(spark, src, interval, 1)), tmp_path / "out", tmp_path / "cp")
+    run(track_stream(prepared(spark, src, interval, 1), wait_s=0), tmp_path / "out", tmp_path / "cp")
     write_frames(src, frames[half:], dets, 2, offset=50)
-    run(track_stream(prepared(spark, src, interval, 1)), tmp_path / "out", tmp_path / "cp")
+    run(track_stream(prepared(spark, src, interval, 1), wait_s=0), tmp_path / "out", tmp_path / "cp")
     check(spark, tmp_path / "out", rows, gone)
 
 
@@ -124,10 +130,10 @@ def test_late_frames_leave_the_state_alone(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     write_frames(src, frames, dets, 1)
-    run(track_stream(prepared(spark, src, interval, 1)), tmp_path / "out", tmp_path / "cp")
+    run(track_stream(prepared(spark, src, interval, 1), wait_s=0), tmp_path / "out", tmp_path / "cp")
     late = (10_000, frames[0][1], frames[3][2])
     write_frames(src, [late], {10_000: [(0, "car", (0.0, 0.0, 0.5, 0.5))]}, 1, offset=50)
-    run(track_stream(prepared(spark, src, interval, 1)), tmp_path / "out", tmp_path / "cp")
+    run(track_stream(prepared(spark, src, interval, 1), wait_s=0), tmp_path / "out", tmp_path / "cp")
     got = check(spark, tmp_path / "out", rows, gone)
     assert [(r.frame_id, r.tag) for r in got if r.kind == "late"] == [(10_000, "car")]
 
@@ -155,12 +161,65 @@ def test_repeat_frames_and_count_changes(spark, tmp_path):
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "f"))
     want = {(c, n) for c, n, _, h in rows
             if n == 0 or h != (hashes if c == "x" else hashes[::-1])[n - 1]}
-    got = memory(drop_repeat_frames_stream(src)).collect()
+    got = memory(drop_repeat_frames_stream(src, wait_s=0)).collect()
     assert {(r.cam, r.frame_no) for r in got} == want and len(got) == len(want)
 
     counts = src.select(
         "cam", "frame_no", "frame_ts", F.lit("dog").alias("tag"),
         F.ascii("hash").cast("long").alias("count"),
     )
-    got = memory(count_changes_stream(counts)).collect()
+    got = memory(count_changes_stream(counts, wait_s=0)).collect()
     assert {(r.cam, r.frame_no) for r in got} == want and len(got) == len(want)
+
+
+def test_frames_in_any_order_within_the_wait(spark, tmp_path):
+    """Files shuffled within five minutes give the model's rows; a last frame sets all free."""
+    frames, dets, interval = random_archive(14, cams=2, n=60, outage=0, empty=0.1)
+    rows, gone = track_model(frames, dets, interval)
+    src = tmp_path / "in"
+    src.mkdir()
+    end = max(t for _, _, t in frames) + timedelta(hours=2)
+    mixed = list(frames)
+    rng = random.Random(3)
+    for _ in range(200):  # neighbours of less than four minutes change places
+        i = rng.randrange(len(mixed) - 1)
+        if abs((mixed[i][2] - mixed[i + 1][2]).total_seconds()) < 60:
+            mixed[i], mixed[i + 1] = mixed[i + 1], mixed[i]
+    place = {f[0]: k for k, f in enumerate(mixed)}
+    disorder = max(
+        (a[2] - b[2]).total_seconds() for a in mixed for b in mixed
+        if a[1] == b[1] and place[a[0]] < place[b[0]]
+    )
+    assert 0 < disorder < 300
+    last = [(20_000 + k, cam, end) for k, cam in enumerate(sorted({c for _, c, _ in frames}))]
+    write_frames(src, mixed, dets, 12)
+    write_frames(src, last, {}, 1, offset=50)
+    flush = [(30_000 + k, cam, end + timedelta(minutes=6)) for k, (_, cam, _) in enumerate(last)]
+    write_frames(src, flush, {}, 1, offset=60)
+    run(track_stream(prepared(spark, src, interval, 1)), tmp_path / "out", tmp_path / "cp")
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert not [r for r in got if r.kind == "late"]
+    found = sorted((r.frame_id, r.det_no, r.track_id) for r in got if r.kind == "det")
+    _, more = track_model(frames + last, dets, interval)
+    assert len(found) == len(rows)
+    told = [r for r in got if r.kind == "departed"]
+    assert len(told) == len([g for g in more if g[4] is not None])
+    assert all(r.msg.startswith(f"{r.tag} departed from {r.cam}") for r in told)
+    ages = {}
+    for r in sorted((r for r in got if r.kind == "det"), key=lambda r: r.frame_us):
+        assert r.cam_age >= ages.get(r.cam, 0) and r.warm == (r.cam_age > 2)
+        ages[r.cam] = r.cam_age
+
+
+def test_late_rows_of_the_feed_are_marked(spark, tmp_path):
+    schema = "cam string, frame_no long, frame_ts timestamp, hash string"
+    order = [0, 2, 1, 4, 3, 5, 900, 1, 2000]
+    for k, n in enumerate(order):
+        row = [("x", n, T0 + timedelta(seconds=n), None if n == 5 else "AABBA"[n] if n < 5 else "Z")]
+        spark.createDataFrame(row, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "f"))
+        time.sleep(0.05)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "f"))
+    got = memory(drop_repeat_frames_stream(src)).collect()
+    assert sorted(r.frame_no for r in got if not r.late) == [0, 2, 4, 5, 900]
+    assert [r.frame_no for r in got if r.late] == [1]
+    assert all(r.frame_ts == T0 + timedelta(seconds=r.frame_no) for r in got)
