@@ -140,8 +140,12 @@ def throttle(
     )
     span = nodes.groupBy(*keys, "_chain").agg((F.max(us) - F.min(us)).alias("_span"))
     longest = span.agg(F.max("_span")).first()[0] or 0
-    fired = nodes.filter("_fresh").select(*keys, us)
-    jump = nodes.filter("_next is not null").select(*keys, us, "_next")
+    # Most chains end at once; only those of more than a period go through the loop.
+    long = span.filter(F.col("_span") > period).select(*keys, "_chain")
+    first = nodes.filter("_fresh").select(*keys, us)
+    follow = nodes.join(long, [*keys, "_chain"], "left_semi")
+    fired = follow.filter("_fresh").select(*keys, us)
+    jump = follow.filter("_next is not null").select(*keys, us, "_next")
     for _ in range(math.ceil(math.log2(longest // period + 2)) if longest > period else 0):
         step = fired.join(jump, [*keys, us]).select(*keys, F.col("_next").alias(us))
         fired = cut(fired.unionByName(step).distinct())
@@ -149,7 +153,7 @@ def throttle(
         jump = cut(
             jump.join(far, [*keys, "_next"]).select(*keys, us, F.col("_far").alias("_next"))
         )
-    picked = fired.join(nodes.select(*keys, us, "_tie"), [*keys, us])
+    picked = first.unionByName(fired).distinct().join(nodes.select(*keys, us, "_tie"), [*keys, us])
     hit = d.join(picked, [*keys, us])
     if tie:
         return hit.filter(F.col(tie) == F.col("_tie")).drop(us, "_tie")

@@ -64,34 +64,25 @@ def route_review(flags: DataFrame, files: DataFrame, projects: DataFrame) -> Dat
 
     flags: file, tags (comma list) and more; files: file; projects: project_id, classes.
     Status 404 = no such file, 400 = no project, ready = one row per project. Tags and
-    classes meet in an equi-join, so nothing is crossed.
+    classes meet in an equi-join, so nothing is crossed; flags are read once. A flag that
+    repeats in all its columns is routed once.
     """
     named = flags.withColumn("file", base_name("file"))
     here = files.select(base_name("file").alias("file")).distinct().withColumn("_here", F.lit(True))
     d = named.join(here, "file", "left").withColumn("_here", F.coalesce("_here", F.lit(False)))
     wanted = F.array_distinct(F.filter(F.split("tags", ","), lambda t: t != ""))
     classes = projects.select("project_id", F.explode("classes").alias("_tag"))
-    routes = (
-        d.filter("_here")
-        .select("file", "tags", F.explode(wanted).alias("_tag"))
-        .join(classes, "_tag")
-        .select("file", "tags", "project_id")
-        .distinct()
+    found = (
+        d.withColumn("_tag", F.explode_outer(F.when(F.col("_here"), wanted)))
+        .join(classes, "_tag", "left")
+        .groupBy(*named.columns, "_here")
+        .agg(F.array_sort(F.collect_set("project_id")).alias("_projects"))
     )
-    cols = named.columns
-    missing = d.filter(~F.col("_here")).select(
-        *cols, F.lit("404").alias("status"), F.lit(None).cast("string").alias("project_id")
+    none = F.size("_projects") == 0
+    status = F.when(~F.col("_here"), "404").when(none, "400").otherwise("ready")
+    return found.select(
+        *named.columns, status.alias("status"), F.explode_outer("_projects").alias("project_id")
     )
-    there = (
-        d.filter("_here")
-        .join(routes, ["file", "tags"], "left")
-        .select(
-            *cols,
-            F.when(F.col("project_id").isNull(), "400").otherwise("ready").alias("status"),
-            "project_id",
-        )
-    )
-    return missing.unionByName(there)
 
 
 def review_queue(flags: DataFrame, files: DataFrame, projects: DataFrame) -> DataFrame:
