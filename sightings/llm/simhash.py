@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -69,27 +70,41 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
-def segments(distance: int = DISTANCE) -> list[tuple[int, int]]:
-    """(first bit, bits) of the fewest segments of which one differs in at most one bit.
+def signature_plan(rows: int, distance: int = DISTANCE) -> list[list[int]]:
+    """Bit places of the keys, one list per choice of segments.
 
-    Of m segments, one has at most distance / m of the differing bits.
+    The bits are cut into the fewest segments of which one differs in at most one bit: three for
+    a distance of 4. A key of so few bits collides by chance where there are many fingerprints,
+    so with their number the key takes 2, 3, ... of as many segments as make sure that these
+    together differ in at most one bit. Every plan finds every pair; only the chance meetings
+    differ, of which a bucket of a plan has eight or fewer on average.
     """
-    m = distance // 2 + 1
-    cuts = [64 * k // m for k in range(m + 1)]
-    return [(a, z - a) for a, z in zip(cuts, cuts[1:])]
-
-
-def signatures(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """fp, key: for each segment, its bits with each one left out in turn.
-
-    Two segments that differ in at most one bit share the variant that leaves this bit out.
+    taken = 1
+    while True:
+        m = distance // 2 + 1 if taken == 1 else taken + distance - 1
+        cuts = [64 * k // m for k in range(m + 1)]
+        choices = [
+            [bit for s in chosen for bit in range(cuts[s], cuts[s + 1])]
+            for chosen in combinations(range(m), taken)
+        ]
+        if rows >> (min(map(len, choices)) - 1) <= 8 or taken == 4:
+            return choices
+        taken += 1
+
+
+def signatures(nodes: DataFrame, plan: list[list[int]]) -> DataFrame:
+    """fp, key: for each choice of segments, its bits with each one left out in turn.
+
+    Two of them that differ in at most one bit share the variant that leaves this bit out.
     """
     variants = []
-    for first, bits in segments(distance):
-        for bit in range(first, first + bits):
-            mask = ((1 << bits) - 1) << first & ~(1 << bit)
+    for k, bits in enumerate(plan):
+        whole = sum(1 << b for b in bits)
+        for bit in bits:
+            mask = whole & ~(1 << bit)
             mask -= (mask >> 63) << 64  # as a signed number
-            variants.append(F.xxhash64(F.lit(bit), F.col("fp").bitwiseAND(F.lit(mask).cast("long"))))
+            name = F.lit(64 * k + bit)
+            variants.append(F.xxhash64(name, F.col("fp").bitwiseAND(F.lit(mask).cast("long"))))
     return nodes.select("fp", F.explode(F.array(*variants)).alias("key"))
 
 
@@ -131,82 +146,112 @@ def spanning_links(left: np.ndarray, right: np.ndarray, distance: int) -> tuple[
     return np.concatenate(a_out), np.concatenate(b_out)
 
 
-def _bucket_links(batches: Iterator[pd.DataFrame], distance: int) -> Iterator[pd.DataFrame]:
-    """Links within buckets from rows sorted by bucket; side 0 meets side 1, side 2 itself."""
-
-    def found(d: pd.DataFrame) -> pd.DataFrame:
-        fp = d["fp"].to_numpy().view(np.uint64)
-        names = d[["key", "pair"]].to_numpy()
-        new = np.ones(len(d), bool)
-        new[1:] = (names[1:] != names[:-1]).any(axis=1)
-        starts = np.append(np.nonzero(new)[0], len(d))
-        sizes = np.diff(starts)
-        a, b = [fp[:0]], [fp[:0]]
-        # Buckets of a few: all their pairs at once, by the distance of their places.
-        small = np.repeat(sizes <= 8, sizes) & (d["side"].to_numpy() == 2)
-        group = np.repeat(np.arange(len(sizes)), sizes)
-        for step in range(1, 8):
-            i = np.nonzero(small[:-step] & (group[:-step] == group[step:]))[0] if len(d) > step else fp[:0]
-            if not len(i):
-                break
-            i = i[_apart(fp[i] ^ fp[i + step]) <= distance]
-            a.append(fp[i])
-            b.append(fp[i + step])
-        for s, z in zip(starts[:-1][~small[starts[:-1]]], starts[1:][~small[starts[:-1]]]):
-            side = d["side"].to_numpy()[s:z]
-            own = fp[s:z]
-            if side[0] == 2:
-                x, y = spanning_links(own, own, distance)
-            else:
-                x, y = spanning_links(own[side == 0], own[side == 1], distance)
-            a.append(x)
-            b.append(y)
-        out = pd.DataFrame(
-            {"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)}
-        )
-        return out.drop_duplicates()
-
-    held: list[pd.DataFrame] = []
-    n = 0
+def _links_of(d: pd.DataFrame, distance: int) -> pd.DataFrame:
+    """Links within whole buckets; rows sorted by bucket. Side 0 meets side 1, side 2 itself."""
+    fp, side = d["fp"].to_numpy().view(np.uint64), d["side"].to_numpy()
+    names = d[["key", "pair"]].to_numpy()
+    new = np.ones(len(d), bool)
+    new[1:] = (names[1:] != names[:-1]).any(axis=1)
+    starts = np.nonzero(new)[0]
+    sizes = np.diff(np.append(starts, len(d)))
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    a, b = [fp[:0]], [fp[:0]]
+    # Buckets of a few: all their pairs at once, by the distance of their places.
+    few = (sizes <= 8) & (side[starts] == 2)
+    small = few[group]
+    for step in range(1, 8):
+        i = np.nonzero(small[:-step] & (group[:-step] == group[step:]))[0] if len(d) > step else starts[:0]
+        i = i[_apart(fp[i] ^ fp[i + step]) <= distance]
+        a.append(fp[i])
+        b.append(fp[i + step])
+    for g in np.nonzero(~few)[0]:
+        own = slice(starts[g], starts[g] + sizes[g])
+        if side[own.start] == 2:
+            x, y = spanning_links(fp[own], fp[own], distance)
+        else:
+            x, y = spanning_links(fp[own][side[own] == 0], fp[own][side[own] == 1], distance)
+        a.append(x)
+        b.append(y)
+    out = pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
+    return out.drop_duplicates().assign(large=0)
+
+
+def _bucket_links(
+    batches: Iterator[pd.DataFrame], distance: int, most: int
+) -> Iterator[pd.DataFrame]:
+    """a, b, large: links within buckets, from rows sorted by bucket.
+
+    A bucket of more than `most` rows is only counted: its row has the key as a, its size as
+    large. So a task holds some thousand rows, whatever the buckets.
+    """
+    held = pd.DataFrame({"key": [], "pair": [], "fp": [], "side": []}).astype(np.int64)
+    counted, n = None, 0
     for d in batches:
-        held.append(d)
-        n += len(d)
-        if n < 50_000:
-            continue
-        whole = pd.concat(held, ignore_index=True)
-        last = (whole["key"] == whole["key"].iloc[-1]) & (whole["pair"] == whole["pair"].iloc[-1])
-        if not last.all():
-            yield found(whole[~last])
-        held = [whole[last].reset_index(drop=True)]
-        n = len(held[0])
-    if held and n:
-        yield found(pd.concat(held, ignore_index=True))
+        if counted is not None:
+            more = (d["key"] == counted[0]) & (d["pair"] == counted[1])
+            n += int(more.sum())
+            if more.all():
+                continue
+            yield pd.DataFrame({"a": [counted[0]], "b": [counted[1]], "large": [n]})
+            counted, d = None, d[~more]
+        held = pd.concat([held, d], ignore_index=True)
+        last = (held["key"] == held["key"].iloc[-1]) & (held["pair"] == held["pair"].iloc[-1])
+        if last.sum() > most:
+            counted, n = (held["key"].iloc[-1], held["pair"].iloc[-1]), int(last.sum())
+            if not last.all():
+                yield from _in_parts(held[~last], distance, most)
+            held = held.iloc[:0]
+        elif len(held) >= 50_000 and not last.all():
+            yield from _in_parts(held[~last], distance, most)
+            held = held[last]
+    if counted is not None:
+        yield pd.DataFrame({"a": [counted[0]], "b": [counted[1]], "large": [n]})
+    elif len(held):
+        yield from _in_parts(held, distance, most)
+
+
+def _in_parts(d: pd.DataFrame, distance: int, most: int) -> Iterator[pd.DataFrame]:
+    """Whole buckets, those that are too large counted."""
+    n = d.groupby(["key", "pair"])["fp"].transform("size")
+    for (key, pair), k in d[n > most].groupby(["key", "pair"]).size().items():
+        yield pd.DataFrame({"a": [key], "b": [pair], "large": [int(k)]})
+    rest = d[n <= most]
+    if len(rest):
+        yield _links_of(rest, distance)
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """a, b: verified links of distinct fingerprints (column fp) that connect all that is near.
 
     Fingerprints that share a signature meet by a shuffle on it. A bucket of more than `block`
-    is cut into blocks, and each pair of blocks is a task's piece of work, so that neither
-    memory nor time of a task grows with the bucket.
+    is found on the way and cut into blocks; each pair of blocks is then a task's piece of work,
+    so that neither memory nor time of a task grows with the bucket.
     """
-    signed = signatures(nodes, distance)
-    sizes = signed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = cut(sizes)
-    # One row per bucket of more than one; those of one are left out before the second shuffle.
-    met = signed.join(sizes, "key")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit("block")), blocks).cast("int")
-    met = met.withColumn("blocks", blocks).withColumn("own", own)
-    whole = met.filter("blocks = 1").select("key", F.lit(0).alias("pair"), "fp", F.lit(2).alias("side"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = met.filter("blocks > 1").select("key", "fp", "blocks", "own", other)
+    signed = signatures(nodes, signature_plan(nodes.count(), distance))
+
+    def meet(rows: DataFrame, most: int) -> DataFrame:
+        dealt = rows.repartition("key", "pair").sortWithinPartitions("key", "pair", "side", "fp")
+        return dealt.mapInPandas(
+            lambda x: _bucket_links(x, distance, most), "a long, b long, large long"
+        )
+
+    alone = signed.select("key", F.lit(0).cast("long").alias("pair"), "fp", F.lit(2).cast("long").alias("side"))
+    first = cut(meet(alone, block))
+    found = first.filter("large = 0").select("a", "b")
+    large = first.filter("large > 0").select(F.col("a").alias("key"), "large")
+    if large.isEmpty():
+        return found.distinct()
+    blocks = F.ceil(F.col("large") / block * 2).cast("long")
+    met = signed.join(large.withColumn("blocks", blocks), "key")
+    met = met.withColumn("own", F.pmod(F.xxhash64("fp", F.lit("block")), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    met = met.select("key", "fp", "blocks", "own", other)
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
-    dealt = dealt.select("key", (low * F.col("blocks") + high + 1).alias("pair"), "fp", side.alias("side"))
-    rows = whole.unionByName(dealt).repartition("key", "pair").sortWithinPartitions("key", "pair", "side", "fp")
-    found = rows.mapInPandas(lambda x: _bucket_links(x, distance), "a long, b long")
-    return found.distinct()
+    pairs = met.select("key", (low * F.col("blocks") + high).alias("pair"), "fp", side.cast("long").alias("side"))
+    # Blocks are of half the size on average; one is never counted only.
+    more = meet(pairs, 1 << 62).select("a", "b")
+    return found.unionByName(more).distinct()
 
 
 def near_groups(
