@@ -16,15 +16,15 @@ def asof_state(
     states: DataFrame,
     entities: Sequence[str],
     slice_s: int = 600,
-    buckets: int = 32,
+    buckets: int = 4,
     tie: str = "state",
 ) -> DataFrame:
     """Last known state of each entity at each frame, all entities in one pass.
 
     states: entity, ts, state. Adds one column per entity, and `missing_state` where some
     entity was never seen. Of states of one entity and time the last by `tie` holds. All cameras
-    share the switches, so frames are dealt into buckets and each bucket gets the states, which
-    are few against frames.
+    share the switches, so frames are dealt into buckets and each bucket gets all states: set
+    `buckets` by how many frames there are for each state.
     """
     cols = frames.columns
     f = frames.select(

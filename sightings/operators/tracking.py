@@ -50,7 +50,8 @@ _NEVER = -(2**62)
 #   det    a detection: its track (own birth or a slot of the start state), age, iou, box
 #   done   a track that began and ended inside the piece
 #   cross  what became of a track that was there at the start or lives on after the end
-#   end    the end state of the piece, with the start state it was folded from
+#   end    the end state of the piece, with the start state it was folded from; last_us is the
+#          time of the frame before its first one, age the camera's interval
 _FOLD = (
     "cam string, tag string, piece long, kind string, frame_id long, det_no int, "
     "birth_frame long, birth_det int, birth_us long, slot int, to_slot int, is_rep boolean, "
@@ -118,6 +119,7 @@ class _Piece:
 
     def __init__(self, key, out):
         self.key, self.out = key, out
+        self.first_prev: int | None = None
         self.tracks: list[Track] = []
         self.start: list[dict] = []
         self.interval = 0
@@ -154,6 +156,8 @@ class _Piece:
         self.newborn = []
 
     def see(self, frame_id, det_no, now, prev, interval, box):
+        if self.first_prev is None:
+            self.first_prev = prev
         if frame_id != self.frame:
             self.flush_newborn()
             self.frame, self.interval = frame_id, interval
@@ -194,6 +198,8 @@ class _Piece:
                 self.row("cross", birth=t.birth, age=t.age, **v)
         self.row(
             "end",
+            age=self.interval,
+            last_us=self.first_prev,
             start_state=self.start,
             end_state=[dict(zip(_STATE_FIELDS, k)) for k in slots],
         )
@@ -300,26 +306,22 @@ def _start_states(ends: DataFrame) -> DataFrame:
     )
 
 
+def _ends(rows: DataFrame) -> DataFrame:
+    return rows.filter("kind = 'end'").select(
+        *PIECE, F.col("last_us").alias("first_prev_us"), F.col("age").alias("interval_s"),
+        "start_state", "end_state",
+    )
+
+
 def fold_archive(
     df: DataFrame, frames: DataFrame, cameras: DataFrame, slice_s: int = 6 * HOUR
 ) -> tuple[DataFrame, DataFrame]:
     """Exact fold of all pieces. Returns (fold rows, piece summary)."""
     ship(df.sparkSession)
     dets = cut(_prepare(df, frames, cameras, slice_s))
-    heads = settle(
-        dets.groupBy(*PIECE).agg(
-            F.min_by("prev_us", F.struct("rank_us", "frame_no", "det_no")).alias("first_prev_us"),
-            F.first("interval_s").alias("interval_s"),
-        )
-    )
     versions = [cut(_run_fold(dets, None))]
     redone: list[DataFrame] = []
-    ends = (
-        versions[0]
-        .filter("kind = 'end'")
-        .select(*PIECE, "start_state", "end_state")
-        .join(heads, PIECE)
-    )
+    ends = _ends(versions[0])
     while True:
         entering = settle(_start_states(ends))
         stale = entering.filter(F.col("state") != F.col("start_state")).select(*PIECE, "state")
@@ -328,11 +330,10 @@ def fold_archive(
         again = cut(_run_fold(dets.join(stale.select(*PIECE), PIECE, "left_semi"), stale))
         redone.append(stale.select(*PIECE))
         versions.append(again)
-        fresh = again.filter("kind = 'end'").select(*PIECE, "start_state", "end_state")
         ends = (
             entering.select(*PIECE, "first_prev_us", "interval_s", "start_state", "end_state")
             .join(stale.select(*PIECE), PIECE, "left_anti")
-            .unionByName(fresh.join(heads, PIECE))
+            .unionByName(_ends(again))
         )
     rows = versions[-1]
     for i in range(len(versions) - 1):

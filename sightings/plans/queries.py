@@ -138,10 +138,10 @@ def _linked_frames(spark, sf):
     return cut(filters.link_frames(X.frames(spark, sf)))
 
 
-def _kept(spark, sf):
+def _kept(spark, sf, frames=None):
     return filters.hysteresis_filter(
         cut(X.prepared(spark, sf)),
-        _linked_frames(spark, sf),
+        _linked_frames(spark, sf) if frames is None else frames,
         X.dim(spark, "thresholds_t"),
         THRESHOLD,
     )
@@ -322,7 +322,9 @@ class Pipeline:
 
     @cached_property
     def _tracks(self):
-        return tracking.track_all(filters.valid(_kept(self.spark, self.sf)), self.frames, self.cameras)
+        return tracking.track_all(
+            filters.valid(_kept(self.spark, self.sf, self.frames)), self.frames, self.cameras
+        )
 
     @cached_property
     def tracked(self):
