@@ -2,12 +2,101 @@
 
 from __future__ import annotations
 
+from sightings.llm.licenses import MIN_COSINE, STOP_WORDS, TEMPLATES
+
 _WORD = r"[^\x20\x09-\x0D]+"
 _TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+
+
+def _texts(items) -> str:
+    return "[" + ", ".join("'" + i.replace("'", "''") + "'" for i in items) + "]"
+
+
+_TEMPLATES = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(TEMPLATES))
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Five digits of the digest are twenty bits, or four letters.
+_DIGEST = " || ".join(
+    f"substr('{_BASE32}', ((('0x' || substr(sha, {5 * g + 1}, 5))::BIGINT >> {b}) & 31)::INT + 1, 1)"
+    for g in range(8)
+    for b in (15, 10, 5, 0)
+)
+
 SQL = {
+    "op4_license_scan": rf"""
+WITH f AS (
+  SELECT doc_id AS file_id, text, doc_id // 1000 || '/' AS a, doc_id // 100 || '/' AS b, doc_id // 10 || '/' AS c
+  FROM documents
+), files AS (
+  SELECT file_id, text, CASE
+    WHEN file_id % 1000 = 0 THEN a || 'LICENSE' WHEN file_id % 100 = 0 THEN a || b || 'LICENSE'
+    WHEN file_id % 10 = 0 THEN a || b || c || 'LICENSE' ELSE a || b || c || file_id || '.txt' END AS path
+  FROM f
+), tw AS (
+  SELECT t, name, w, count(*) AS n
+  FROM (SELECT t, name, unnest(regexp_extract_all(lower(body), '[\pL\pN]+')) AS w
+        FROM (VALUES {_TEMPLATES}) AS v(t, name, body))
+  WHERE NOT list_contains({_texts(STOP_WORDS)}, w) GROUP BY ALL
+), vocab AS (SELECT list(DISTINCT w) AS v FROM tw),
+lines AS (
+  SELECT file_id, pos, list_filter(regexp_extract_all(lower(line), '[\pL\pN]+'),
+    lambda w: NOT list_contains({_texts(STOP_WORDS)}, w)) AS found
+  FROM (SELECT file_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM files)
+), marked AS (
+  SELECT file_id, pos, len(found) AS n, list_filter(found, lambda w: list_contains(v, w)) AS own FROM lines, vocab
+), units AS (
+  SELECT file_id, pos, own, n FROM marked WHERE len(own) > 0
+  UNION ALL
+  SELECT file_id, -1, flatten(list(own ORDER BY pos)), sum(n) FROM marked GROUP BY file_id HAVING sum(len(own)) > 0
+), df AS (
+  SELECT w, count(DISTINCT file_id) AS df
+  FROM (SELECT file_id, unnest(own) AS w FROM units WHERE pos = -1) GROUP BY w
+), idf AS (
+  SELECT DISTINCT tw.w, ln((1.0 + (SELECT count(*) FROM files)) / (1.0 + coalesce(df, 0))) + 1 AS idf
+  FROM tw LEFT JOIN df USING (w)
+), tf AS (
+  SELECT file_id, pos, u.others, u.w, count(*) * any_value(idf) AS weight
+  FROM (SELECT file_id, pos, n - len(own) AS others, unnest(own) AS w FROM units) u JOIN idf ON idf.w = u.w
+  GROUP BY ALL
+), norm AS (
+  SELECT file_id, pos, sqrt(sum(weight * weight)
+    + max(others) * pow(ln(1.0 + (SELECT count(*) FROM files)) + 1, 2)) AS norm FROM tf GROUP BY ALL
+), tv AS (
+  SELECT t, name, w, n * idf / sqrt(sum(n * n * idf * idf) OVER (PARTITION BY t)) AS unit FROM tw JOIN idf USING (w)
+), best AS (
+  SELECT file_id, min({{'c': -round(c, 9), 'name': name}}) AS b
+  FROM (SELECT file_id, name, sum(weight * unit) / any_value(norm) AS c
+        FROM tf JOIN norm USING (file_id, pos) JOIN tv USING (w) GROUP BY file_id, pos, t, name)
+  WHERE round(c, 9) >= {MIN_COSINE} GROUP BY file_id
+), own AS (
+  SELECT files.file_id, path, b.name AS own_license, -b.c AS own_cosine FROM files LEFT JOIN best USING (file_id)
+), dirs AS (
+  SELECT regexp_replace(path, '/[^/]*$', '') AS dir, min({{'c': -own_cosine, 'path': path, 'name': own_license}}) AS d
+  FROM own WHERE own_license IS NOT NULL AND path LIKE '%/LICENSE' GROUP BY 1
+), above AS (
+  SELECT file_id, k, array_to_string(list_slice(string_split(path, '/'), 1, k), '/') AS dir
+  FROM (SELECT file_id, path, unnest(range(1, len(string_split(path, '/')))) AS k FROM own WHERE own_license IS NULL)
+), near AS (
+  SELECT file_id, arg_max(d, k) AS d FROM above JOIN dirs USING (dir) GROUP BY file_id
+)
+SELECT file_id, path, own_license, round(own_cosine, 6) AS own_cosine,
+  coalesce(own_license, d.name) AS license,
+  CASE WHEN own_license IS NOT NULL THEN path ELSE d.path END AS from_path
+FROM own LEFT JOIN near USING (file_id)
+""",
+    "op9_seekable_warc": rf"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first,
+    sha1(coalesce(html, '')) AS sha FROM pages
+)
+SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, {_DIGEST} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, true AS intact
+FROM p
+""",
     "op2_mix_sources": rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS size,
