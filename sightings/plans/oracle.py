@@ -657,9 +657,8 @@ ORACLE: dict[str, str] = {
                d.tag, d.tag_id, d.prob, d.ignore, d.l as left, d.t as top
         from prep d join frm f on f.frame_id = d.frame_id""",
     "s4_sightings_today": """
-        select *, dt = max(dt) over () as is_today
-        from (select strftime(frame_ts, '%Y%m%d') as dt, count(*) as frames,
-                     count(distinct cam) as cams from frm group by dt)""",
+        select frame_id, cam, strftime(frame_ts, '%Y%m%d') as dt from frm
+        where strftime(frame_ts, '%Y%m%d') = (select max(strftime(frame_ts, '%Y%m%d')) from frm)""",
     "s7_latest_by_tag": """
         select tag, arg_max(frame_id, {'a': frame_ts, 'b': frame_id}) as frame_id,
                max(frame_ts) as frame_ts
@@ -866,8 +865,9 @@ ORACLE: dict[str, str] = {
         select d.frame_id, d.det_no, round(r.road_y, 6) as road_y
         from det d left join road_hit r on r.frame_id = d.frame_id and r.det_no = d.det_no""",
     "x4_parse_road": """
-        select c.cam, c.road_mode, n.n, cast(p.k as int) as points, round(p.s, 6) as sum_xy
-        from cams c join (select cam, count(*) as n from det group by cam) n on n.cam = c.cam
+        select d.frame_id, d.det_no, d.cam, c.road_mode, cast(p.k as int) as points,
+               round(p.s, 6) as sum_xy
+        from det d join cams c on c.cam = d.cam
         left join (select cam, count(*) as k, sum(x + y) as s from road_pts group by cam) p
           on p.cam = c.cam""",
     "x7_decode_grid": """
@@ -983,6 +983,8 @@ ORACLE: dict[str, str] = {
                strftime(frame_ts, '%H%M%S') || '-' || replace(cam, ' ', '_') || '-'
                  || array_to_string(tags, '_') as name from save""",
     "c1_catalogue": """
+        select *, '{"name":"' || title || '","state_topic":"' || topic || '","uniq_id":"' || uniq_id
+          || '"' || coalesce(',"icon":"' || icon || '"', '') || '}' as payload from (
         with c as (select * from cams where cam in (select cam from det))
         select x.cam, x.tag, 'sensor' as kind, x.key || '-' || x.tag as uniq_id,
           list_reduce(list_transform(string_split(x.cam || ' ' || x.tag || ' count', ' '),
@@ -996,7 +998,7 @@ ORACLE: dict[str, str] = {
           'Show ' || list_reduce(list_transform(string_split(cam, ' '),
              lambda p: array_to_string(list_transform(string_split(p, '-'),
                lambda q: upper(q[1]) || q[2:]), '-')), lambda a, b: a || ' ' || b),
-          replace(cam, ' ', '_') || '/show', null from c""",
+          replace(cam, ' ', '_') || '/show', null from c)""",
     "c2_review_queue": """
         select file, status, project_id, replace(file, '.jpg', '') as name,
                replace(cam, ' ', '_') || ',' || model as upload_tags from rt""",

@@ -6,6 +6,7 @@ value by value with the SQL of `oracle.py`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -29,7 +30,7 @@ from sightings.operators import (
 from sightings.operators.ordered import lag, running
 from sightings.plans import fixtures as X
 from sightings.schema import FRAME_ORDER
-from sightings.session import cut
+from sightings.session import checkpoint_root, cut
 from sightings.sources import sidecars, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,14 +92,12 @@ def s3_sidecars(spark, sf):
 
 @query
 def s4_sightings_today(spark, sf):
-    """Frames by day folder, and the share of the newest day."""
-    per_day = (
-        sinks.with_day(X.frames(spark, sf))
-        .groupBy("dt")
-        .agg(F.count(F.lit(1)).alias("frames"), F.countDistinct("cam").alias("cams"))
-    )
-    newest = F.max("dt").over(Window.partitionBy())  # over one row per day
-    return per_day.withColumn("is_today", F.col("dt") == newest)
+    """Frames written by day, and those of the newest day read back."""
+    f = X.frames(spark, sf).select("frame_id", "cam", "frame_ts")
+    path = f"{checkpoint_root(spark)}/sightings-by-day-{uuid.uuid4().hex}"
+    sinks.write_sightings(f, path)
+    newest = f.agg(F.max("frame_ts").cast("string")).first()[0]
+    return sinks.today(spark, path, newest).select("frame_id", "cam", F.col("dt").cast("string").alias("dt"))
 
 
 @query
@@ -602,13 +601,12 @@ def x3_polyline_y(spark, sf):
 
 @query
 def x4_parse_road(spark, sf):
-    """Road settings of the cameras, with how many detections they concern."""
+    """The parsed road settings of each detection's camera."""
     c = X.cameras(spark).select(
         "cam", "road_mode", F.expr("transform(road_line, p -> p.x + p.y)").alias("s")
     )
-    n = X.detections(spark, sf).groupBy("cam").agg(F.count(F.lit(1)).alias("n"))
-    return c.join(n, "cam").select(
-        "cam", "road_mode", "n",
+    return X.detections(spark, sf).join(c, "cam").select(
+        "frame_id", "det_no", "cam", "road_mode",
         F.when(F.col("s").isNotNull(), F.size("s")).alias("points"),
         r6(F.aggregate("s", F.lit(0.0), lambda a, x: a + x), "sum_xy"),
     )
@@ -862,7 +860,7 @@ def c1_catalogue(spark, sf):
     """Sensors of the cameras that have detections."""
     cams = X.cameras(spark).join(X.detections(spark, sf).select("cam").distinct(), "cam")
     d = reports.sensor_catalogue(cams, X.dim(spark, "icons_t"))
-    return d.select("cam", "tag", "kind", "uniq_id", "title", "topic", "icon")
+    return d.select("cam", "tag", "kind", "uniq_id", "title", "topic", "icon", "payload")
 
 
 @query
