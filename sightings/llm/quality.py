@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 from sightings.session import ship
 
 #: Places of the hashed weights.
-PLACES = 1 << 18
+PLACES = 1 << 22
 #: Labelled documents that the model is fitted on: those of the smallest draws.
 SAMPLE_ROWS = 12_000
 #: Features in fewer sample documents than this have no weight.
 MIN_DOCUMENTS = 8
 #: A feature has a weight when the log odds of the top grade among its documents are this far
-#: from those of all, by this many standard deviations; the clearest so many features at most.
-MIN_SHIFT, MIN_DEVIATION, MAX_FEATURES = 1.5, 5.0, 8192
+#: from those of all, by so many standard deviations more than the best of all features would be
+#: by chance; the clearest so many features at most.
+MIN_SHIFT, MIN_DEVIATION, MAX_FEATURES = 1.5, 0.5, 8192
 ITERATIONS, STEP, SHRINK = 400, 0.1, 1e-4
 #: Tail probability of the highest grade from which a document is selected.
 SELECT_FROM = 0.7
@@ -134,7 +135,8 @@ def fit_grades(features: list[np.ndarray], grades: np.ndarray, levels: int) -> O
     off = np.abs(good - many * share) / np.sqrt(np.maximum(many, 1) * share * (1 - share) + 1e-9)
     odds = np.log((good + share) / (many - good + 1 - share)) - np.log(share / (1 - share))
     off[(many < MIN_DOCUMENTS) | (np.abs(odds) < MIN_SHIFT)] = 0
-    columns = np.nonzero(off >= MIN_DEVIATION)[0]
+    tried = max(2, int((many >= MIN_DOCUMENTS).sum()))
+    columns = np.nonzero(off >= np.sqrt(2 * np.log(tried)) + MIN_DEVIATION)[0]
     columns = np.sort(columns[np.argsort(-off[columns], kind="stable")][:MAX_FEATURES])
     index = np.full(PLACES, -1)
     index[columns] = np.arange(len(columns))
