@@ -21,6 +21,8 @@ LAYOUTS = [
 ESCAPE = 0
 SELECTOR_BITS = 4
 BLOCK = 512
+#: Values that are coded together, for memory.
+_AT_ONCE = 1 << 19
 
 _COUNTS = np.array([1] + [n for n, _ in LAYOUTS] + [0], np.int64)
 
@@ -55,21 +57,36 @@ def _selectors(widths: np.ndarray, block: int) -> np.ndarray:
     out = np.full(widths.shape, ESCAPE, np.uint8)
     for k in range(len(LAYOUTS), 0, -1):
         n, bits = LAYOUTS[k - 1]
-        out[widest(n) <= bits] = k
+        fits = widest(n) <= bits
+        if fits.any():
+            np.copyto(out, np.uint8(k), where=fits)
     return out[:, :block]
 
 
 def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, offset of each block's first word and the end, escaped values)."""
-    values = np.ascontiguousarray(values, np.uint64)
+    words, offsets, escaped = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], [np.zeros(0, np.uint64)]
+    taken = 0
+    step = max(1, _AT_ONCE // block) * block
+    for k in range(0, len(values), step):
+        w, o, e = _encode_part(np.ascontiguousarray(values[k : k + step], np.uint64), block, taken)
+        words.append(w)
+        offsets.append(o[1:] + offsets[-1][-1])
+        escaped.append(e)
+        taken += len(e)
+    return np.concatenate(words), np.concatenate(offsets), np.concatenate(escaped)
+
+
+def _encode_part(
+    values: np.ndarray, block: int, taken: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for some blocks, with `taken` escapes before them."""
     n = len(values)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint64)
     rows = -(-n // block)
     wide = np.zeros((rows, block + 60), np.uint64)
-    flat = np.zeros(rows * block, np.uint64)
-    flat[:n] = values
-    wide[:, :block] = flat.reshape(rows, block)
+    even = n // block
+    wide[:even, :block] = values[: even * block].reshape(even, block)
+    wide[even:, : n - even * block] = values[even * block :]
     selectors = _selectors(_widths(wide), block)
     ends = np.full(rows, block, np.int64)
     ends[-1] = n - (rows - 1) * block
@@ -87,16 +104,19 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     place = places[row, step]
     chosen = selectors[row, place]
     words = np.zeros(len(row), np.uint64)
+    flat, at = wide.reshape(-1), row * wide.shape[1] + place
     for k in np.unique(chosen):
         if k == ESCAPE:
             continue
         many, bits = LAYOUTS[k - 1]
         own = np.nonzero(chosen == k)[0]
-        taken = wide[row[own][:, None], place[own][:, None] + np.arange(many)]
-        shifts = (SELECTOR_BITS + bits * np.arange(many)).astype(np.uint64)
-        words[own] = np.bitwise_or.reduce(taken << shifts, axis=1) | np.uint64(k)
+        first, packed = at[own], np.full(len(own), k, np.uint64)
+        for i in range(many):
+            packed |= flat.take(first + i) << np.uint64(SELECTOR_BITS + bits * i)
+        words[own] = packed
     escaped = np.nonzero(chosen == ESCAPE)[0]
-    words[escaped] = np.arange(len(escaped), dtype=np.uint64) << np.uint64(SELECTOR_BITS)
+    places_of = np.arange(taken, taken + len(escaped), dtype=np.uint64)
+    words[escaped] = places_of << np.uint64(SELECTOR_BITS)
     offsets = np.zeros(rows + 1, np.int64)
     np.cumsum((places >= 0).sum(axis=1), out=offsets[1:])
     return words, offsets, wide[row[escaped], place[escaped]]

@@ -33,7 +33,7 @@ _HEADER = struct.Struct("<8s5Q")
 #: Ids after which a file is closed. A longer document has a file of its own.
 FILE_IDS = 4_000_000
 #: Characters that go through the tokenizer together.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 21
 
 _FILES = "name string, part int, seq int, n_docs long, n_ids long"
 
@@ -180,7 +180,7 @@ def digests(folder: str, files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                f = TokenFile(content.as_py())
+                f = TokenFile(memoryview(content.as_buffer()))
                 ids, starts = memoryview(f.ids().tobytes()), f.starts.tolist()
                 yield pa.RecordBatch.from_pydict(
                     {

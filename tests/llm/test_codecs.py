@@ -17,6 +17,14 @@ def test_simple8b_round_trip(values, block):
     assert (simple8b.decode(words, offsets, escaped, len(v), block, half) == v[half * block :]).all()
 
 
+def test_parts_add_up_to_one_file(monkeypatch):
+    r = np.random.default_rng(3)
+    v = r.integers(0, 2**63, 5000, dtype=np.uint64) >> r.integers(0, 63, 5000).astype(np.uint64)
+    whole = simple8b.encode(v, 64)
+    monkeypatch.setattr(simple8b, "_AT_ONCE", 200)
+    assert all((a == b).all() for a, b in zip(simple8b.encode(v, 64), whole))
+
+
 def test_simple8b_packs_small_values_densely():
     words, _, escaped = simple8b.encode(np.ones(6000, np.uint64), 600)
     assert len(words) == 100 and not len(escaped)
@@ -32,6 +40,7 @@ def test_an_unknown_selector_is_refused():
 TEXTS = [
     None, "", "a", " a", "a ", "a  b", "a\n b", "a \n\nb\n", "x\x1c b", "don't.. it's x   y",
     "<|endoftext|> a<|endoftext|>", "\n\n x", "  ", "日本語 テキスト。\n次", "é ²½ a_b  c\t d\r\n",
+    "'s it's 't", "_a. b_. c_d!?", "1,000.5 (x)", "\u00a0x \u00a0y", "a\u2003 b", "\x00 \x00a",
     "x" * 300, "x " * 200, "x \n" * 90, "a  b" * 80, "end\n",
 ]
 
@@ -42,8 +51,24 @@ def test_ids_equal_the_tokenizers(segment, monkeypatch):
     e = bpe.Encoder(tokenizer_path())
     want = [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_all(TEXTS)] == want
-    monkeypatch.setattr(bpe, "KEPT_PIECES", 1)
-    assert [np.frombuffer(e.encode(t), "<u4").tolist() for t in TEXTS] == want
+    for kept in (1, 5, 40):
+        monkeypatch.setattr(bpe, "KEPT_PIECES", kept)
+        e = bpe.Encoder(tokenizer_path())
+        for _ in range(2):
+            assert [np.frombuffer(e.encode(t), "<u4").tolist() for t in TEXTS] == want
+            assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_all(TEXTS)] == want
+
+
+def test_ids_of_real_texts_with_a_small_memory(monkeypatch):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()[:300]
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 3000)
+    e = bpe.Encoder(tokenizer_path())
+    for k in range(0, len(texts), 20):
+        part = texts[k : k + 20]
+        for t, x in zip(part, e.encode_all(part)):
+            assert np.frombuffer(x, "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 @given(st.lists(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 5), max_size=60), max_size=6))
