@@ -346,30 +346,35 @@ def fold_archive(
 
 _CROSSED = (
     "cam string, tag string, piece long, kind string, slot int, birth_frame long, "
-    "birth_det int, birth_us long, age int, last_us long"
+    "birth_det int, birth_us long, age int, last_us long, rep_frame long, rep_det int, rep_age int"
 )
 
 
 def _thread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Thread identities of crossing tracks through the pieces of each (cam, tag).
 
-    Emits `slot` rows (which track a slot of a start state reports as, and its age so far)
-    and `gone` rows (a track with its last time and final age).
+    Emits `slot` rows (which track a slot of a start state reports as, and its age so far),
+    `gone` rows (a track with its last time and final age) and `merged` rows: a track that
+    behaves like another from a piece's end on, with both ages then. Only the other is held, so
+    memory has one track per slot.
     """
     names = [c.split(" ")[0] for c in _CROSSED.split(", ")]
     key, piece, out = None, None, []
-    held: dict[int, list] = {}  # slot -> [members, reported member]; member = (f, d, us, age)
-    after: dict[int, list] = {}
+    held: dict[int, tuple] = {}  # slot -> the track it reports as: (f, d, us, age)
+    after: dict[int, list] = {}  # end slot -> [tracks, reported track]
     when: dict[int, int] = {}  # end slot -> last time
 
     def close_piece():
         nonlocal held, after
-        held, after = after, {}
+        for members, rep in after.values():
+            for m in members:
+                if m[:2] != rep[:2]:
+                    out.append((*key, piece, "merged", None, *m, None, rep[0], rep[1], rep[3]))
+        held, after = {s: rep for s, (_, rep) in after.items()}, {}
 
     def lose(slots):
         for s in slots:
-            for m in held[s][0]:
-                out.append((*key, piece, "gone", None, m[0], m[1], m[2], m[3], when[s]))
+            out.append((*key, piece, "gone", None, *held[s], when[s], None, None, None))
 
     for pdf in batches:
         for r in pdf.itertuples(index=False):
@@ -388,25 +393,22 @@ def _thread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 kept = list(r.kept)
                 lose([s for s in held if s not in set(kept)])
                 held = {j: held[s] for j, s in enumerate(kept)}
-                for j, (_, rep) in held.items():
-                    out.append((*key, piece, "slot", j, *rep, None))
+                for j, rep in held.items():
+                    out.append((*key, piece, "slot", j, *rep, None, None, None, None))
                 when = {}
                 continue
             slot = None if pd.isna(r.slot) else int(r.slot)
             if slot is None:
-                members = [(int(r.birth_frame), int(r.birth_det), int(r.birth_us), int(r.age))]
-                rep = members[0]
+                track = (int(r.birth_frame), int(r.birth_det), int(r.birth_us), int(r.age))
             else:
-                grown = lambda m: (m[0], m[1], m[2], m[3] + int(r.age))
-                members, rep = [grown(m) for m in held[slot][0]], grown(held[slot][1])
+                track = (*held[slot][:3], held[slot][3] + int(r.age))
             if pd.isna(r.to_slot):
-                for m in members:
-                    out.append((*key, piece, "gone", None, *m, int(r.last_us)))
+                out.append((*key, piece, "gone", None, *track, int(r.last_us), None, None, None))
                 continue
             entry = after.setdefault(int(r.to_slot), [[], None])
-            entry[0].extend(members)
+            entry[0].append(track)
             if r.is_rep:
-                entry[1] = rep
+                entry[1] = track
             when[int(r.to_slot)] = int(r.last_us)
         if len(out) >= 10_000:
             yield _crossed_frame(out, names)
@@ -420,11 +422,35 @@ def _thread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _crossed_frame(rows, names):
     df = pd.DataFrame(rows, columns=names)
-    for c in ("slot", "birth_frame", "birth_det", "birth_us", "age", "last_us"):
+    for c in ("slot", "birth_frame", "birth_det", "birth_us", "age", "last_us", "rep_frame",
+              "rep_det", "rep_age"):
         df[c] = df[c].astype("Int64")
     return df
 
 
+def _ended(crossed: DataFrame) -> DataFrame:
+    """Last time and final age of all tracks that crossed pieces.
+
+    A merged track ends with the one that it joined, and gains what that one gained since; that
+    one may have joined another in turn, so ends are handed on until all have one.
+    """
+    cols = ["cam", "tag", "birth_frame", "birth_det", "birth_us", "age", "last_us"]
+    ended = crossed.filter("kind = 'gone'").select(*cols)
+    pending = crossed.filter("kind = 'merged'").drop("last_us", "kind", "slot", "piece")
+    found = ended
+    while not pending.isEmpty():
+        r = found.select(
+            "cam", "tag", F.col("birth_frame").alias("rep_frame"), F.col("birth_det").alias("rep_det"),
+            F.col("age").alias("_final"), "last_us",
+        )
+        met = pending.join(r, ["cam", "tag", "rep_frame", "rep_det"], "left")
+        met = settle(met.withColumn("age", F.coalesce(F.col("age") + F.col("_final") - F.col("rep_age"), "age")))
+        found = met.filter("_final is not null").select(*cols)
+        ended = ended.unionByName(found)
+        pending = met.filter("_final is null").drop("_final", "last_us")
+    return ended
+
+
 def _crossings(rows: DataFrame, entering: DataFrame) -> DataFrame:
     order = Window.partitionBy("cam", "tag").orderBy("piece")
     prior = entering.withColumn("_prior", F.lag("end_state").over(order))
@@ -501,10 +527,7 @@ def track_all(
     done = rows.filter("kind = 'done'").select(
         "cam", "tag", "birth_frame", "birth_det", "birth_us", "age", "last_us"
     )
-    late = crossed.filter("kind = 'gone'").select(
-        "cam", "tag", "birth_frame", "birth_det", "birth_us", "age", "last_us"
-    )
-    return tracked, _departures(done.unionByName(late), frames, cameras)
+    return tracked, _departures(done.unionByName(_ended(crossed)), frames, cameras)
 
 
 def _departures(tracks: DataFrame, frames: DataFrame, cameras: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
+from datetime import timedelta
+
 import pytest
 
 from sightings.operators.tracking import track_all
-from models import random_archive, track_model
+from models import T0, random_archive, track_model
 
 DET = (
     "frame_id long, cam string, frame_no long, frame_ts timestamp, det_no int, tag string, "
@@ -47,3 +49,24 @@ def test_batch_equals_model(spark, seed, slice_s, kw):
     )
     want = sorted(gone, key=lambda t: t[0])
     assert left == want
+
+
+def test_tracks_that_join_and_never_leave(spark):
+    """Two tracks take one box, then a third joins later: all end with the one they joined."""
+    parked, halves = (0.0, 0.2, 1.0, 0.5), [(0.0, 0.2, 0.6, 0.5), (0.4, 0.2, 0.6, 0.5)]
+    small = (0.3, 0.2, 0.4, 0.5)
+    frames, dets = [], {}
+    for i in range(900):
+        frames.append((i, "c0", T0 + timedelta(seconds=30 * i)))
+        dets[i] = [(0, "car", parked)]
+    dets[0] = [(n, "car", b) for n, b in enumerate(halves)]
+    dets[300].append((1, "car", small))
+    dets[301] = [(0, "car", (0.15, 0.2, 0.7, 0.5))]
+    interval = {"c0": 30}
+    rows, gone = track_model(frames, dets, interval)
+    assert len(gone) == 3
+    tracked, departures = track_all(*tables(spark, frames, dets, interval), slice_s=1800)
+    got = {(r.frame_id, r.det_no): (r.track_id, r.age) for r in tracked.collect()}
+    assert got == {k: (v[0], v[2]) for k, v in rows.items()}
+    left = sorted((r.track_id, r.start_ts, r.last_ts, r.age, r.departed_ts) for r in departures.collect())
+    assert left == sorted(gone, key=lambda t: t[0])
