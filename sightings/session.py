@@ -21,6 +21,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Rows may hold long texts: batches for Python are bounded by their bytes, not by rows alone.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     ship(spark)
     return spark
 
