@@ -127,21 +127,26 @@ def fit_grades(features: list[np.ndarray], grades: np.ndarray, levels: int) -> O
     features: per document the distinct places of its features.
     """
     n = len(features)
-    doc = np.repeat(np.arange(n), [len(f) for f in features])
-    flat = np.concatenate(features)
-    many = np.bincount(flat, minlength=PLACES)
-    share = (grades == levels - 1).mean()
-    good = np.bincount(flat, weights=(grades == levels - 1)[doc], minlength=PLACES)
-    off = np.abs(good - many * share) / np.sqrt(np.maximum(many, 1) * share * (1 - share) + 1e-9)
-    odds = np.log((good + share) / (many - good + 1 - share)) - np.log(share / (1 - share))
-    off[(many < MIN_DOCUMENTS) | (np.abs(odds) < MIN_SHIFT)] = 0
-    tried = max(2, int((many >= MIN_DOCUMENTS).sum()))
-    columns = np.nonzero(off >= np.sqrt(2 * np.log(tried)) + MIN_DEVIATION)[0]
-    columns = np.sort(columns[np.argsort(-off[columns], kind="stable")][:MAX_FEATURES])
-    index = np.full(PLACES, -1)
+    top = grades == levels - 1
+    share = float(np.clip(top.mean(), 0.5 / n, 1 - 0.5 / n))
+    many, good = np.zeros(PLACES, np.int32), np.zeros(PLACES, np.int32)
+    for f, t in zip(features, top):
+        many[f] += 1
+        if t:
+            good[f] += 1
+    tried = np.nonzero(many >= MIN_DOCUMENTS)[0]
+    seen, kept = many[tried].astype(float), good[tried].astype(float)
+    off = np.abs(kept - seen * share) / np.sqrt(seen * share * (1 - share) + 1e-9)
+    odds = np.log((kept + share) / (seen - kept + 1 - share)) - np.log(share / (1 - share))
+    off[np.abs(odds) < MIN_SHIFT] = 0
+    clear = np.nonzero(off >= np.sqrt(2 * np.log(max(2, len(tried)))) + MIN_DEVIATION)[0]
+    columns = tried[np.sort(clear[np.argsort(-off[clear], kind="stable")][:MAX_FEATURES])]
+    del good
+    index = many  # no longer needed
+    index[:] = -1
     index[columns] = np.arange(len(columns))
-    used = index[flat] >= 0
-    doc, flat, m = doc[used], index[flat[used]], len(columns)
+    used = [x[x >= 0] for x in (index[f] for f in features)]
+    doc, flat, m = np.repeat(np.arange(n), [len(x) for x in used]), np.concatenate(used), len(columns)
     below = np.cumsum(np.bincount(grades, minlength=levels) / n)[:-1].clip(1e-3, 1 - 1e-3)
     x = np.concatenate([np.zeros(m), np.log(below / (1 - below))])
     above = grades[:, None] >= np.arange(1, levels)[None, :]
@@ -193,7 +198,7 @@ def fit(docs: DataFrame, grades: DataFrame, sample_rows: int = SAMPLE_ROWS, leve
         d = d.drop_duplicates(["grade", "places"]).sort_values(["grade", "places"])
         if d["grade"].nunique() < 2:
             return pd.DataFrame({"model": pd.Series([], dtype=object)})
-        features = [np.frombuffer(x, "<i4").astype(np.int64) for x in d["places"]]
+        features = [np.frombuffer(x, "<i4") for x in d["places"]]
         return pd.DataFrame({"model": [fit_grades(features, d["grade"].to_numpy(), levels).to_bytes()]})
 
     sample = rows.select("grade", "text").mapInArrow(places, "grade int, places binary")
