@@ -32,24 +32,27 @@ _HEADER = struct.Struct("<8s5Q")
 
 #: Ids after which a file is closed. A longer document has a file of its own.
 FILE_IDS = 4_000_000
-#: Characters that go through the tokenizer together.
-BATCH_CHARS = 1 << 21
+#: Characters that go through the tokenizer together, and ids that are decoded together.
+BATCH_CHARS = 1 << 20
+BATCH_IDS = 1 << 19
 
 _FILES = "name string, part int, seq int, n_docs long, n_ids long"
 
 
-def pack(doc_ids: list[int | None], ids: list[bytes], block: int = simple8b.BLOCK) -> list[bytes]:
+def pack(doc_ids: list[int | None], ids: list[bytes], block: int = simple8b.BLOCK) -> list:
     """A file's parts from each document's id and its token ids (u32)."""
     all_ids = np.frombuffer(b"".join(ids), "<u4")
+    n_ids = len(all_ids)
     words, offsets, escaped = simple8b.encode(all_ids, block)
+    del all_ids
     starts = np.zeros(len(ids) + 1, "<u8")
     np.cumsum([len(x) // 4 for x in ids], out=starts[1:])
     missing = np.array([d is None for d in doc_ids], np.uint8)
     keys = np.array([0 if d is None else d for d in doc_ids], "<i8")
     return [
-        _HEADER.pack(MAGIC, block, len(ids), len(all_ids), len(words), len(escaped)),
+        _HEADER.pack(MAGIC, block, len(ids), n_ids, len(words), len(escaped)),
         keys.tobytes(), missing.tobytes(), starts.tobytes(), offsets.astype("<u8").tobytes(),
-        words.astype("<u8").tobytes(), escaped.astype("<u8").tobytes(),
+        memoryview(words.astype("<u8", copy=False)), escaped.astype("<u8").tobytes(),
     ]
 
 
@@ -177,21 +180,28 @@ def digests(folder: str, files: DataFrame) -> DataFrame:
     """Read the files back: doc_id, start, n_tokens, ids_crc32 and name per document."""
     spark = files.sparkSession
 
+    def sums(f: TokenFile) -> Iterator[int]:
+        first = 0
+        while first < f.n_docs:
+            last = int(np.searchsorted(f.starts, f.starts[first] + BATCH_IDS, "right")) - 1
+            last = min(f.n_docs, max(first + 1, last))
+            ids = memoryview(f.ids(first, last).tobytes())
+            places = (4 * (f.starts[first : last + 1] - f.starts[first])).tolist()
+            for a, z in zip(places, places[1:]):
+                yield zlib.crc32(ids[a:z])
+            first = last
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
                 f = TokenFile(memoryview(content.as_buffer()))
-                ids, starts = memoryview(f.ids().tobytes()), f.starts.tolist()
                 yield pa.RecordBatch.from_pydict(
                     {
                         "name": pa.array([name] * f.n_docs, pa.string()),
                         "doc_id": pa.array(f.doc_ids, pa.int64()),
-                        "at": pa.array(starts[:-1], pa.int64()),
+                        "at": pa.array(f.starts[:-1], pa.int64()),
                         "n_tokens": pa.array(np.diff(f.starts), pa.int64()),
-                        "ids_crc32": pa.array(
-                            [zlib.crc32(ids[4 * a : 4 * z]) for a, z in zip(starts, starts[1:])],
-                            pa.int64(),
-                        ),
+                        "ids_crc32": pa.array(list(sums(f)), pa.int64()),
                     }
                 )
 
