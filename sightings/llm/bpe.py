@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Distinct pieces that a worker keeps.
-KEPT_PIECES = 690_000
+KEPT_PIECES = 400_000
 #: Characters of a text that are cut up at once.
 SEGMENT = 1 << 20
 

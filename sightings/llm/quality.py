@@ -29,7 +29,8 @@ ITERATIONS, STEP, SHRINK = 400, 0.1, 1e-4
 #: Tail probability of the highest grade from which a document is selected.
 SELECT_FROM = 0.7
 
-_KEPT_WORDS = 400_000
+#: Words that a worker remembers: with their score, and with their features.
+_KEPT_SCORES, _KEPT_FEATURES = 200_000, 40_000
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -71,15 +72,15 @@ def text_features(words: list[str]) -> list[int]:
 class _Words:
     """A worker's memory of what a word stands for, bounded."""
 
-    def __init__(self, make) -> None:
-        self.make, self.known = make, {}
+    def __init__(self, make, most: int) -> None:
+        self.make, self.most, self.known = make, most, {}
 
     def __call__(self, word: str):
         got = self.known.get(word)
         if got is None:
-            if len(self.known) >= _KEPT_WORDS:
-                self.known.clear()
-            got = self.known[word] = self.make(word)
+            got = self.make(word)
+            if len(self.known) < self.most:  # the first ones, among them the frequent ones
+                self.known[word] = got
         return got
 
 
@@ -93,7 +94,7 @@ class OrdinalModel:
     def scorer(self):
         """Score of a text: the weights of its distinct words' features and of the text's own."""
         w = self.weights
-        words = _Words(lambda x: float(sum(w[i] for i in word_features(x))))
+        words = _Words(lambda x: float(sum(w[i] for i in word_features(x))), _KEPT_SCORES)
 
         def score(text: str | None) -> float:
             found = (text or "").split()
@@ -182,7 +183,7 @@ def fit(docs: DataFrame, grades: DataFrame, sample_rows: int = SAMPLE_ROWS, leve
     rows = rows.join(drawn.select("doc_id", "grade"), "doc_id")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(word_features)
+        words = _Words(word_features, _KEPT_FEATURES)
         for b in batches:
             out = []
             for text in b.column("text"):
