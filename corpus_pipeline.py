@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightings.llm import decontaminate, mixing, quality, simhash, token_files
+from sightings.llm import decontaminate, mixing, quality, shingles, simhash, token_files
 from sightings.llm.queries import table, tokenizer_path
 from sightings.session import cut, prepare
 
@@ -19,8 +19,13 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id."""
-    return simhash.first_of_groups(docs)
+    """Of each group of near copies the document of the smallest id.
+
+    Near are texts whose whole sets of five-word shingles have a Jaccard similarity of 0.8; their
+    fingerprints differ in more bits than the index of `simhash` carries, so pairs are found by
+    shared shingles.
+    """
+    return simhash.keep_first(docs, shingles.similar_groups(docs, shingle=5, similarity=0.8))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

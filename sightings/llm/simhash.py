@@ -281,7 +281,11 @@ def first_of_groups(docs: DataFrame, **options) -> DataFrame:
     In a component without ids, the row of the smallest text digest stays. Rows that repeat id
     and text are one document and give one row.
     """
-    groups = near_groups(docs, **options)
+    return keep_first(docs, near_groups(docs, **options))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The same for groups given as rows of doc_id, text_key and root, one per row of `docs`."""
     # One row per component: the smallest id, ids before nulls, then the smallest digest.
     lead = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))).alias("_lead")
     kept = groups.groupBy("root").agg(lead)

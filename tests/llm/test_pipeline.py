@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sightings.llm import mixing
+from sightings.llm import mixing, simhash
 from sightings.llm.queries import QUERIES, tokenizer_path
 
-from .conftest import DOCUMENTS, clashing, odd_rows
+from .conftest import DOCUMENTS, clashing, odd_rows, prose
 from .test_operators import plain_components, plain_hits
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +56,45 @@ def test_stages_take_odd_tables(spark, rows):
             assert got.columns == docs.columns
         assert rows or got.count() == 0
         got.count()
+
+
+def plain_shingles(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies_go_by_jaccard(spark):
+    """Pairs at 0.8 and above whose fingerprints are far apart, chains, and pairs just below."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(40):
+        words = prose(900 + k, 200 + 5 * k).split(" ")
+        rows.append((10 * k, " ".join(words), "en", "a", 0))
+        for j in range(1, 5):
+            words = list(words)
+            for at in rng.choice(len(words), 1 + k // 5, replace=False):
+                words[at] = f"new{k}x{j}x{at}"
+            rows.append((10 * k + j, " ".join(words), "en", "a", 0))
+    passage = prose(77, 60)
+    rows += [(1000 + k, f"{passage} {prose(2000 + k, 60)}", "en", "b", 0) for k in range(60)]
+    rows += [(2000 + k, f"{prose(3000, 100)} tail{k}", "en", "b", 0) for k in range(60)]
+    rows += [(3000, None, None, None, 0), (3001, "", None, None, 0), (3002, "one two", None, None, 0), (3003, "One  two", None, None, 0)]
+    sets, root = [plain_shingles(r[1]) for r in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    wide = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= 0.8 * len(x | y):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+                if x and y:
+                    wide += bin(simhash.fingerprint(rows[i][1]) ^ simhash.fingerprint(rows[j][1])).count("1") > 4
+    assert wide > 20
+    want = {min(rows[j][0] for j in range(len(rows)) if find(j) == find(i)) for i in range(len(rows))}
+    docs = spark.createDataFrame(rows, DOCUMENTS).repartition(5)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect())
+    assert got == sorted(want)
