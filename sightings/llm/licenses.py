@@ -45,6 +45,16 @@ TEMPLATES = [
      "a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 ]
 
+# Headers of versions and kin that differ from a notice above in a few words only.
+HEADERS = [
+    (name, f"This {what} is free software; you can redistribute it and/or modify it under the terms of the "
+     f"GNU {kind}General Public License as published by the Free Software Foundation; either version {version} "
+     "of the License, or any later version.")
+    for name, what, kind, version in (
+        ("GPL-2.0", "program", "", "2"), ("LGPL-2.1", "program", "Lesser ", "2.1"), ("LGPL-3.0", "program", "Lesser ", "3"),
+    )
+]
+
 # Words that carry no weight.
 STOP_WORDS = (
     "a an and any are as at be by can for from in is it may not of on one or that the this to was "
@@ -55,6 +65,7 @@ MIN_COSINE = 0.75
 LICENCE_FILES = r"(?i)^(licen[cs]e|copying|unlicense)([.-][a-z0-9.-]*)?$"
 
 _TOKEN = r"[\p{L}\p{N}]+"
+_COMMENT = r"^\s*(//|/\*|\*|#|--|;|%|<!--)"
 
 
 def _template_words(text: str) -> list[str]:
@@ -62,7 +73,7 @@ def _template_words(text: str) -> list[str]:
 
 
 def vocabulary(templates=None) -> list[str]:
-    return sorted({w for _, t in templates or TEMPLATES for w in _template_words(t)})
+    return sorted({w for _, t in templates or TEMPLATES + HEADERS for w in _template_words(t)})
 
 
 def document_files(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -81,9 +92,11 @@ def document_files(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _counted(files: DataFrame, vocab: list[str]) -> DataFrame:
-    """row, file_id, path, units: per line with a template word its words and how many others.
+    """row, file_id, path, units: per unit with a template word its words and how many others.
 
-    Unit -1 is the whole file.
+    Units are lines, blocks of several lines, and the whole file as unit -1. Blocks are the
+    paragraphs, which end at lines without a letter or digit, and what of them are comment lines
+    in a row, which the code below a header doesn't belong to. Marks of comments are no words.
     """
 
     def unit(line: Column, at: Column) -> Column:
@@ -93,9 +106,19 @@ def _counted(files: DataFrame, vocab: list[str]) -> DataFrame:
         return F.struct(at.alias("at"), F.filter(found, lambda w: w.isin(*vocab)).alias("own"), F.size(found).alias("n"))
 
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
+
+    def lines_if(holds) -> Column:
+        """Runs of lines for which it holds."""
+        kept = F.transform(lines, lambda x: F.when(holds(x), x).otherwise(F.lit("")))
+        return F.split(F.array_join(kept, "\n"), "\n{2,}")
+
+    said = lines_if(lambda x: x.rlike(_TOKEN))
+    remarks = lines_if(lambda x: x.rlike(_TOKEN) & x.rlike(_COMMENT))
+    several = F.filter(F.array_distinct(F.concat(said, remarks)), lambda x: F.trim(x, F.lit("\n")).contains("\n"))
     d = files.select(
         F.monotonically_increasing_id().alias("row"), "file_id", "path",
         F.transform(lines, lambda x, i: unit(x, i)).alias("units"),
+        F.transform(several, lambda x, i: unit(x, -2 - i)).alias("blocks"),
     )
     whole = F.struct(
         F.lit(-1).alias("at"),
@@ -104,20 +127,21 @@ def _counted(files: DataFrame, vocab: list[str]) -> DataFrame:
     )
     return (
         d.withColumn("hit", F.filter("units", lambda u: F.size(u["own"]) > 0))
-        .withColumn("units", F.when(F.size("hit") > 0, F.array_append("hit", whole)))
-        .drop("hit")
+        .withColumn("blocks", F.filter("blocks", lambda u: F.size(u["own"]) > 0))
+        .withColumn("units", F.when(F.size("hit") > 0, F.concat(F.array_append("hit", whole), "blocks")))
+        .drop("hit", "blocks")
     )
 
 
 def own_licenses(counted: DataFrame, min_cosine: float = MIN_COSINE, templates=None) -> DataFrame:
-    """row, own_license, own_cosine: the closest template of any line or of the whole file.
+    """row, own_license, own_cosine: the closest template of any line, block of lines or of the whole file.
 
     Words weigh by their inverse document frequency over all files; a word that no template has
     weighs like one in no file. Units whose template words can't reach the cosine, whatever the
     template (Cauchy-Schwarz), are left out before templates are joined, so only notices are.
     Ties go to the first licence by name.
     """
-    templates = templates or TEMPLATES
+    templates = templates or TEMPLATES + HEADERS
     spark = counted.sparkSession
     files = counted.count()
     whole = counted.filter("units is not null").select("row", F.explode("units").alias("u"))

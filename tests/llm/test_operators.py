@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import zlib
 
 import numpy as np
@@ -211,6 +212,51 @@ def test_license_cosines_equal_a_plain_model(spark):
     assert got == pytest.approx(want)
 
 
+WRAPPED = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+    'associated documentation files (the "Software"), to deal in the Software without restriction, including '
+    "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+    "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+    "following conditions:",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are "
+    "permitted provided that the following conditions are met:",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file '
+    "except in compliance with the License. You may obtain a copy of the License at "
+    "http://www.apache.org/licenses/LICENSE-2.0",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+    "General Public License as published by the Free Software Foundation; either version 2 of the License, or "
+    "(at your option) any later version.",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+    "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+    "(at your option) any later version.",
+}
+
+
+def test_licenses_in_wrapped_headers(spark):
+    import textwrap
+
+    code = "\n".join(f"value{i} = compute{i}(table{i})" for i in range(150))
+    files, want = [], {}
+    for name, text in WRAPPED.items():
+        for mark in ("", "# ", "// ", " * "):
+            lines = textwrap.wrap(text, 60)
+            n = len(files)
+            body = "\n".join(mark + x for x in lines)
+            files.append((n, f"d{n}/x", f"{mark}Copyright 2020 someone\n{mark.rstrip()}\n{body}\n" + ("\n" if not mark else "") + code))
+            want[n] = name
+    df = spark.createDataFrame(files, "file_id long, path string, text string")
+    assert {r["file_id"]: r["own_license"] for r in licenses.license_scan(df).collect()} == want
+
+
+@pytest.mark.parametrize("name,want", [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("MPL-2.0", "MPL-2.0")])
+def test_whole_license_files(spark, name, want):
+    path = f"/usr/share/common-licenses/{name}"
+    if not os.path.exists(path):
+        pytest.skip(f"no {path}")
+    df = spark.createDataFrame([(1, "a/LICENSE", open(path).read()), (2, "a/x.py", "x")], "file_id long, path string, text string")
+    assert {r["license"] for r in licenses.license_scan(df).collect()} == {want}
+
+
 # -- 5: exact duplicates -------------------------------------------------------------------
 
 def test_exact_groups(spark, odd, none):
