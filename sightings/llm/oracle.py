@@ -172,6 +172,99 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
   coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+""",
+    "op11_source_divergence": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), x AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+k AS (
+  SELECT lang, term, count(*) AS n FROM x GROUP BY lang, term HAVING count(DISTINCT row) >= 30
+), g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM x JOIN (SELECT lang, term FROM k) USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (coalesce(t.total, 0) + 5 * v.v) AS p,
+    1 + 1000000000::HUGEINT * (k.n + 5) // (v.total + 5 * v.v) AS q
+  FROM g JOIN k ON g.lang = k.lang JOIN v ON g.lang = v.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN t ON t.lang = g.lang AND t.source = g.source
+), s AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), r AS (
+  SELECT * FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+WHERE part = 'pair' OR rank <= 50
+""",
+    "op12_repeated_substrings": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS w FROM documents
+), x AS (
+  SELECT row, doc_id, pos, array_to_string(list_slice(w, pos, pos + 12), ' ') AS gram
+  FROM (SELECT row, doc_id, w, unnest(range(1, len(w) - 11)) AS pos FROM d)
+), least AS (
+  SELECT gram, min(doc_id) AS first FROM x GROUP BY gram
+), covered AS (
+  SELECT DISTINCT row, unnest(range(pos, pos + 13)) AS pos
+  FROM x JOIN least USING (gram) WHERE coalesce(doc_id, 9223372036854775807) > first
+), words AS (
+  SELECT row, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM d
+), kept AS (
+  SELECT row, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM words ANTI JOIN covered USING (row, pos)
+  GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (row)
+""",
+    "op13_collocations": rf"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents
+), p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM d)
+), g AS (
+  SELECT lang, k, array_to_string(list_slice(w, pos, pos + k - 1), ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS pos FROM p, (VALUES (1), (2), (3), (4)) AS v(k))
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING f >= 30
+), total AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+cuts AS (
+  SELECT lang, phrase, k, f AS a, unnest(range(1, k)) AS c, string_split(phrase, ' ') AS w FROM f WHERE k > 1
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.k, a, c, x.f AS l, y.f AS r, 2000000::HUGEINT * a // (x.f + y.f) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(list_slice(w, 1, c), ' ')
+  JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(list_slice(w, c + 1, len(w)), ' ')
+), own AS (
+  SELECT lang, phrase, k, any_value(a) AS a, min(struct_pack(score := score, c := c, l := l, r := r)) AS cut
+  FROM scored GROUP BY ALL
+), inner_ AS (
+  SELECT lang, phrase, max(a) AS most FROM (
+    SELECT lang, a, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
+    FROM (SELECT lang, a, w, m, unnest(range(1, len(w) - m + 2)) AS i
+          FROM (SELECT lang, f AS a, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS m FROM f WHERE k > 2))
+  ) GROUP BY lang, phrase
+), best AS (
+  SELECT own.lang, own.phrase, own.a, cut.l AS l, cut.r AS r, cut.score AS score,
+    row_number() OVER (PARTITION BY own.lang ORDER BY cut.score DESC, own.a DESC, own.phrase) AS rank
+  FROM own LEFT JOIN inner_ ON own.lang = inner_.lang AND own.phrase = inner_.phrase
+  WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * own.a
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r,
+  total.n::BIGINT AS n, score::BIGINT AS score
+FROM best JOIN total USING (lang) WHERE rank <= 2000
 """,
 }
 

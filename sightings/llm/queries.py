@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from sightings.llm import (
     decontaminate,
+    divergence,
     exact,
     language,
     licenses,
     mixing,
+    phrases,
     quality,
     secrets,
     simhash,
+    substrings,
     token_files,
     warc,
 )
@@ -102,3 +105,19 @@ def op10_decontaminate(spark, sf):
     d = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return d.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+@query
+def op11_source_divergence(spark, sf):
+    return divergence.divergence(table(spark, sf, "documents"))
+
+
+@query
+def op12_repeated_substrings(spark, sf):
+    d = substrings.without_repeats(table(spark, sf, "documents"))
+    return d.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op13_collocations(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"))

@@ -48,6 +48,16 @@ def get_ranges(folder: str, name: str, ranges: list[tuple[int, int]]) -> list[by
         return [f.read_at(n, at) for at, n in ranges]
 
 
+def get_file(folder: str, name: str) -> bytes | None:
+    """A whole file; none if there is no such file."""
+    store, path = _place(folder)
+    try:
+        with store.open_input_file(f"{path}/{name}") as f:
+            return f.read()
+    except FileNotFoundError:
+        return None
+
+
 def read_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """name, content of the files in a folder that match a pattern."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
