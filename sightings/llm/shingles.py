@@ -1,4 +1,8 @@
-"""Near copies by the Jaccard similarity of whole shingle sets, without a miss."""
+"""Near copies by the Jaccard similarity of whole shingle sets, without a miss.
+
+SimHash fingerprints find what is nearest; what lies further apart than their index carries meets
+by shared prefixes of the shingle sets. Every candidate is verified on the whole sets.
+"""
 
 from __future__ import annotations
 
@@ -7,120 +11,156 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightings.llm import simhash, sketch
 from sightings.llm.components import components
+from sightings.llm.wording import Lexicon, mixed, window_hashes
 from sightings.session import cut, ship
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Texts whose shingles are counted to know frequent ones, and how many texts make one frequent.
-#: Both decide about time alone.
-COUNTED_TEXTS = 4000
-FREQUENT = 5
-FREQUENT_SHINGLES = 50_000
+#: Occurrences from which a shingle is taken for a frequent one; it decides about time alone.
+FREQUENT = 32
+#: Cells of a row of the sketches, as a power of two: 16 MB of bits in each Python worker.
+MOST_BITS = 27
+#: Nodes of a key that meet in one task; a key of more is dealt out as pairs of blocks.
+BLOCK = 1024
 
 _NEAR_ZERO = 1e-9
-#: Nodes whose keys a task has given and doesn't give again.
+_WORD_BYTES = 6
+#: Nodes whose keys a task has given and doesn't give again, and pairs that it has compared.
 _KNOWN_NODES = 1 << 18
+_KNOWN_PAIRS = 1 << 18
 #: Bytes of shingle sets that a task remembers while it compares pairs.
 _KNOWN_BYTES = 64 << 20
 
 
-def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """XXH64 of the distinct shingles of a whole text, ascending; words as in `simhash`."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def shingle_set(text: bytes, lexicon: Lexicon, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the distinct shingles of a whole text, ascending; words as in `simhash`."""
+    words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    joined, n = b" ".join(words), len(words)
-    starts = np.zeros(n + 1, np.int64)
-    np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1, out=starts[1:])
-    width = min(shingle, n)
-    lo, hi = starts[: n - width + 1].tolist(), (starts[width:] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:z]) for a, z in zip(lo, hi)), np.uint64, len(lo)))
+    return np.unique(mixed(window_hashes(lexicon.hashes(words), min(shingle, len(words)))))
+
 
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int, text: int = 0):
+    """Each batch with the shingle sets of its texts."""
+    lexicon = Lexicon()
+    for b in batches:
+        yield b, [shingle_set(t.as_py() or b"", lexicon, shingle) for t in b.column(text).cast(pa.binary())]
+        lexicon.forget()
 
-def prefix(found: np.ndarray, similarity: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles of a set of which similar sets share one.
+
+def prefix(found: np.ndarray, similarity: float, often: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, of which similar sets share one; `often` marks frequent ones.
 
     Sets of n shingles share ceil(similarity * n) at least, so one of any n - that + 1 of them
     is shared, and under one order of all shingles it is among the first ones of both. The order
-    is by digest with frequent ones last, the most frequent at the end.
+    is by digest, with frequent ones last.
     """
     n = len(found)
     taken = n - math.ceil(similarity * n - _NEAR_ZERO) + 1
-    if not len(frequent) or not n:
-        return found[: min(taken, n)]
-    at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-    often = frequent[at] == found
-    last = found[often][np.argsort(rank[at[often]])]
-    return np.concatenate([found[~often], last])[:taken]
+    return np.concatenate([found[~often], found[often]])[: min(taken, n)]
 
 
-def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many of some drawn texts have, ascending, and the rank by their number."""
-    text = F.col("text").cast("string")
-    rows = docs.count()
-    part = max(1, rows // COUNTED_TEXTS)
-    drawn = docs.select(text.alias("text")).filter(F.pmod(F.xxhash64(text, F.lit("drawn")), F.lit(part)) == 0)
+def parity(found: np.ndarray) -> bytes:
+    """Bits that say of how many shingles fall on each, modulo two: about one bit a shingle.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0):
-                found = shingle_set(t.as_py(), shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found)], ["h"])
+    Sets differ in at least as many shingles as their bits differ.
+    """
+    bits = max(64, 1 << max(0, len(found) - 1).bit_length())
+    odd = np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Shingles in which two sets differ at least, by their bits."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
-    # Copies of a text would make its shingles frequent, which costs nothing.
-    many = drawn.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= FREQUENT)
-    most = many.orderBy(F.desc("count"), "h").limit(FREQUENT_SHINGLES).collect()
-    h = np.array([r["h"] for r in most], np.int64).view(np.uint64)
-    n = np.array([r["count"] for r in most], np.int64)
-    by = np.argsort(h)
-    rank = np.empty(len(h), np.int64)
-    rank[np.lexsort((h, n))] = np.arange(len(h))
-    return h[by], rank[by]
+
+def _room(n: int | np.ndarray, m: int | np.ndarray, similarity: float):
+    """Shingles in which sets of n and m may differ."""
+    return (n + m) * (1 - similarity) / (1 + similarity) + _NEAR_ZERO
 
 
 def keyed(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, text_key, node, n, keys per row: digest and size of the shingle set, its prefix.
+    """doc_id, text_key, node, n, fp, bits, keys per row: digest and size of the shingle set.
 
-    Rows of one set are one node. A task gives keys with a node's first row alone, with later
-    ones null.
+    Rows of one set are one node. fp (its SimHash), bits (its parity) and keys (places and
+    shingles of its prefix that may occur in another prefix too) are given with a node's first
+    row in a task, and null with later ones. Two sketches over all texts serve: one tells
+    frequent shingles, so that they come last in all prefixes, the other keys that occur once.
     """
-    ship(docs.sparkSession)
-    frequent, rank = _frequent(docs, shingle)
+    spark = docs.sparkSession
+    ship(spark)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(text.alias("text"))
+    items = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / _WORD_BYTES
+    common = sketch.Plan.of(items, FREQUENT, MOST_BITS, rows=1, room=0.25)
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, sets in _sets(batches, shingle):
+            yield np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+
+    frequent = sketch.Lookup(sketch.build(texts, shingles, common), common)
+    share = 1 - similarity
+    twice = sketch.Plan.of(items * share, 2, MOST_BITS, rows=1, room=4.0)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, sets in _sets(batches, shingle):
+            yield np.concatenate([prefix(s, similarity, frequent.may_reach(s)) for s in sets])
+
+    repeated = sketch.Lookup(sketch.build(texts, prefixes, twice), twice)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         given: set[int] = set()
-        for b in batches:
-            nodes, sizes, keys = [], [], []
-            for t in b.column(2):
-                found = shingle_set(t.as_py(), shingle)
+        for b, sets in _sets(batches, shingle, 2):
+            nodes, sizes, prints, bits, keys = [], [], [], [], []
+            for t, found in zip(b.column(2), sets):
                 node = xxhash.xxh64_intdigest(found.tobytes())
                 nodes.append(node)
                 sizes.append(len(found))
-                keys.append(None if node in given else prefix(found, similarity, frequent, rank).view(np.int64))
+                if node in given:
+                    prints.append(None)
+                    bits.append(None)
+                    keys.append(None)
+                    continue
                 if len(given) < _KNOWN_NODES:
                     given.add(node)
+                fp = simhash.fingerprint(t.as_py(), shingle)
+                prints.append(fp - ((fp >> 63) << 64))
+                bits.append(parity(found))
+                first = prefix(found, similarity, frequent.may_reach(found))
+                at = np.nonzero(repeated.may_reach(first))[0]
+                keys.append([{"pos": p, "key": k} for p, k in zip(at.tolist(), first[at].view(np.int64).tolist())])
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                    pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(bits, pa.binary()),
+                    pa.array(keys, pa.list_(pa.struct([("pos", pa.int32()), ("key", pa.int64())]))),
                 ],
-                ["doc_id", "text_key", "node", "n", "keys"],
+                ["doc_id", "text_key", "node", "n", "fp", "bits", "keys"],
             )
 
-    text = F.col("text").cast("string")
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), text.alias("text"))
+    return rows.mapInArrow(
+        run,
+        "doc_id long, text_key long, node long, n int, fp long, bits binary, keys array<struct<pos:int,key:long>>",
     )
-    return rows.mapInArrow(run, "doc_id long, text_key long, node long, n int, keys array<long>")
+
+
+def _text_key() -> F.Column:
+    """The digest by which `simhash.keep_first` knows a row's text."""
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _may_reach(a: str, b: str, similarity: float):
@@ -135,25 +175,59 @@ def _may_reach(a: str, b: str, similarity: float):
     return sizes & (rest >= need - _NEAR_ZERO)
 
 
-def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (columns a, b of nodes) whose whole shingle sets reach the similarity."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    # One text per node, by its digest.
-    texts = rows.join(nodes, "node").groupBy("node").agg(F.min("text_key").alias("text_key"))
-    text = F.col("text").cast("string")
-    d = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text"))
-    texts = cut(d.join(texts, "text_key").dropDuplicates(["node"]).select("node", "text"))
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+def _by_bits(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose parity bits leave room for the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[2:]]
+            held = [least_difference(x, y) <= _room(n, m, similarity) for n, x, m, y in zip(*columns)]
+            yield batch.select([0, 1]).filter(pa.array(held, pa.bool_()))
+
+    side = lambda c, n, x: nodes.select(F.col("node").alias(c), F.col("n").alias(n), F.col("bits").alias(x))
+    both = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
+    return both.select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a long, b long")
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (columns a, b of nodes) whose whole shingle sets reach the similarity.
+
+    Parity bits leave few pairs. Of their nodes one text each is fetched; texts that no pair
+    needs are sorted out by a bitmap where they are read, before the shuffle.
+    """
+    left = cut(_by_bits(pairs, nodes, similarity))
+    wanted = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+    wanted = cut(nodes.join(wanted, "node").select("node", "text_key"))
+    n = wanted.count()
+    if n == 0:
+        return left
+    plan = sketch.Plan.of(n, 1, MOST_BITS, rows=2, room=8.0)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for b in batches:
+            yield b.column(0).to_numpy().view(np.uint64)
+
+    lookup = sketch.Lookup(sketch.build(wanted.select("text_key"), asked, plan), plan)
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(lookup.may_reach(b.column(0).to_numpy().view(np.uint64))))
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(_text_key().alias("text_key"), text.alias("text")).mapInArrow(only, "text_key long, text string")
+    texts = cut(texts.join(wanted, "text_key").dropDuplicates(["node"]).select("node", "text"))
+    both = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon()
         known: dict[int, np.ndarray] = {}
         size = 0
 
         def found(node: int, text: pa.Scalar) -> np.ndarray:
             nonlocal size
             if (own := known.get(node)) is None:
-                own = shingle_set(text.as_py(), shingle)
+                own = shingle_set(text.as_py().encode(), lexicon, shingle)
                 if size + own.nbytes > _KNOWN_BYTES:
                     known.clear()
                     size = 0
@@ -167,49 +241,128 @@ def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, si
                 one, other = found(a, x), found(b, y)
                 shared = len(np.intersect1d(one, other, assume_unique=True))
                 held.append(shared >= similarity * (len(one) + len(other) - shared) - _NEAR_ZERO)
+            lexicon.forget()
             yield batch.select([0, 1]).filter(pa.array(held, pa.bool_()))
 
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def _fingerprint_pairs(nodes: DataFrame, distance: int) -> DataFrame:
+    """a, b: nodes of equal fingerprints, and the least nodes of fingerprints that are near."""
+    lead = cut(nodes.groupBy("fp").agg(F.min("node").alias("lead")))
+    alike = nodes.join(lead, "fp").filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    links = simhash.links(lead.select("fp"), distance)
+    links = links.join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a")
+    links = links.join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
+    return alike.unionByName(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+
+def _bucket_pairs(shared: DataFrame, nodes: DataFrame, tied: DataFrame, similarity: float, block: int) -> DataFrame:
+    """a, b: nodes that share a key, are not yet in one component, and may reach the similarity.
+
+    The nodes of a key meet in one task, with their bits, and only pairs that pass sizes, places
+    and bits become rows. A key of more than `block` nodes is cut into blocks, each pair of blocks
+    being a piece of its own.
+    """
+    of = shared.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("nodes"))
+    blocks = F.when(F.col("nodes") > block, F.ceil(F.col("nodes") / block * 2)).otherwise(1).cast("long")
+    several = several.filter("low <> high").select("key", blocks.alias("blocks"))
+    of = cut(of.join(several, "key").join(nodes.select("node", "bits"), "node"))
+    own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks"))
+    met = of.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    piece = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
+    met = met.select("key", piece.alias("piece"), side.alias("side"), "node", "n", "pos", "root", "bits")
+    met = met.repartition("key", "piece").sortWithinPartitions("key", "piece", "node")
+
+    def pairs_of(rows: list[tuple], seen: set) -> Iterator[tuple[int, int]]:
+        side, node, n, pos, root = (np.array(c, np.int64) for c in zip(*[r[:5] for r in rows]))
+        for i in range(len(rows) - 1):
+            j = np.arange(i + 1, len(rows))
+            both = n[i] + n[j]
+            rest = np.minimum(n[i] - pos[i], n[j] - pos[j])
+            fits = (root[j] != root[i]) & ((side[j] != side[i]) | (side[j] == 2))
+            fits &= np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - _NEAR_ZERO
+            fits &= rest >= similarity / (1 + similarity) * both - _NEAR_ZERO
+            for k in j[fits].tolist():
+                pair = (int(node[i]), int(node[k]))
+                if pair in seen:
+                    continue
+                if len(seen) < _KNOWN_PAIRS:
+                    seen.add(pair)
+                if least_difference(rows[i][5], rows[k][5]) <= _room(n[i], n[k], similarity):
+                    yield pair
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        at, rows, out = None, [], []
+
+        def give() -> pa.RecordBatch:
+            a, b = zip(*out) if out else ((), ())
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for key, piece, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                if (key, piece) != at:
+                    out.extend(pairs_of(rows, seen) if len(rows) > 1 else ())
+                    at, rows = (key, piece), []
+                rows.append(row)
+            if len(out) > 50_000:
+                yield give()
+        out.extend(pairs_of(rows, seen) if len(rows) > 1 else ())
+        yield give()
+
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_groups(
+    docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY,
+    distance: int = simhash.DISTANCE, block: int = BLOCK,
+) -> DataFrame:
     """doc_id, text_key, root per row: groups linked by similar shingle sets.
 
     Two texts link when the Jaccard similarity of their whole sets of shingles is at least
-    `similarity`; root is the least node of the component. Null and empty texts are one node.
-
-    Candidates are pairs that share a key of their prefixes, which every similar pair does. First
-    each node meets the least one of each of its keys, then, over keys that still have nodes of
-    several components, those of different ones. So a large group costs a pair per node and key
-    and not all its pairs; no key is capped.
+    `similarity`; root is the least node of the component. Null and empty texts are one node,
+    rows that repeat a text too; an empty table gives no rows, other columns are left aside.
+
+    Candidates come in three steps, each verified before the next. SimHash fingerprints of the
+    same shingles that differ in `distance` bits at most link most copies that were hardly
+    changed. Similar sets always share a key of their prefixes: each node meets the least node of
+    each of its keys, and then, over keys whose nodes are still in several components, those
+    of different ones. So a group of near copies costs some pairs per node and not all its pairs;
+    no key is capped, and no similar pair is left unlinked.
     """
     rows = cut(keyed(docs, shingle, similarity))
-    keys = rows.filter("keys is not null").select("node", "n", F.posexplode("keys").alias("pos", "key"))
-    whole = Window.partitionBy("key")
-    lead = F.min(F.struct("node", "n", "pos")).over(whole)
-    shared = keys.withColumn("lead", lead).withColumn("last", F.max("node").over(whole))
-    shared = shared.filter("lead.node <> last").select(
-        "key", "node", "n", "pos",
-        F.col("lead.node").alias("pnode"), F.col("lead.n").alias("pn"), F.col("lead.pos").alias("ppos"),
-    )
-    shared = cut(shared)
-
+    nodes = rows.filter("bits is not null").select("node", "n", "fp", "bits", "text_key", "keys").dropDuplicates(["node"])
+    nodes = cut(nodes)
+    found = cut(similar(_fingerprint_pairs(nodes.select("node", "fp"), distance), nodes, docs, shingle, similarity))
+
+    keys = nodes.select("node", "n", F.explode("keys").alias("_k")).select("node", "n", "_k.pos", "_k.key")
+    lead = keys.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("lead"), F.max("node").alias("last"))
+    lead = lead.filter("lead.node <> last").select(
+        "key", F.col("lead.node").alias("pnode"), F.col("lead.n").alias("pn"), F.col("lead.pos").alias("ppos")
+    )
+    shared = cut(keys.join(lead, "key"))
     met = shared.filter("pnode <> node").filter(_may_reach("", "p", similarity))
-    met = cut(met.select(F.col("pnode").alias("a"), F.col("node").alias("b")).distinct())
-    found = cut(similar(met, rows, docs, shingle, similarity))
+    met = met.select(F.col("pnode").alias("a"), F.col("node").alias("b")).distinct()
     tied = cut(components(found))
+    met = cut(_untied(met, tied))
+    found = cut(found.unionByName(similar(met, nodes, docs, shingle, similarity)))
 
-    of = shared.select("key", "node", "n", "pos").distinct()
-    of = of.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    of = cut(of.join(several.filter("low <> high").select("key"), "key"))
-    x = of.select("key", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "pos", "root")])
-    y = of.select("key", *[F.col(c).alias(f"y{c}") for c in ("node", "n", "pos", "root")])
-    more = x.join(y, "key").filter("xnode < ynode and xroot <> yroot").filter(_may_reach("x", "y", similarity))
-    more = more.select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct()
+    tied = cut(components(found))
+    more = _bucket_pairs(shared.select("key", "node", "n", "pos"), nodes, tied, similarity, block)
     more = cut(more.join(met, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        found = cut(found.unionByName(similar(more, rows, docs, shingle, similarity)))
-        tied = cut(components(found))
+        found = found.unionByName(similar(more, nodes, docs, shingle, similarity))
+        tied = cut(components(cut(found)))
     d = rows.select("doc_id", "text_key", "node").join(tied, "node", "left")
     return d.select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+
+
+def _untied(pairs: DataFrame, tied: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component yet."""
+    of = lambda c: tied.select(F.col("node").alias(c), F.col("root").alias(f"{c}root"))
+    d = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return d.filter(F.coalesce("aroot", "a") != F.coalesce("broot", "b")).select("a", "b")

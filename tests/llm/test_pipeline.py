@@ -6,17 +6,41 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sightings.llm import mixing, simhash
+from sightings.llm import mixing, shingles, simhash
 from sightings.llm.queries import QUERIES, tokenizer_path
 
 from .conftest import DOCUMENTS, clashing, odd_rows, prose
-from .test_operators import plain_components, plain_hits
+from .test_operators import plain_hits
 
 SF = "/root/testdata/sf0.001"
 
 
+def plain_shingles(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_first(rows):
+    """The smallest id of each group that pairs of a Jaccard similarity of 0.8 link."""
+    sets, root = [plain_shingles(r[1]) for r in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= 0.8 * len(x | y):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return set(least.values())
+
+
 def test_each_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_follow_each_other(spark):
@@ -26,7 +50,7 @@ def test_stages_follow_each_other(spark):
     kept = corpus_pipeline.select_quality(spark, docs, SF)
     assert kept.columns == columns
     rows = [tuple(r) for r in kept.collect()]
-    first = {c for _, _, c in plain_components(rows)}
+    first = plain_first(rows)
     kept = corpus_pipeline.drop_near_copies(spark, kept, SF)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(first)
     clean = {r[0] for r in rows if r[0] in first and not plain_hits(r[1], items)[-1]}
@@ -58,11 +82,6 @@ def test_stages_take_odd_tables(spark, rows):
         got.count()
 
 
-def plain_shingles(text):
-    words = (text or "").lower().split()
-    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
 def test_near_copies_go_by_jaccard(spark):
     """Pairs at 0.8 and above whose fingerprints are far apart, chains, and pairs just below."""
     rng = np.random.default_rng(3)
@@ -79,22 +98,27 @@ def test_near_copies_go_by_jaccard(spark):
     rows += [(1000 + k, f"{passage} {prose(2000 + k, 60)}", "en", "b", 0) for k in range(60)]
     rows += [(2000 + k, f"{prose(3000, 100)} tail{k}", "en", "b", 0) for k in range(60)]
     rows += [(3000, None, None, None, 0), (3001, "", None, None, 0), (3002, "one two", None, None, 0), (3003, "One  two", None, None, 0)]
-    sets, root = [plain_shingles(r[1]) for r in rows], list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
     wide = 0
-    for i, x in enumerate(sets):
-        for j, y in enumerate(sets[:i]):
-            if len(x & y) >= 0.8 * len(x | y):
-                root[max(find(i), find(j))] = min(find(i), find(j))
-                if x and y:
-                    wide += bin(simhash.fingerprint(rows[i][1]) ^ simhash.fingerprint(rows[j][1])).count("1") > 4
+    for i, x in enumerate(rows[:200]):
+        for y in rows[:i]:
+            one, other = plain_shingles(x[1]), plain_shingles(y[1])
+            if len(one & other) >= 0.8 * len(one | other):
+                wide += bin(simhash.fingerprint(x[1]) ^ simhash.fingerprint(y[1])).count("1") > 4
     assert wide > 20
-    want = {min(rows[j][0] for j in range(len(rows)) if find(j) == find(i)) for i in range(len(rows))}
     docs = spark.createDataFrame(rows, DOCUMENTS).repartition(5)
+    want = sorted(plain_first(rows))
+    for block in (4, 1024):
+        groups = shingles.similar_groups(docs, block=block)
+        assert sorted(r["doc_id"] for r in simhash.keep_first(docs, groups).collect()) == want
     got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect())
-    assert got == sorted(want)
+    assert got == want
+
+
+def test_parity_bits_never_overstate():
+    rng = np.random.default_rng(8)
+    for n, m, both in ((0, 0, 0), (1, 0, 0), (40, 50, 30), (700, 900, 650), (5000, 4100, 4000)):
+        h = rng.integers(0, 1 << 63, n + m, np.uint64)
+        x, y = np.unique(h[:n]), np.unique(np.concatenate([h[:both], h[n : n + m - both]]))
+        apart = len(np.setxor1d(x, y))
+        least = shingles.least_difference(shingles.parity(x), shingles.parity(y))
+        assert least <= apart and least >= apart // 4
