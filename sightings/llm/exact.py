@@ -14,117 +14,171 @@ from sightings.session import cut, ship
 
 #: Fingerprints that one shard of the filter should hold.
 SHARD_FINGERPRINTS = 2_000_000
+#: Bits that name a shard at most: 65,536 shards of the above are 130 billion rows.
+MOST_SHARD_BITS = 16
 #: Fingerprints that a task gathers before it hands over its filter.
 BUFFER = 2_000_000
 #: Repeated fingerprints (8 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_FINGERPRINTS = 1_000_000
 
-_HEADER = struct.Struct("<4sBBQ")
-_MAGIC = b"CQF1"
+_HEADER = struct.Struct("<4sBBQQ")
+_MAGIC = b"CQF2"
+_PACKED_AT_ONCE = 1 << 16
+
+
+def _pack(values: np.ndarray, width: int) -> bytes:
+    """Unsigned numbers of `width` bits, one after the other."""
+    out, carry = [], np.zeros(0, np.uint8)
+    for k in range(0, len(values), _PACKED_AT_ONCE):
+        part = values[k : k + _PACKED_AT_ONCE].astype(">u8").view(np.uint8).reshape(-1, 8)
+        bits = np.concatenate([carry, np.unpackbits(part, axis=1)[:, 64 - width :].reshape(-1)])
+        whole = len(bits) // 8 * 8
+        out.append(np.packbits(bits[:whole]).tobytes())
+        carry = bits[whole:]
+    return b"".join([*out, np.packbits(carry).tobytes()])
+
+
+def _unpack(data: np.ndarray, n: int, width: int) -> np.ndarray:
+    out = np.zeros(n, np.uint64)
+    step = _PACKED_AT_ONCE // 8 * 8  # whole bytes, whatever the width
+    for k in range(0, n, step):
+        m = min(step, n - k)
+        at = k * width // 8
+        bits = np.unpackbits(data[at : at + -(-m * width // 8)])[: m * width].reshape(m, width)
+        wide = np.zeros((m, 64), np.uint8)
+        wide[:, 64 - width :] = bits
+        out[k : k + m] = np.packbits(wide, axis=1).view(">u8").reshape(-1)
+    return out
+
+
+def _bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
 
 
 class CountingQuotientFilter:
-    """A set of 64-bit fingerprints with counts, by quotient and sorted remainders.
+    """A multiset of 64-bit fingerprints as runs of sorted remainders.
 
-    A fingerprint's high bits are its quotient, the slot where its run starts; the low bits are
-    the remainder that is kept. A run holds its remainders in order, so the filter is the sorted
-    list of its fingerprints with the quotients left out: `occupied` has the length of each run.
-    Counts of one cost nothing; larger ones are kept by place. Two filters of the same quotient
-    bits merge as sorted lists do, without loss, and without the fingerprints' texts.
+    A fingerprint's first bits name the shard, which is the filter's `prefix` of `bits` bits; the
+    next `q` bits are its quotient, the rest its remainder. `occupied` has a bit per quotient that
+    has a run. `slots` has the runs one after the other, remainders ascending, and `run_end` marks
+    the last slot of each. A remainder that occurs more than once is followed by its count, in
+    slots that `counter` marks. So a fingerprint costs its remainder and two bits, and its share
+    of the quotients' bits; a count costs a slot. Runs are in the order of the fingerprints, so
+    filters merge as sorted lists do, without loss and without the texts.
     """
 
-    def __init__(self, quotients: np.ndarray, remainders: np.ndarray, counts: np.ndarray, q: int) -> None:
-        self.q = q
-        self.quotients, self.remainders, self.counts = quotients, remainders, counts
+    def __init__(self, prefix, bits, q, occupied, run_end, counter, slots) -> None:
+        self.prefix, self.bits, self.q = prefix, bits, q
+        self.occupied, self.run_end, self.counter, self.slots = occupied, run_end, counter, slots
 
     @classmethod
-    def of(cls, fingerprints: np.ndarray, counts: np.ndarray | None = None, q: int = 16):
-        """From unsigned fingerprints in any order; equal ones add up."""
-        order = np.argsort(fingerprints, kind="stable")
-        f = fingerprints[order]
-        first = np.ones(len(f), bool)
-        first[1:] = f[1:] != f[:-1]
-        starts = np.nonzero(first)[0]
-        if counts is None:
-            n = np.diff(np.append(starts, len(f)))
-        else:
-            n = np.add.reduceat(counts[order], starts) if len(order) else counts
-        f = f[starts]
-        mask = np.uint64((1 << (64 - q)) - 1)
-        return cls((f >> np.uint64(64 - q)).astype(np.int64), f & mask, n.astype(np.int64), q)
-
-    def fingerprints(self) -> np.ndarray:
-        return (self.quotients.astype(np.uint64) << np.uint64(64 - self.q)) | self.remainders
+    def from_sorted(cls, fingerprints: np.ndarray, counts: np.ndarray, prefix: int = 0, bits: int = 0):
+        """From distinct ascending fingerprints that begin with the prefix, and their counts."""
+        n = len(fingerprints)
+        # No more quotients than fingerprints; slots wide enough for a count in two.
+        q = min(max(0, n.bit_length() - 1), 32 - bits)
+        r = 64 - bits - q
+        quotient = ((fingerprints >> np.uint64(r)) & np.uint64((1 << q) - 1)).astype(np.int64)
+        remainder = fingerprints & np.uint64((1 << r) - 1)
+        counts = counts.astype(np.uint64)
+        high = counts >> np.uint64(r)
+        digits = (counts > 1).astype(np.int64) + (high > 0)
+        at = np.cumsum(1 + digits) - 1 - digits
+        slots = np.zeros(n + int(digits.sum()), np.uint64)
+        counter = np.ones(len(slots), bool)
+        slots[at], counter[at] = remainder, False
+        slots[at[digits > 0] + 1] = counts[digits > 0] & np.uint64((1 << r) - 1)
+        slots[at[digits > 1] + 2] = high[digits > 1]
+        occupied, run_end = np.zeros(1 << q, bool), np.zeros(len(slots), bool)
+        occupied[quotient] = True
+        if n:
+            last = np.append(quotient[1:] != quotient[:-1], True)
+            run_end[(at + digits)[last]] = True
+        return cls(prefix, bits, q, occupied, run_end, counter, slots)
 
     @classmethod
-    def merged(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        """Several filters as one; counts of equal fingerprints add up."""
-        if len({f.q for f in filters}) != 1:
-            raise ValueError("filters of different quotient bits don't merge")
-        return cls.of(
-            np.concatenate([f.fingerprints() for f in filters]),
-            np.concatenate([f.counts for f in filters]),
-            filters[0].q,
-        )
+    def of(cls, fingerprints: np.ndarray, prefix: int = 0, bits: int = 0):
+        """From unsigned fingerprints in any order; equal ones are counted."""
+        return cls.from_sorted(*np.unique(fingerprints, return_counts=True), prefix, bits)
+
+    def items(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct fingerprints, ascending, and their counts."""
+        r = 64 - self.bits - self.q
+        own = ~self.counter
+        # A slot's run is the number of run ends before it; runs are those of the occupied quotients.
+        run = np.cumsum(self.run_end) - self.run_end
+        quotient = np.nonzero(self.occupied)[0][run[own]].astype(np.uint64)
+        head = np.uint64(self.prefix << (64 - self.bits) if self.bits else 0)
+        found = head | (quotient << np.uint64(r)) | self.slots[own]
+        place = np.cumsum(own) - 1
+        counts = np.ones(len(found), np.uint64)
+        first = self.counter & ~np.append(False, self.counter[:-1])
+        counts[place[first]] = self.slots[first]
+        second = self.counter & ~first
+        counts[place[second]] += self.slots[second] << np.uint64(r)
+        return found, counts.astype(np.int64)
+
+    def merged(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
+        """Both as one: two ascending lists are laid into each other, equal ones add their counts."""
+        if (self.prefix, self.bits) != (other.prefix, other.bits):
+            raise ValueError("filters of different shards don't merge")
+        (x, n), (y, m) = self.items(), other.items()
+        at = np.searchsorted(x, y)
+        same = at < len(x)
+        same[same] = x[at[same]] == y[same]
+        n[at[same]] += m[same]
+        y, m, at = y[~same], m[~same], at[~same]
+        to = at + np.arange(len(y))
+        both, counts = np.empty(len(x) + len(y), np.uint64), np.empty(len(x) + len(y), np.int64)
+        rest = np.ones(len(both), bool)
+        rest[to] = False
+        both[to], counts[to] = y, m
+        both[rest], counts[rest] = x, n
+        return self.from_sorted(both, counts, self.prefix, self.bits)
 
     def to_bytes(self) -> bytes:
-        """Lengths of runs (as gaps of quotients), remainders in as many bytes as they need, counts."""
-        width = -(-(64 - self.q) // 8)
-        gaps = np.diff(self.quotients, prepend=0).astype("<u4")
-        low = self.remainders.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-        many = np.nonzero(self.counts > 1)[0]
-        return b"".join(
-            [
-                _HEADER.pack(_MAGIC, self.q, width, len(self.counts)),
-                gaps.tobytes(), low.tobytes(), struct.pack("<Q", len(many)),
-                many.astype("<u4").tobytes(), self.counts[many].astype("<i8").tobytes(),
-            ]
-        )
+        head = _HEADER.pack(_MAGIC, self.bits, self.q, self.prefix, len(self.slots))
+        flags = [_bits(self.occupied), _bits(self.run_end), _bits(self.counter)]
+        return b"".join([head, *flags, _pack(self.slots, 64 - self.bits - self.q)])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> CountingQuotientFilter:
-        magic, q, width, n = _HEADER.unpack_from(data)
+        magic, bits, q, prefix, n = _HEADER.unpack_from(data)
         if magic != _MAGIC:
             raise ValueError("not a counting quotient filter")
-        at = _HEADER.size
-        quotients = np.cumsum(np.frombuffer(data, "<u4", n, at).astype(np.int64))
-        at += 4 * n
-        low = np.zeros((n, 8), np.uint8)
-        low[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(n, width)
-        at += n * width
-        (m,) = struct.unpack_from("<Q", data, at)
-        places = np.frombuffer(data, "<u4", m, at + 8)
-        counts = np.ones(n, np.int64)
-        counts[places] = np.frombuffer(data, "<i8", m, at + 8 + 4 * m)
-        return cls(quotients, low.view("<u8").reshape(-1).astype(np.uint64), counts, q)
-
-
-def _shards(f: CountingQuotientFilter, bits: int) -> Iterator[tuple[int, bytes]]:
-    """A filter's parts by the top bits of the quotient."""
-    top = f.quotients >> (f.q - bits)
+        raw, at = np.frombuffer(data, np.uint8), _HEADER.size
+        flags = []
+        for size in (1 << q, n, n):
+            flags.append(np.unpackbits(raw[at : at + -(-size // 8)], count=size).astype(bool))
+            at += -(-size // 8)
+        return cls(prefix, bits, q, *flags, _unpack(raw[at:], n, 64 - bits - q))
+
+
+def _shards(fingerprints: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
+    """A filter per shard, which the first bits name."""
+    f, n = np.unique(fingerprints, return_counts=True)
+    top = (f >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(f), np.int64)
     bounds = np.searchsorted(top, np.arange((1 << bits) + 1))
     for k in np.unique(top).tolist():
         own = slice(bounds[k], bounds[k + 1])
-        part = CountingQuotientFilter(f.quotients[own], f.remainders[own], f.counts[own], f.q)
-        yield k, part.to_bytes()
+        yield k, CountingQuotientFilter.from_sorted(f[own], n[own], k, bits).to_bytes()
 
 
-def repeated_fingerprints(fingerprints: DataFrame, rows: int, q: int = 16) -> DataFrame:
+def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
     """fp, n of the 64-bit fingerprints (column fp) that occur more than once.
 
-    Each task builds filters of what it reads and hands them over in parts, by the top bits of
-    the quotient; the parts of a shard merge one after the other, so a merging task holds the
-    distinct fingerprints of a shard, whatever their counts. `rows` sets the number of shards.
+    Each task builds filters of what it reads, one per shard; the filters of a shard merge two by
+    two as they come, so a merging task holds the distinct fingerprints of a shard, whatever
+    their counts. `rows` sets the number of shards.
     """
-    bits = min(q, max(0, (rows // SHARD_FINGERPRINTS).bit_length()))
+    bits = min(MOST_SHARD_BITS, max(0, (rows // SHARD_FINGERPRINTS).bit_length()))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def give() -> pa.RecordBatch:
-            f = CountingQuotientFilter.of(np.concatenate(held).view(np.uint64), None, q)
+            parts = list(_shards(np.concatenate(held).view(np.uint64), bits))
             held.clear()
-            parts = list(_shards(f, bits))
             return pa.RecordBatch.from_pydict(
                 {
                     "shard": pa.array([k for k, _ in parts], pa.int32()),
@@ -140,30 +194,29 @@ def repeated_fingerprints(fingerprints: DataFrame, rows: int, q: int = 16) -> Da
             yield give()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Parts come sorted by shard. They wait until they are as long as what is merged.
+        # Parts come sorted by shard. Two merge when the later is as large, so each item few times.
         shard: int | None = None
         waiting: list[CountingQuotientFilter] = []
 
         def told() -> pa.RecordBatch:
-            whole = CountingQuotientFilter.merged(waiting)
-            more = whole.counts > 1
+            while len(waiting) > 1:
+                last = waiting.pop()
+                waiting[-1] = waiting[-1].merged(last)
+            found, counts = waiting.pop().items()
+            more = counts > 1
             return pa.RecordBatch.from_pydict(
-                {
-                    "fp": pa.array(whole.fingerprints()[more].view(np.int64)),
-                    "n": pa.array(whole.counts[more], pa.int64()),
-                }
+                {"fp": pa.array(found[more].view(np.int64)), "n": pa.array(counts[more], pa.int64())}
             )
 
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1)):
                 if k != shard and waiting:
                     yield told()
-                    waiting = []
                 shard = k
                 waiting.append(CountingQuotientFilter.from_bytes(x.as_py()))
-                later = sum(len(f.counts) for f in waiting[1:])
-                if later > max(len(waiting[0].counts), SHARD_FINGERPRINTS):
-                    waiting = [CountingQuotientFilter.merged(waiting)]
+                while len(waiting) > 1 and len(waiting[-1].slots) >= len(waiting[-2].slots):
+                    last = waiting.pop()
+                    waiting[-1] = waiting[-1].merged(last)
         if waiting:
             yield told()
 

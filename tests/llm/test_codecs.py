@@ -71,16 +71,49 @@ def test_ids_of_real_texts_with_a_small_memory(monkeypatch):
             assert np.frombuffer(x, "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
-@given(st.lists(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 5), max_size=60), max_size=6))
-@settings(max_examples=60, deadline=None)
-def test_quotient_filters_merge_without_loss(parts):
+@given(
+    st.lists(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 5), max_size=60), min_size=1, max_size=6),
+    st.sampled_from([0, 3, 16]),
+)
+@settings(max_examples=80, deadline=None)
+def test_quotient_filters_merge_without_loss(parts, bits):
+    """All items of one shard: the numbers' first bits are replaced by the prefix."""
+    q = exact.CountingQuotientFilter
+    prefix = 5 % (1 << bits)
+    parts = [np.array([(prefix << (64 - bits)) | (x >> bits) for x in p], np.uint64) for p in parts]
+    filters = [q.from_bytes(q.of(p, prefix, bits).to_bytes()) for p in parts]
+    whole = filters[0]
+    for f in filters[1:]:
+        whole = whole.merged(f)
+    every, n = np.unique(np.concatenate(parts), return_counts=True)
+    found, counts = q.from_bytes(whole.to_bytes()).items()
+    assert (found == every).all() and (counts == n).all()
+
+
+def test_quotient_filters_hold_large_counts():
     q = exact.CountingQuotientFilter
-    filters = [q.from_bytes(q.of(np.array(p, np.uint64)).to_bytes()) for p in parts if p]
-    if not filters:
-        return
-    whole = q.merged(filters)
-    every, n = np.unique(np.array([x for p in parts for x in p], np.uint64), return_counts=True)
-    assert (whole.fingerprints() == every).all() and (whole.counts == n).all()
+    f = np.sort(np.random.default_rng(1).integers(0, 2**64, 3000, np.uint64))
+    n = np.ones(len(f), np.int64)
+    n[::3], n[::7], n[::11] = 2, 10**6, 2**62
+    found, counts = q.from_bytes(q.from_sorted(f, n).to_bytes()).items()
+    assert (found == f).all() and (counts == n).all()
+    with pytest.raises(ValueError):
+        q.of(f).merged(q.of(f[:0], 1, 4))
+    with pytest.raises(ValueError):
+        q.from_bytes(b"CQF1" + q.of(f).to_bytes()[4:])
+
+
+@pytest.mark.parametrize("n,bits", [(1000, 0), (70_000, 0), (300_000, 2)])
+def test_quotient_filters_are_smaller_than_their_fingerprints(n, bits):
+    """A remainder, two bits in the slot, and at most a bit of a quotient, for each fingerprint."""
+    f = np.unique(np.random.default_rng(n).integers(0, 2 ** (64 - bits), n, np.uint64))
+    x = exact.CountingQuotientFilter.of(f, 0, bits)
+    data = x.to_bytes()
+    assert 8 * (len(data) - 30) / len(f) <= 64 - bits - x.q + 3
+    assert len(data) < 8 * len(f)
+    run = np.nonzero(x.run_end)[0]
+    assert len(run) == x.occupied.sum() and not x.counter.any()
+    assert all((np.diff(part.astype(object)) > 0).all() for part in np.split(x.slots, run[:200] + 1)[:-1])
 
 
 def test_frames_and_records():
