@@ -4,7 +4,7 @@ Each language has a tree of byte contexts up to three bytes long, with counts of
 The code length of a byte is that of the longest known context; a byte that never followed it
 costs an escape (method C: as many escapes as different followers) and is looked up in the
 context one byte shorter, down to all bytes alike. Statistics are frozen before scoring, so the
-code length of a byte depends on it and the three bytes before it alone, and is tabulated once.
+code length of a byte depends on it and the three bytes before it alone.
 """
 
 from __future__ import annotations
@@ -21,30 +21,34 @@ from pyspark.sql import functions as F
 from sightings.session import cut, ship
 
 ORDER = 3
-#: Bytes of text per language, about, that the trees are learnt from.
+#: Bytes of distinct texts, about, that the trees are learnt from: per language, and of all together.
+#: Nothing else bounds the model; all contexts of the sample are in it.
 SAMPLE_BYTES = 2_000_000
-#: Bytes of the table of code lengths; the least frequent of the longest contexts give way.
-TABLE_BYTES = 48 << 20
-#: Languages whose sizes may be broadcast; more are joined by a shuffle.
-BROADCAST_LANGUAGES = 10_000
+TOTAL_BYTES = 24_000_000
+#: Languages whose trees share a table.
+GROUP = 8
 UNKNOWN = "und"
 
 _CHUNK = 1 << 20
 
 
-def sampled(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """lang, text of about `sample_bytes` per language: the documents of the smallest draws.
+def sampled(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> DataFrame:
+    """lang, text of about `sample_bytes` per language: the distinct texts of the smallest draws.
 
-    The draw is a digest of the text, the bound a share of each language's bytes.
+    The draw is a digest of the text, the bound a share of the bytes of each language's distinct
+    texts; with many languages each has an equal share of `total_bytes`. A text that is longer
+    than the bound is drawn whole or not at all. Copies of a text count once.
     """
     d = docs.filter("lang is not null and text is not null").select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     )
-    total = cut(d.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")))
-    few = total.count() <= BROADCAST_LANGUAGES
-    unit = F.pmod(F.xxhash64(F.lit("ppm"), "text"), F.lit(1 << 30)) / float(1 << 30)
-    d = d.withColumn("_unit", unit).join(F.broadcast(total) if few else total, "lang")
-    return d.filter(F.col("_unit") * F.col("bytes") < sample_bytes).select("lang", "text")
+    draw = F.xxhash64(F.lit("ppm"), "text")
+    distinct = d.select("lang", draw.alias("draw"), F.octet_length("text").alias("bytes")).distinct()
+    total = cut(distinct.groupBy("lang").agg(F.sum("bytes").alias("bytes")))
+    most = min(float(sample_bytes), total_bytes / max(1, total.count()))
+    unit = F.pmod(draw, F.lit(1 << 30)) / float(1 << 30)
+    d = d.withColumn("_unit", unit).join(total, "lang")
+    return d.filter(F.col("_unit") * F.col("bytes") < most).select("lang", "text").distinct()
 
 
 def followers(sample: DataFrame) -> DataFrame:
@@ -72,32 +76,66 @@ def followers(sample: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+@dataclass
+class Level:
+    """The contexts of one length, and what followed each of them in any language of a group.
+
+    rows: context (places of its bytes) -> row, the last one for contexts that never occurred.
+    known: per row the bytes that followed, a bit each; first: per word of bits, the code lengths
+    before it. codes: [follower, language] in bits; escapes: [row, language].
+    """
+
+    rows: np.ndarray
+    known: np.ndarray
+    first: np.ndarray
+    codes: np.ndarray
+    escapes: np.ndarray
+
+
 @dataclass
 class ContextModel:
-    """Code lengths in bits, by context and byte, of all languages.
+    """Code lengths by context and byte, as sparse as what occurred.
 
-    letters: byte -> its place among the bytes that were seen (all others share one place, as
-    they cost alike). rows: context (places of three bytes) -> row of the table.
-    table: [row, place of the byte, language].
+    letters: byte -> its place among the bytes that were seen (all others share the last one, and
+    never followed anything). groups: of some languages each, the levels from no byte of context up.
     """
 
     langs: list[str]
     letters: np.ndarray
     size: int
-    rows: np.ndarray
-    table: np.ndarray
+    groups: list[list[Level]]
 
     def lengths(self, text: str) -> np.ndarray:
         """The exact code length of a whole text in each language."""
         data = np.frombuffer(b"\0" * ORDER + text.encode("utf-8", "surrogatepass"), np.uint8)
-        total = np.zeros(len(self.langs))
-        a = self.size
+        parts = [0.0] * len(self.groups)
         for k in range(0, len(data) - ORDER, _CHUNK):
             x = self.letters[data[k : k + _CHUNK + ORDER]]
-            context = (x[:-3] * a + x[1:-2]) * a + x[2:-1]
-            at = self.rows[context] * a + x[3:]
-            total += self.table[at].sum(axis=0, dtype=np.float64)
-        return total
+            for g, levels in enumerate(self.groups):
+                parts[g] = parts[g] + self._length(x, levels)
+        return np.concatenate(parts) if parts and len(data) > ORDER else np.zeros(len(self.langs))
+
+    def _length(self, x: np.ndarray, levels: list[Level]) -> np.ndarray:
+        at = np.arange(ORDER, len(x))
+        total = np.zeros(levels[0].codes.shape[1])
+        words = levels[0].known.shape[1]
+        for order in range(ORDER, -1, -1):
+            level, byte = levels[order], x[at]
+            context = np.zeros(len(at), np.int64)
+            for back in range(order, 0, -1):
+                context = context * self.size + x[at - back]
+            row = level.rows[context]
+            place = row * words + (byte >> 6)
+            known = level.known.reshape(-1)[place]
+            bit = np.uint64(1) << (byte & 63).astype(np.uint64)
+            followed = (known & bit) != 0
+            code = level.first.reshape(-1)[place] + np.bitwise_count(known & (bit - np.uint64(1)))
+            total += level.codes[code[followed]].sum(axis=0, dtype=np.float64)
+            if followed.all():
+                return total
+            at = at[~followed]
+            total += level.escapes[row[~followed]].sum(axis=0, dtype=np.float64)
+        return total + 8.0 * len(at)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language of the shortest code, and its share if all are equally likely before.
@@ -113,77 +151,69 @@ class ContextModel:
         return self.langs[best], float(1.0 / odds.sum())
 
 
-def build(counts: pd.DataFrame, table_bytes: int = TABLE_BYTES) -> ContextModel:
-    """Tables from lang, gram, n."""
+def _levels(x: list[np.ndarray], n: np.ndarray, lang: np.ndarray, a: int, langs: int) -> list[Level]:
+    """From windows (places of their four bytes), their counts and languages."""
+    out: list[Level] = []
+    below, shorter = np.zeros(0, np.int64), np.zeros((0, langs), np.float32)
+    words = -(-a // 64)
+    for order in range(ORDER + 1):
+        key = np.zeros(len(n), np.int64)
+        for part in x[ORDER - order :]:
+            key = key * a + part
+        names, at = np.unique(key, return_inverse=True)
+        counts = np.zeros((len(names), langs))
+        np.add.at(counts, (at, lang), n)
+        contexts, starts, of = np.unique(names // a, return_index=True, return_inverse=True)
+        different = np.add.reduceat(counts > 0, starts, axis=0, dtype=np.int64)
+        whole = np.add.reduceat(counts, starts, axis=0) + different
+        with np.errstate(divide="ignore", invalid="ignore"):
+            escapes = np.where(different > 0, np.log2(np.maximum(whole, 1)) - np.log2(np.maximum(different, 1)), 0.0)
+            own = np.log2(whole[of]) - np.log2(counts)
+        # A byte that followed a context also followed the context one byte shorter.
+        less = shorter[np.searchsorted(below, names % a**order)] if order else np.full(counts.shape, 8.0)
+        codes = np.where(counts > 0, own, escapes[of] + less)
+        byte = names % a
+        known = np.zeros((len(contexts) + 1, words), np.uint64)
+        np.bitwise_or.at(known, (of, byte >> 6), np.uint64(1) << (byte & 63).astype(np.uint64))
+        bits = np.bitwise_count(known).astype(np.int64).reshape(-1)
+        first = (np.cumsum(bits) - bits).reshape(known.shape)
+        rows = np.full(a**order, len(contexts), np.int32)
+        rows[contexts] = np.arange(len(contexts), dtype=np.int32)
+        escapes = np.concatenate([escapes, np.zeros((1, langs))])
+        out.append(Level(rows, known, first.astype(np.int32), codes.astype(np.float32), escapes.astype(np.float32)))
+        below, shorter = names, codes
+    return out
+
+
+def build(counts: pd.DataFrame, group: int = GROUP) -> ContextModel:
+    """Trees from lang, gram, n."""
     langs = sorted(counts["lang"].unique())
     if not langs:
-        return ContextModel([], np.zeros(256, np.int32), 1, np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
+        return ContextModel([], np.zeros(256, np.int64), 1, [])
     gram = counts["gram"].to_numpy()
     n = counts["n"].to_numpy().astype(np.float64)
     lang = np.searchsorted(langs, counts["lang"].to_numpy().astype(str))
     seen = np.unique(np.concatenate([[0], *[gram >> s & 255 for s in (24, 16, 8, 0)]])).astype(int)
-    letters = np.full(256, len(seen), np.int32)
+    letters = np.full(256, len(seen), np.int64)
     letters[seen] = np.arange(len(seen))
-    a, L = len(seen) + 1, len(langs)
-    x = [letters[gram >> s & 255].astype(np.int64) for s in (24, 16, 8, 0)]
+    a = len(seen) + 1
+    x = [letters[gram >> s & 255] for s in (24, 16, 8, 0)]
+    groups = []
+    for k in range(0, len(langs), group):
+        own = (lang >= k) & (lang < k + group)
+        groups.append(_levels([p[own] for p in x], n[own], lang[own] - k, a, min(group, len(langs) - k)))
+    return ContextModel(langs, letters, a, groups)
 
-    def level(order: int) -> tuple[np.ndarray, np.ndarray]:
-        """(contexts, counts[context, byte, language]) of one order; order 0 has one context."""
-        key = np.zeros(len(gram), np.int64)
-        for part in x[3 - order : 3]:
-            key = key * a + part
-        names, at = np.unique(key, return_inverse=True)
-        if order == ORDER:
-            most = max(1, table_bytes // (4 * a * max(L, 1)) - a * a // 4)
-            if len(names) > most:
-                weight = np.bincount(at, weights=n)
-                kept = np.sort(np.argsort(-weight, kind="stable")[:most])
-                place = np.full(len(names), -1)
-                place[kept] = np.arange(most)
-                use = place[at] >= 0
-                out = np.zeros((most, a, L), np.float32)
-                np.add.at(out, (place[at][use], x[3][use], lang[use]), n[use])
-                return names[kept], out
-        out = np.zeros((len(names), a, L), np.float32)
-        np.add.at(out, (at, x[3], lang), n)
-        return names, out
-
-    def lengths(seen: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Bits per byte: what followed by its count, the rest by an escape and the shorter context."""
-        different = (seen > 0).sum(axis=1, keepdims=True)
-        total = seen.sum(axis=1, keepdims=True) + different
-        with np.errstate(divide="ignore", invalid="ignore"):
-            own = np.log2(total) - np.log2(seen)
-            escape = np.where(total > 0, np.log2(np.maximum(total, 1)) - np.log2(np.maximum(different, 1)), 0)
-        return np.where(seen > 0, own, escape + shorter).astype(np.float32)
 
-    # The table has a row per known context of any order; a context takes its longest known end.
-    table = np.full((1, a, L), 8.0, np.float32)
-    base, below = np.zeros(1, np.int32), table
-    for order in range(ORDER + 1):
-        names, seen_here = level(order)
-        suffix = names % a ** max(order - 1, 0)
-        shorter = below[base[suffix]] if order else np.broadcast_to(table, seen_here.shape)
-        here = lengths(seen_here, shorter)
-        # Contexts of this order that were never seen stand for the shorter one.
-        whole = np.zeros(a**order, np.int32)
-        if order:
-            whole[:] = base[np.arange(a**order) % a ** (order - 1)] if order > 1 else 0
-        below = np.concatenate([below, here]) if order else here
-        whole[names] = np.arange(len(below) - len(names), len(below))
-        base = whole
-    return ContextModel(langs, letters, a, base, below.reshape(-1, L))
-
-
-def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, table_bytes: int = TABLE_BYTES) -> ContextModel:
+def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> ContextModel:
     """The model of the given labelled documents; what the driver holds is bounded by the sample."""
-    return build(followers(cut(sampled(docs, sample_bytes))).toPandas(), table_bytes)
+    return build(followers(cut(sampled(docs, sample_bytes, total_bytes))).toPandas())
 
 
 def predicted(docs: DataFrame, model: ContextModel, text: str = "text") -> list[Column]:
     """Columns lang_pred and score for every whole text."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # TABLE_BYTES and the rows at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the contexts of TOTAL_BYTES at most
 
     @F.pandas_udf("lang_pred string, score double")
     def tell(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -200,13 +230,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def languages(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, table_bytes: int = TABLE_BYTES) -> DataFrame:
+def languages(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     Learns from the documents that are not held out. A document without an id is not held out;
     without any labelled text every prediction is `und`. Other columns are left aside.
     """
-    model = fit(docs.filter(~held_out(F.col("doc_id"))), sample_bytes, table_bytes)
+    model = fit(docs.filter(~held_out(F.col("doc_id"))), sample_bytes, total_bytes)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         held_out(F.col("doc_id")).alias("held_out"),
