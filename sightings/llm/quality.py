@@ -169,17 +169,19 @@ def fit_grades(features: list[np.ndarray], grades: np.ndarray, levels: int) -> O
 
 
 def fit(docs: DataFrame, grades: DataFrame, sample_rows: int = SAMPLE_ROWS, levels: int = 3) -> OrdinalModel | None:
-    """Fit on the labelled documents of the smallest draws, `sample_rows` at most.
+    """Fit on the labelled documents of the smallest draws, `sample_rows` rows at most.
 
-    None where fewer than two grades occur among them. The draw is a digest of the id; of rows
-    that repeat an id each counts. Texts become places of features where they are read; one
-    task fits the model.
+    None where fewer than two grades occur among them. Ids are drawn by a digest; of rows that
+    repeat id and text one counts, and where ids repeat with other texts, so many rows are drawn
+    once more. Texts become places of features where they are read; one task fits the model.
     """
     spark = docs.sparkSession
     ship(spark)
     drawn = grades.withColumn("_draw", F.xxhash64(F.lit("grade-sample"), F.col("doc_id")))
     drawn = drawn.orderBy("_draw").limit(sample_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    draw = F.xxhash64(F.lit("grade-row"), F.col("doc_id").cast("long"), text)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), draw.alias("draw"), text.alias("text"))
     rows = rows.join(drawn.select("doc_id", "grade"), "doc_id")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +193,8 @@ def fit(docs: DataFrame, grades: DataFrame, sample_rows: int = SAMPLE_ROWS, leve
                 flat = [i for x in set(found) for i in words(x)] + text_features(found)
                 out.append(np.unique(np.array(flat, "<i4")).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column("grade").cast(pa.int32()), pa.array(out, pa.binary())], ["grade", "places"]
+                [b.column("draw"), b.column("grade").cast(pa.int32()), pa.array(out, pa.binary())],
+                ["draw", "grade", "places"],
             )
 
     def learn(d: pd.DataFrame) -> pd.DataFrame:
@@ -202,7 +205,8 @@ def fit(docs: DataFrame, grades: DataFrame, sample_rows: int = SAMPLE_ROWS, leve
         features = [np.frombuffer(x, "<i4") for x in d["places"]]
         return pd.DataFrame({"model": [fit_grades(features, d["grade"].to_numpy(), levels).to_bytes()]})
 
-    sample = rows.select("grade", "text").mapInArrow(places, "grade int, places binary")
+    sample = rows.select("draw", "grade", "text").mapInArrow(places, "draw long, grade int, places binary")
+    sample = sample.dropDuplicates(["draw"]).orderBy("draw").limit(sample_rows).select("grade", "places")
     got = sample.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(learn, "model binary").collect()
     return OrdinalModel.from_bytes(bytes(got[0][0])) if got else None
 
