@@ -2,9 +2,9 @@
 
 Three plain patterns find spans in each text. Beyond them every token that looks random is a
 candidate. What decides about candidates is who holds them: the value's digest is counted by
-distinct owners and repositories over the whole corpus. A value that many owners hold is a widely
-copied example; one that a few hold is a live-looking credential, and each of its occurrences
-becomes a span, with or without a keyword before it.
+distinct owners and repositories over the whole corpus. A value that many owners hold, or many
+repositories of one owner, is a widely copied example; one that few hold is a live-looking
+credential, and each of its occurrences becomes a span, with or without a keyword before it.
 """
 
 from __future__ import annotations
@@ -43,8 +43,9 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 #: Bits per character that a candidate of digits and letters must have.
 MIN_ENTROPY = 3.0
-#: A value of more owners than this is an example.
+#: A value of more owners than this, or of more repositories, is an example.
 MAX_OWNERS = 2
+MAX_REPOSITORIES = 4
 
 _SPANS = "array<struct<kind:string,first:int,last:int,value_first:int,value_last:int,value:binary>>"
 
@@ -86,13 +87,13 @@ def _joined(spans) -> str:
 
 
 def found(docs: DataFrame, owner: str, repository: str) -> DataFrame:
-    """Per row: row, doc_id, owner, repository, the base columns, and all spans with digests."""
+    """Per row: row, doc_id, owner, repository, text_key, the base columns, all spans with digests."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text in b.column(4):
+            for text in b.column(5):
                 text = text.as_py() or ""
                 base = base_spans(text)
                 count = Counter(s[0] for s in base)
@@ -119,8 +120,8 @@ def found(docs: DataFrame, owner: str, repository: str) -> DataFrame:
                 )
             made = pa.RecordBatch.from_pylist(rows, schema)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:4], *made.columns],
-                ["row", "doc_id", "owner", "repository", *schema.names],
+                [*b.columns[:5], *made.columns],
+                ["row", "doc_id", "owner", "repository", "text_key", *schema.names],
             )
 
     span = pa.struct(
@@ -136,48 +137,53 @@ def found(docs: DataFrame, owner: str, repository: str) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col(owner).cast("string").alias("owner"),
         F.col(repository).cast("string").alias("repository"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_key"),
         F.col("text").cast("string").alias("text"),
     )
     return rows.mapInArrow(
         run,
-        "row long, doc_id long, owner string, repository string, n_assign long, n_access long, "
+        "row long, doc_id long, owner string, repository string, text_key long, n_assign long, n_access long, "
         f"n_hex long, base_sha256 string, found {_SPANS}",
     )
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """value, owners, repositories: distinct holders of each value; unknown holders count as one.
+    """value, owners, repositories: distinct holders of each value; unknown ones count as one.
 
-    A value is first brought together by holder, where copies fall together before the shuffle.
+    Repositories that hold copies of one text count once: `repositories` is the lesser of the
+    distinct repositories and the distinct texts that have the value. Copies fall together
+    before the shuffle.
     """
-    held = spans.groupBy("value", "owner", "repository").agg(F.count(F.lit(1)).alias("times"))
-    by_owner = held.groupBy("value", "owner").agg(
-        F.count(F.lit(1)).alias("repositories"), F.sum("times").alias("times")
-    )
-    return by_owner.groupBy("value").agg(
-        F.count(F.lit(1)).alias("owners"),
-        F.sum("repositories").alias("repositories"),
-        F.sum("times").alias("times"),
-    )
+    held = spans.groupBy("value", "owner", "repository", "text_key").agg(F.count(F.lit(1)).alias("times"))
+    known = lambda c: F.count_distinct(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")))
+    counted = held.groupBy("value").agg(
+        known("owner").alias("owners"), known("repository").alias("repositories"),
+        known("text_key").alias("texts"), F.sum("times").alias("times"),
+    )
+    return counted.select("value", "owners", F.least("repositories", "texts").alias("repositories"), "times")
 
 
 def secrets(
-    docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS
+    docs: DataFrame,
+    owner: str = "source",
+    repository: str = "doc_id",
+    max_owners: int = MAX_OWNERS,
+    max_repositories: int = MAX_REPOSITORIES,
 ) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live.
 
     `spans` holds the spans of the three kinds, and a `live` one for each occurrence of a value
-    that at most `max_owners` owners hold in the whole corpus: values of base spans, and random
-    tokens that stand alone. It is ordered by start, then kind, `live` last, as
+    that at most `max_owners` owners and `max_repositories` repositories hold in the whole corpus
+    (see `ownership`): values of base spans, and random tokens that stand alone. It is ordered by start, then kind, `live` last, as
     kind:start:end in code points, end exclusive. Null text is empty and has no spans; a null
     owner is an owner of its own. Rows are handled one by one, also where ids repeat. Results
     are small; texts are read once, and what is found in them is kept in a table.
     """
     rows = cut(found(docs, owner, repository))
-    spans = rows.select("row", "owner", "repository", F.explode("found").alias("s")).select(
-        "row", "owner", "repository", "s.*"
-    )
-    live = ownership(spans).filter(F.col("owners") <= max_owners).select("value")
+    holder = ["row", "owner", "repository", "text_key"]
+    spans = rows.select(*holder, F.explode("found").alias("s")).select(*holder, "s.*")
+    few = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    live = ownership(spans).filter(few).select("value")
     extra = (
         spans.join(live, "value", "left_semi")
         .groupBy("row")
