@@ -16,7 +16,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightings.llm import storage
@@ -26,6 +26,8 @@ from sightings.session import cut, ship
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 32 << 20
 LEVEL = 3
+#: Tasks that bundles are read back in at most.
+MOST_READERS = 20_000
 
 # Fixed values of the seekable format.
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -39,20 +41,26 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode("ascii")
 
 
-def record_id(page_id: int | None, at: int = 0) -> str:
-    """The record's name, the same in every run."""
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"page/{'none/' + str(at) if page_id is None else page_id}")
+def record_id(page_id: int | None, sha: bytes, size: int, ordinal: int = 0) -> str:
+    """The record's name, the same in every run.
+
+    It is made of the page's id, its payload's digest and length, and the row's number among those
+    that repeat both.
+    """
+    page = "none" if page_id is None else page_id
+    name = uuid.uuid5(uuid.NAMESPACE_URL, f"page/{page}/{sha.hex()}/{size}/{ordinal}")
     return f"<urn:uuid:{name}>"
 
 
 def record(
-    page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, first: bool, date: str
+    page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, first: bool, date: str, ordinal: int = 0
 ) -> bytes:
     """A response with its payload, or a revisit without."""
+    sha = hashlib.sha1(payload).digest()
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if first else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, sha, len(payload), ordinal)}",
         f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
         f"X-Payload-Bytes: {len(payload)}",
@@ -63,7 +71,7 @@ def record(
         head.append("WARC-Target-URI: " + "".join(c for c in url if c >= " " and c != "\x7f"))
     if not first:
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(f"WARC-Refers-To: {record_id(refers_to)}")
+        head.append(f"WARC-Refers-To: {record_id(refers_to, sha, len(payload))}")
         head.append(f"X-Refers-To-Page-Id: {refers_to}")
     body = payload if first else b""
     head.append("Content-Type: text/html; charset=utf-8")
@@ -116,6 +124,31 @@ def _frame(content: bytes, at: int, packed: int, plain: int) -> bytes:
     return zstandard.ZstdDecompressor().decompress(content[at : at + packed], max_output_size=plain)
 
 
+def _numbered(rows: DataFrame, same: list[str]) -> DataFrame:
+    """page_id, url, payload, sha, bytes, first, ordinal: rows with a number among their repeats.
+
+    Rows that repeat id and payload are few, or copies of a few: these are brought together, one
+    row with its number of times for each url, and dealt out again.
+    """
+    groups = rows.groupBy(*same).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    copies = groups.filter("n > 1").select(*same, "first")
+    d = rows.join(copies, same, "left")
+    known = F.coalesce(F.col("page_id").cast("string"), F.lit("none")).alias("_page")
+    repeats = rows.groupBy(known, *same).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeats = cut(repeats.select("_page", *same, F.lit(True).alias("_many")))
+    columns = ["page_id", "url", "payload", *same, "first"]
+    d = d.withColumn("_page", F.coalesce(F.col("page_id").cast("string"), F.lit("none")))
+    if repeats.isEmpty():
+        return d.select(*columns, F.lit(0).cast("long").alias("ordinal"))
+    d = d.join(repeats, ["_page", *same], "left")
+    one = d.filter("_many is null").select(*columns, F.lit(0).cast("long").alias("ordinal"))
+    times = d.filter("_many").groupBy("_page", "page_id", "url", *same, "first")
+    times = times.agg(F.min("payload").alias("payload"), F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("_page", *same).orderBy("url").rowsBetween(Window.unboundedPreceding, 0))
+    numbers = F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("ordinal")
+    return one.unionByName(times.withColumn("upto", upto).select(*columns, numbers))
+
+
 def write(
     pages: DataFrame,
     date: str = "2024-01-01T00:00:00Z",
@@ -126,11 +159,13 @@ def write(
     """Write a record for each row of pages (page_id, url, html) and return (folder, index).
 
     The index has page_id, record_id, bundle, frame, offset (in the decompressed frame) and
-    length. Of rows with equal payloads that of the smallest page_id is a response, the others
-    refer to it as revisits; null html is the empty payload. A row that repeats the id and
-    payload of a response is a response too. A row without an id is a response only where no row
-    of its payload has one. Payloads are compared by SHA-1 and length. A task holds a frame and
-    the packed frames of a bundle; a larger payload has a frame of its own.
+    length; record ids are unique, also where page ids repeat or are null. Of rows with equal
+    payloads that of the smallest page_id is a response, the others refer to it as revisits; null
+    html is the empty payload. A row that repeats the id and payload of a response is a response
+    too. A row without an id is a response only where no row of its payload has one. Payloads are
+    compared by SHA-1 and length. A task holds a frame and the packed frames of a bundle; a larger
+    payload has a frame of its own. Rows are sorted within a task, so one that runs again writes
+    the same bundles; the index names those that count. An empty table gives an empty index.
     """
     spark = pages.sparkSession
     ship(spark)
@@ -139,10 +174,8 @@ def write(
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload")
     ).withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("bytes", F.length("payload"))
-    same = ["sha", "bytes"]
-    groups = rows.groupBy(*same).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    copies = groups.filter("n > 1").select(*same, "first")
-    placed = rows.join(copies, same, "left").select("page_id", "url", "payload", "first")
+    placed = _numbered(rows, ["sha", "bytes"]).sortWithinPartitions("page_id", "sha", "bytes", "ordinal")
+    placed = placed.select("page_id", "url", "payload", "first", "ordinal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -186,15 +219,16 @@ def write(
             return out
 
         for b in batches:
-            ids, urls, firsts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()
-            for page_id, url, payload, first in zip(ids, urls, b.column(2), firsts):
-                is_first = first is None or page_id == first
-                x = record(page_id, url, payload.as_py(), first, is_first, date)
+            ids, urls, firsts, ordinals = (b.column(k).to_pylist() for k in (0, 1, 3, 4))
+            for page_id, url, payload, first, ordinal in zip(ids, urls, b.column(2), firsts, ordinals):
+                is_first, payload = first is None or page_id == first, payload.as_py()
+                x = record(page_id, url, payload, first, is_first, date, ordinal)
+                own = record_id(page_id, hashlib.sha1(payload).digest(), len(payload), ordinal)
                 if open_ and len(open_) + len(x) > frame_bytes:
                     close_frame()
                     if held >= bundle_bytes:
                         yield close_bundle()
-                index.append((page_id, record_id(page_id), len(frames), len(open_), len(x)))
+                index.append((page_id, own, len(frames), len(open_), len(x)))
                 open_ += x
         if index:
             yield close_bundle()
@@ -205,17 +239,17 @@ def write(
     return folder, cut(written)
 
 
-def read(pages_folder: str, index: DataFrame) -> DataFrame:
-    """Read all bundles back: page_id, payload_bytes, payload_digest, record_type, refers_to, intact.
+def read(folder: str, index: DataFrame) -> DataFrame:
+    """Read the bundles that the index names back, a record per row.
 
-    `intact` says that a response's block has the length and digest of its header.
+    page_id, payload_bytes, payload_digest, record_type, refers_to, intact. `intact` says that a
+    response's block has the length and digest of its header. A task holds one bundle.
     """
-    spark = index.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column(1):
-                data = content.as_py()
+            for name in b.column(0).to_pylist():
+                data = storage.get_file(folder, name)
                 for frame in frames_of(data):
                     rows = [_described(f, block) for _, f, block in records(_frame(data, *frame))]
                     yield pa.RecordBatch.from_pylist(rows, schema)
@@ -224,7 +258,10 @@ def read(pages_folder: str, index: DataFrame) -> DataFrame:
         [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
          ("record_type", pa.string()), ("refers_to", pa.int64()), ("intact", pa.bool_())]
     )
-    return storage.read_files(spark, pages_folder, "*.warc.zst").mapInArrow(
+    bundles = index.select("bundle").distinct()
+    # A stated number, as so few bytes of names would be brought into one task.
+    dealt = bundles.repartition(max(1, min(bundles.count(), MOST_READERS)), "bundle")
+    return dealt.mapInArrow(
         run,
         "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
         "intact boolean",
@@ -283,7 +320,11 @@ def storage_frames(folder: str, bundle: str) -> list[tuple[int, int, int]]:
 
 
 def page_records(pages: DataFrame, **options) -> DataFrame:
-    """Write the archives of all pages, read them back and describe each record."""
+    """Write the archives of all pages, read them back and describe each record; see `write`, `read`.
+
+    One row per row of pages, whatever repeats; an empty table gives none. Other columns are left
+    aside.
+    """
     folder, index = write(pages, **options)
     if index.isEmpty():
         return pages.sparkSession.createDataFrame(
