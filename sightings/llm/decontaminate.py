@@ -54,14 +54,16 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """doc_id, text_key, at, length, items: each occurrence of a test window in a document.
 
     Every window of every document is hashed and looked up; what the hash finds is compared
-    word by word. The set is broadcast where its size, counted before, allows it.
+    word by word. The set is broadcast where its size, counted before, allows it. Beyond, places
+    and hashes alone are shuffled, and the words of a document with a hit meet them once.
     """
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # WINDOW at most
     small = windows.count() <= BROADCAST_WINDOWS
     text = F.col("text").cast("string")
-    d = docs.select(
+    base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), words(text).alias("words")
     )
+    d = base
     if not lengths:
         d = d.filter(F.lit(False))
     d = d.filter(F.size("words") >= (lengths[0] if lengths else 0))
@@ -74,9 +76,19 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     gram = F.slice("words", F.col("at") + 1, F.col("length"))
     d = d.withColumn("hash", F.xxhash64(gram))
     w = windows.withColumnRenamed("length", "_length")
-    found = d.join(F.broadcast(w) if small else w, "hash")
-    found = found.filter((F.col("length") == F.col("_length")) & (gram == F.col("gram")))
-    return found.select("doc_id", "text_key", "at", "length", "items")
+    same = (F.col("length") == F.col("_length")) & (gram == F.col("gram"))
+    if small:
+        found = d.join(F.broadcast(w), "hash").filter(same)
+        return found.select("doc_id", "text_key", "at", "length", "items")
+    met = d.select("doc_id", "text_key", "at", "length", "hash").join(w, "hash").filter("length = _length")
+    # Rows that repeat id and text have the same places; one of them is compared.
+    met = met.dropDuplicates(["doc_id", "text_key", "at", "length", "hash", "gram"])
+    met = met.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "length", "gram", "items")).alias("met"))
+    met = met.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "met")
+    mine = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
+    sure = F.filter("met", lambda m: F.slice("words", m["at"] + 1, m["length"]) == m["gram"])
+    found = base.join(met, mine).select("doc_id", "text_key", F.explode(sure).alias("m"))
+    return found.select("doc_id", "text_key", "m.at", "m.length", "m.items")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

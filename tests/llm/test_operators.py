@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import os
+import re
 import zlib
 
 import numpy as np
@@ -162,6 +163,57 @@ def test_languages_held_out(spark, odd, none):
     assert {r["lang_pred"] for r in language.languages(bare).collect()} == {"und"}
 
 
+SCRIPTS = {  # first letter of eight alphabets that share few or no bytes beyond the first
+    "am": 0x1200, "bn": 0x0995, "el": 0x03B1, "he": 0x05D0, "hi": 0x0915, "ka": 0x10D0, "ru": 0x0430, "th": 0x0E01,
+}
+
+
+def script_text(lang, seed, n=40):
+    """Words of syllables that the language prefers; Hindi and Nepali share letters, not habits."""
+    rng = np.random.default_rng(seed)
+    base, step = SCRIPTS["hi" if lang == "ne" else lang], 7 if lang == "ne" else 3
+    words = []
+    for _ in range(n):
+        k, word = int(rng.integers(0, 22)), ""
+        for _ in range(int(rng.integers(2, 7))):
+            word += chr(base + k)
+            k = (k + step * int(rng.integers(1, 4))) % 22
+        words.append(word)
+    return " ".join(words)
+
+
+def test_languages_of_many_scripts(spark):
+    """Nine languages, wide alphabets: all contexts of the sample stay, in two groups of trees."""
+    langs = [*SCRIPTS, "ne"]
+    rows = [(100 * k + i, script_text(x, 100 * k + i), x, "a", 0) for k, x in enumerate(langs) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCUMENTS).repartition(4)
+    got = language.languages(docs).toPandas().set_index("doc_id")
+    truth = {r[0]: r[2] for r in rows}
+    out = got[got["held_out"]]
+    assert len(out) > 90 and (out["lang_pred"] == [truth[i] for i in out.index]).mean() > 0.9
+    learnt = language.sampled(docs.filter(~language.held_out(F.col("doc_id"))))
+    model = language.fit(docs.filter(~language.held_out(F.col("doc_id"))))
+    assert len(model.groups) == 2
+    contexts = {bytes(d[i : i + 3]) for r in learnt.collect() for d in [b"\0\0\0" + r["text"].encode()] for i in range(len(d) - 3)}
+    assert contexts and all((levels[3].known[:-1] != 0).any(axis=1).all() for levels in model.groups)
+    assert sum(len(levels[3].known) - 1 for levels in model.groups) >= len(contexts)
+
+
+def test_copies_neither_fill_nor_empty_the_sample(spark):
+    """A text that makes up most rows counts once, whichever way it is drawn."""
+    texts = [script_text("ru", i, 200) for i in range(150)]
+    size = np.mean([len(t.encode()) for t in texts])
+    for copied in range(4):
+        rows = [(i, t, "ru", "a", 0) for i, t in enumerate(texts)]
+        rows += [(1000 + i, texts[copied], "ru", "a", 0) for i in range(400)]
+        learnt = [r["text"] for r in language.sampled(spark.createDataFrame(rows, DOCUMENTS), sample_bytes=int(40 * size)).collect()]
+        assert len(set(learnt)) == len(learnt) and 20 < len(learnt) < 65
+    # With many languages each has its share of what all may have.
+    rows = [(100 * k + i, script_text(x, 100 * k + i, 200), x, "a", 0) for k, x in enumerate(SCRIPTS) for i in range(40)]
+    learnt = language.sampled(spark.createDataFrame(rows, DOCUMENTS), total_bytes=int(80 * size)).groupBy("lang").count().collect()
+    assert len(learnt) == 8 and sum(r["count"] for r in learnt) < 130
+
+
 # -- 4: licences ---------------------------------------------------------------------------
 
 def test_licenses(spark, none):
@@ -421,6 +473,81 @@ def test_quality_on_unlabelled_documents(spark, odd, none):
     assert quality.select_documents(odd, odd_labels.limit(0)).count() == len(odd_rows())
 
 
+def plain_fit(texts, grades):
+    """The same fit with a dense table of features, written out step by step."""
+    def features(text):
+        words = text.split()
+        return {i for w in set(words) for i in quality.word_features(w)} | set(quality.text_features(words))
+
+    rows = sorted(set((g, np.array(sorted(features(t)), "<i4").tobytes()) for t, g in zip(texts, grades)))
+    y = np.array([g for g, _ in rows])
+    found = [set(np.frombuffer(x, "<i4").tolist()) for _, x in rows]
+    n, share, tried, clear = len(rows), (y == 2).mean(), 0, []
+    for place in sorted(set().union(*found)):
+        seen = [g for f, g in zip(found, y) if place in f]
+        if len(seen) < quality.MIN_DOCUMENTS:
+            continue
+        tried += 1
+        good = sum(g == 2 for g in seen)
+        odds = np.log((good + share) / (len(seen) - good + 1 - share)) - np.log(share / (1 - share))
+        if abs(odds) >= quality.MIN_SHIFT:
+            clear.append((place, abs(good - len(seen) * share) / np.sqrt(len(seen) * share * (1 - share) + 1e-9)))
+    least = np.sqrt(2 * np.log(tried)) + quality.MIN_DEVIATION
+    places = [p for p, off in clear if off >= least]
+    x = np.array([[float(p in f) for p in places] for f in found])
+    below = np.array([(y < 1).mean(), (y < 2).mean()])
+    w, t = np.zeros(len(places)), np.log(below / (1 - below))
+    mean, power = np.zeros(len(places) + 2), np.zeros(len(places) + 2)
+    for k in range(1, quality.ITERATIONS + 1):
+        p = 1 / (1 + np.exp(-((x @ w)[:, None] - t)))
+        slope = p - np.stack([y >= 1, y >= 2], axis=1)
+        g = np.concatenate([x.T @ slope.sum(axis=1) / n + quality.SHRINK * w, -slope.sum(axis=0) / n])
+        mean, power = 0.9 * mean + 0.1 * g, 0.999 * power + 0.001 * g**2
+        move = quality.STEP * (mean / (1 - 0.9**k)) / (np.sqrt(power / (1 - 0.999**k)) + 1e-8)
+        w, t = w - move[:-2], np.maximum.accumulate(t - move[-2:])
+    return dict(zip(places, w)), t, features
+
+
+def test_fit_and_scores_equal_a_plain_model(spark):
+    docs, labels = labelled(spark, 400)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    grade = {r["doc_id"]: r["grade"] for r in quality.graded(labels).collect()}
+    weights, thresholds, features = plain_fit([texts[i] for i in grade], list(grade.values()))
+    m = quality.fit(docs, quality.graded(labels))
+    assert len(weights) > 3 and set(np.nonzero(m.weights)[0]) == set(weights)
+    assert m.weights[list(weights)] == pytest.approx(list(weights.values()), abs=1e-6)
+    assert m.thresholds == pytest.approx(thresholds, abs=1e-6)
+    for r in quality.grades(docs, labels).collect():
+        # A feature that several words have weighs once for each of them.
+        words = texts[r["doc_id"]].split()
+        places = [i for x in set(words) for i in quality.word_features(x)] + quality.text_features(words)
+        tails = 1 / (1 + np.exp(-(sum(weights.get(i, 0.0) for i in places) - thresholds)))
+        assert r["tail"] == pytest.approx(tails[1], abs=1e-6)
+        assert r["expected_grade"] == pytest.approx(tails.sum(), abs=1e-6)
+        assert r["selected"] == (r["tail"] >= quality.SELECT_FROM)
+
+
+def test_an_id_on_many_rows_stays_within_the_sample(spark, monkeypatch):
+    """A third of the rows has one labelled id, with texts of their own; the fit sees its bound."""
+    docs, labels = labelled(spark, 300)
+    more = spark.createDataFrame([(1, prose(5000 + i, 30), "en", "a", 0) for i in range(450)], DOCUMENTS)
+    seen = []
+    fitted = quality.OrdinalModel.from_bytes
+    monkeypatch.setattr(quality.OrdinalModel, "from_bytes", lambda data: seen.append(len(data)) or fitted(data))
+    sizes = []
+    collect = type(docs).collect
+
+    def collected(self):
+        if "model" in self.columns:
+            plan = self._jdf.queryExecution().optimizedPlan().toString()
+            sizes.append(plan)
+        return collect(self)
+
+    monkeypatch.setattr(type(docs), "collect", collected)
+    quality.fit(docs.union(more), quality.graded(labels), sample_rows=100)
+    assert seen and "GlobalLimit 100" in sizes[0] and sizes[0].index("FlatMapGroupsInPandas") < sizes[0].index("GlobalLimit 100")
+
+
 def test_thresholds_ascend_and_tails_fall(spark):
     docs, labels = labelled(spark, 300)
     m = quality.fit(docs, quality.graded(labels))
@@ -510,6 +637,37 @@ def test_secrets(spark, odd, none):
     assert secrets.secrets(none).count() == 0
 
 
+def plain_live(rows):
+    """Spans of values that at most two owners and four repositories (or distinct texts) hold."""
+    held, spans = {}, {}
+    for k, r in enumerate(rows):
+        text = r[1] or ""
+        base = secrets.base_spans(text)
+        values = {(s[3], s[4]) for s in base} | set(secrets.candidates(text))
+        spans[k] = values
+        for a, z in values:
+            held.setdefault(text[a:z], []).append((r[3], r[0], text))
+    few = {
+        v for v, of in held.items()
+        if len({o for o, _, _ in of}) <= 2 and min(len({i for _, i, _ in of}), len({t for _, _, t in of})) <= 4
+    }
+    return sorted((r[0], sum((r[1] or "")[a:z] in few for a, z in spans[k])) for k, r in enumerate(rows))
+
+
+def test_owners_and_repositories_decide_together(spark):
+    """An example that one hot source repeats in many texts is none's secret; copies count once."""
+    rows = [(600 + k, f"guide {k}: api_key = sk9ExampleKey{0:08d}", "en", "hot", 0) for k in range(50)]
+    rows += [(100 + k, f"own text token: Pr1vate{7:020d}", "en", "hot", 0) for k in range(40)]  # copies of one text
+    rows += [(200 + k, f"{prose(k, 5)} secret=Sh4red{3:020d}", "en", f"s{k % 2}", 0) for k in range(3)]
+    rows += [(300 + k, f"{prose(k, 5)} secret=Sh4red{4:020d}", "en", f"s{k}", 0) for k in range(3)]
+    rows += [(400, f"token: Mine{5:020d} {LONE} again Mine{5:020d}", "en", None, 0), *SECRETS]
+    df = clashing(spark.createDataFrame(rows, DOCUMENTS).repartition(4))
+    got = {r["doc_id"]: r["n_live"] for r in secrets.secrets(df).collect()}
+    assert sorted(got.items()) == plain_live(rows)
+    assert not any(got[600 + k] for k in range(50)) and all(got[100 + k] for k in range(40))
+    assert got[200] and not got[300]
+
+
 # -- 9: WARC -------------------------------------------------------------------------------
 
 def test_warc_records(spark):
@@ -533,11 +691,39 @@ def test_warc_records(spark):
     for d in (df, extra):
         folder, index = warc.write(d, frame_bytes=2000, bundle_bytes=3000)
         assert rows_of(warc.read(folder, index)) == sorted(want, key=repr)
+        named = index.collect()
+        assert len(named) == len({r["record_id"] for r in named}) == len(pages)
     got = {r["page_id"]: bytes(r["payload"]) for r in warc.fetch(folder, index, F.col("page_id").isin(3, 7, 8, 9)).collect()}
     assert got == {3: b"<p>same</p>", 7: "ünïcode \U0001f600\r\n\r\n".encode(), 8: b"x" * 300_000, 9: b""}
     assert warc.page_records(df.limit(0)).count() == 0
 
 
+def test_records_have_names_of_their_own_and_stray_bundles_are_left(spark):
+    """Ids and payloads repeat, one group makes up most rows; a bundle no index names isn't read."""
+    pages = [(1, f"u{k % 3}", "<p>hot</p>") for k in range(60)] + [(1, "u", f"<p>{k}</p>") for k in range(20)]
+    pages += [(None, None, "<p>hot</p>")] * 5 + [(2, "u", "<p>hot</p>")] * 3 + [(None, "x", None)] * 4
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    folder, index = warc.write(df, frame_bytes=500, bundle_bytes=700)
+    before = rows_of(warc.read(folder, index))
+    assert len(before) == len(pages)
+    ids = [r["record_id"] for r in index.collect()]
+    assert len(ids) == len(set(ids)) == len(pages)
+    place = folder.removeprefix("file://").removeprefix("file:")
+    one = next(x for x in sorted(os.listdir(place)) if x.endswith(".warc.zst"))
+    with open(f"{place}/{one}", "rb") as f, open(f"{place}/999999-000000.warc.zst", "wb") as copy:
+        copy.write(f.read())
+    assert rows_of(warc.read(folder, index)) == before
+    heads = []
+    for bundle in {r["bundle"] for r in index.collect()}:
+        data = open(f"{place}/{bundle}", "rb").read()
+        heads += [f for frame in warc.frames_of(data) for _, f, _ in warc.records(warc._frame(data, *frame))]
+    assert sorted(f["WARC-Record-ID"] for f in heads) == sorted(ids)
+    responses = {f["WARC-Record-ID"] for f in heads if f["WARC-Type"] == "response"}
+    assert all(f["WARC-Refers-To"] in responses for f in heads if f["WARC-Type"] == "revisit")
+    again, more = warc.write(df.repartition(3), frame_bytes=500, bundle_bytes=700)
+    assert sorted(r["record_id"] for r in more.collect()) == sorted(ids)
+
+
 # -- 10: decontamination -------------------------------------------------------------------
 
 def token_words(text):
@@ -591,8 +777,21 @@ def test_contamination(spark, odd, none):
     assert {r["n_hit"] for r in decontaminate.contamination(odd, benchmark.limit(0)).collect()} == {0}
 
 
-def test_large_test_sets_are_not_broadcast(spark, odd, monkeypatch):
+def test_large_test_sets_are_not_broadcast(spark, odd, none, monkeypatch):
+    """The other way for sets beyond the bound: the same rows, and no word array in its shuffles."""
+    items = [(1, prose(1, 40)), (2, prose(1, 40)), (3, prose(3, 30_000)), (4, "a B"), (5, None), (6, prose(8, 25))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [*odd_rows(), (50, f"x {prose(3, 600)} y", "en", "a", 0), (51, "say a b and A.B", "en", "a", 0)]
+    rows += [(60 + k, f"{prose(1, 40)} {prose(60 + k, 5)}", "en", "hot", 0) for k in range(40)]
+    docs = clashing(spark.createDataFrame(rows, DOCUMENTS).repartition(3))
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items", "spans", "contaminated"]
+    want = rows_of(decontaminate.contamination(docs, benchmark).select(*columns))
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
-    benchmark = spark.createDataFrame([(1, prose(1, 40))], "item_id long, text string")
-    got = {r["doc_id"]: r["n_hit"] for r in decontaminate.contamination(odd, benchmark).collect()}
-    assert got[1] == got[9] == 40 and got[8] == 0
+    assert rows_of(decontaminate.contamination(docs, benchmark).select(*columns)) == want
+    assert sum(r[2] > 0 for r in want) > 45
+    assert decontaminate.contamination(none, benchmark).count() == 0
+    met = decontaminate.hits(docs, decontaminate.test_windows(benchmark))
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    # What goes to the join by hash: the projection that makes the hash, and no whole array in it.
+    joined = [x for x in plan.split("\n") if "xxhash64(slice(words#" in x and "AS hash#" in x]
+    assert len(joined) == 1 and not re.search(r"(\[|, )words#\d+(,|\])", joined[0])
