@@ -21,9 +21,9 @@ from sightings.llm.wording import mixed
 
 _BLOCK_BITS = 16
 _BLOCK = 1 << _BLOCK_BITS
-_BLOCKS_PER_FILE = 256
+_BLOCKS_PER_FILE = 16
 #: Occurrences that a task gathers before it hands over its part of the sketch.
-_HELD = 1 << 22
+_HELD = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -45,25 +45,25 @@ class Plan:
         return (own >> np.uint64(64 - self.bits)) + np.uint64(row << self.bits)
 
 
-def _parts(plan: Plan, hashes: list[np.ndarray]) -> pa.RecordBatch:
+def _parts(plan: Plan, hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """The cells that some hashes add to: block, and its cells with their counts, packed."""
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=1).compress
     h = np.concatenate(hashes)
-    blocks, packed = [], []
     for row in range(plan.rows):
         cell, n = np.unique(plan.cells(h, row), return_counts=True)
         n = np.minimum(n, 255).astype(np.uint8)
-        block = (cell >> np.uint64(_BLOCK_BITS)).astype(np.int64)
+        block = (cell >> np.uint64(_BLOCK_BITS)).astype(np.int32)
         at = (cell & np.uint64(_BLOCK - 1)).astype("<u2")
+        del cell
         starts = np.nonzero(np.diff(block, prepend=-1))[0].tolist()
+        packed = []
         for a, z in zip(starts, [*starts[1:], len(block)]):
             gaps = np.diff(at[a:z], prepend=at.dtype.type(0)).view(np.uint8)
             # Low bytes, high bytes and counts each by themselves compress best.
-            blocks.append(int(block[a]))
             packed.append(pack(gaps[::2].tobytes() + gaps[1::2].tobytes() + n[a:z].tobytes()))
-    return pa.RecordBatch.from_pydict({"block": pa.array(blocks, pa.int32()), "cells": pa.array(packed, pa.binary())})
+        yield pa.RecordBatch.from_pydict({"block": pa.array(block[starts]), "cells": pa.array(packed, pa.binary())})
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -89,10 +89,10 @@ def build(df: DataFrame, hashed: Callable[[Iterator[pa.RecordBatch]], Iterator[n
             if len(h):
                 held.append(h)
             if sum(map(len, held)) >= _HELD:
-                yield _parts(plan, held)
+                yield from _parts(plan, held)
                 held = []
         if held:
-            yield _parts(plan, held)
+            yield from _parts(plan, held)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, block = -1, -1

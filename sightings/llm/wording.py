@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Words that a task holds at once, but for a text that is longer by itself.
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 19
 #: Words whose hashes a task remembers.
-_KNOWN_WORDS = 400_000
+_KNOWN_WORDS = 250_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 0xD1342543DE82EF95
