@@ -16,15 +16,18 @@ from pyspark.sql import functions as F
 
 from sightings.llm import simhash, sketch
 from sightings.llm.components import components
-from sightings.llm.wording import Lexicon, mixed, window_hashes
+from sightings.llm.wording import hashed_words, mixed, window_hashes
 from sightings.session import cut, ship
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Occurrences from which a shingle is taken for a frequent one; it decides about time alone.
-FREQUENT = 32
-#: Cells of a row of the sketches, as a power of two: 16 MB of bits in each Python worker.
-MOST_BITS = 27
+#: Occurrences from which a shingle is taken for more frequent than others; they decide about time alone.
+FREQUENT = (8, 32, 128, 512, 2048, 8192)
+#: Cells of the sketch of frequencies and of the one of keys, as a power of two: 4 MB of bits for each
+#: frequency and 16 MB in each Python worker.
+FREQUENT_BITS, MOST_BITS = 25, 27
+#: Parity bits of a text at least.
+LEAST_BITS = 1024
 #: Nodes of a key that meet in one task; a key of more is dealt out as pairs of blocks.
 BLOCK = 1024
 
@@ -37,32 +40,36 @@ _KNOWN_PAIRS = 1 << 18
 _KNOWN_BYTES = 64 << 20
 
 
-def shingle_set(text: bytes, lexicon: Lexicon, shingle: int = SHINGLE) -> np.ndarray:
-    """Hashes of the distinct shingles of a whole text, ascending; words as in `simhash`."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(mixed(window_hashes(lexicon.hashes(words), min(shingle, len(words)))))
+def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
+    """Per text the hashes of its distinct shingles, ascending; words as in `simhash`."""
+    h, sizes = hashed_words([t.lower() for t in texts])
+    whole = mixed(window_hashes(h, shingle))
+    out, at = [], 0
+    for n in sizes.tolist():
+        if n >= shingle:
+            out.append(np.unique(whole[at : at + n - shingle + 1]))
+        else:
+            out.append(mixed(window_hashes(h[at : at + n], n)) if n else np.zeros(0, np.uint64))
+        at += n
+    return out
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int, text: int = 0):
     """Each batch with the shingle sets of its texts."""
-    lexicon = Lexicon()
     for b in batches:
-        yield b, [shingle_set(t.as_py() or b"", lexicon, shingle) for t in b.column(text).cast(pa.binary())]
-        lexicon.forget()
+        yield b, shingle_sets([t.as_py() or b"" for t in b.column(text).cast(pa.binary())], shingle)
 
 
-def prefix(found: np.ndarray, similarity: float, often: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, of which similar sets share one; `often` marks frequent ones.
+def prefix(found: np.ndarray, similarity: float, level: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, of which similar sets share one; `level` grows with their frequency.
 
     Sets of n shingles share ceil(similarity * n) at least, so one of any n - that + 1 of them
     is shared, and under one order of all shingles it is among the first ones of both. The order
-    is by digest, with frequent ones last.
+    is by level, then by digest, so that the rarest come first.
     """
     n = len(found)
     taken = n - math.ceil(similarity * n - _NEAR_ZERO) + 1
-    return np.concatenate([found[~often], found[often]])[: min(taken, n)]
+    return found[np.argsort(level, kind="stable")[: min(taken, n)]]
 
 
 def parity(found: np.ndarray) -> bytes:
@@ -70,11 +77,19 @@ def parity(found: np.ndarray) -> bytes:
 
     Sets differ in at least as many shingles as their bits differ.
     """
-    bits = max(64, 1 << max(0, len(found) - 1).bit_length())
+    bits = max(LEAST_BITS, 1 << max(0, len(found) - 1).bit_length())
     odd = np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
+def _folded(x: bytes) -> np.ndarray:
+    """The parity bits of as few places as any text has."""
+    a = np.frombuffer(x, np.uint64)
+    while len(a) > LEAST_BITS // 64:
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return a
+
+
 def least_difference(x: bytes, y: bytes) -> int:
     """Shingles in which two sets differ at least, by their bits."""
     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -95,15 +110,15 @@ def keyed(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARIT
 
     Rows of one set are one node. fp (its SimHash), bits (its parity) and keys (places and
     shingles of its prefix that may occur in another prefix too) are given with a node's first
-    row in a task, and null with later ones. Two sketches over all texts serve: one tells
-    frequent shingles, so that they come last in all prefixes, the other keys that occur once.
+    row in a task, and null with later ones. Two sketches over all texts serve: one tells how
+    frequent shingles are, so that rare ones come first in all prefixes, the other keys that occur once.
     """
     spark = docs.sparkSession
     ship(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(text.alias("text"))
     items = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / _WORD_BYTES
-    common = sketch.Plan.of(items, FREQUENT, MOST_BITS, rows=1, room=0.25)
+    common = sketch.Plan.of(items, FREQUENT[0], FREQUENT_BITS, rows=1, room=0.25, more=FREQUENT[1:])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for _, sets in _sets(batches, shingle):
@@ -115,7 +130,7 @@ def keyed(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARIT
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for _, sets in _sets(batches, shingle):
-            yield np.concatenate([prefix(s, similarity, frequent.may_reach(s)) for s in sets])
+            yield np.concatenate([prefix(s, similarity, frequent.level(s)) for s in sets])
 
     repeated = sketch.Lookup(sketch.build(texts, prefixes, twice), twice)
 
@@ -139,7 +154,7 @@ def keyed(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARIT
                 fp = simhash.fingerprint(t.as_py(), shingle)
                 prints.append(fp - ((fp >> 63) << 64))
                 bits.append(parity(found))
-                first = prefix(found, similarity, frequent.may_reach(found))
+                first = prefix(found, similarity, frequent.level(found))
                 at = np.nonzero(repeated.may_reach(first))[0]
                 keys.append([{"pos": p, "key": k} for p, k in zip(at.tolist(), first[at].view(np.int64).tolist())])
             yield pa.RecordBatch.from_arrays(
@@ -220,14 +235,13 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, s
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon()
         known: dict[int, np.ndarray] = {}
         size = 0
 
         def found(node: int, text: pa.Scalar) -> np.ndarray:
             nonlocal size
             if (own := known.get(node)) is None:
-                own = shingle_set(text.as_py().encode(), lexicon, shingle)
+                (own,) = shingle_sets([text.as_py().encode()], shingle)
                 if size + own.nbytes > _KNOWN_BYTES:
                     known.clear()
                     size = 0
@@ -241,7 +255,6 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, s
                 one, other = found(a, x), found(b, y)
                 shared = len(np.intersect1d(one, other, assume_unique=True))
                 held.append(shared >= similarity * (len(one) + len(other) - shared) - _NEAR_ZERO)
-            lexicon.forget()
             yield batch.select([0, 1]).filter(pa.array(held, pa.bool_()))
 
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -278,6 +291,7 @@ def _bucket_pairs(shared: DataFrame, nodes: DataFrame, tied: DataFrame, similari
 
     def pairs_of(rows: list[tuple], seen: set) -> Iterator[tuple[int, int]]:
         side, node, n, pos, root = (np.array(c, np.int64) for c in zip(*[r[:5] for r in rows]))
+        bits = np.stack([_folded(r[5]) for r in rows])
         for i in range(len(rows) - 1):
             j = np.arange(i + 1, len(rows))
             both = n[i] + n[j]
@@ -285,7 +299,12 @@ def _bucket_pairs(shared: DataFrame, nodes: DataFrame, tied: DataFrame, similari
             fits = (root[j] != root[i]) & ((side[j] != side[i]) | (side[j] == 2))
             fits &= np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - _NEAR_ZERO
             fits &= rest >= similarity / (1 + similarity) * both - _NEAR_ZERO
-            for k in j[fits].tolist():
+            if not fits.any():
+                continue
+            j = j[fits]
+            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            j = j[apart <= _room(n[i], n[j], similarity)]
+            for k in j.tolist():
                 pair = (int(node[i]), int(node[k]))
                 if pair in seen:
                     continue

@@ -28,17 +28,24 @@ _HELD = 1 << 21
 
 @dataclass(frozen=True)
 class Plan:
-    """Rows of 2**bits cells; a count of `threshold` (255 at most) makes a cell full."""
+    """Rows of 2**bits cells; a count of `threshold` (255 at most) makes a cell full.
+
+    `more` has higher counts, ascending, that are told apart too; these are not exact, as a task
+    adds 255 at most to a cell at a time.
+    """
 
     bits: int
     rows: int
     threshold: int
+    more: tuple[int, ...] = ()
 
     @classmethod
-    def of(cls, items: float, threshold: int, most_bits: int, rows: int = 2, room: float = 2.0) -> Plan:
+    def of(
+        cls, items: float, threshold: int, most_bits: int, rows: int = 2, room: float = 2.0, more: tuple[int, ...] = ()
+    ) -> Plan:
         """As many cells a row as `room` times the items, and 2**most_bits at most."""
         bits = max(_BLOCK_BITS, min(most_bits, int(max(1.0, items * room)).bit_length()))
-        return cls(bits, rows, min(threshold, 255))
+        return cls(bits, rows, min(threshold, 255), more)
 
     def cells(self, h: np.ndarray, row: int) -> np.ndarray:
         own = mixed(h + np.uint64((row + 1) * 0xA0761D6478BD642F % (1 << 64)))
@@ -96,12 +103,14 @@ def build(df: DataFrame, hashed: Callable[[Iterator[pa.RecordBatch]], Iterator[n
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, block = -1, -1
-        bits = np.zeros((_BLOCKS_PER_FILE, _BLOCK // 8), np.uint8)
-        sums = np.zeros(_BLOCK, np.uint16)
+        counts = (plan.threshold, *plan.more)
+        bits = np.zeros((len(counts), _BLOCKS_PER_FILE, _BLOCK // 8), np.uint8)
+        sums = np.zeros(_BLOCK, np.uint32)
 
         def close_block() -> None:
             if block >= 0:
-                bits[block % _BLOCKS_PER_FILE] = np.packbits(sums >= plan.threshold, bitorder="little")
+                for k, n in enumerate(counts):
+                    bits[k, block % _BLOCKS_PER_FILE] = np.packbits(sums >= n, bitorder="little")
                 sums[:] = 0
 
         def close_file() -> pa.RecordBatch:
@@ -120,7 +129,7 @@ def build(df: DataFrame, hashed: Callable[[Iterator[pa.RecordBatch]], Iterator[n
                             yield close_file()
                         file = own // _BLOCKS_PER_FILE
                 at, n = _unpacked(data.as_py())
-                sums[at] = np.minimum(sums[at] + n, 255)
+                sums[at] += n
         close_block()
         if file >= 0:
             yield close_file()
@@ -137,6 +146,8 @@ def _name(file: int) -> str:
     return f"{file:06d}.bits"
 
 
+#: Bitmaps that a task's worker holds: of the last few sketches.
+_LOADED = 3
 _loaded: dict[str, np.ndarray] = {}
 
 
@@ -148,22 +159,32 @@ class Lookup:
 
     def _bits(self) -> np.ndarray:
         if self.folder not in _loaded:
-            _loaded.clear()
+            while len(_loaded) >= _LOADED:
+                _loaded.pop(next(iter(_loaded)))
             n = (self.plan.rows << self.plan.bits) // 8
             size = _BLOCKS_PER_FILE * _BLOCK // 8
-            bits = np.zeros(n, np.uint8)
+            bits = np.zeros((1 + len(self.plan.more), n), np.uint8)
             for file in range(-(-n // size)):
                 data = get_file(self.folder, _name(file))  # none where no cell was touched
                 if data:
-                    own = np.frombuffer(data, np.uint8)[: n - file * size]
-                    bits[file * size : file * size + len(own)] = own
+                    own = np.frombuffer(data, np.uint8).reshape(len(bits), size)[:, : n - file * size]
+                    bits[:, file * size : file * size + own.shape[1]] = own
             _loaded[self.folder] = bits
         return _loaded[self.folder]
 
-    def may_reach(self, h: np.ndarray) -> np.ndarray:
+    def _reached(self, h: np.ndarray, counts: int) -> np.ndarray:
         bits = self._bits()
-        out = np.ones(len(h), bool)
+        out = np.ones((counts, len(h)), bool)
         for row in range(self.plan.rows):
             cell = self.plan.cells(h, row)
-            out &= ((bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+            at, bit = cell >> np.uint64(3), (cell & np.uint64(7)).astype(np.uint8)
+            for k in range(counts):
+                out[k] &= ((bits[k, at] >> bit) & 1).astype(bool)
         return out
+
+    def may_reach(self, h: np.ndarray) -> np.ndarray:
+        return self._reached(h, 1)[0]
+
+    def level(self, h: np.ndarray) -> np.ndarray:
+        """How many of the plan's counts each item may reach."""
+        return self._reached(h, 1 + len(self.plan.more)).sum(axis=0)

@@ -28,6 +28,19 @@ def test_window_hashes_tell_windows_apart():
     assert len(wording.window_hashes(h[:4], 5)) == 0
 
 
+def test_hashed_words_are_those_of_split(monkeypatch):
+    """Words get one hash wherever they stand: over stretches, and where they are long."""
+    texts = [(r[1] or "").encode() for r in odd_rows()] + [b"", b" a ", b"a\x0bb\x0ca\rb\na", b"y" * 70 + b" " + b"y" * 71]
+    for stretch in (1 << 20, 1000):
+        monkeypatch.setattr(wording, "_STRETCH", stretch)
+        wording._byte_tables.cache_clear()
+        h, sizes = wording.hashed_words(texts)
+        words = [w for t in texts for w in t.split()]
+        assert sizes.tolist() == [len(t.split()) for t in texts]
+        assert len(h) == len(words) and len(set(zip(h.tolist(), words))) == len(set(words)) == len(set(h.tolist()))
+    wording._byte_tables.cache_clear()
+
+
 @pytest.mark.parametrize("threshold,bits", [(2, 16), (30, 16), (2, 20)])
 def test_sketch_misses_nothing(spark, threshold, bits):
     """Counts spread over many tasks; a sketch of 2**16 cells is far too small and still loses none."""
