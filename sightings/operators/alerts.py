@@ -234,6 +234,22 @@ def alert_gate(tracked: DataFrame, warm: DataFrame) -> DataFrame:
     return new.join(warm.filter("warm").select("frame_id"), "frame_id", "left_semi")
 
 
+def first_scores(scored: DataFrame, gate: DataFrame) -> DataFrame:
+    """What each track was scored at its first sighting: prior_priority, null if that didn't alert."""
+    first = scored.filter("is_new").join(
+        gate.select("frame_id", F.lit(True).alias("_told")), "frame_id", "left"
+    )
+    return first.select(
+        "track_id", "prob", "frame_no", F.col("det_no").alias("birth_no"),
+        F.when(F.col("_told"), F.col("priority")).alias("prior_priority"),
+    )
+
+
+def tag_order(tracked: DataFrame) -> DataFrame:
+    """cam, tag, tag_from: where a camera first saw a tag."""
+    return tracked.groupBy("cam", "tag").agg(F.min(F.struct("frame_ts", "frame_no", "det_no")).alias("tag_from"))
+
+
 def departing(
     departures: DataFrame, tracked: DataFrame, scored: DataFrame, gate: DataFrame
 ) -> DataFrame:
@@ -243,18 +259,14 @@ def departing(
     first seen during warm-up has none and is scored now. Of one frame, tracks come in the order
     in which their tag was first seen by the camera, then by birth.
     """
-    first = scored.filter("is_new").join(
-        gate.select("frame_id", F.lit(True).alias("_told")), "frame_id", "left"
-    )
-    first = first.select(
-        "track_id", "prob", "frame_no", F.col("det_no").alias("_birth"),
-        F.when(F.col("_told"), F.col("priority")).alias("prior_priority"),
-    )
-    place = F.struct("frame_ts", "frame_no", "det_no")
-    tags = tracked.groupBy("cam", "tag").agg(F.min(place).alias("_tag_from"))
+    return departing_of(departures, first_scores(scored, gate), tag_order(tracked))
+
+
+def departing_of(departures: DataFrame, first: DataFrame, tags: DataFrame) -> DataFrame:
+    """The same from the tables `first_scores` and `tag_order`."""
     d = departures.filter(F.col("notify") & F.col("departed_frame").isNotNull())
     d = d.join(first, "track_id").join(tags, ["cam", "tag"])
-    line = Window.partitionBy("departed_frame").orderBy("_tag_from", "start_ts", "frame_no", "_birth")
+    line = Window.partitionBy("departed_frame").orderBy("tag_from", "start_ts", "frame_no", "birth_no")
     return d.select(
         F.col("departed_frame").alias("frame_id"),
         "cam",

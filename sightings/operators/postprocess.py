@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightings.functions.columns import let
 from sightings.functions.geometry import corner_box, make_box
 from sightings.session import ship
 
@@ -82,6 +83,44 @@ def nms(
     )
 
 
+def nms_boxes(
+    boxes: Column, conf: float = CONFIDENCE, iou: float = OVERLAP, min_mode: bool = False
+) -> Column:
+    """The same over one frame's array of boxes, without a shuffle; so it serves on a stream too.
+
+    boxes: array of (model, box_no, class_id, conf, x1, y1, x2, y2). The result is an array of
+    (model, det_no, box_no, tag_id, prob, box), ordered by model and det_no; a null array gives
+    an empty one.
+    """
+    place = ("model", "class_id", "rank", "box_no")
+
+    def item(b: Column) -> Column:
+        own = {c: b[c] for c in ("model", "class_id", "box_no", "x1", "y1", "x2", "y2")} | {"rank": -b["conf"]}
+        return F.struct(*[own[c].alias(c) for c in (*place, "x1", "y1", "x2", "y2")])
+
+    boxes = F.coalesce(boxes, F.array())
+    found = F.array_sort(F.transform(F.filter(boxes, lambda b: b["conf"] > conf), item))
+
+    def step(acc: Column, b: Column) -> Column:
+        same = lambda k: (k["model"] == b["model"]) & (k["class_id"] == b["class_id"])
+        hidden = F.exists(acc, lambda k: same(k) & ~(_overlap(k, b, min_mode) <= iou))
+        return F.when(hidden, acc).otherwise(F.concat(acc, F.array(b)))
+
+    def numbered(kept: Column) -> Column:
+        def row(b: Column, i: Column) -> Column:
+            before = F.filter(F.slice(kept, F.lit(1), i), lambda k: k["model"] == b["model"])
+            return F.struct(
+                b["model"].alias("model"), F.size(before).alias("det_no"), b["box_no"].alias("box_no"),
+                b["class_id"].alias("tag_id"), F.round(-b["rank"], 8).alias("prob"),
+                corner_box(b["x1"], b["y1"], b["x2"], b["y2"]).alias("box"),
+            )
+
+        return F.transform(kept, row)
+
+    kept = let(found, lambda x: F.aggregate(x, F.slice(x, F.lit(1), F.lit(0)), step))
+    return let(kept, numbered)
+
+
 def _suppress(boxes, probs, floor: float, overlap: float, limit: int):
     """Indices, classes and confidences chosen from one frame."""
     area = boxes[:, 2] * boxes[:, 3]
@@ -163,6 +202,46 @@ def nms_suppress(
     )
 
 
+_PICKED = (
+    "array<struct<det_no:int,box_no:int,tag_id:int,prob:double,"
+    "box:struct<left:double,top:double,width:double,height:double>>>"
+)
+
+
+def suppressed_boxes(
+    boxes: Column, prob: float = GRID_CONFIDENCE, iou: float = GRID_OVERLAP, max_det: int = MAX_DETECTIONS
+) -> Column:
+    """`nms_suppress` over one frame's array of boxes, without a shuffle; so it serves on a stream too.
+
+    boxes: array of (box_no, box, probs). The result is an array of (det_no, box_no, tag_id, prob,
+    box) in order; a null array gives an empty one. Batches of frames go to Python at a time.
+    """
+
+    @F.pandas_udf(_PICKED)
+    def pick(places: pd.Series, probs: pd.Series, nos: pd.Series) -> pd.Series:
+        out = []
+        for b, p, no in zip(places, probs, nos):
+            rows = []
+            if b is not None and len(b):
+                b, p = np.stack(list(b)), np.stack(list(p)).astype(float)
+                for n, (i, kind, value) in enumerate(_suppress(b, p, prob, iou, max_det)):
+                    box = dict(zip(("left", "top", "width", "height"), (round(float(x), 8) for x in b[i])))
+                    rows.append({"det_no": n, "box_no": int(no[i]), "tag_id": kind, "prob": round(value, 8), "box": box})
+            out.append(rows)
+        return pd.Series(out)
+
+    def item(i: Column) -> Column:
+        b = i["box"]
+        place = F.array(b["left"], b["top"], b["width"], b["height"])
+        return F.struct((-F.array_max(i["probs"])).alias("rank"), i["box_no"].alias("no"), place.alias("b"), i["probs"].alias("p"))
+
+    kept = F.array_sort(F.transform(F.filter(boxes, lambda i: F.array_max(i["probs"]) > prob), item))
+    def part(name: str) -> Column:
+        return F.transform(kept, lambda i: i[name])
+
+    return pick(part("b"), part("p"), part("no"))
+
+
 def with_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
     """Name of each class; a box of an unknown class stays, with tag null and `unknown` set."""
     d = df.join(labels.select("tag_id", "tag"), "tag_id", "left")

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from sightings.functions.timing import mode
 from sightings.operators.ordered import last, running
 
+MOST_BUCKETS = 256
+
 
 def asof_state(
     frames: DataFrame,
     states: DataFrame,
     entities: Sequence[str],
     slice_s: int = 600,
-    buckets: int = 4,
+    buckets: int | None = None,
     tie: str = "state",
 ) -> DataFrame:
     """Last known state of each entity at each frame, all entities in one pass.
@@ -27,6 +29,9 @@ def asof_state(
     `buckets` by how many frames there are for each state.
     """
     cols = frames.columns
+    if buckets is None:
+        n = states.filter(F.col("entity").isin(*entities)).count()
+        buckets = max(1, min(MOST_BUCKETS, frames.count() // max(1, n)))
     f = frames.select(
         F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in cols]), F.lit(buckets)).alias("_bucket"),
         F.col("frame_ts").alias("_time"), F.lit(1).alias("_side"), F.struct(*cols).alias("_frame"),

@@ -491,10 +491,13 @@ def _tracker(source: str) -> str:
               group by v.cam, v.tag)"""
 
 
-def _suppress() -> str:
+def _suppress(grid: str, number: str, digits: int = 18) -> str:
     """Suppression that zeroes one class at a time, as 20 rounds over a frame's candidates."""
     iou = _iou("a[1]", "a[2]", "a[3]", "a[4]", "c[1]", "c[2]", "c[3]", "c[4]")
     tops = "list_transform(s.p, lambda q: list_max(q))"
+    p = "[" + ", ".join(f"e{k} / ez * ob" for k in range(4)) + "]"
+    if digits < 18:
+        p = f"list_transform({p}, lambda v: round(v, {digits}))"
     return f"""
         select frame_id, unnest(list_reduce(range(20), lambda s, r:
           list_transform([list_max({tops})], lambda top:
@@ -515,11 +518,10 @@ def _suppress() -> str:
           nos, b
         from (select frame_id, list(no order by top desc, no) as nos,
                      list(p order by top desc, no) as p, list(b order by top desc, no) as b
-              from (select frame_id, row * 100 + col * 10 + anchor as no,
+              from (select frame_id, {number} as no,
                       [bx - bw / 2, bym - bh / 2, bw, bh] as b,
-                      [e0 / ez * ob, e1 / ez * ob, e2 / ez * ob, e3 / ez * ob] as p,
-                      greatest(e0, e1, e2, e3) / ez * ob as top
-                    from (select *, e0 + e1 + e2 + e3 as ez from gdec2))
+                      {p} as p, list_max({p}) as top
+                    from (select *, e0 + e1 + e2 + e3 as ez from {grid}))
               where top > 0.1 group by frame_id)"""
 
 
@@ -539,7 +541,25 @@ CTES["grid2"] = """
         select * exclude (row, col), cast(frame_id % 2 as int) as row, det_no % 2 as col
         from grid"""
 CTES["gdec2"] = _decode("grid2")
-CTES["supp"] = _suppress()
+
+
+def _picked(found: str) -> str:
+    return f"""
+        select frame_id, cast(o.n as int) as det_no, cast(nos[o.i] as int) as box_no,
+               cast(o.kind - 1 as int) as tag_id, round(o.v, 8) as prob,
+               round(b[o.i][1], 8) as left, round(b[o.i][2], 8) as top,
+               round(b[o.i][3], 8) as width, round(b[o.i][4], 8) as height from {found}"""
+
+
+CTES["supp"] = _suppress("gdec2", "row * 100 + col * 10 + anchor")
+CTES["grid3"] = """
+        select * exclude (frame_id, row, col), frame_id // 40 as frame_id,
+          cast(frame_id % 40 // 4 as int) as row, cast(frame_id % 4 * 3 + det_no as int) as col
+        from grid"""
+CTES["gdec3"] = _decode("grid3")
+CTES["supp3"] = _suppress("gdec3", "row * 1000 + col * 10 + anchor", 9)
+
+
 def _tracks(fold: str) -> str:
     return f"select cam, tag, unnest(list_concat(s.tr, s.gone), recursive := true) from {fold}"
 
@@ -748,11 +768,8 @@ ORACLE: dict[str, str] = {
         left join sounds_t s on s.tag = d.tag""",
     "a1_nms": f"select {_BOXES} from nms",
     "a1_nms_min_mode": f"select {_BOXES} from nms_min",
-    "a2_nms_suppress": """
-        select frame_id, cast(o.n as int) as det_no, cast(nos[o.i] as int) as box_no,
-               cast(o.kind - 1 as int) as tag_id, round(o.v, 8) as prob,
-               round(b[o.i][1], 8) as left, round(b[o.i][2], 8) as top,
-               round(b[o.i][3], 8) as width, round(b[o.i][4], 8) as height from supp""",
+    "a2_nms_suppress": _picked("supp"),
+    "a2_nms_suppress_crowded": _picked("supp3"),
     "a3_tag_counts": "select cam, frame_id, frame_ts, tag, count from counts",
     "a4_show_flag": 'select cam, frame_id, show_count, "show" from shows',
     "a5_object_sets": """
@@ -892,8 +909,7 @@ ORACLE: dict[str, str] = {
                   substr(plate, 1, i) || c || substr(plate, i + 1),
                   plate || c]) as w
               from known, (select unnest(range(8)) as i), abc)
-        select plate, ord, cast(count(distinct w) as int) as n, min(w) as first, max(w) as last
-        from v group by plate, ord""",
+        select distinct plate, ord, w as variant from v""",
     "x12_location": """
         select frame_id, array_to_string(tags, ',') || ' ' || case cam
             when 'driveway' then 'in driveway' when 'garage' then 'in garage'

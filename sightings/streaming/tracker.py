@@ -4,8 +4,9 @@ A stream of frames with their detections is taken through the narrow steps first
 road, regions, zones, threshold lookup: the same functions as in batch, on exploded rows).
 One processor then carries what needs order: tag presence, tracks and their expiry, and the
 published counts. All rows of a frame come from one input row, hence from one micro-batch.
-Frames wait until their camera has one that is some minutes newer, and are then taken in order of
-time. Frames that come later still never touch the state; they leave as `late` rows.
+Frames wait until the watermark, which follows all cameras, has passed them, and are then taken in
+order of time; a timer sees to those of a camera that has gone silent. Frames that come later still
+never touch the state; they leave as `late` rows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from sightings.functions.text import departure_text
 from sightings.functions.timing import epoch_us
@@ -29,7 +30,7 @@ from sightings.operators.tracking import NOTIFY_AGE, NOTIFY_SEEN_S, Track, lifet
 from sightings.operators.zones import apply_exclusions
 from sightings.schema import BOX
 from sightings.session import ship
-from sightings.streaming.feed import NEVER, WAIT_S, due, joined, keep_waiting, not_after
+from sightings.streaming.ordered import WAIT_S, InOrder, plain_schema, run_in_order, watermarked
 
 # Fixed value: frames of a camera before it may alert.
 WARM_FRAMES = 2
@@ -40,11 +41,13 @@ FRAME_STREAM = (
 OUTPUT = (
     "cam string, kind string, frame_id long, frame_us long, det_no int, tag string, "
     "track_id string, iou double, age int, is_new boolean, start_us long, last_us long, "
-    "left double, top double, width double, height double, count int, cam_age int"
+    "left double, top double, width double, height double, count int, cam_age int, "
+    "frame_no long, prob double, extra string"
 )
 _COLUMNS = [c.split(" ")[0] for c in OUTPUT.split(", ")]
+_TEXTS = ("track_id", "tag", "extra")
 _PANDAS_TYPES = {
-    "track_id": object, "tag": object, "is_new": "boolean",
+    **{c: object for c in _TEXTS}, "is_new": "boolean",
     "det_no": "Int32", "age": "Int32", "count": "Int32", "cam_age": "Int32", "start_us": "Int64", "last_us": "Int64",
 }
 _TRACKS = (
@@ -54,11 +57,15 @@ _TRACKS = (
 
 
 def explode_frames(frames: DataFrame) -> DataFrame:
-    """One row per detection; a frame without any keeps one row with a null det_no."""
+    """One row per detection; a frame without any keeps one row with a null det_no.
+
+    `extra`, a text of the frame's own such as the states of the house, stays on each row.
+    """
+    extra = F.col("extra") if "extra" in frames.columns else F.lit(None).cast("string")
     d = frames.select(
-        "frame_id", "cam", "frame_no", "frame_ts", F.explode_outer("detections").alias("_d")
+        "frame_id", "cam", "frame_no", "frame_ts", extra.alias("extra"), F.explode_outer("detections").alias("_d")
     )
-    return d.select("frame_id", "cam", "frame_no", "frame_ts", "_d.*")
+    return d.select("frame_id", "cam", "frame_no", "frame_ts", "extra", "_d.*")
 
 
 def prepare_stream(
@@ -97,52 +104,48 @@ def prepare_stream(
             ],
             F.coalesce("interval_s", F.lit(30)).alias("interval_s"),
             F.coalesce("publish", F.lit("")).alias("publish"),
+            "extra",
         )
     )
 
 
-class CameraProcessor(StatefulProcessor):
+class CameraProcessor(InOrder):
     """State of one camera: tracks, tags present, counts sent, frames seen, frames that wait."""
 
-    def __init__(self, columns: list[str], schema: str, wait_s: int, hysteresis: bool = True, low: float = STICKY_CONFIDENCE):
-        self.columns, self.schema, self.wait_s = columns, schema, wait_s
+    def __init__(self, columns: list[str], schema: str, hysteresis: bool = True, low: float = STICKY_CONFIDENCE):
+        super().__init__(columns, schema, "now_us", "frame_no", ("det_no",))
         self.hysteresis, self.low = hysteresis, low
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
         self.tracks = handle.getListState("tracks", _TRACKS)
         self.present = handle.getListState("present", "tag string")
         self.counts = handle.getMapState("counts", "tag string", "count int")
-        self.seen = handle.getValueState(
-            "seen", "last_us long, frame_no long, show int, cam_age int, newest long"
-        )
-        self.pending = handle.getListState("pending", self.schema)
-
-    def handleInputRows(
-        self, key, rows: Iterator[pd.DataFrame], timerValues
-    ) -> Iterator[pd.DataFrame]:
+        self.seen = handle.getValueState("seen", "show int, cam_age int")
+
+    def late(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        out = [
+            {
+                "cam": key[0], "frame_id": int(r.frame_id), "frame_us": int(r.now_us), "frame_no": int(r.frame_no),
+                "kind": "late", "det_no": int(r.det_no), "tag": r.tag,
+            }
+            for r in rows.itertuples()
+        ]
+        yield _to_frame(out)
+
+    def take(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         cam = key[0]
-        batch = joined(rows, self.pending, self.columns)
         tracks = self._load_tracks()
         present = {r[0] for r in self.present.get()} if self.present.exists() else set()
         counts = {k[0]: v[0] for k, v in self.counts.iterator()}
-        last, show, cam_age, newest = NEVER, -1, 0, NEVER[0]
-        if self.seen.exists():
-            us, no, show, cam_age, newest = self.seen.get()
-            last = (us, no)
-        newest = max(newest, int(batch["now_us"].max()))
-        late = not_after(batch["now_us"], batch["frame_no"], last)
-        ready, wait = due(batch[~late], "now_us", newest, self.wait_s)
-        batch = pd.concat([batch[late], ready]).sort_values(["now_us", "frame_no", "det_no"])
+        show, cam_age = self.seen.get() if self.seen.exists() else (-1, 0)
         out: list[dict] = []
-        for (now, no), frame in batch.groupby(["now_us", "frame_no"], sort=False):
+        for (now, no), frame in rows.groupby(["now_us", "frame_no"], sort=False):
             head = frame.iloc[0]
-            base = {"cam": cam, "frame_id": int(head.frame_id), "frame_us": int(now)}
-            if (now, no) <= last:
-                for r in frame.itertuples():
-                    out.append({**base, "kind": "late", "det_no": int(r.det_no), "tag": r.tag})
-                continue
-            last, cam_age = (int(now), int(no)), cam_age + 1
+            extra = None if pd.isna(head.extra) else head.extra
+            base = {"cam": cam, "frame_id": int(head.frame_id), "frame_us": int(now), "frame_no": int(no)}
+            cam_age += 1
             base["cam_age"] = cam_age
+            out.append({**base, "kind": "frame", "extra": extra})
             kept = [
                 r
                 for r in frame.itertuples()
@@ -157,11 +160,8 @@ class CameraProcessor(StatefulProcessor):
             present = {r.tag for r in valid}
             ages = self._track(base, tracks, valid, int(head.interval_s), out)
             show = self._publish(base, head.publish, ages, counts, show, out)
-        self._store(tracks, present, counts, (*last, show, cam_age, newest))
-        keep_waiting(self.pending, wait)
-        d = pd.DataFrame(out, columns=_COLUMNS).astype(_PANDAS_TYPES)
-        # A text column without any text would be taken for numbers.
-        yield d.assign(track_id=d["track_id"].where(d["track_id"].notna(), None))
+        self._store(tracks, present, counts, (show, cam_age))
+        yield _to_frame(out)
 
     def _load_tracks(self) -> list[Track]:
         tracks = []
@@ -188,7 +188,7 @@ class CameraProcessor(StatefulProcessor):
             age, box = (t.age, t.box) if new else (age, box)
             ages.append((r.tag, age))
             out.append({
-                **base, "kind": "det", "det_no": int(r.det_no), "tag": r.tag,
+                **base, "kind": "det", "det_no": int(r.det_no), "tag": r.tag, "prob": r.prob,
                 "track_id": t.birth[1], "iou": iou, "age": age, "is_new": new,
                 "start_us": t.birth[2], "last_us": now,
                 "left": box[0], "top": box[1], "width": box[2], "height": box[3],
@@ -227,24 +227,23 @@ class CameraProcessor(StatefulProcessor):
             self.counts.updateValue((tag,), (n,))
         self.seen.update(seen)
 
-    def close(self) -> None:
-        pass
+
+def _to_frame(rows: list[dict]) -> pd.DataFrame:
+    d = pd.DataFrame(rows, columns=_COLUMNS).astype(_PANDAS_TYPES)
+    # A text column without any text would be taken for numbers.
+    return d.assign(**{c: d[c].where(d[c].notna(), None) for c in _TEXTS})
 
 
-def track_stream(prepared: DataFrame, hysteresis: bool = True, wait_s: int = WAIT_S) -> DataFrame:
-    """Tracked detections, departures, count changes and late rows of a prepared stream.
+def track_stream(prepared: DataFrame, hysteresis: bool = True, wait_s: int | None = WAIT_S) -> DataFrame:
+    """Frames, tracked detections, departures, count changes and late rows of a prepared stream.
 
-    `cam_age` is the camera's number of frames so far, `warm` whether it may alert by it; a
-    departure has its text as `msg`, and `notify` says whether it is told.
+    `kind` says which a row is. `cam_age` is the camera's number of frames so far, `warm` whether
+    it may alert by it; a departure has its text as `msg`, and `notify` says whether it is told.
+    With `wait_s` None the stream has a watermark already.
     """
     ship(prepared.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prepared.schema)
-    out = prepared.groupBy("cam").transformWithStateInPandas(
-        statefulProcessor=CameraProcessor(prepared.columns, schema, wait_s, hysteresis),
-        outputStructType=OUTPUT,
-        outputMode="Append",
-        timeMode="None",
-    )
+    processor = CameraProcessor(prepared.columns, plain_schema(prepared), hysteresis)
+    out = run_in_order(watermarked(prepared, "now_us", wait_s), ["cam"], processor, OUTPUT)
     seen = (F.col("frame_us") - F.col("start_us")) / 1e6
     gone = F.col("kind") == "departed"
     return out.select(
