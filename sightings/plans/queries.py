@@ -29,7 +29,7 @@ from sightings.operators import (
 from sightings.operators.ordered import lag, running
 from sightings.plans import fixtures as X
 from sightings.schema import FRAME_ORDER
-from sightings.session import checkpoint_root, cut
+from sightings.session import checkpoint_root, cut, written
 from sightings.sources import sidecars, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,7 +93,7 @@ def s3_sidecars(spark, sf):
 def s4_sightings_today(spark, sf):
     """Frames written by day, and those of the newest day read back."""
     f = X.frames(spark, sf).select("frame_id", "cam", "frame_ts")
-    path = f"{checkpoint_root(spark)}/sightings-by-day-{uuid.uuid4().hex}"
+    path = written(f"{checkpoint_root(spark)}/sightings-by-day-{uuid.uuid4().hex}")
     sinks.write_sightings(f, path)
     newest = f.agg(F.max("frame_ts").cast("string")).first()[0]
     return sinks.today(spark, path, newest).select("frame_id", "cam", F.col("dt").cast("string").alias("dt"))

@@ -72,7 +72,7 @@ _written: list[list[str]] = []
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
-    """Tables that operators write inside are deleted at the end, so use up the results before.
+    """Tables and files that operators write inside are deleted at the end, so use up the results before.
 
     Without a scope they stay until the folder of the application is removed. Checkpoints go
     with spark.cleaner.referenceTracking.cleanCheckpoints.
@@ -87,6 +87,13 @@ def scope(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(conf).delete(path, True)
 
 
+def written(path: str) -> str:
+    """Enter a folder that the open scope, if there is one, deletes at its end."""
+    if _written:
+        _written[-1].append(path)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The same for a summary that a loop rewrites: a reliable checkpoint, which starts faster."""
     _folder(df.sparkSession)
@@ -100,8 +107,6 @@ def cut(df: DataFrame) -> DataFrame:
     columns they need, and the planner knows the real size of the table.
     """
     spark = df.sparkSession
-    path = f"{_folder(spark)}/sightings/{uuid.uuid4().hex}"
-    if _written:
-        _written[-1].append(path)
+    path = written(f"{_folder(spark)}/sightings/{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
