@@ -30,6 +30,8 @@ FREQUENT_BITS, MOST_BITS = 25, 27
 LEAST_BITS = 1024
 #: Nodes of a key that meet in one task; a key of more is dealt out as pairs of blocks.
 BLOCK = 1024
+#: Rounds in which a key gives no more pairs than connect its nodes, before the rest are compared.
+SPANNING_ROUNDS = 3
 
 _NEAR_ZERO = 1e-9
 _WORD_BYTES = 6
@@ -270,12 +272,16 @@ def _fingerprint_pairs(nodes: DataFrame, distance: int) -> DataFrame:
     return alike.unionByName(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
-def _bucket_pairs(shared: DataFrame, nodes: DataFrame, tied: DataFrame, similarity: float, block: int) -> DataFrame:
+def _bucket_pairs(
+    shared: DataFrame, nodes: DataFrame, tied: DataFrame, similarity: float, block: int, spanning: int | None = None
+) -> DataFrame:
     """a, b: nodes that share a key, are not yet in one component, and may reach the similarity.
 
     The nodes of a key meet in one task, with their bits, and only pairs that pass sizes, places
     and bits become rows. A key of more than `block` nodes is cut into blocks, each pair of blocks
-    being a piece of its own.
+    being a piece of its own. With the number of a `spanning` round a piece gives only as many
+    pairs as connect what its pairs connect, so a group of near copies gives a row per node; each
+    round takes the nodes in another order, and so other pairs.
     """
     of = shared.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("nodes"))
@@ -287,13 +293,15 @@ def _bucket_pairs(shared: DataFrame, nodes: DataFrame, tied: DataFrame, similari
     piece = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
     met = met.select("key", piece.alias("piece"), side.alias("side"), "node", "n", "pos", "root", "bits")
-    met = met.repartition("key", "piece").sortWithinPartitions("key", "piece", "node")
+    order = F.xxhash64("node", F.lit(spanning or 0))
+    met = met.withColumn("order", order).repartition("key", "piece").sortWithinPartitions("key", "piece", "order")
+    met = met.drop("order")
 
     def pairs_of(rows: list[tuple], seen: set) -> Iterator[tuple[int, int]]:
         side, node, n, pos, root = (np.array(c, np.int64) for c in zip(*[r[:5] for r in rows]))
         bits = np.stack([_folded(r[5]) for r in rows])
         for i in range(len(rows) - 1):
-            j = np.arange(i + 1, len(rows))
+            j = np.arange(i + 1, len(rows)) if spanning is None else np.flatnonzero(root != root[i])
             both = n[i] + n[j]
             rest = np.minimum(n[i] - pos[i], n[j] - pos[j])
             fits = (root[j] != root[i]) & ((side[j] != side[i]) | (side[j] == 2))
@@ -304,8 +312,13 @@ def _bucket_pairs(shared: DataFrame, nodes: DataFrame, tied: DataFrame, similari
             j = j[fits]
             apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
             j = j[apart <= _room(n[i], n[j], similarity)]
+            if spanning is not None:
+                # One pair for each component that this node meets; they are one from now on.
+                roots, first = np.unique(root[j], return_index=True)
+                root = np.where(np.isin(root, roots), root[i], root)
+                j = j[first]
             for k in j.tolist():
-                pair = (int(node[i]), int(node[k]))
+                pair = (int(min(node[i], node[k])), int(max(node[i], node[k])))
                 if pair in seen:
                     continue
                 if len(seen) < _KNOWN_PAIRS:
@@ -350,8 +363,9 @@ def similar_groups(
     same shingles that differ in `distance` bits at most link most copies that were hardly
     changed. Similar sets always share a key of their prefixes: each node meets the least node of
     each of its keys, and then, over keys whose nodes are still in several components, those
-    of different ones. So a group of near copies costs some pairs per node and not all its pairs;
-    no key is capped, and no similar pair is left unlinked.
+    of different ones: for some rounds as many as may connect them, at last all that are left. So a
+    group of near copies costs some pairs per node and not all its pairs; no key is capped, and no
+    similar pair is left unlinked.
     """
     rows = cut(keyed(docs, shingle, similarity))
     nodes = rows.filter("bits is not null").select("node", "n", "fp", "bits", "text_key", "keys").dropDuplicates(["node"])
@@ -371,11 +385,14 @@ def similar_groups(
     found = cut(found.unionByName(similar(met, nodes, docs, shingle, similarity)))
 
     tied = cut(components(found))
-    more = _bucket_pairs(shared.select("key", "node", "n", "pos"), nodes, tied, similarity, block)
-    more = cut(more.join(met, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = found.unionByName(similar(more, nodes, docs, shingle, similarity))
-        tied = cut(components(cut(found)))
+    of = shared.select("key", "node", "n", "pos")
+    for spanning in (*range(SPANNING_ROUNDS), None):
+        more = _bucket_pairs(of, nodes, tied, similarity, block, spanning)
+        more = cut(more.join(met, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            found = cut(found.unionByName(similar(more, nodes, docs, shingle, similarity)))
+            met = cut(met.unionByName(more))
+            tied = cut(components(found))
     d = rows.select("doc_id", "text_key", "node").join(tied, "node", "left")
     return d.select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 

@@ -107,9 +107,8 @@ def test_near_copies_go_by_jaccard(spark):
     assert wide > 20
     docs = spark.createDataFrame(rows, DOCUMENTS).repartition(5)
     want = sorted(plain_first(rows))
-    for block in (4, 1024):
-        groups = shingles.similar_groups(docs, block=block)
-        assert sorted(r["doc_id"] for r in simhash.keep_first(docs, groups).collect()) == want
+    groups = shingles.similar_groups(docs, block=4)
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs, groups).collect()) == want
     got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect())
     assert got == want
 
