@@ -150,7 +150,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents that are not contaminated, columns unchanged."""
+    """The documents that are not contaminated, columns unchanged.
+
+    Null and empty texts are clean, rows that repeat share their fate, and columns may have any
+    names; an empty table gives no rows.
+    """
     bad = contamination(docs, items, window).filter("contaminated").select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")
     )
@@ -166,7 +170,8 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) ->
 def without_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with `text` of hit documents reduced to the words outside their spans, space-joined.
 
-    Documents without a hit are unchanged; other columns stay as they are.
+    Documents without a hit, null and empty texts among them, are unchanged; other columns stay as
+    they are, whatever their names. Rows that repeat are all reduced; an empty table gives no rows.
     """
     hit = contamination(docs, items, window).filter("n_hit > 0").select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spans"

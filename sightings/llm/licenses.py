@@ -47,6 +47,11 @@ TEMPLATES = [
 
 # Headers of versions and kin that differ from a notice above in a few words only.
 HEADERS = [
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms "
+     "of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 "
+     "of the License, or any later version."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+] + [
     (name, f"This {what} is free software; you can redistribute it and/or modify it under the terms of the "
      f"GNU {kind}General Public License as published by the Free Software Foundation; either version {version} "
      "of the License, or any later version.")
@@ -62,6 +67,8 @@ STOP_WORDS = (
 ).split()
 
 MIN_COSINE = 0.75
+#: Words of all templates, as rows, that may be broadcast; more are joined by a shuffle.
+BROADCAST_WORDS = 100_000
 LICENCE_FILES = r"(?i)^(licen[cs]e|copying|unlicense)([.-][a-z0-9.-]*)?$"
 
 _TOKEN = r"[\p{L}\p{N}]+"
@@ -148,6 +155,9 @@ def own_licenses(counted: DataFrame, min_cosine: float = MIN_COSINE, templates=N
     terms = whole.filter("u.at = -1").select(F.explode(F.array_distinct("u.own")).alias("word"))
     df = {r[0]: r[1] for r in terms.groupBy("word").count().collect()}  # a row per template word
     table = [(t, name, w, _template_words(text).count(w)) for t, (name, text) in enumerate(templates) for w in sorted(set(_template_words(text)))]
+    def small(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if len(table) <= BROADCAST_WORDS else rows
+
     words = spark.createDataFrame([(w, df.get(w, 0)) for w in vocabulary(templates)], "word string, df long")
     weight = F.log(F.lit(1.0 + files) / (1.0 + F.col("df"))) + 1.0
     words = words.select("word", weight.alias("idf"))
@@ -157,7 +167,7 @@ def own_licenses(counted: DataFrame, min_cosine: float = MIN_COSINE, templates=N
     n = F.size("own").cast("double")
     units = units.filter(n * n >= min_cosine**2 * (n * n + F.col("others")))
     tf = units.select("row", "at", "others", F.explode("own").alias("word")).groupBy("row", "at", "others", "word")
-    tf = tf.count().join(F.broadcast(words), "word")
+    tf = tf.count().join(small(words), "word")
     tf = tf.withColumn("weight", F.col("count") * F.col("idf")).select("row", "at", "others", "word", "weight")
     t = spark.createDataFrame(table, "template int, name string, word string, n int").join(words, "word")
     t = t.withColumn("weight", F.col("n") * F.col("idf"))
@@ -166,7 +176,7 @@ def own_licenses(counted: DataFrame, min_cosine: float = MIN_COSINE, templates=N
     norm = tf.groupBy("row", "at").agg(
         F.sqrt(F.sum(F.col("weight") * F.col("weight")) + F.max("others") * most * most).alias("norm")
     )
-    dot = tf.join(F.broadcast(t), "word").groupBy("row", "at", "template", "name").agg(
+    dot = tf.join(small(t), "word").groupBy("row", "at", "template", "name").agg(
         F.sum(F.col("weight") * F.col("unit")).alias("dot")
     )
     cosine = dot.join(norm, ["row", "at"]).select("row", "name", (F.col("dot") / F.col("norm")).alias("cosine"))
@@ -187,7 +197,8 @@ def license_scan(files: DataFrame, min_cosine: float = MIN_COSINE, templates=Non
     nearest directory above it (its own first) that holds a licence file with one; of several in
     a directory the closest, then the first by path. Directories are joined by path: a file has
     a row per directory above it, a directory one row, however many files lie below.
-    Null text has no notice, a null path no directory; rows that repeat are scanned one by one.
+    Null text has no notice, a null path no directory; rows that repeat are scanned one by one, an
+    empty table gives no rows, and other columns are left aside.
     """
     counted = cut(_counted(files, vocabulary(templates)))
     own = cut(own_licenses(counted, min_cosine, templates))
@@ -200,15 +211,19 @@ def license_scan(files: DataFrame, min_cosine: float = MIN_COSINE, templates=Non
     first = F.min(F.struct((-F.col("own_cosine")).alias("c"), "path", "own_license")).alias("first")
     dirs = named.filter(F.col("name").rlike(LICENCE_FILES)).groupBy("dir").agg(first)
     dirs = cut(dirs.select("dir", F.col("first.path").alias("from_path"), F.col("first.own_license").alias("license")))
-    bare = d.filter("own_license is null and path is not null").select("row", parts.alias("parts"))
-    above = bare.select(
-        "row", "parts", F.explode(F.sequence(F.lit(0), F.size("parts") - 1)).alias("depth")
+    # The top folder is above all files: its one row is a value, and no key where all meet.
+    top = dirs.filter("dir = ''").first()
+    bare = d.filter("own_license is null and path is not null and contains(path, '/')")
+    above = bare.select("row", parts.alias("parts")).select(
+        "row", "parts", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("depth")
     ).select("row", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("dir"))
     nearest = F.max(F.struct("depth", "license", "from_path")).alias("near")
     given = above.join(dirs, "dir").groupBy("row").agg(nearest)
     given = given.select("row", F.col("near.license").alias("_license"), F.col("near.from_path").alias("_from"))
+    below = F.col("path").isNotNull()
+    license_, from_ = (F.when(below, F.lit(top[c] if top else None).cast("string")) for c in ("license", "from_path"))
     return d.join(given, "row", "left").select(
         "file_id", "path", "own_license", "own_cosine",
-        F.coalesce("own_license", "_license").alias("license"),
-        F.when(F.col("own_license").isNotNull(), F.col("path")).otherwise(F.col("_from")).alias("from_path"),
+        F.coalesce("own_license", "_license", license_).alias("license"),
+        F.when(F.col("own_license").isNotNull(), F.col("path")).otherwise(F.coalesce("_from", from_)).alias("from_path"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sightings.llm.licenses import MIN_COSINE, STOP_WORDS, TEMPLATES
+from sightings.llm.licenses import HEADERS, MIN_COSINE, STOP_WORDS, TEMPLATES
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -15,7 +15,7 @@ def _texts(items) -> str:
     return "[" + ", ".join("'" + i.replace("'", "''") + "'" for i in items) + "]"
 
 
-_TEMPLATES = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(TEMPLATES))
+_TEMPLATES = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(TEMPLATES + HEADERS))
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Five digits of the digest are twenty bits, or four letters.
 _DIGEST = " || ".join(
@@ -47,10 +47,23 @@ lines AS (
           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM files)
 ), marked AS (
   SELECT file_id, pos, len(found) AS n, list_filter(found, lambda w: list_contains(v, w)) AS own FROM lines, vocab
+), runs AS (
+  SELECT file_id, unnest(list_distinct(list_concat(
+    string_split_regex(array_to_string(list_transform(l, lambda x: CASE WHEN regexp_matches(x, '[\pL\pN]') THEN x ELSE '' END), chr(10)), '\n{{2,}}'),
+    string_split_regex(array_to_string(list_transform(l, lambda x: CASE WHEN regexp_matches(x, '[\pL\pN]')
+      AND regexp_matches(x, '^[ \t\n\x0B\f\r]*(//|/\*|\*|#|--|;|%|<!--)') THEN x ELSE '' END), chr(10)), '\n{{2,}}')))) AS block
+  FROM (SELECT file_id, string_split(coalesce(text, ''), chr(10)) AS l FROM files)
+), blocks AS (
+  SELECT file_id, -1 - row_number() OVER () AS pos, list_filter(regexp_extract_all(lower(block), '[\pL\pN]+'),
+    lambda w: NOT list_contains({_texts(STOP_WORDS)}, w)) AS found
+  FROM runs WHERE contains(trim(block, chr(10)), chr(10))
 ), units AS (
   SELECT file_id, pos, own, n FROM marked WHERE len(own) > 0
   UNION ALL
   SELECT file_id, -1, flatten(list(own ORDER BY pos)), sum(n) FROM marked GROUP BY file_id HAVING sum(len(own)) > 0
+  UNION ALL
+  SELECT file_id, pos, own, n FROM (SELECT file_id, pos, len(found) AS n,
+    list_filter(found, lambda w: list_contains(v, w)) AS own FROM blocks, vocab) WHERE len(own) > 0
 ), df AS (
   SELECT w, count(DISTINCT file_id) AS df
   FROM (SELECT file_id, unnest(own) AS w FROM units WHERE pos = -1) GROUP BY w

@@ -246,7 +246,10 @@ def grades(docs: DataFrame, labels: DataFrame, select_from: float = SELECT_FROM,
 
 
 def select_documents(docs: DataFrame, labels: DataFrame, select_from: float = SELECT_FROM, **options) -> DataFrame:
-    """The documents that `grades` selects, with their columns unchanged."""
+    """The documents that `grades` selects, with their columns unchanged.
+
+    Rows that repeat are selected alike; a null text counts as empty; an empty table gives no rows.
+    """
     model = fit(docs, graded(labels), **options)
     if model is None:
         return docs

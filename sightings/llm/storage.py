@@ -7,16 +7,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightings.session import checkpoint_root
+from sightings.session import checkpoint_root, written
 
 #: Words of the contracts: what stands between white space of ASCII.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
-    """The address of a new folder for files in the cluster's shared folder."""
+    """The address of a new folder for files in the cluster's shared folder; an open scope frees it."""
     root = checkpoint_root(spark)
-    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    return written(f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}")
 
 
 def _place(address: str):

@@ -255,7 +255,7 @@ def test_license_cosines_equal_a_plain_model(spark):
     for i, x in enumerate(words):
         v = {w: x.count(w) * weight(w) for w in x if w in vocab}
         norm = math.sqrt(sum(a * a for a in v.values()) + sum(w not in vocab for w in x) * (math.log(4) + 1) ** 2)
-        for _, t in licenses.TEMPLATES:
+        for _, t in licenses.TEMPLATES + licenses.HEADERS:
             tw = licenses._template_words(t)
             u = {w: tw.count(w) * weight(w) for w in tw}
             c = sum(v.get(w, 0) * a for w, a in u.items()) / norm / math.sqrt(sum(a * a for a in u.values()))
@@ -309,6 +309,26 @@ def test_whole_license_files(spark, name, want):
     assert {r["license"] for r in licenses.license_scan(df).collect()} == {want}
 
 
+def test_agpl_headers_and_the_top_folder(spark, monkeypatch):
+    """An AGPL header is no GPL's; the top folder's licence reaches every file without one above."""
+    agpl = (
+        "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU "
+        "Affero General Public License as\n# published by the Free Software Foundation, either version 3 of the\n"
+        "# License, or (at your option) any later version."
+    )
+    rows = [
+        (1, "LICENSE", agpl), (2, "a/b/c.txt", "x"), (3, "d.txt", None), (4, None, "x"), (5, "m/LICENSE", "Released under the MIT License."),
+        (6, "m/n/o.txt", "y"), (7, "q/r.txt", agpl + "\n\nimport os\n"),
+    ]
+    df = clashing(spark.createDataFrame(rows, "file_id long, path string, text string"))
+    want = {1: ("AGPL-3.0", "LICENSE"), 2: ("AGPL-3.0", "LICENSE"), 3: ("AGPL-3.0", "LICENSE"), 4: (None, None),
+            5: ("MIT", "m/LICENSE"), 6: ("MIT", "m/LICENSE"), 7: ("AGPL-3.0", "q/r.txt")}
+    for bound in (100_000, 0):
+        monkeypatch.setattr(licenses, "BROADCAST_WORDS", bound)
+        got = {r["file_id"]: (r["license"], r["from_path"]) for r in licenses.license_scan(df).collect()}
+        assert got == want
+
+
 # -- 5: exact duplicates -------------------------------------------------------------------
 
 def test_exact_groups(spark, odd, none):
