@@ -151,6 +151,12 @@ _LOADED = 3
 _loaded: dict[str, np.ndarray] = {}
 
 
+def forget() -> None:
+    """Drop the bitmaps that this worker holds from earlier steps, and what Arrow keeps unused."""
+    _loaded.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class Lookup:
     """Answers in a task whether items may occur `threshold` times; the bits are read once."""
 

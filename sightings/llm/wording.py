@@ -46,7 +46,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[list(b"".join(_SPACES))] = True
 _BYTE_STEP = 0xE7037ED1A0B428DB
 #: A stretch of text whose words are hashed at once, and a word's length from which it is by itself.
-_STRETCH, _LONG_WORD = 1 << 20, 64
+_STRETCH, _LONG_WORD = 1 << 17, 64
 
 
 @cache
