@@ -12,7 +12,7 @@ history is cut into pieces (camera, tag, time slice) that are folded in parallel
 3. identities and true ages of tracks that cross pieces are threaded through the piece
    summaries (a few rows per piece).
 
-Python sees one sorted stream per task (`mapInPandas`), holds only the live tracks, and
+Python sees one sorted stream per task (`mapInArrow`), holds only the live tracks, and
 collects no group. Lineage is cut by a reliable checkpoint per round.
 """
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,10 +102,21 @@ def lifetime(age: int, interval_s: int) -> int:
 
 def match(tracks: list[Track], box: tuple, now: int) -> tuple[Track | None, float | None]:
     """Feed a detection to every overlapping track; the last one fed is reported."""
-    area = box[2] * box[3]
+    x, y, width, height = box
+    right, bottom, area = x + width, y + height, width * height
     last, iou = None, None
     for t in tracks:
-        o = t.overlap(box, area)
+        # `Track.overlap`, in place: this is where a fold spends its time, and most don't touch.
+        left, top, w, h = t.box
+        w = min(left + w, right) - max(left, x)
+        if not w > 0:
+            continue
+        h = min(top + h, bottom) - max(top, y)
+        if not h > 0:
+            continue
+        inter = w * h
+        whole = t.area + area - inter
+        o = inter / whole if whole != 0 else 0.0
         if o > MIN_IOU:
             t.move(box, area, now)
             last, iou = t, o
@@ -205,10 +217,11 @@ class _Piece:
         )
 
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fold a stream of pieces, each a header row and then its detections in order."""
     piece, out = None, []
-    for pdf in batches:
+    for batch in batches:
+        pdf = batch.to_pandas()
         cols = [pdf[c].tolist() for c in (
             "cam", "tag", "piece", "now_us", "prev_us", "frame_id", "det_no", "interval_s",
             "left", "top", "width", "height", "state",
@@ -224,22 +237,30 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 piece.see(frame, det, now, prev, interval, (x, y, w, h))
         if len(out) >= 10_000:
-            yield _to_frame(out)
+            yield _to_batch(out)
             out.clear()
     if piece is not None:
         piece.finish()
     if out:
-        yield _to_frame(out)
+        yield _to_batch(out)
 
 
-def _to_frame(rows):
-    df = pd.DataFrame(rows, columns=_FOLD_COLS)
-    for c in ("frame_id", "det_no", "birth_frame", "birth_det", "birth_us", "slot", "to_slot",
-              "age", "last_us"):
-        df[c] = df[c].astype("Int64")
-    for c in ("is_rep", "is_new"):
-        df[c] = df[c].astype("boolean")
-    return df
+_ARROW_STATE = pa.list_(
+    pa.struct([(f, t) for f, t in zip(_STATE_FIELDS, [pa.float64()] * 4 + [pa.int64(), pa.int32()])])
+)
+_ARROW = {
+    "string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(),
+}
+_FOLD_TYPES = [
+    _ARROW_STATE if c.endswith("_state") else _ARROW[t]
+    for c, t in (f.split(" ") for f in _FOLD.replace(_STATE, "state").split(", "))
+]
+
+
+def _to_batch(rows):
+    """Columns straight from the tuples; a number that is not one (NaN) counts as missing."""
+    cols = [pa.array(c, t, from_pandas=True) for c, t in zip(zip(*rows), _FOLD_TYPES)]
+    return pa.RecordBatch.from_arrays(cols, names=_FOLD_COLS)
 
 
 def _run_fold(dets: DataFrame, states: DataFrame | None) -> DataFrame:
@@ -256,7 +277,7 @@ def _run_fold(dets: DataFrame, states: DataFrame | None) -> DataFrame:
     return (
         rows.repartition(*PIECE)
         .sortWithinPartitions(*PIECE, "rank_us", "frame_no", "det_no")
-        .mapInPandas(_fold, _FOLD)
+        .mapInArrow(_fold, _FOLD)
     )
 
 
@@ -488,6 +509,7 @@ def track_all(
     new track is the one it holds at the end of its frame.
     departures: one row per track, see `departures`.
     """
+    df = cut(df)  # read by the fold and again by the join with its result
     rows, entering = fold_archive(df, frames, cameras, slice_s)
     crossed = cut(_crossings(rows, entering))
     slots = crossed.filter("kind = 'slot'").select(

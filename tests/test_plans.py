@@ -5,7 +5,9 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from sightings.plans import fixtures
 from sightings.plans.queries import QUERIES
+from sightings.session import cut
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -57,3 +59,20 @@ def test_variants_of_one_small_file_are_many_tasks(spark, tmp_path):
     # Eight letters: all replacements, deletions and insertions of a plate, without repeats.
     n = {r["plate"]: r["count"] for r in d.groupBy("plate").count().collect()}
     assert len(n) == 39 and all(8 * 35 + 1 + 9 * 36 - 8 < v <= 8 * 36 + 9 * 36 + 8 for v in n.values())
+
+
+def test_marks_of_one_file_of_events_are_many_tasks(spark, tmp_path):
+    spark.range(60).selectExpr("id as event_id", "id % 7 as user_id").coalesce(1).write.parquet(
+        str(tmp_path / "events.parquet")
+    )
+    p = fixtures.prepared(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(event_id" in p, p
+
+
+def test_states_of_written_frames(spark, tmp_path):
+    spark.range(300).selectExpr("id as event_id", "id % 7 as user_id").write.parquet(
+        str(tmp_path / "events.parquet")
+    )
+    whole = fixtures.frame_states(spark, str(tmp_path)).orderBy("frame_id").collect()
+    of = fixtures.frame_states(spark, str(tmp_path), cut(fixtures.frames(spark, str(tmp_path))))
+    assert whole and of.orderBy("frame_id").collect() == whole

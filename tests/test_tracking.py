@@ -1,7 +1,9 @@
+import random
 from datetime import timedelta
 
 import pytest
 
+from sightings.operators import tracking
 from sightings.operators.tracking import track_all
 from models import T0, random_archive, track_model
 
@@ -70,3 +72,31 @@ def test_tracks_that_join_and_never_leave(spark):
     assert got == {k: (v[0], v[2]) for k, v in rows.items()}
     left = sorted((r.track_id, r.start_ts, r.last_ts, r.age, r.departed_ts) for r in departures.collect())
     assert left == sorted(gone, key=lambda t: t[0])
+
+
+def test_match_feeds_what_overlaps():
+    """The comparison written out in `match` is that of `Track.overlap`."""
+    rng = random.Random(3)
+    some = lambda: tuple(rng.randrange(8) / 8 for _ in range(4))
+    for _ in range(300):
+        tracks = [tracking.Track(some(), 0, 0) for _ in range(6)]
+        box = some()
+        over = [t.overlap(box, box[2] * box[3]) for t in tracks]
+        fed = [t for t, o in zip(tracks, over) if o > tracking.MIN_IOU]
+        last, iou = tracking.match(tracks, box, 5)
+        assert [t for t in tracks if t.age] == fed
+        assert (last, iou) == ((fed[-1], [o for o in over if o > tracking.MIN_IOU][-1]) if fed else (None, None))
+
+
+def test_input_of_the_tracker_is_computed_once(spark):
+    d = spark.range(40).selectExpr(
+        "id as frame_id", "'a' as cam", "id as frame_no",
+        "cast(timestamp_seconds(1704148200 + id * 30) as timestamp_ntz) as frame_ts",
+        "0 as det_no", "'dog' as tag",
+        "named_struct('left', 0.1D, 'top', 0.1D, 'width', 0.2D, 'height', 0.2D) as box",
+    )
+    cams = spark.sql("select 'a' as cam, 30 as interval_s")
+    tracked, gone = tracking.track_all(d, d.select("frame_id", "cam", "frame_no", "frame_ts"), cams)
+    assert "Range" not in tracked._jdf.queryExecution().executedPlan().toString()
+    assert [r.age for r in tracked.orderBy("frame_no").collect()] == list(range(40))
+    assert gone.count() == 1
