@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from sightings.llm import storage
+
 #: Distinct pieces that a worker keeps.
 KEPT_PIECES = 600_000
 #: Characters of a text that are cut up at once.
@@ -233,12 +235,13 @@ class Encoder:
         self.settled = len(self.known)
 
 
-_encoders: dict[tuple, Encoder] = {}
+KIND = "encoders"
 
 
 def encoder(path: str, special_as_text: bool = False) -> Encoder:
-    """The worker's encoder for a file; loaded once per process."""
+    """The worker's encoder for a file; loaded once, until a step of another kind needs the memory."""
+    encoders: dict[tuple, Encoder] = storage.kept(KIND)
     key = (path, special_as_text)
-    if key not in _encoders:
-        _encoders[key] = Encoder(path, special_as_text)
-    return _encoders[key]
+    if key not in encoders:
+        encoders[key] = Encoder(path, special_as_text)
+    return encoders[key]

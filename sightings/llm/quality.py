@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightings.llm.storage import forget
 from sightings.session import ship
 
 #: Places of the hashed weights.
@@ -185,6 +186,7 @@ def fit(docs: DataFrame, grades: DataFrame, sample_rows: int = SAMPLE_ROWS, leve
     rows = rows.join(drawn.select("doc_id", "grade"), "doc_id")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         words = _Words(word_features, _KEPT_FEATURES)
         for b in batches:
             out = []
@@ -223,6 +225,7 @@ def scored(docs: DataFrame, model: OrdinalModel | None, text: str = "text") -> l
 
     @F.pandas_udf("expected_grade double, tail double")
     def grade(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         m = OrdinalModel.from_bytes(shared.value)
         score = m.scorer()
         for texts in batches:

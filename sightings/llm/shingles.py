@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sightings.llm import simhash, sketch
 from sightings.llm.components import components
+from sightings.llm.storage import forget
 from sightings.llm.wording import hashed_words, mixed, window_hashes
 from sightings.session import cut, ship
 
@@ -196,7 +197,7 @@ def _by_bits(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     """The pairs whose parity bits leave room for the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch.forget()
+        forget()
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns[2:]]
             held = [least_difference(x, y) <= _room(n, m, similarity) for n, x, m, y in zip(*columns)]
@@ -238,7 +239,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, s
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch.forget()
+        forget()
         known: dict[int, np.ndarray] = {}
         size = 0
 
@@ -329,7 +330,7 @@ def _bucket_pairs(
                     yield pair
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch.forget()
+        forget()
         seen: set[tuple[int, int]] = set()
         at, rows, out = None, [], []
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sightings.llm.storage import get_file, new_folder, put_file
+from sightings.llm.storage import forget, get_file, kept, new_folder, put_file
 from sightings.llm.wording import mixed
 
 _BLOCK_BITS = 16
@@ -91,6 +91,7 @@ def build(df: DataFrame, hashed: Callable[[Iterator[pa.RecordBatch]], Iterator[n
     folder = new_folder(df.sparkSession, "sketch")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(but=KIND)
         held: list[np.ndarray] = []
         for h in hashed(batches):
             if len(h):
@@ -102,6 +103,7 @@ def build(df: DataFrame, hashed: Callable[[Iterator[pa.RecordBatch]], Iterator[n
             yield from _parts(plan, held)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(but=KIND)
         file, block = -1, -1
         counts = (plan.threshold, *plan.more)
         bits = np.zeros((len(counts), _BLOCKS_PER_FILE, _BLOCK // 8), np.uint8)
@@ -148,13 +150,7 @@ def _name(file: int) -> str:
 
 #: Bitmaps that a task's worker holds: of the last few sketches.
 _LOADED = 3
-_loaded: dict[str, np.ndarray] = {}
-
-
-def forget() -> None:
-    """Drop the bitmaps that this worker holds from earlier steps, and what Arrow keeps unused."""
-    _loaded.clear()
-    pa.default_memory_pool().release_unused()
+KIND = "bitmaps"
 
 
 class Lookup:
@@ -164,9 +160,11 @@ class Lookup:
         self.folder, self.plan = folder, plan
 
     def _bits(self) -> np.ndarray:
-        if self.folder not in _loaded:
-            while len(_loaded) >= _LOADED:
-                _loaded.pop(next(iter(_loaded)))
+        loaded: dict[str, np.ndarray] = kept(KIND)
+        if self.folder not in loaded:
+            forget(but=KIND)
+            while len(loaded) >= _LOADED:
+                loaded.pop(next(iter(loaded)))
             n = (self.plan.rows << self.plan.bits) // 8
             size = _BLOCKS_PER_FILE * _BLOCK // 8
             bits = np.zeros((1 + len(self.plan.more), n), np.uint8)
@@ -175,8 +173,8 @@ class Lookup:
                 if data:
                     own = np.frombuffer(data, np.uint8).reshape(len(bits), size)[:, : n - file * size]
                     bits[:, file * size : file * size + own.shape[1]] = own
-            _loaded[self.folder] = bits
-        return _loaded[self.folder]
+            loaded[self.folder] = bits
+        return loaded[self.folder]
 
     def _reached(self, h: np.ndarray, counts: int) -> np.ndarray:
         bits = self._bits()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,32 @@ from sightings.session import checkpoint_root, written
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: What this Python worker keeps from task to task, by kind.
+_kept: dict[str, dict] = {}
+
+
+def kept(kind: str) -> dict:
+    """What this Python worker keeps of a kind from task to task, until a step needs its memory."""
+    return _kept.setdefault(kind, {})
+
+
+def forget(but: str | None = None) -> None:
+    """Drop what earlier steps left in this worker, but for one kind; a task of a step begins with it.
+
+    Executors use workers again for all steps, so that what one keeps would stay beside the others'.
+    What is free then goes back to the system, where the C library can do that.
+    """
+    left = [c for kind, c in _kept.items() if c and kind != but]
+    for c in left:
+        c.clear()
+    pa.default_memory_pool().release_unused()
+    if left:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """The address of a new folder for files in the cluster's shared folder; an open scope frees it."""
     root = checkpoint_root(spark)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightings.llm import simple8b, storage
+from sightings.llm import bpe, simple8b, storage
 from sightings.llm.bpe import encoder
 from sightings.session import cut, ship
 
@@ -114,6 +114,7 @@ def write(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        storage.forget(but=bpe.KIND)
         part = TaskContext.get().partitionId()
         code, seq, held = encoder(tokenizer, special_as_text), 0, 0
         keys: list[int | None] = []
@@ -192,6 +193,7 @@ def digests(folder: str, files: DataFrame) -> DataFrame:
             first = last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        storage.forget()
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
                 f = TokenFile(memoryview(content.as_buffer()))

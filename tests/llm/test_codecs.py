@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sightings.llm import bpe, exact, simple8b, warc
+from sightings.llm import bpe, exact, simple8b, sketch, storage, warc
 from sightings.llm.queries import tokenizer_path
 
 
@@ -132,3 +132,19 @@ def test_frames_and_records():
     assert zstandard.ZstdDecompressor().stream_reader(file, read_across_frames=True).read() == b"".join(data)
     with pytest.raises(ValueError):
         warc.frames_of(file[:-1] + b"\0")
+
+
+def test_a_worker_drops_what_other_steps_left(tmp_path):
+    """Workers serve all steps: encoders leave with the first bitmap that is read, and the other way round."""
+    storage.forget()
+    mine = bpe.encoder(tokenizer_path())
+    assert bpe.encoder(tokenizer_path()) is mine
+    plan = sketch.Plan.of(100, 2, 20, rows=1, room=1.0)
+    bits = sketch.Lookup(str(tmp_path), plan)._bits()
+    assert not storage.kept(bpe.KIND)
+    assert sketch.Lookup(str(tmp_path), plan)._bits() is bits
+    again = bpe.encoder(tokenizer_path())
+    storage.forget(but=bpe.KIND)
+    assert not storage.kept(sketch.KIND) and bpe.encoder(tokenizer_path()) is again
+    storage.forget()
+    assert not storage.kept(bpe.KIND)
