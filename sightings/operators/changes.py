@@ -66,8 +66,13 @@ def show_changes(shows: DataFrame) -> DataFrame:
 
 
 def warmed_up(frames: DataFrame, frames_needed: int = 2, once: bool = False) -> DataFrame:
-    """Mark frames that may alert: from the third of a camera on; all with `once`."""
-    d = running(frames, ["cam"], FRAME_ORDER, {"cam_age": total(F.lit(1))})
+    """Mark frames that may alert: from the third of a camera on; all with `once`.
+
+    Frames that `link_frames` counted are not counted again.
+    """
+    d = frames
+    if "cam_age" not in d.columns:
+        d = running(frames, ["cam"], FRAME_ORDER, {"cam_age": total(F.lit(1))})
     return d.withColumn("warm", F.lit(True) if once else F.col("cam_age") > frames_needed)
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from sightings.functions.geometry import box_center, polyline_legs, polyline_y
-from sightings.operators.ordered import held, lag, running
+from sightings.functions.timing import HOUR, time_bucket
+from sightings.operators.ordered import held, lag, running, total
 from sightings.schema import FRAME_ORDER
 
 # The confidence a tag needs while it was present one frame earlier.
@@ -133,16 +134,24 @@ def sample_frames(df: DataFrame, every: int = 15, min_prob: float = 0.6) -> Data
     return df.filter((F.pmod(F.col("frame_no"), F.lit(every)) == 0) & (F.col("prob") > min_prob))
 
 
-def link_frames(frames: DataFrame) -> DataFrame:
-    """Frames with the id and time of the camera's frame before; kept if already there."""
+def link_frames(frames: DataFrame, count: bool = False) -> DataFrame:
+    """Frames with the id and time of the camera's frame before; kept if already there.
+
+    With `count` also the camera's number of frames so far, as `changes.warmed_up` asks for it.
+    Runs a job, which reads the frames once.
+    """
     if "prev_frame_id" in frames.columns:
         return frames
-    return running(
-        frames,
-        ["cam"],
-        FRAME_ORDER,
-        {"prev_frame_id": lag("frame_id"), "prev_frame_ts": lag("frame_ts")},
-    )
+    values = {"prev_frame_id": lag("frame_id"), "prev_frame_ts": lag("frame_ts")}
+    if count:
+        values["cam_age"] = total(F.lit(1))
+    return running(frames, ["cam"], FRAME_ORDER, values, keep=F.lit(True))
+
+
+def with_links(df: DataFrame, frames: DataFrame) -> DataFrame:
+    """Detections with the id and time of the frame before theirs, so that later steps need no frames."""
+    linked = link_frames(frames).select("frame_id", "prev_frame_id", "prev_frame_ts")
+    return df.join(linked, "frame_id", "left")
 
 
 def tag_presence(
@@ -157,20 +166,22 @@ def tag_presence(
     A tag is present where a detection of it passes its threshold, and stays present over
     directly following frames of the camera that see it above `low`. Detections that were
     renamed or ignored do not count. Only frames that see the tag make rows, so nothing is
-    crossed with all tags.
+    crossed with all tags. Detections `with_links` are taken as those of the frames.
 
     Returns cam, tag, frame_id, frame_ts, frame_no, present.
     """
-    linked = link_frames(frames).select("frame_id", "prev_frame_id")
     d = df.filter(F.col("ignore").isNull() & (F.col("tag") == F.col("raw_tag")))
     d = _with_threshold(d, thresholds, default)
     strong = F.col("prob") > F.col("_thr")
-    seen = (
-        d.filter(strong | (F.col("prob") > low))
-        .groupBy("cam", "tag", "frame_id", "frame_ts", "frame_no")
-        .agg(F.max(strong).alias("_strong"))
-        .join(linked, "frame_id")
-    )
+    seen = d.filter(strong | (F.col("prob") > low)).withColumn("_slice", time_bucket(FRAME_ORDER[0], HOUR))
+    own = ["cam", "tag", "_slice", "frame_id", *FRAME_ORDER]
+    if "prev_frame_id" in df.columns:
+        # Dealt out as the windows of `held` ask for it, a frame's rows of a tag are in one place too.
+        seen = seen.repartition("cam", "tag", "_slice").groupBy(*own, "prev_frame_id")
+        seen = seen.agg(F.max(strong).alias("_strong"))
+    else:
+        linked = link_frames(frames).select("frame_id", "prev_frame_id")
+        seen = seen.groupBy(*own).agg(F.max(strong).alias("_strong")).join(linked, "frame_id")
     return held(
         seen, ["cam", "tag"], FRAME_ORDER, F.col("_strong"), "frame_id", "prev_frame_id", "present"
     ).select("cam", "tag", "frame_id", *FRAME_ORDER, "present")
@@ -196,29 +207,26 @@ def hysteresis_filter(
     """Keep detections above their threshold, or above `low` if the tag was just present.
 
     Runs after road, region and exclusion steps (they do not depend on it); the tag the
-    model gave is compared with the final tags of the camera's previous frame.
+    model gave is compared with the final tags of the camera's previous frame. Only detections
+    under their threshold are looked up. Detections `with_links` are not joined with the frames.
     """
-    linked = link_frames(frames).select("frame_id", "prev_frame_id")
     frames = link_frames(frames)
     present = (
         tag_presence(df, frames, thresholds, default, low)
         .filter("present")
         .select(F.col("frame_id").alias("_held_frame"), F.col("tag").alias("_held_tag"))
     )
-    d = _with_threshold(df, thresholds, default).join(linked, "frame_id", "left")
+    d = _with_threshold(df, thresholds, default)
     strong = F.col("prob") > F.col("_thr")
-    weak = (F.col("prob") > low) & F.col("_held_frame").isNotNull()
-    return (
-        d.filter(strong | (F.col("prob") > low))
-        .join(
-            present,
-            (F.col("prev_frame_id") == F.col("_held_frame"))
-            & (F.col("raw_tag") == F.col("_held_tag")),
-            "left",
-        )
-        .filter(strong | weak)
-        .select(*df.columns)
+    weak = d.filter((F.col("prob") > low) & ~strong)
+    if "prev_frame_id" not in df.columns:
+        weak = weak.join(frames.select("frame_id", "prev_frame_id"), "frame_id", "left")
+    weak = weak.join(
+        present,
+        (F.col("prev_frame_id") == F.col("_held_frame")) & (F.col("raw_tag") == F.col("_held_tag")),
+        "left_semi",
     )
+    return d.filter(strong).select(*df.columns).unionByName(weak.select(*df.columns))
 
 
 def overdue_cameras(frames: DataFrame, cameras: DataFrame, as_of) -> DataFrame:

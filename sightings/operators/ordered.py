@@ -6,6 +6,9 @@ a window runs inside each (key, slice); each slice is also reduced to one summar
 (with map-side combine), a window over the summaries finds what enters each slice, and
 an equi-join adds it. A key has one summary row per slice, so the second window holds at
 most (span of the archive / slice width) rows per key, whatever the number of rows.
+
+Where a window inside the slices costs much, or few of its rows are wanted, its result is
+written (`session.cut`), and a slice's summary is then the last of its rows.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 
 from sightings.functions.columns import as_column
 from sightings.functions.timing import HOUR, time_bucket
+from sightings.session import cut
 
 
 @dataclass(frozen=True)
@@ -60,10 +64,12 @@ def running(
     values: dict[str, Running],
     slice_s: int = HOUR,
     reverse: bool = False,
+    keep: Column | None = None,
 ) -> DataFrame:
     """Add running values to `df`, per `keys`, in the order of `order` (a time column first).
 
-    With `reverse` the order is descending, so "last" reads "next".
+    With `reverse` the order is descending, so "last" reads "next". With `keep` only those rows
+    are returned, the others just hand on their values; `df` is then read once and a job is run.
     """
     keys, order = list(keys), list(order)
     part = [*keys, "_slice"]
@@ -103,8 +109,21 @@ def running(
             entering.append(F.max(name).over(across).alias(f"_pre_{name}"))
             local[f"_loc_{name}"] = F.max(v).over(upto)
 
-    carried = d.groupBy(*part).agg(*summary).select(*part, *entering)
-    out = d.withColumns(local).join(carried, part, "left")
+    if keep is None:
+        sums, out = d.groupBy(*part).agg(*summary), d.withColumns(local)
+    else:
+        ends = {
+            f"_end_{name}": F.last(F.col(f"_in_{name}"), ignorenulls=True).over(upto)
+            for name, r in values.items()
+            if r.how in ("before", "lag")
+        }
+        out = d.withColumns({"_tail": F.lead(F.lit(1)).over(inside).isNull(), "_keep": F.coalesce(keep, F.lit(False))})
+        out = out.withColumns({**local, **ends}).filter(F.col("_tail") | F.col("_keep"))
+        out = cut(out.drop(*[f"_in_{name}" for name in values]))
+        at_end = [F.col(e if (e := f"_end_{name}") in ends else f"_loc_{name}").alias(name) for name in values]
+        sums = out.filter("_tail").select(*part, *at_end)
+        out = out.filter("_keep").drop("_tail", "_keep", *ends)
+    out = out.join(sums.select(*part, *entering), part, "left")
     for name, r in values.items():
         here, pre = F.col(f"_loc_{name}"), F.col(f"_pre_{name}")
         if r.how == "total":
@@ -166,11 +185,13 @@ def held(
 ) -> DataFrame:
     """Whether `flag` was set in the unbroken run of rows that ends here.
 
-    A row continues the run of the row before it if that row's `row_id` is its `prev_id`.
+    A row continues the run of the row before it if that row's `row_id` is its `prev_id`. Rows
+    with a column `_slice` have their slice already. Runs a job, as the rows are written.
     """
     keys, order = list(keys), list(order)
     part = [*keys, "_slice"]
-    d = df.withColumn("_slice", time_bucket(order[0], slice_s)).withColumn("_flag", flag)
+    d = df if "_slice" in df.columns else df.withColumn("_slice", time_bucket(order[0], slice_s))
+    d = d.withColumn("_flag", flag)
     inside = Window.partitionBy(*part).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("_pos", F.row_number().over(inside)).withColumn(
@@ -186,12 +207,14 @@ def held(
     )
     d = d.withColumn("_set", F.max(F.when(F.col("_flag"), F.col("_pos"))).over(upto))
     d = d.withColumn("_here", F.coalesce(F.col("_set") >= F.greatest("_from", F.lit(1)), F.lit(False)))
-    place = F.struct(*order)
-    sums = d.groupBy(*part).agg(
-        F.min_by(prev_id, place).alias("_first_prev"),
-        F.max_by(row_id, place).alias("_last_id"),
-        F.max("_from").alias("_end_from"),
-        F.max_by("_here", place).alias("_end_here"),
+    d = d.withColumn("_tail", F.lead(F.lit(1)).over(inside).isNull())
+    d = cut(d.withColumn("_first_prev", F.first(prev_id).over(upto)).drop("_flag", "_pos", "_before", "_set"))
+    sums = d.filter("_tail").select(
+        *part,
+        "_first_prev",
+        F.col(row_id).alias("_last_id"),
+        F.col("_from").alias("_end_from"),
+        F.col("_here").alias("_end_here"),
     )
     steps = Window.partitionBy(*keys).orderBy("_slice")
     past = steps.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -209,7 +232,7 @@ def held(
     return (
         d.join(sums, part, "left")
         .withColumn(out, F.col("_here") | ((F.col("_from") == 0) & F.col("_enter")))
-        .drop("_slice", "_flag", "_pos", "_before", "_from", "_set", "_here", "_enter")
+        .drop("_slice", "_from", "_here", "_tail", "_first_prev", "_enter")
     )
 
 
@@ -241,7 +264,8 @@ def as_of(
     r = right.select(*on, F.col(right_time).alias("_time"), F.lit(0).alias("_side"), rrow, *ties)
     both = l.unionByName(r, allowMissingColumns=True)
     order = ["_time", "_side", *[f"_tie{i}" for i in range(len(tie))]]
-    hit = running(both, on, order, {"_hit": last("_right")}, slice_s, reverse=forward)
-    return hit.filter("_side = 1").select(
+    own = F.col("_side") == 1
+    hit = running(both, on, order, {"_hit": last("_right")}, slice_s, reverse=forward, keep=own)
+    return hit.select(
         "_left.*", *[F.col("_hit")[v].alias(v) for v in values]
     )

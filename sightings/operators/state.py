@@ -43,7 +43,8 @@ def asof_state(
     )
     both = f.unionByName(s, allowMissingColumns=True)
     values = {e: last(F.when(F.col("entity") == e, F.col("state"))) for e in entities}
-    d = running(both, ["_bucket"], ["_time", "_side", "_tie"], values, slice_s).filter("_side = 1")
+    own = F.col("_side") == 1
+    d = running(both, ["_bucket"], ["_time", "_side", "_tie"], values, slice_s, keep=own)
     missing = F.lit(False)
     for e in entities:
         missing = missing | F.col(e).isNull()

@@ -282,18 +282,18 @@ def _run_fold(dets: DataFrame, states: DataFrame | None) -> DataFrame:
 
 
 def _prepare(df: DataFrame, frames: DataFrame, cameras: DataFrame, slice_s: int) -> DataFrame:
-    linked = link_frames(frames).select("frame_id", epoch_us("prev_frame_ts").alias("prev_us"))
+    if "prev_frame_ts" not in df.columns:
+        df = df.join(link_frames(frames).select("frame_id", "prev_frame_ts"), "frame_id", "left")
     box = F.col("box")
     return (
-        df.join(linked, "frame_id", "left")
-        .join(cameras.select("cam", "interval_s"), "cam", "left")
+        df.join(cameras.select("cam", "interval_s"), "cam", "left")
         .select(
             "cam",
             "tag",
             time_bucket("frame_ts", slice_s).alias("piece"),
             epoch_us("frame_ts").alias("now_us"),
             epoch_us("frame_ts").alias("rank_us"),
-            F.coalesce("prev_us", F.lit(_NEVER)).alias("prev_us"),
+            F.coalesce(epoch_us("prev_frame_ts"), F.lit(_NEVER)).alias("prev_us"),
             "frame_id",
             "frame_no",
             "det_no",
@@ -337,9 +337,14 @@ def _ends(rows: DataFrame) -> DataFrame:
 def fold_archive(
     df: DataFrame, frames: DataFrame, cameras: DataFrame, slice_s: int = 6 * HOUR
 ) -> tuple[DataFrame, DataFrame]:
-    """Exact fold of all pieces. Returns (fold rows, piece summary)."""
+    """Exact fold of all pieces. Returns (fold rows, piece summary).
+
+    Written detections `with_links` are read again in each round, others are joined and written once.
+    """
     ship(df.sparkSession)
-    dets = cut(_prepare(df, frames, cameras, slice_s))
+    dets = _prepare(df, frames, cameras, slice_s)
+    if "prev_frame_ts" not in df.columns:
+        dets = cut(dets)
     versions = [cut(_run_fold(dets, None))]
     redone: list[DataFrame] = []
     ends = _ends(versions[0])

@@ -13,22 +13,24 @@ def apply_exclusions(df: DataFrame, excludes: DataFrame, min_iou: float = 0.5) -
     """Mark detections that overlap a zone of their camera.
 
     Zones for any tag ('*') come first, those of the final tag override them; the first hit
-    in list order counts. Rows already ignored stay as they are. A camera's zones travel as
-    one array on its row, so the detections are not shuffled.
+    in list order counts. Rows already ignored stay as they are. The zones of a camera for any
+    tag, and those for one of its tags, travel as an array each, so the detections are not
+    shuffled, and are compared with the zones of their tag alone.
     """
     zone = F.struct("ord", "tag", "box", "comment")
-    per_cam = excludes.groupBy("cam").agg(
-        F.array_sort(F.collect_list(F.when(F.col("tag") == "*", zone))).alias("_any"),
-        F.array_sort(F.collect_list(F.when(F.col("tag") != "*", zone))).alias("_own"),
-    )
-    d = df.join(per_cam, "cam", "left")
+    listed = F.array_sort(F.collect_list(zone))
+    any_tag = excludes.filter(F.col("tag") == "*").groupBy("cam").agg(listed.alias("_any"))
+    own = excludes.filter(F.col("tag") != "*").groupBy("cam", F.col("tag").alias("_tag"))
+    own = own.agg(listed.alias("_own")).withColumnRenamed("cam", "_cam")
+    d = df.join(any_tag, "cam", "left")
+    d = d.join(own, (F.col("cam") == F.col("_cam")) & (F.col("tag") == F.col("_tag")), "left")
     box = F.col("box")
 
     def overlaps(z: Column) -> Column:
         return box_iou(z["box"], box) > min_iou
 
     by_tag = F.transform(
-        F.filter("_own", lambda z: (z["tag"] == F.col("tag")) & overlaps(z)),
+        F.filter("_own", overlaps),
         lambda z: F.coalesce(
             z["comment"],
             F.concat(F.lit("static iou "), box_iou(z["box"], box).cast("string")),
@@ -38,7 +40,7 @@ def apply_exclusions(df: DataFrame, excludes: DataFrame, min_iou: float = 0.5) -
         F.filter("_any", overlaps), lambda z: F.coalesce(z["comment"], F.lit("static"))
     )
     reason = F.coalesce("ignore", first_of(by_tag), first_of(by_any))
-    return d.withColumn("ignore", reason).drop("_any", "_own")
+    return d.withColumn("ignore", reason).drop("_any", "_own", "_cam", "_tag")
 
 
 def frame_pairs(df: DataFrame, min_iou: float = 0.5) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightings.functions import geometry, text
-from sightings.operators import filters, plates, postprocess, zones
+from sightings.operators import changes, filters, plates, postprocess, tracking, zones
 
 BOX = "struct<left:double,top:double,width:double,height:double>"
 
@@ -113,6 +113,40 @@ def test_hysteresis_boundaries(spark):
     assert sorted(r.frame_id for r in kept.collect()) == [1, 2, 5]
 
 
+def test_linked_detections_need_no_frames(spark):
+    """Steps after `with_links` give what they give with the frames, and don't read those again."""
+    frames = spark.range(1, 40).selectExpr(
+        "id as frame_id", "if(id % 3 = 0, 'a', 'b') as cam", "id as frame_no",
+        "timestamp_seconds(id * 400) as frame_ts",
+    )
+    det = frames.filter("frame_id % 5 <> 1").selectExpr(
+        "*", "0 as det_no", "'dog' as tag", "(frame_id * 29 % 64) / 64D as prob",
+        "named_struct('left', 0D, 'top', 0D, 'width', 0.1D, 'height', 0.1D) as box",
+    )
+    limits = spark.createDataFrame([], "tag string, min_prob double")
+    cams = spark.createDataFrame([("a", 30), ("b", 400)], "cam string, interval_s int")
+    joined = filters.hysteresis_filter(filters.begin(det), frames, limits, 0.5)
+    linked = filters.with_links(filters.begin(det), frames)
+    kept = filters.hysteresis_filter(linked, filters.link_frames(frames), limits, 0.5)
+    assert sorted(kept.select(*joined.columns).collect()) == sorted(joined.collect())
+    want = tracking._prepare(joined, frames, cams, 3600)
+    got = tracking._prepare(kept, None, cams, 3600)
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_a_counted_frame_is_not_counted_again(spark):
+    frames = spark.range(1, 12).selectExpr(
+        "id as frame_id", "if(id % 3 = 0, 'a', 'b') as cam", "id as frame_no",
+        "timestamp_seconds(id * 4000) as frame_ts",
+    )
+    linked = filters.link_frames(frames, count=True)
+    counted = changes.warmed_up(linked)
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in (linked, counted)]
+    assert plans[0].count("Window") == plans[1].count("Window")
+    pick = ("frame_id", "cam_age", "warm")
+    assert sorted(counted.select(*pick).collect()) == sorted(changes.warmed_up(frames).select(*pick).collect())
+
+
 def greedy(boxes, limit):
     keep = []
     for b in sorted(boxes, key=lambda b: (-b[1], b[0])):

@@ -129,3 +129,17 @@ def test_throttle(spark):
     assert got == want
     plain = throttle(df.select("k", "ts"), ["k"], "ts", 86_400).collect()
     assert len(plain) == len(want)
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_rows_that_are_kept_have_the_values_of_all(spark, reverse):
+    """Some slices hold no row that is kept, and hand on their values all the same."""
+    values = lambda: {
+        "l": last("v"), "b": before("v"), "g": lag("v"), "t": total("v"), "h": highest("v"),
+    }
+    d = spark.createDataFrame(history(11), SCHEMA)
+    some = F.col("no") % 7 == 0
+    all_rows = running(d, ["k"], ["ts", "no"], values(), reverse=reverse).filter(some)
+    kept = running(d, ["k"], ["ts", "no"], values(), reverse=reverse, keep=some)
+    assert kept.columns == all_rows.columns
+    assert sorted(kept.collect(), key=lambda r: r.no) == sorted(all_rows.collect(), key=lambda r: r.no)
