@@ -54,9 +54,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, read back: doc_id, start, n_tokens, ids_crc32.
 
-    A null or empty text has the end id alone; each repetition of a document is written.
+    A null or empty text has the end id alone; each repetition of a document is written. Workers
+    of the stages before are still there, so none keeps its encoder, and files are smaller.
     """
-    return token_files.token_digests(docs, tokenizer_path()).select(
+    return token_files.token_digests(docs, tokenizer_path(), keep=False, file_ids=1_000_000).select(
         "doc_id", "start", "n_tokens", "ids_crc32"
     )
 

@@ -22,7 +22,7 @@ ESCAPE = 0
 SELECTOR_BITS = 4
 BLOCK = 512
 #: Values that are coded together, for memory.
-_AT_ONCE = 1 << 19
+_AT_ONCE = 1 << 16
 
 _COUNTS = np.array([1] + [n for n, _ in LAYOUTS] + [0], np.int64)
 

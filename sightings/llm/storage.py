@@ -37,9 +37,14 @@ def forget(but: str | None = None) -> None:
     pa.default_memory_pool().release_unused()
     if left:
         gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Give what is free in this worker back to the system, where the C library can do that."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:

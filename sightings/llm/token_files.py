@@ -97,6 +97,7 @@ def write(
     file_ids: int = FILE_IDS,
     special_as_text: bool = False,
     folder: str | None = None,
+    keep: bool = True,
 ) -> tuple[str, DataFrame]:
     """Encode `text` of docs and write token files in ascending order of `doc_id`.
 
@@ -104,7 +105,9 @@ def write(
     order of part and seq hold all documents in order. Null text is empty. A document without
     an id comes first, equal ids in the order of their texts. `end_id` is appended to each
     document. Other columns are left aside. The texts are sorted by range, so a task holds a
-    batch of texts and the ids of one file.
+    batch of texts and the ids of one file. Workers keep the encoder for their next task; without
+    `keep` they drop it at the end of each, as steps before may have left an executor more workers
+    than it has cores, which take turns. A task then learns its pieces anew.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -136,6 +139,7 @@ def write(
             seq, held = seq + 1, 0
             keys.clear()
             ids.clear()
+            storage.give_back()
             return row
 
         def encoded(texts: list, names: list) -> Iterator[pa.RecordBatch]:
@@ -161,6 +165,9 @@ def write(
             yield from encoded(texts, names)
         if keys:
             yield close()
+        if not keep:
+            code = None
+            storage.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -3,13 +3,14 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from sightings.llm import mixing, shingles, simhash
+from sightings.llm import bpe, mixing, shingles, simhash, storage, token_files
 from sightings.llm.queries import QUERIES, tokenizer_path
 
-from .conftest import DOCUMENTS, clashing, odd_rows, prose
+from .conftest import DOCUMENTS, clashing, odd_rows, prose, rows_of
 from .test_operators import plain_hits
 
 SF = "/root/testdata/sf0.001"
@@ -121,3 +122,18 @@ def test_parity_bits_never_overstate():
         apart = len(np.setxor1d(x, y))
         least = shingles.least_difference(shingles.parity(x), shingles.parity(y))
         assert least <= apart and least >= apart // 4
+
+
+def test_workers_keep_no_encoder_after_the_token_files(spark):
+    """Workers take turns, so what each keeps would add up."""
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(storage.kept(bpe.KIND))] * b.num_rows, pa.int64())})
+
+    mixed = spark.createDataFrame(odd_rows() * 2, DOCUMENTS).repartition(8)
+    want = rows_of(token_files.token_digests(mixed, tokenizer_path()).drop("name"))
+    folder, files = token_files.write(mixed, tokenizer_path(), keep=False)
+    # Before the files are read, as that step would drop what others keep.
+    assert {r["n"] for r in spark.range(0, 32, 1, 32).mapInArrow(held, "n long").collect()} == {0}
+    assert rows_of(token_files.digests(folder, files).drop("name")) == want
