@@ -197,6 +197,19 @@ def _with_threshold(df: DataFrame, thresholds: DataFrame, default: float) -> Dat
     )
 
 
+def may_pass(
+    df: DataFrame, thresholds: DataFrame, default: float, low: float = STICKY_CONFIDENCE
+) -> DataFrame:
+    """Raw detections that `hysteresis_filter` may keep: above their threshold or above `low`.
+
+    The others neither pass nor make a tag present, whatever marks they get, so they need none.
+    """
+    least = F.min(F.coalesce("min_prob", F.lit(default))).alias("min_prob")
+    own = thresholds.groupBy("tag").agg(least)  # a row of a tag with several is not repeated
+    d = df.withColumn("raw_tag", F.col("tag")).transform(_with_threshold, own, default)
+    return d.filter((F.col("prob") > F.col("_thr")) | (F.col("prob") > low)).select(*df.columns)
+
+
 def hysteresis_filter(
     df: DataFrame,
     frames: DataFrame,

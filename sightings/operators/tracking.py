@@ -18,7 +18,7 @@ collects no group. Lineage is cut by a reliable checkpoint per round.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -514,6 +514,14 @@ def track_all(
     new track is the one it holds at the end of its frame.
     departures: one row per track, see `departures`.
     """
+    tracked, gone = track_then(df, frames, cameras, slice_s)
+    return tracked, gone()
+
+
+def track_then(
+    df: DataFrame, frames: DataFrame, cameras: DataFrame, slice_s: int = 6 * HOUR
+) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """The same with a function that gives the departures: they take jobs, which only their readers need."""
     df = cut(df)  # read by the fold and again by the join with its result
     rows, entering = fold_archive(df, frames, cameras, slice_s)
     crossed = cut(_crossings(rows, entering))
@@ -551,10 +559,14 @@ def track_all(
         .withColumn("last_ts", F.col("frame_ts"))
         .drop("start_us")
     )
-    done = rows.filter("kind = 'done'").select(
-        "cam", "tag", "birth_frame", "birth_det", "birth_us", "age", "last_us"
-    )
-    return tracked, _departures(done.unionByName(_ended(crossed)), frames, cameras)
+
+    def gone() -> DataFrame:
+        done = rows.filter("kind = 'done'").select(
+            "cam", "tag", "birth_frame", "birth_det", "birth_us", "age", "last_us"
+        )
+        return _departures(done.unionByName(_ended(crossed)), frames, cameras)
+
+    return tracked, gone
 
 
 def _departures(tracks: DataFrame, frames: DataFrame, cameras: DataFrame) -> DataFrame:
@@ -602,7 +614,7 @@ def _departures(tracks: DataFrame, frames: DataFrame, cameras: DataFrame) -> Dat
 
 def track(df, frames, cameras, slice_s: int = 6 * HOUR) -> DataFrame:
     """Tracked detections; see `track_all`."""
-    return track_all(df, frames, cameras, slice_s)[0]
+    return track_then(df, frames, cameras, slice_s)[0]
 
 
 def departures(df, frames, cameras, slice_s: int = 6 * HOUR) -> DataFrame:

@@ -97,6 +97,34 @@ def test_zone_order_and_limits(spark):
     assert zones.apply_exclusions(marked, zones_df).first().ignore == "road"
 
 
+def test_hysteresis_needs_no_marks_of_what_cannot_pass(spark):
+    """Rows under every threshold change nothing; a tag with two thresholds repeats no row."""
+    probs = [0.2, 0.3, 0.4, 0.41, 0.5, 0.51, 0.7, None, float("nan")]
+    rows = [(i, k % 3, t, p) for i, p in enumerate(probs) for k, t in enumerate(["dog", "cat", "fox", None])]
+    det = spark.createDataFrame(rows, "frame_id long, det_no int, tag string, prob double")
+    limits = spark.createDataFrame([("dog", 0.25), ("cat", 0.9), ("cat", 0.45), ("fox", None)], "tag string, min_prob double")
+    got = filters.may_pass(det, limits, 0.5)
+    assert got.columns == det.columns
+    least = {"dog": 0.25, "cat": 0.45, "fox": 0.5, None: 0.5}
+    want = [r for r in rows if r[3] is not None and not r[3] <= min(0.4, least[r[2]])]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_scores_need_no_departures(spark, monkeypatch):
+    """Departures take jobs, which a query that doesn't read them does not run."""
+    from sightings.plans import queries
+
+    def unread(*_):
+        raise AssertionError("departures were computed")
+
+    monkeypatch.setattr(tracking, "_departures", unread)
+    p = queries.Pipeline(spark, "/root/testdata/sf0.001")
+    assert p.scored.count() == p.tracked.count() > 0
+    assert not {"box", "start_ts", "last_ts"} & set(p.scored.columns)
+    with pytest.raises(AssertionError, match="departures were computed"):
+        p.departures  # noqa: B018
+
+
 def test_hysteresis_boundaries(spark):
     """Present at 0.6, held at 0.45, not at exactly 0.4; gone after a frame without it."""
     probs = {1: 0.6, 2: 0.45, 3: 0.4, 4: 0.45, 5: 0.7, 7: 0.45, 8: 0.5}
