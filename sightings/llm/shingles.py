@@ -394,9 +394,11 @@ def similar_groups(
         more = _bucket_pairs(of, nodes, tied, similarity, block, spanning)
         more = cut(more.join(met, ["a", "b"], "left_anti"))
         if not more.isEmpty():
-            found = cut(found.unionByName(similar(more, nodes, docs, shingle, similarity)))
             met = cut(met.unionByName(more))
-            tied = cut(components(found))
+            linked = cut(similar(more, nodes, docs, shingle, similarity))
+            if not linked.isEmpty():
+                found = cut(found.unionByName(linked))
+                tied = cut(components(found))
     d = rows.select("doc_id", "text_key", "node").join(tied, "node", "left")
     return d.select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 

@@ -456,6 +456,28 @@ def test_components_equal_union_find(spark, seed):
     assert got == {x: find(x) for x in root if x not in alone}
 
 
+def test_components_of_few_links_have_few_tasks(spark, monkeypatch):
+    """Whatever the session's shuffles have: files of many small tasks filled the disk."""
+    parts, settle = [], components.settle
+
+    def kept(df):
+        parts.append(df.rdd.getNumPartitions())
+        return settle(df)
+
+    monkeypatch.setattr(components, "settle", kept)
+    pairs = [(i, i + 1) for i in range(100, 140)] + [(7, 7), (3, 140)]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = components.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert sorted(map(tuple, got)) == [(n, 3) for n in (3, *range(100, 141))]
+    assert len(parts) > 2 and max(parts) <= spark.sparkContext.defaultParallelism
+
+
 # -- 7: quality ----------------------------------------------------------------------------
 
 def labelled(spark, n=900):
