@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightings.functions.columns import first_of
-from sightings.functions.geometry import box_iou
+from sightings.functions.geometry import box_iou, box_meets
 
 
 def apply_exclusions(df: DataFrame, excludes: DataFrame, min_iou: float = 0.5) -> DataFrame:
@@ -25,9 +25,12 @@ def apply_exclusions(df: DataFrame, excludes: DataFrame, min_iou: float = 0.5) -
     d = df.join(any_tag, "cam", "left")
     d = d.join(own, (F.col("cam") == F.col("_cam")) & (F.col("tag") == F.col("_tag")), "left")
     box = F.col("box")
+    # A box with a side that is no number (NaN) is compared in full, and with a limit under 0 all are.
+    d = d.withColumn("_odd", F.isnan(box["left"] + box["width"] + box["top"] + box["height"]) | F.lit(min_iou < 0))
 
     def overlaps(z: Column) -> Column:
-        return box_iou(z["box"], box) > min_iou
+        # Most zones lie apart from a box, which takes less to tell than the overlap.
+        return (F.col("_odd") | box_meets(z["box"], box)) & (box_iou(z["box"], box) > min_iou)
 
     by_tag = F.transform(
         F.filter("_own", overlaps),
@@ -40,7 +43,7 @@ def apply_exclusions(df: DataFrame, excludes: DataFrame, min_iou: float = 0.5) -
         F.filter("_any", overlaps), lambda z: F.coalesce(z["comment"], F.lit("static"))
     )
     reason = F.coalesce("ignore", first_of(by_tag), first_of(by_any))
-    return d.withColumn("ignore", reason).drop("_any", "_own", "_cam", "_tag")
+    return d.withColumn("ignore", reason).drop("_any", "_own", "_cam", "_tag", "_odd")
 
 
 def frame_pairs(df: DataFrame, min_iou: float = 0.5) -> DataFrame:

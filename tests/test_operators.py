@@ -491,3 +491,21 @@ def test_departures_tell_in_order_with_their_first_priority(spark):
     told = d.filter("prior_priority is not null")
     (a,) = alerts.departure_alerts(told, states, none, sounds).collect()
     assert (a.priority, a.sound, a.tags) == (-1, "pushover", ["cat", "dog"])
+
+
+def test_zones_apart_are_told_without_the_overlap(spark):
+    """And are those that the overlap rejects, also for boxes with missing or odd sides."""
+    sides = [0.0, 0.25, 0.5, -0.5, None]
+    rows = [(0, "c", "t", None, dict(zip(("left", "top", "width", "height"), b))) for b in itertools.product(sides, repeat=4)]
+    rows += [(0, "c", "t", None, {"left": float("nan"), "top": -1.0, "width": 0.5, "height": 0.25}), (0, "c", "t", None, None)]
+    box = "struct<left:double,top:double,width:double,height:double>"
+    dets = spark.createDataFrame(rows, f"frame_id int, cam string, tag string, ignore string, box {box}")
+    zone = {"left": 0.25, "top": 0.0, "width": 0.5, "height": 0.5}
+    zones_df = spark.createDataFrame([("c", "*", 1, zone, "z")], f"cam string, tag string, ord int, box {box}, comment string")
+    side = F.struct(*[F.lit(v).alias(k) for k, v in zone.items()])
+    d = zones.apply_exclusions(dets.withColumn("want", geometry.box_iou(side, "box") > 0.5), zones_df)
+    d = d.withColumn("meets", geometry.box_meets(side, "box")).withColumn("over", geometry.box_iou(side, "box") > 0)
+    got = d.collect()
+    assert len(got) == len(rows) and any(r.want for r in got) and any(not r.want for r in got)
+    assert all((r.ignore == "z") == bool(r.want) for r in got)
+    assert all(bool(r.meets) >= bool(r.over) for r in got if r.box is not None and r.box.left == r.box.left)

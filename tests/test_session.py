@@ -3,7 +3,7 @@ import os
 import pytest
 
 from sightings.plans.queries import QUERIES
-from sightings.session import checkpoint_root, cut, scope
+from sightings.session import TASKS_PER_CORE, checkpoint_root, cut, prepare, scope
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +40,15 @@ def test_a_cluster_must_name_its_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_root(Session())
+
+
+def test_a_shuffle_has_some_tasks_for_each_core(spark):
+    """Else a few tasks more than cores keep most cores waiting."""
+    cores, before = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(16 * cores))
+        rows = prepare(spark).range(1_000_000 * cores).repartition("id")
+        assert rows.rdd.getNumPartitions() >= TASKS_PER_CORE * cores
+        assert prepare(spark).range(100).repartition("id").rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
