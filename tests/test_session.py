@@ -2,6 +2,7 @@ import os
 
 import pytest
 
+from sightings.plans import fixtures
 from sightings.plans.queries import QUERIES
 from sightings.session import TASKS_PER_CORE, checkpoint_root, cut, prepare, scope
 
@@ -52,3 +53,25 @@ def test_a_shuffle_has_some_tasks_for_each_core(spark):
         assert prepare(spark).range(100).repartition("id").rdd.getNumPartitions() == 1
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_tables_are_broadcast_by_what_they_take_in_memory(spark, tmp_path):
+    """A file of repeated texts is small; the driver would gather a hash table of dozens of times its size."""
+    spark.range(400_000).selectExpr(
+        "id as event_id", "id as user_id", "concat('cam', id % 3) as event_type", "'off' as props"
+    ).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4m")
+        wide = fixtures.load(spark, str(tmp_path), "events")
+        table = cut(wide)
+        many = spark.range(40_000_000).selectExpr("id as event_id", "rand() as x")
+        p = many.join(table.select("event_id", "props"), "event_id")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in p, p
+        few = spark.range(10_000).selectExpr("id as event_id", "'x' as x").coalesce(1)
+        p = many.join(cut(few), "event_id")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" in p, p
+        # Text operators plan with the size of their files.
+        assert float(prepare(spark).conf.get("spark.sql.sources.fileCompressionFactor")) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
