@@ -12,6 +12,7 @@ from sightings.functions.text import location_message, review_link, sighting_nam
 from sightings.functions.timing import is_small_hours
 from sightings.operators.changes import NO_PRIORITY, SILENT_PRIORITY, throttle
 from sightings.operators.reports import NO_AGE
+from sightings.session import cut
 
 # The camera-specific rules. A fixed score of a tag at a camera, with the place
 # in the chain of rules; 1 = before the person and vehicle switches (all of these are).
@@ -373,10 +374,11 @@ def species_events(tracked: DataFrame, tags: list[str]) -> DataFrame:
 def owner_arrivals(matches: DataFrame, owner: str, period_s: int = 86_400) -> DataFrame:
     """Arrivals of a known owner's vehicle, at most one event per period.
 
-    matches: ts and owner of matched plates.
+    matches: ts and owner of matched plates. Arrivals are written, as they are read twice and the matches
+    took much work.
     """
     hits = matches.filter(F.lower("owner") == owner).select(F.lower("owner").alias("owner"), "ts")
-    return throttle(hits.distinct(), ["owner"], "ts", period_s)
+    return throttle(cut(hits.distinct()), ["owner"], "ts", period_s)
 
 
 def saved_sightings(alerts: DataFrame, ages: DataFrame, frames: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightings.functions import geometry, text
-from sightings.operators import changes, filters, plates, postprocess, tracking, zones
+from sightings.operators import alerts, changes, filters, plates, postprocess, tracking, zones
 
 BOX = "struct<left:double,top:double,width:double,height:double>"
 
@@ -308,6 +308,53 @@ def test_plates_are_not_broadcast_however_small_they_look(spark):
         assert "BroadcastExchange" not in p, p
 
 
+def test_plates_met_in_passes_are_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("AB1") for _ in range(rng.randint(0, 6)))
+    known = [(word(), rng.choice([None, 1, 2, 3])) for _ in range(30)] + [(None, 0), ("a-b", 1), ("AB", 1), ("A B", 1)]
+    k = spark.createDataFrame(known, "plate string, ord int")
+    r = spark.createDataFrame([(i, word()) for i in range(60)] + [(900, None), (901, "ab"), (902, "")], "id long, plate string")
+    whole = sorted(plates.match_plates(r, k).collect())
+    words = r.selectExpr("plate as w").filter("w is not null")
+    for most in range(4):
+        assert plates._keys(words, "w", most) == plates.with_deletion_keys(words, "w", "key", most).count()
+    monkeypatch.setattr(plates, "MOST_KEYS", 400)
+    assert sorted(plates.match_plates(r, k).collect()) == whole
+
+
+def test_only_texts_without_a_nearer_plate_make_more_keys(spark, monkeypatch):
+    """Each key is a row of a shuffle."""
+    made = []
+    keyed = plates.with_deletion_keys
+
+    def counted(df, word, out, most):
+        made.append((word, most, sorted(x[word] for x in df.select(word).collect())))
+        return keyed(df, word, out, most)
+
+    monkeypatch.setattr(plates, "with_deletion_keys", counted)
+    k = spark.createDataFrame([("ABCDE", 1)], "plate string, ord int")
+    r = spark.createDataFrame([("ABCDE",), ("ABCDX",), ("ABXXE",), ("XXXXX",)], "plate string")
+    got = {x.plate: x.distance for x in plates.match_plates(r, k).collect()}
+    assert got == {"ABCDE": 0, "ABCDX": 1, "ABXXE": 2, "XXXXX": None}
+    texts = [x for x in made if x[0] == "_text"]
+    assert texts == [("_text", 1, ["ABCDX", "ABXXE", "XXXXX"]), ("_text", 2, ["ABXXE", "XXXXX"])]
+
+
+def test_arrivals_compute_their_matches_once(spark):
+    rows = [("Machinery", f"2024-01-0{i} 10:00:00") for i in (1, 1, 2, 3)] + [("other", "2024-01-01 10:00:00")]
+    seen = spark.sparkContext.accumulator(0)
+
+    def owner(x):
+        seen.add(1)
+        return x
+
+    d = spark.createDataFrame(rows, "owner string, at string")
+    d = d.select(F.udf(owner, "string").asNondeterministic()("owner").alias("owner"), F.expr("cast(at as timestamp_ntz) as ts"))
+    got = alerts.owner_arrivals(d, "machinery", 86_400).orderBy("ts").collect()
+    assert [(x.owner, str(x.ts)) for x in got] == [("machinery", "2024-01-01 10:00:00"), ("machinery", "2024-01-03 10:00:00")]
+    assert seen.value == len(rows)
+
+
 def test_edit_variants(spark):
     """All words at a distance of one; the word itself comes from replacing a letter by itself."""
     df = spark.createDataFrame([("A1",), ("",), ("BB",)], "w string")

@@ -1,10 +1,13 @@
 import os
+import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from sightings.plans import fixtures
 from sightings.plans.queries import QUERIES
-from sightings.session import TASKS_PER_CORE, checkpoint_root, cut, prepare, scope
+from sightings.session import TASKS_PER_CORE, TIDY, checkpoint_root, cut, prepare, scope
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +78,22 @@ def test_tables_are_broadcast_by_what_they_take_in_memory(spark, tmp_path):
         assert float(prepare(spark).conf.get("spark.sql.sources.fileCompressionFactor")) == 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    """Else they stay until the driver happens to collect garbage, and add up over the steps of a query."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return set(re.findall(r"shuffle_(\d+)_", blocks.getAllFiles().toString()))
+
+    before, held = shuffled(), spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    table = cut(held)
+    for _ in range(100):
+        if not (shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not (shuffled() - before)
+    assert spark.conf.get(TIDY) == "false"
+    # What the caller has can still be read, and again.
+    assert sorted(held.collect()) == sorted(held.collect()) == sorted(table.collect())
