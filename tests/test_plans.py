@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from sightings.operators import alerts
 from sightings.plans import fixtures
 from sightings.plans.queries import QUERIES
 from sightings.session import cut
@@ -76,3 +77,27 @@ def test_states_of_written_frames(spark, tmp_path):
     whole = fixtures.frame_states(spark, str(tmp_path)).orderBy("frame_id").collect()
     of = fixtures.frame_states(spark, str(tmp_path), cut(fixtures.frames(spark, str(tmp_path))))
     assert whole and of.orderBy("frame_id").collect() == whole
+
+
+def test_departures_are_not_gathered_by_the_driver(spark):
+    """Their tables are small files with long rows, and are as many as tracks."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "512k")
+        dims = [fixtures.dim(spark, n) for n in ("priorities_t", "sounds_t")]
+        states = cut(spark.range(100_000).selectExpr(
+            "id as frame_id", "'home' as mode", "'on' as vehicle_detector", "'on' as person_detector",
+            "'outside' as dog_status", "'off' as vacation_mode",
+        ))
+        leaving = cut(spark.range(50_000).selectExpr(
+            "id as frame_id", "'deck' as cam", "cast(timestamp_seconds(id) as timestamp_ntz) as frame_ts", "0 as det_no",
+            "'dog' as tag", "0.5D as prob", "9 as age", "concat('deck|dog|', id) as track_id", "concat('dog ', id) as msg",
+            "cast(null as double) as iou", "cast(null as string) as ignore", "true as departed", "-1 as prior_priority",
+        ))
+        told = alerts.pushes(alerts.departure_alerts(leaving, states, *dims))
+        p = told._jdf.queryExecution().executedPlan().toString()
+        # Tables of tags are; those of frames have a number as their key.
+        assert "BroadcastExchange HashedRelationBroadcastMode(List(input[0, bigint" not in p, p
+        assert told.count() == 50_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
